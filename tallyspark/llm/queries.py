@@ -4,21 +4,40 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, token_counts
+from . import bpe_codec, language_id, quality_crf, token_counts, token_output
+from ._shared import crc_of_id
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    files = token_output.write_tokens(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.summaries(spark, files)
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality_crf.score(docs, quality_crf.fit(docs, _table(spark, folder, "labels")))
+
+
 def op8_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.digests(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op8_bpe_codec)}
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = F.pmod(crc_of_id(), F.lit(4)) == 2
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_token_counts, op4_quality_crf, op8_bpe_codec, op10_language_id)}
 ORACLE: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, quality_crf, token_counts, token_output
+from . import bpe_codec, jaccard_join, language_id, quality_crf, token_counts, token_output
 from ._shared import crc_of_id
 
 
@@ -32,6 +32,10 @@ def op8_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.digests(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, folder, "documents"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     held_out = F.pmod(crc_of_id(), F.lit(4)) == 2
@@ -39,5 +43,5 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_token_counts, op4_quality_crf, op8_bpe_codec, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_token_counts, op4_quality_crf, op8_bpe_codec, op9_jaccard_join, op10_language_id)}
 ORACLE: dict[str, str] = {}

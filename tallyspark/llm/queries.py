@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, jaccard_join, language_id, quality_crf, token_counts, token_output
+from . import bpe_codec, jaccard_join, language_id, mixing, quality_crf, token_counts, token_output
 from ._shared import crc_of_id
 
 
@@ -19,6 +19,10 @@ def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.summaries(spark, files)
 
 
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,5 +47,5 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_token_counts, op4_quality_crf, op8_bpe_codec, op9_jaccard_join, op10_language_id)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mix_sources, op3_token_counts, op4_quality_crf, op8_bpe_codec, op9_jaccard_join, op10_language_id)}
+ORACLE: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}

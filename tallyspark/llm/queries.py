@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, jaccard_join, jpeg_media, language_id, mixing, quality_crf, secret_scan, token_counts, token_output
+from . import additive_quant, bpe_codec, jaccard_join, jpeg_media, language_id, mixing, quality_crf, secret_scan, token_counts, token_output
 from ._shared import crc_of_id
 
 
@@ -40,6 +40,10 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.findings(_table(spark, folder, "documents"), secret_scan.train(secret_scan.labelled_findings(spark)))
 
 
+def op7_additive_quantisation(spark: SparkSession, folder: str) -> DataFrame:
+    return additive_quant.search(_table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op8_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.digests(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -55,5 +59,5 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_mix_sources, op3_token_counts, op4_quality_crf, op5_jpeg_media, op6_secret_scan, op8_bpe_codec, op9_jaccard_join, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mix_sources, op3_token_counts, op4_quality_crf, op5_jpeg_media, op6_secret_scan, op7_additive_quantisation, op8_bpe_codec, op9_jaccard_join, op10_language_id)}
 ORACLE: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}

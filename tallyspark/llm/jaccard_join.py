@@ -6,8 +6,8 @@ Exact up to 64-bit hashes of n-grams. The way there:
 2. Two sets that overlap enough share an n-gram among the first n - ceil(t n) + 1 of each, in any order of all
    n-grams. The order puts n-grams that a sample of documents holds often last, so common passages bring hardly
    anyone together; n-grams of these prefixes are shuffled, and only those that several documents hold stay.
-3. Where few documents share an n-gram, each compatible pair is a candidate. Where many do, each document is
-   first held against one of them, its home; those that match it are linked to each other through it. What
+3. Where few documents share an n-gram, each pair of fitting sizes gets a count; pairs whose prefixes share too
+   little for their sizes are dropped. Where many do, each document is first held against one of them, its home; those that match it are linked to each other through it. What
    is left is held against all members of the homes it shares an n-gram with.
 4. Candidates are counted in blocks: the product of two blocks' document by n-gram matrices has the overlaps,
    and pairs below the bound that their sizes set are dropped. Only links leave a task.
@@ -20,17 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import SpanHash, gathered, mixed, saved, spans, string_bytes, whole_text
 
 #: Default n-gram length in words and least similarity in percent.
 WORDS, PERCENT = 5, 75
-#: Common n-grams are looked for in a sixteenth of the documents, within these bounds; at most so many are kept. They set an order, and so speed, never the result.
-SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST, COMMON_MOST = 1 / 16, 2000, 32_768, 1 << 19
-#: Up to so many holders of an n-gram, all their compatible pairs are candidates.
-FEW = 8
+#: Common n-grams are looked for in an eighth of the documents, but at least so many; at most so many n-grams are kept. They set an order, and so speed, never the result.
+SAMPLE_SHARE, SAMPLE_LEAST, COMMON_MOST = 1 / 8, 2000, 1 << 20
+#: Up to so many holders of an n-gram, the n-grams that each pair shares are counted.
+FEW = 48
 #: Documents on a side of a block product; columns of a dense one.
 BLOCK, COLUMNS = 256, 8192
 #: Slots of the filter that keeps texts without candidates from the shuffle that fetches sets.
@@ -92,7 +92,7 @@ def _long(x: np.ndarray) -> np.ndarray:
 def common_ngrams(docs: DataFrame, key: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of the n-grams that at least two sampled documents hold, the most frequent COMMON_MOST."""
     rows = docs.count()
-    take = min(max(rows * SAMPLE_SHARE, SAMPLE_LEAST), SAMPLE_MOST)
+    take = max(rows * SAMPLE_SHARE, SAMPLE_LEAST)
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("ngrams")), F.lit(1 << 30))
     some = docs.where(draw < int(min(1.0, take / max(rows, 1)) * (1 << 30))).select(whole_text(text).alias(_TEXT))
 
@@ -145,8 +145,11 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(h)))
 
 
+_MET = pa.schema([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("c", pa.int64())])
+
+
 def _meetings(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of the (h, id, n, pos) of whole n-grams: candidate pairs where few hold one, else each holder with the n-gram's leader.
+    """Of the (h, id, n, pos) of whole n-grams: where few hold one, pairs and how many n-grams of this task they share (h null); else each holder b with the n-gram's leader a.
 
     The leader is the holder in whose prefix the n-gram stands first, so the one with the fewest n-grams of its own.
     """
@@ -157,20 +160,24 @@ def _meetings(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     order = np.lexsort((ids, pos, h))
     h, ids, n, pos = h[order], ids[order], n[order], pos[order]
     at, size = _runs(h)
-    pairs = []
-    for s in range(2, FEW + 1):
-        runs = at[size == s]
-        for i in range(s - 1):
-            for j in range(i + 1, s):
-                a, b = runs + i, runs + j
-                ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= _bound(n[a], n[b], percent)) & (ids[a] != ids[b])
-                pairs.append(np.column_stack([np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])]))
-    found = np.unique(np.concatenate(pairs), axis=0)
-    none = np.zeros(len(found), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (none - 1, none, found[:, 0], found[:, 1])], names=["h", "n", "leader", "id"])
+    few = (size > 1) & (size <= FEW)
+    start, size_few = at[few], size[few]
+    left = gathered(np.arange(len(h)), start, size_few)
+    after = np.repeat(start + size_few, size_few) - left - 1
+    a, b = np.repeat(left, after), gathered(np.arange(len(h)), left + 1, after)
+    fits = (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (ids[a] != ids[b])
+    a, b = a[fits], b[fits]
+    swap = ids[a] > ids[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((n[b], n[a], ids[b], ids[a]))
+    a, b = a[order], b[order]
+    new = np.append(True, (ids[a][1:] != ids[a][:-1]) | (ids[b][1:] != ids[b][:-1]) | (n[a][1:] != n[a][:-1]) | (n[b][1:] != n[b][:-1])) if len(a) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    columns = [pa.nulls(len(first), pa.int64()), *[pa.array(x[k]) for x, k in ((ids, a[first]), (ids, b[first]), (n, a[first]), (n, b[first]))], pa.array(np.diff(np.append(first, len(a))), pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, schema=_MET)
     big = gathered(np.arange(len(h)), at[size > FEW], size[size > FEW])
-    lead = np.repeat(ids[at[size > FEW]], size[size > FEW])
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[big], n[big], lead, ids[big])], names=["h", "n", "leader", "id"])
+    lead = np.repeat(at[size > FEW], size[size > FEW])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[big], ids[lead], ids[big], n[lead], n[big], np.ones(len(big), np.int64))], schema=_MET)
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -257,12 +264,38 @@ def _compared(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int)
     return tasks.repartition("gid", "part").sortWithinPartitions("gid", "part", "side").mapInArrow(lambda b: _products(b, percent), "id long, other long, linked boolean")
 
 
+def marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where ``key`` isn't in ``ids`` (id).
+
+    Goes by hashes in a table of at most 2 ** (FILTER_BITS - 6) words of bits that all tasks get, so that a join
+    need shuffle few other rows. Null keys are false.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << FILTER_BITS))
+    bits = ids.where("id is not null").select(F.shiftright(slot("id"), 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(cast(id as bigint)), {1 << FILTER_BITS}L), 64L) as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_word", F.shiftright(slot(key), 6)).join(F.broadcast(bits), "_word", "left")
+    hit = F.expr(f"bit_get(_bits, cast(pmod(pmod(xxhash64(cast(`{key}` as bigint)), {1 << FILTER_BITS}L), 64L) as int)) = 1")
+    return found.withColumn("_maybe", F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()).drop("_word", "_bits")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component, the one with the least key; of rows with equal keys the one with the least text.
+
+    Documents without a match stay as they are, and so do rows without a key, which can't be told apart.
+    """
+    found = saved(jaccard_join(docs, key, text, words, percent), "components")
+    gone = found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("id"))
+    twice = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).count().where("count > 1").select("id")
+    suspects = saved(gone.unionByName(twice).distinct(), "suspects")
+    parted = marked(docs, suspects, key)
+    left = parted.where("_maybe").join(gone.select(F.col("id").alias(key)).distinct(), key, "left_anti")
+    first = Window.partitionBy(key).orderBy(text, *[c for c in docs.columns if c not in (key, text)])
+    single = left.withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    return parted.where("not _maybe").select(docs.columns).unionByName(single.select(docs.columns))
+
+
 def _wanted_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(id, n, grams) of the documents in ``ids``. A table of at most 2 ** (FILTER_BITS - 6) words of bits goes to all tasks first, so that most other texts aren't shuffled."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    bits = ids.select(F.shiftright(slot, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(id), {1 << FILTER_BITS}L), 64L) as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    near = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_raw")).withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(bits), "_word")
-    near = near.where(F.expr(f"bit_get(_bits, cast(pmod(pmod(xxhash64(id), {1 << FILTER_BITS}L), 64L) as int)) = 1")).select("id", whole_text("_raw").alias(_TEXT))
+    near = marked(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_raw")), ids, "id").where("_maybe").select("id", whole_text("_raw").alias(_TEXT))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, hashes, ends in _sets(batches, words):
@@ -293,13 +326,29 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _near_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """(gid, id): pairs whose prefixes share enough.
+
+    Of linked sets of sizes a and b, all but the prefix of one of them is at most max(ceil(t a), ceil(t b)) - 1
+    n-grams, so the prefixes share the rest of the least overlap. n-grams with many holders aren't counted for
+    each pair; a pair may share as many of them as its members hold at most.
+    """
+    many = met.where("h is not null").groupBy("b", "nb").agg(F.count(F.lit(1)).alias("m"))
+    counts = met.where("h is null").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    counts = counts.join(many.select(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("m").alias("ma")), ["a", "na"], "left").join(many.select("b", "nb", F.col("m").alias("mb")), ["b", "nb"], "left")
+    share = F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    rest = F.expr(f"(greatest(na, nb) * {percent} + 99) div 100 - 1")
+    least = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    return counts.where(share + rest >= least).select(F.col("a").alias("gid"), F.col("b").alias("id")).distinct()
+
+
 def candidate_links(docs: DataFrame, leaders: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """(a, b): links that hold every component together, from the n-grams' leaders."""
     met = saved(leaders, "meetings")
-    ids = met.select("id").unionByName(met.select(F.col("leader").alias("id"))).distinct()
+    big = met.where("h is not null").select("h", F.col("a").alias("leader"), F.col("b").alias("id"))
+    pairs = saved(_near_pairs(met, percent), "pairs")
+    ids = pairs.select(F.explode(F.array("gid", "id")).alias("id")).unionByName(big.select("id")).distinct()
     sets = saved(_wanted_sets(docs, ids, key, text, words), "sets")
-    pairs = met.where("h = -1 and n = 0").select(F.col("leader").alias("gid"), "id").distinct()
-    big = met.where("n > 0")
     votes = big.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"))
     homes = saved(votes.groupBy("id").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("best")).select("id", (-F.col("best.l")).alias("home")), "homes")
     stars = homes.where("id <> home").select(F.col("home").alias("gid"), "id")
@@ -334,7 +383,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     signed = saved(signatures(docs, key, text, words, percent), "signatures")
     classes = saved(signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("id")), "classes")
     entries = signed.join(classes.where("id is not null"), ["id", "n", "k1", "k2"], "left_semi").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
-    leaders = entries.select("h", "id", "n", F.col("pos").cast("long").alias("pos")).repartition("h").mapInArrow(lambda b: _meetings(b, percent), "h long, n long, leader long, id long")
+    leaders = entries.select("h", "id", "n", F.col("pos").cast("long").alias("pos")).repartition("h").mapInArrow(lambda b: _meetings(b, percent), "h long, a long, b long, na long, nb long, c long")
     found = components(candidate_links(docs, leaders, key, text, words, percent))
     named = classes.join(found, "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("component"))
     return signed.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

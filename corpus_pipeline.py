@@ -1,8 +1,79 @@
-"""Corpus pipeline: the stages that turn raw documents into encoded training text."""
+"""Corpus pipeline: the stages that turn raw documents into encoded training text.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the encoded rows.
+A stage's result is written as Parquet and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import bpe_codec, jaccard_join, language_id, mixing, secret_scan
+from tallyspark.llm._shared import crc_of_id, saved
+
+#: A document stays if its language is known and at least so likely.
+LEAST_LANGUAGE = 0.5
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without text or letters and those whose language the model can't tell."""
+    model = language_id.fit(docs, F.pmod(crc_of_id(), F.lit(4)) != 2)
+    found = language_id.predict(docs.select(*COLUMNS), model)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return jaccard_join.one_of_each(docs.select(*COLUMNS))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in texts; a changed text has its characters counted again."""
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    clean = secret_scan.redact(docs.select(*COLUMNS, F.length("text").alias("_before")), forest)
+    changed = F.length("text") != F.col("_before")
+    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources come near their target weights.
+
+    A document comes as often as the mix takes it, rounded: up to twice, or not at all if less than half of it
+    is taken. Rows that agree in doc_id, source and size come as often as the least taken of them.
+    """
+    taken = mixing.taken_words(docs)
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    often = taken.where("size > 0").withColumn("_copies", copies).groupBy("doc_id", "source", "size").agg(F.min("_copies").alias("_copies")).where("_copies > 0")
+    often = often.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
+    size = F.regexp_count("text", F.lit(mixing.WORD)).cast("long")
+    rows = docs.select(*COLUMNS).join(often, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes every text; ids decode to the text again."""
+    found = bpe_codec.encode(docs.select(*COLUMNS), public_tokenizers.path(VOCABULARY))
+    return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("secret scans", secret_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE encoding and decoding", encoding_stage),
+]
+
+#: Naive Bayes, the forest and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return docs

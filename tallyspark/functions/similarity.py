@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .text import trim
 
@@ -34,9 +35,9 @@ def jaro_winkler_pair(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_pair(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+@F.arrow_udf(DoubleType())
+def jaro_winkler(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else jaro_winkler_pair(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
 def similarity(a: Column, b: Column) -> Column:

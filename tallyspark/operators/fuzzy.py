@@ -16,11 +16,15 @@ from ..functions.text import trim
 
 
 def scored_pairs(names: DataFrame, candidates: DataFrame, least: float, name: str = "name", candidate: str = "candidate") -> DataFrame:
-    """Pairs of distinct names and candidates of fitting lengths with their score.
+    """Pairs of distinct names and candidates that can score ``least``, with their score.
 
-    Lengths are put in buckets of a growth of 1 / bound; fitting lengths are at most one bucket apart.
+    Lengths are put in buckets of a growth of 1 / bound; fitting lengths are at most one bucket apart. A threshold
+    that any two lengths can reach needs all pairs, which is for a short list of names.
     """
-    bound = max(length_bound(least), 0.05)
+    bound = length_bound(least)
+    if not bound:
+        every = candidates.groupBy(candidate).agg(F.min("cand_seq").alias("cand_seq"))
+        return names.select(name).distinct().crossJoin(every).withColumn("score", similarity(F.col(name), F.col(candidate)))
     size = lambda c: F.length(F.lower(trim(F.col(c))))
     bucket = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1 / bound)).cast("int")
     left = names.select(name).distinct().withColumn("_n", size(name)).withColumn("_b", F.explode(F.array(*[bucket(F.col("_n")) + k for k in (-1, 0, 1)])))
@@ -41,9 +45,9 @@ def nearest(names: DataFrame, candidates: DataFrame, least: float = 0.7) -> Data
 
 
 def top_matches(names: DataFrame, candidates: DataFrame, n: int = 3, least: float = 0.0) -> DataFrame:
-    """For each name its ``n`` best candidates."""
+    """For each name its ``n`` best candidates that score ``least`` or more."""
     order = Window.partitionBy("name").orderBy(F.desc("score"), "cand_seq")
-    return scored_pairs(names, candidates, least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return scored_pairs(names, candidates, least).where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def corrected_names(names: DataFrame, candidates: DataFrame, least: float = 0.85) -> DataFrame:

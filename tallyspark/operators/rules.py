@@ -49,6 +49,14 @@ def contains_any(x: Column, values: tuple[str, ...]) -> Column:
     return out
 
 
+def pattern_checks(name: Column, unit: Column, case_only: Column, catalog_first: bool = True) -> Column:
+    """(rule, status) of the two name rules: a fraction makes a product case-only, a count in brackets lets units be picked; the catalog's word goes first if it is to."""
+    fraction, bracket = contains_any(name, CASE_PATTERNS), contains_any(name, UNIT_PATTERNS)
+    says = case_only.isNotNull() if catalog_first else F.lit(False)
+    case_fails = F.when(says, F.coalesce(case_only, F.lit(False))).otherwise(fraction) & (unit == "unit")
+    return F.array(F.struct(F.lit("R008").alias("rule"), F.when(case_fails, "fail").otherwise("pass").alias("status")), F.struct(F.lit("R009").alias("rule"), F.when(bracket & ~fraction & (unit == "case"), "warn").otherwise("pass").alias("status")))
+
+
 def unit_type(name: Column, case_only: Column, catalog_first: bool = True) -> Column:
     """'case' or 'unit': what the catalog says, a fraction in the name, a count in brackets, else case; the catalog comes last if it doesn't come first."""
     catalog = F.when(case_only.isNotNull(), F.when(case_only, "case").otherwise("unit"))

@@ -15,7 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A candidate: 16 or more token characters with a digit among the first 64, or what a credential's name is set to.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=.-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9@.])|(?<=(?:password|passwd|secret|api_key) {0,2}[=:] {0,2}[\"']{0,1})[^\s\"']{8,}"
+#: The short look-behinds stand before the long one so that it is tried behind an equals sign or colon only.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=.-]{0,64}+[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9@.])"
+    r"|(?<=[=: \"'])(?<=[=:] {0,2}[\"']{0,1})(?<=(?:password|passwd|secret|api_key) {0,2}[=:] {0,2}[\"']{0,1})[^\s\"']{8,}"
+)
 #: Characters of context on each side.
 NEAR = 40
 #: Words that speak for a credential nearby, for a harmless identifier nearby, and of placeholders and paths.

@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-from ._shared import SpanHash, gathered, string_bytes, spans  # noqa: F401
+from ._shared import SpanHash, gathered, kept
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 
@@ -63,18 +63,23 @@ class PieceEncoder:
 
     SLOTS = 1 << 20
 
-    def __init__(self, path: str, memory: int = 800_000) -> None:
+    def __init__(self, path: str, memory: int = 250_000) -> None:
         self.library, self.memory = library_tokenizer(path), memory
-        layout = json.loads(self.library.to_str())
-        self.added = [t["content"] for t in layout.get("added_tokens") or []]
-        splitter = layout.get("pre_tokenizer") or {}
-        by_bytes = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
-        #: Whether pieces can be handled apart; any other layout goes to the library as whole texts.
-        self.by_piece = layout["model"]["type"] == "BPE" and not layout.get("normalizer") and not layout.get("post_processor") and not layout["model"].get("dropout") and (by_bytes or path.endswith(".tiktoken"))
+        #: Texts that the library treats before it splits, and whether pieces can be handled apart; any other layout goes to the library as whole texts.
+        self.added, self.by_piece = ([], True) if path.endswith(".tiktoken") else self._layout(path)
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self.hash = SpanHash()
         self._forget()
 
+    @staticmethod
+    def _layout(path: str) -> tuple[list[str], bool]:
+        with open(path, encoding="utf-8") as file:
+            layout = json.load(file)
+        splitter, model = layout.get("pre_tokenizer") or {}, layout["model"]
+        by_bytes = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
+        plain = model["type"] == "BPE" and not layout.get("normalizer") and not layout.get("post_processor") and not model.get("dropout")
+        return [t["content"] for t in layout.get("added_tokens") or []], bool(by_bytes and plain)
+
     def _forget(self) -> None:
         self.keys, self.slots = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64)
         self.known: dict[int, int] = {}
@@ -196,6 +201,7 @@ class PieceEncoder:
 
 
 _encoders: dict[str, PieceEncoder] = {}
+kept.append(_encoders)
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled by one numpy pass; temporaries are about 60 times this.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+
+
+_own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, as in tests, a new local folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, as in a local test, a new local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if not folder and not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="tallyspark-"))
+    return (folder or _own_folder[0]).rstrip("/")
 
 
 def saved(frame: DataFrame, name: str) -> DataFrame:
@@ -32,6 +35,52 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: What a worker keeps from task to task, such as tokenizers.
+kept: list[dict] = []
+
+
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows`` as a task that leaves its worker small: freed memory goes back to the system, and unless ``keep``, what other operators have kept goes too.
+
+    Workers live on between stages, so what one stage has used would otherwise count against all later ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            clear_kept()
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def clear_kept() -> None:
+    for one in kept:
+        one.clear()
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+#: Rows of an Arrow batch of texts, instead of Spark's 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(frame: DataFrame) -> DataFrame:
+    """``frame``, its session's Arrow batches made small where the session leaves them at Spark's default, so that a batch of long texts fits a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if frame.sparkSession.conf.get(name) == "10000":
+        frame.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return frame
+
+
 def whole_text(column: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

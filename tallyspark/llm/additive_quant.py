@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import saved, string_bytes
+from ._shared import saved, string_bytes, tidy
 
 #: Codebooks, codewords in each, beams, and rounds of training.
 BOOKS, WORDS, BEAM, ROUNDS = 24, 256, 3, 8
@@ -104,7 +104,7 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Codebooks, Da
             codes, norms = shared.value.encode(_matrix(batch.column("v")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], names=["id", "codes", "norm"])
 
-    return books, saved(vectors.mapInArrow(rows, "id long, codes binary, norm float"), "codes")
+    return books, saved(vectors.mapInArrow(tidy(rows), "id long, codes binary, norm float"), "codes")
 
 
 def shortlists(index: DataFrame, books: Codebooks, queries: DataFrame, rows: int, asked: int, keep: int, metric: str = "ip") -> DataFrame:
@@ -143,7 +143,7 @@ def shortlists(index: DataFrame, books: Codebooks, queries: DataFrame, rows: int
                     found.append(ids[best[np.isfinite(score[best])]])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(f) for f in found]), pa.int64()), pa.array(np.concatenate(found), pa.int64())], names=["query", "id"])
 
-    return left.repartition("i", "q").join(right, "q").select("i_rows", "q_rows").mapInArrow(scored, "query long, id long")
+    return left.repartition("i", "q").join(right, "q").select("i_rows", "q_rows").mapInArrow(tidy(scored), "query long, id long")
 
 
 def search(table: DataFrame, asks, key: str = "vec_id", vector: str = "embedding", top: int = 20, rerank: int = RERANK) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._pieces import byte_characters, encoder
-from ._shared import gathered, spans, string_bytes, whole_text
+from ._shared import gathered, kept, small_batches, spans, string_bytes, tidy, whole_text
 
 _CODEC = "_codec_text"
 
@@ -41,6 +41,7 @@ class ByteTable:
 
 
 _tables: dict[str, ByteTable] = {}
+kept.append(_tables)
 
 
 def byte_table(path: str) -> ByteTable:
@@ -69,7 +70,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", off
     A null or empty text has no ids. Repeated rows are encoded alike; columns of the same names are replaced.
     """
     made = [ids, *(["starts", "ends"] if offsets else [])]
-    base = docs.drop(*made).withColumn(_CODEC, whole_text(text))
+    base = small_batches(docs).drop(*made).withColumn(_CODEC, whole_text(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != _CODEC)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", off
                     columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x[k] for x in each]) if each else [], pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, *columns], names=[*rest.schema.names, *made])
 
-    return base.mapInArrow(rows, ", ".join([schema, *(f"`{c}` array<int>" for c in made)]))
+    return base.mapInArrow(tidy(rows, keep=True), ", ".join([schema, *(f"`{c}` array<int>" for c in made)]))
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded", raw: str = "decoded_bytes") -> DataFrame:
@@ -94,7 +95,7 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
     Ids may begin or end inside a character, as in a part of a longer sequence: the bytes are exact, and the
     text shows each broken character as U+FFFD. Null or empty ids give empty bytes and text.
     """
-    base = frame.drop(text, raw)
+    base = small_batches(frame).drop(text, raw)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +105,7 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
             found = [table.decode(np.asarray(x.values, np.int64)).tobytes() if x.is_valid and len(x.values) else b"" for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in found], pa.string())], names=[*batch.schema.names, raw, text])
 
-    return base.mapInArrow(rows, f"{schema}, `{raw}` binary, `{text}` string")
+    return base.mapInArrow(tidy(rows, keep=True), f"{schema}, `{raw}` binary, `{text}` string")
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,7 +114,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     Null texts count as empty: no ids, and the hashes of nothing. Rows with equal or null keys are kept as they are.
     Texts, ids and decoded bytes stay inside the task, a few MB at a time.
     """
-    base = docs.select(F.col(key), whole_text(text).alias(_CODEC))
+    base = small_batches(docs).select(F.col(key), whole_text(text).alias(_CODEC))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, table = encoder(path), byte_table(path)
@@ -129,4 +130,4 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                     out += [hashlib.sha256(view[s : max(s, e - cut)]).hexdigest() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return base.mapInArrow(rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return base.mapInArrow(tidy(rows, keep=True), f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

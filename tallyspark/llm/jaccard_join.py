@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import SpanHash, gathered, mixed, saved, spans, string_bytes, whole_text
+from ._shared import SpanHash, gathered, mixed, saved, small_batches, spans, string_bytes, tidy, whole_text
 
 #: Default n-gram length in words and least similarity in percent.
 WORDS, PERCENT = 5, 75
@@ -101,7 +101,10 @@ def common_ngrams(docs: DataFrame, key: str, text: str, words: int) -> tuple[np.
             found, n = np.unique(hashes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(_long(found)), pa.array(n, pa.int64())], names=["h", "n"])
 
-    table = some.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
+    found = saved(some.mapInArrow(tidy(counted), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "common")
+    if found.count() > COMMON_MOST:
+        found = found.orderBy(F.desc("n"), "h").limit(COMMON_MOST)
+    table = found.toArrow()
     h, n = np.asarray(table.column("h"), np.int64).view(np.uint64), np.asarray(table.column("n"), np.int64)
     order = np.argsort(h)
     return h[order], n[order]
@@ -137,7 +140,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, percent: int) -
             names = [np.where(size > 0, np.add.reduceat(np.append(mixed(hashes ^ np.uint64(salt)), np.uint64(0)), ends[:-1]), 0).astype(np.uint64) for salt in (0x51ED270B, 0xA24BAED4)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), *[pa.array(_long(x)) for x in names], pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep)), pa.int32()), pa.array(_long(prefix)))], names=["id", "n", "k1", "k2", "prefix"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias(_TEXT)).mapInArrow(rows, "id long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias(_TEXT)).mapInArrow(tidy(rows), "id long, n long, k1 long, k2 long, prefix array<long>")
 
 
 def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,20 +264,20 @@ def _compared(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int)
     rights = right.join(parts, ["gid", "band"]).select("gid", "band", each("pl").alias("l"), own("pr").alias("r"), F.lit(1).alias("side"), "id", "n", "stands")
     plan = lefts.unionByName(rights).select("gid", F.concat_ws(".", "band", "l", "r").alias("part"), "side", "id", "n", "stands")
     tasks = plan.join(sets, ["id", "n"]).select("gid", "part", "side", "id", "stands", "grams")
-    return tasks.repartition("gid", "part").sortWithinPartitions("gid", "part", "side").mapInArrow(lambda b: _products(b, percent), "id long, other long, linked boolean")
+    return tasks.repartition("gid", "part").sortWithinPartitions("gid", "part", "side").mapInArrow(tidy(lambda b: _products(b, percent)), "id long, other long, linked boolean")
 
 
 def marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``_maybe``: false only where ``key`` isn't in ``ids`` (id).
+    """``rows`` with ``__maybe__``: false only where ``key`` isn't in ``ids`` (id).
 
     Goes by hashes in a table of at most 2 ** (FILTER_BITS - 6) words of bits that all tasks get, so that a join
     need shuffle few other rows. Null keys are false.
     """
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << FILTER_BITS))
-    bits = ids.where("id is not null").select(F.shiftright(slot("id"), 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(cast(id as bigint)), {1 << FILTER_BITS}L), 64L) as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    found = rows.withColumn("_word", F.shiftright(slot(key), 6)).join(F.broadcast(bits), "_word", "left")
-    hit = F.expr(f"bit_get(_bits, cast(pmod(pmod(xxhash64(cast(`{key}` as bigint)), {1 << FILTER_BITS}L), 64L) as int)) = 1")
-    return found.withColumn("_maybe", F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()).drop("_word", "_bits")
+    bits = ids.where("id is not null").select(F.shiftright(slot("id"), 6).alias("__word__"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(cast(id as bigint)), {1 << FILTER_BITS}L), 64L) as int))").alias("__bit__")).groupBy("__word__").agg(F.bit_or("__bit__").alias("__bits__"))
+    found = rows.withColumn("__word__", F.shiftright(slot(key), 6)).join(F.broadcast(bits), "__word__", "left")
+    hit = F.expr(f"bit_get(__bits__, cast(pmod(pmod(xxhash64(cast(`{key}` as bigint)), {1 << FILTER_BITS}L), 64L) as int)) = 1")
+    return found.withColumn("__maybe__", F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()).drop("__word__", "__bits__")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -287,21 +290,21 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     twice = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).count().where("count > 1").select("id")
     suspects = saved(gone.unionByName(twice).distinct(), "suspects")
     parted = marked(docs, suspects, key)
-    left = parted.where("_maybe").join(gone.select(F.col("id").alias(key)).distinct(), key, "left_anti")
+    left = parted.where("__maybe__").join(gone.select(F.col("id").alias(key)).distinct(), key, "left_anti")
     first = Window.partitionBy(key).orderBy(text, *[c for c in docs.columns if c not in (key, text)])
-    single = left.withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    return parted.where("not _maybe").select(docs.columns).unionByName(single.select(docs.columns))
+    single = left.withColumn("__row__", F.row_number().over(first)).where("__row__ = 1")
+    return parted.where("not __maybe__").select(docs.columns).unionByName(single.select(docs.columns))
 
 
 def _wanted_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(id, n, grams) of the documents in ``ids``. A table of at most 2 ** (FILTER_BITS - 6) words of bits goes to all tasks first, so that most other texts aren't shuffled."""
-    near = marked(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_raw")), ids, "id").where("_maybe").select("id", whole_text("_raw").alias(_TEXT))
+    near = marked(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_raw")), ids, "id").where("__maybe__").select("id", whole_text("_raw").alias(_TEXT))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, hashes, ends in _sets(batches, words):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_long(hashes)))], names=["id", "grams"])
 
-    return near.join(ids, "id", "left_semi").mapInArrow(rows, "id long, grams array<long>").withColumn("n", F.size("grams").cast("long")).where("n > 0")
+    return near.join(ids, "id", "left_semi").mapInArrow(tidy(rows), "id long, grams array<long>").withColumn("n", F.size("grams").cast("long")).where("n > 0")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -380,10 +383,10 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     nothing and keep their own key. Rows of an equal key count as versions of one document. A null key takes
     the component of its equal texts, else null. Other columns play no part; empty tables give no rows.
     """
-    signed = saved(signatures(docs, key, text, words, percent), "signatures")
+    signed = saved(signatures(small_batches(docs), key, text, words, percent), "signatures")
     classes = saved(signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("id")), "classes")
     entries = signed.join(classes.where("id is not null"), ["id", "n", "k1", "k2"], "left_semi").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
-    leaders = entries.select("h", "id", "n", F.col("pos").cast("long").alias("pos")).repartition("h").mapInArrow(lambda b: _meetings(b, percent), "h long, a long, b long, na long, nb long, c long")
+    leaders = entries.select("h", "id", "n", F.col("pos").cast("long").alias("pos")).repartition("h").mapInArrow(tidy(lambda b: _meetings(b, percent)), "h long, a long, b long, na long, nb long, c long")
     found = components(candidate_links(docs, leaders, key, text, words, percent))
     named = classes.join(found, "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("component"))
     return signed.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import spans, string_bytes, whole_text
+from ._shared import small_batches, spans, string_bytes, tidy, whole_text
 
 _TEXT = "_media_text"
 #: Fixed values of the format: markers.
@@ -307,7 +307,7 @@ def payload(image: Image) -> np.ndarray:
 
 def to_jpeg(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media): every whole text as a JPEG that holds its bytes, zeros up to a positive multiple of 64 behind them. Null texts count as empty."""
-    base = docs.select(F.col(key), whole_text(text).alias(_TEXT))
+    base = small_batches(docs).select(F.col(key), whole_text(text).alias(_TEXT))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +320,7 @@ def to_jpeg(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 padded[np.arange(size.sum()) + np.repeat(at[:-1] - (np.cumsum(size) - size), size)] = data[bounds[a] : bounds[b]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(encode_payloads(padded, at), pa.binary())], names=[key, "n_bytes", "media"])
 
-    return base.mapInArrow(rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return base.mapInArrow(tidy(rows), f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def describe(media: DataFrame, key: str = "doc_id", column: str = "media", kept: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
@@ -357,4 +357,4 @@ def describe(media: DataFrame, key: str = "doc_id", column: str = "media", kept:
                 kept_ = [batch.column(c).slice(a, b - a) for c in (key, *kept)]
                 yield pa.RecordBatch.from_arrays([*kept_, *[pa.array(c, t) for c, t in zip(found, types, strict=True)]], names=names)
 
-    return media.select(key, *kept, column).mapInArrow(rows, schema)
+    return media.select(key, *kept, column).mapInArrow(tidy(rows), schema)

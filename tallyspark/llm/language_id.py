@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import saved, spans, string_bytes, whole_text
+from ._shared import small_batches, spans, string_bytes, tidy, whole_text
 
 #: n-grams of 1 to this many characters, hashed to 2 ** BITS counters.
 ORDERS, BITS = 3, 15
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, keep: Column, key: str = "doc_id", text: str = "text",
     About ``sample`` documents of each language are drawn by a hash of the key, so rare languages are taken
     whole; their n-grams are counted by Spark, and the driver gets a number for each language and counter.
     """
-    rows = docs.where(keep & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias(_TEXT), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language")), F.lit(1 << 30)).alias("_draw"))
+    rows = small_batches(docs).where(keep & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias(_TEXT), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language")), F.lit(1 << 30)).alias("_draw"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = tuple(sorted(sizes))
     if not languages:
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, keep: Column, key: str = "doc_id", text: str = "text",
             at = np.flatnonzero(n[: 1 << BITS])
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "gram", "n"])
 
-    counts = drawn.mapInArrow(counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = drawn.mapInArrow(tidy(counted), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(languages), 1 << BITS), SMOOTHING)
     place = {name: i for i, name in enumerate(languages)}
     at = np.array([place[x] for x in counts.column("lang").to_pylist()], np.int64)
@@ -114,7 +114,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     A null text, or one without a letter, is undetermined with score 0; so is every text if nothing could be
     learned. Ties go to the language first in code point order. Columns of the same names are replaced, others stay.
     """
-    base = docs.drop("lang_pred", "score").withColumn(_TEXT, whole_text(text))
+    base = small_batches(docs).drop("lang_pred", "score").withColumn(_TEXT, whole_text(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != _TEXT)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded matrix
 
@@ -136,6 +136,6 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             rest = batch.drop_columns([_TEXT])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*rest.schema.names, "lang_pred", "score"])
 
-    found = base.mapInArrow(rows, f"{schema}, lang_pred string, score double") if schema else base.mapInArrow(rows, "lang_pred string, score double")
+    found = base.mapInArrow(tidy(rows), f"{schema}, lang_pred string, score double") if schema else base.mapInArrow(tidy(rows), "lang_pred string, score double")
     lettered = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
     return found.withColumns({"lang_pred": F.when(lettered, F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(lettered & (F.col("lang_pred") != UNDETERMINED), F.col("score")).otherwise(0.0)})

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SpanHash, crc_of_id, mixed, spans, string_bytes, whole_text
+from ._shared import SpanHash, crc_of_id, mixed, small_batches, spans, string_bytes, tidy, whole_text
 
 #: The model is fitted on at most this many labelled documents, drawn by a hash of the id, of at most this many lines each.
 SAMPLE_DOCS, SAMPLE_LINES = 5000, 400
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     draw = F.xxhash64(F.col(key).cast("string"), F.lit("quality"))
     drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(key, F.col(label).cast("int").alias("_label")).orderBy(draw, key, "_label").limit(sample)
-    some = docs.select(key, whole_text(text).alias(_TEXT)).join(F.broadcast(drawn), key).select("_label", _TEXT)  # at most `sample` rows
+    some = small_batches(docs).select(key, whole_text(text).alias(_TEXT)).join(F.broadcast(drawn), key).select("_label", _TEXT)  # at most `sample` rows
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = SpanHash()
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 keep = [i for i in range(b - a) if first[i + 1] - first[i] <= SAMPLE_LINES]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(keep, pa.int64())), pa.array([x[first[i] : first[i + 1]].astype(np.float32).tobytes() for i in keep], pa.binary())], names=["label", "lines"])
 
-    rows = some.mapInArrow(featured, "label int, lines binary").toArrow()
+    rows = some.mapInArrow(tidy(featured), "label int, lines binary").toArrow()
     found = [np.frombuffer(x, np.float32).reshape(-1, 3 * OWN) for x in rows.column("lines").to_pylist()]
     if not found:
         return None
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: ChainModel | None, key: str = "doc_id", text:
     The score is the mean over lines of the probability of good, weighted by bytes plus one. Null texts count as
     empty and have one empty line. Rows with equal or null keys are kept. Without a model every score is 0.5.
     """
-    base = docs.select(F.col(key), held_out(key).alias("held_out"), whole_text(text).alias(_TEXT))
+    base = small_batches(docs).select(F.col(key), held_out(key).alias("held_out"), whole_text(text).alias(_TEXT))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,4 +214,4 @@ def score(docs: DataFrame, model: ChainModel | None, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.clip(out, 0, 1))], names=[key, "held_out", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return base.mapInArrow(rows, f"`{key}` {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return base.mapInArrow(tidy(rows), f"`{key}` {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._pieces import PieceEncoder, encoder
-from ._shared import spans, string_bytes, whole_text
+from ._shared import small_batches, spans, string_bytes, tidy, whole_text
 
 _TEXT = "_count_text"
 #: Bytes of a chunk, and of the overlap that is tried first.
@@ -117,7 +117,7 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     empty: 0 bytes, 0 tokens. Rows with equal or null keys are kept; other columns play no part. sentencepiece
     models normalise across words, so their texts are encoded whole too, by the library.
     """
-    base = docs.select(F.col(key), whole_text(text).alias(_TEXT))
+    base = small_batches(docs).select(F.col(key), whole_text(text).alias(_TEXT))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(path, chunk, overlap)
@@ -126,4 +126,4 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             found = [count(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in spans(bounds)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(bounds), pa.int64()), pa.array(np.concatenate(found) if found else [], pa.int64())], names=[key, "n_bytes", "n_tokens"])
 
-    return base.mapInArrow(rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return base.mapInArrow(tidy(rows, keep=True), f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._pieces import encoder
-from ._shared import shared_folder, spans, string_bytes, whole_text
+from ._shared import shared_folder, small_batches, spans, string_bytes, tidy, whole_text
 
 #: The dictionary is trained on at most this many documents, each cut to so many bytes of ids.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 1 << 14
@@ -75,7 +75,7 @@ def train_dictionary(docs: DataFrame, path: str, key: str, text: str, end_id: in
                 found, ends = code.encode(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(found[s:e], end_id).astype(kind).tobytes()[:SAMPLE_BYTES] for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["ids"])
 
-    samples = [bytes(r.ids) for r in some.mapInArrow(ids, "ids binary").collect()]
+    samples = [bytes(r.ids) for r in some.mapInArrow(tidy(ids, keep=True), "ids binary").collect()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // 8)), samples).as_bytes()
     except zstandard.ZstdError:
@@ -93,7 +93,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, key: str
     ascend. Null keys come first, equal keys next to each other by text; null and empty texts hold the end id alone. Added tokens'
     texts inside a text get their ids, as is the library's default. An empty table makes no blocks.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     folder = folder or f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     dictionary = train_dictionary(docs, path, key, text, end_id)
     stamp = _hash(dictionary)
@@ -131,7 +131,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, key: str
             yield close()
 
     ordered = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).alias(_TEXT)).repartitionByRange("key").sortWithinPartitions("key", _TEXT)
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(tidy(blocks, keep=True), BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     return TokenFiles(folder)
 
 
@@ -167,7 +167,7 @@ def read_documents(spark: SparkSession, files: TokenFiles, keys: Iterable[int] |
                 found = [np.frombuffer(open_.decompress(frames[offsets[i] : offsets[i + 1]]), np.dtype(f"<u{width}")).astype(np.int64) for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["key", "ids"])
 
-    return blocks.mapInArrow(rows, "key long, ids array<long>")
+    return blocks.mapInArrow(tidy(rows, keep=True), "key long, ids array<long>")
 
 
 def summaries(spark: SparkSession, files: TokenFiles, key: str = "doc_id") -> DataFrame:
@@ -185,7 +185,7 @@ def summaries(spark: SparkSession, files: TokenFiles, key: str = "doc_id") -> Da
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 4), strict=True)], names=["shard", key, "at", "n_tokens", "ids_crc32"])
 
-    each = blocks.select("shard", "start_in_shard", "dictionary", "width", "ids", "offsets", "frames").mapInArrow(rows, f"shard int, `{key}` long, at long, n_tokens long, ids_crc32 long")
+    each = blocks.select("shard", "start_in_shard", "dictionary", "width", "ids", "offsets", "frames").mapInArrow(tidy(rows, keep=True), f"shard int, `{key}` long, at long, n_tokens long, ids_crc32 long")
     # a row for each shard, that is for each write task
     shards = blocks.groupBy("shard").agg(F.sum("tokens").alias("tokens"))
     before = shards.select("shard", F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -14,18 +14,28 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: 16 or more token characters with a digit among the first 64, or what a credential's name is set to.
-#: The short look-behinds stand before the long one so that it is tried behind an equals sign or colon only.
+#: Names that a credential is set to, in any case; key, auth and pass only as whole words.
+NAMED = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|credentials?|authorization|(?<![a-z])(?:key|auth|pass))"
+#: What stands between such a name and its value.
+SET = r"[\"']?[ \t]{0,2}[=:][=>]?[ \t]{0,2}"
+#: What stands before a value, tried first so that the long look-behind is met only behind an equals sign or colon.
+_BEHIND = r"(?<=[=:> \t\"'])(?<=[=:][=>]?[ \t]{0,2}[\"']?)"
+#: A candidate: what a credential's name is set to, whole if quoted and else up to the next field or the end of the sentence;
+#: three to five dotted parts; or 16 or more token characters with a digit, with padding. Edges are open to full stops,
+#: at signs, equals signs and colons: the forest judges by the context.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=.-]{0,64}+[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9@.])"
-    r"|(?<=[=: \"'])(?<=[=:] {0,2}[\"']{0,1})(?<=(?:password|passwd|secret|api_key) {0,2}[=:] {0,2}[\"']{0,1})[^\s\"']{8,}"
+    rf"{_BEHIND}(?:(?<={NAMED}{SET}[\"'])[^\s\"']{{4,}}+(?=[\"'])"
+    rf"|(?<={NAMED}{SET}[\"']?)(?!(?i:bearer|basic|token)\s)(?:[^\s\"'`&;,]|[&;,](?![A-Za-z_ ]{{1,40}}=)(?!\s)){{3,}}(?<=[^.,;:)\]}}>\\]))"
+    r"|(?<=(?i:bearer|basic) )[A-Za-z0-9+/_.~-]{15,}[A-Za-z0-9+/_~-]={0,2}"
+    r"|(?:(?<![A-Za-z0-9+/_.-])|(?<=://))(?:eyJ[A-Za-z0-9_-]{5,}+(?:\.{1,2}[A-Za-z0-9_-]++){1,4}|[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{16,}+)"
+    r"|(?:(?<![A-Za-z0-9+/_-])(?!//)|(?<=://))(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 #: Characters of context on each side.
 NEAR = 40
 #: Words that speak for a credential nearby, for a harmless identifier nearby, and of placeholders and paths.
-CREDENTIAL = r"(?i)\b(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|bearer|credential|client_secret)\b"
+CREDENTIAL = rf"(?:{NAMED}|(?i:bearer))(?![A-Za-z])"
 HARMLESS = r"(?i)\b(commit|sha|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|build|version|isbn|phone|card|account|order|invoice|id)\b"
-WORDS = r"(?i)(example|sample|test|dummy|fake|placeholder|changeme|your|xxxx|user|name|data|file|path|home|lib|src|usr|local|python|java|http|www|com|org|index|config|report|image|static|assets|version|release|final|draft|page|section|table|chapter)"
+WORDS = r"(?i)(example|sample|test|dummy|fake|placeholder|changeme|your|xxxx|user|name|data|file|path|home|lib|src|usr|local|python|java|http|www|com|org|index|config|report|image|static|assets|version|release|final|draft|page|section|table|chapter|string|true|false|none|null|required|optional|value|secret|password|token|please|enter|hidden|redacted)"
 
 #: Trees, their depth, and the share of votes from which a candidate counts as a secret.
 TREES, DEPTH, LEAST = 15, 5, 0.5
@@ -33,7 +43,7 @@ TREES, DEPTH, LEAST = 15, 5, 0.5
 FINDINGS, SEED = 3000, 17
 MARK = "[SECRET]"
 
-FEATURES = ("length", "digits", "upper", "lower", "hex", "moves", "vowels", "covered", "separators", "groups", "credential", "harmless", "assigned", "quoted", "path")
+FEATURES = ("length", "digits", "upper", "lower", "hex", "moves", "vowels", "covered", "separators", "groups", "credential", "harmless", "assigned", "quoted", "path", "named", "symbols", "code", "joined", "prose", "issued")
 
 
 def _share(token: Column, pattern: str) -> Column:
@@ -59,6 +69,12 @@ def features(token: Column, left: Column, right: Column) -> list[Column]:
         yes(left.rlike(r"[=:]\s*[\"']?$")),
         yes(left.rlike("[\"']$") & right.rlike("^[\"']")),
         yes(token.rlike(r"/[A-Za-z_]{2,}/|^/") | left.rlike("/$")),
+        yes(left.rlike(rf"{NAMED}{SET}[\"']?$")),
+        _share(token, r"[^A-Za-z0-9/._=+-]"),
+        yes(token.rlike(r"[(\[{<$]|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$")),
+        yes(right.rlike(r"^\.[A-Za-z0-9]") | left.rlike(r"[A-Za-z0-9_][.@]$")),
+        yes(right.rlike(r"^[.,;:]?\s+[a-z]+") & ~left.rlike("[\"'=]$")),
+        yes(token.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk-|sk_|xox[a-z]-|glpat-|AIza|eyJ|SG\.)")),
     ]
 
 
@@ -68,25 +84,41 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
     of = lambda letters, n: "".join(draw.choices(letters, k=n))
     low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     words = ["report", "image", "user", "data", "config", "section", "release", "static", "python", "final", "draft", "index"]
+    jwt = lambda: f"eyJ{of(low + up + digit, draw.randint(14, 33))}.eyJ{of(low + up + digit + '_-', draw.randint(20, 90))}.{of(low + up + digit + '_-', 43)}"
+    plainly = ["password", "Password", "token", "TOKEN", "secret", "key", "auth", "pwd", "api_key"]
     prose = lambda: " ".join(of(low, draw.randint(2, 9)) for _ in range(4))
     found = []
     for i in range(rows):
         if i % 2:
-            token = draw.choice([lambda: of("0123456789abcdef", draw.choice([32, 40, 40, 64])), lambda: "AKIA" + of(up + digit, 16), lambda: "ghp_" + of(low + up + digit, 36), lambda: "sk-" + of(low + up + digit, 40), lambda: of(low + up + digit + "+/", draw.randint(24, 60)) + "7", lambda: of(low + up + digit + "_-", draw.randint(20, 48)) + "3"])()
-            name = draw.choice(["token", "secret", "api_key", "password", "access_key", "auth", "client_secret"])
-            left, right = draw.choice([(f'{name} = "', '" '), (f"{name}: ", " "), (f"{name}='", "' "), (f"{name}={'' if i % 4 else ' '}", "\n"), ("Authorization: Bearer ", " ")])
+            token = draw.choice([lambda: of("0123456789abcdef", draw.choice([32, 40, 40, 64])), lambda: "AKIA" + of(up + digit, 16), lambda: "ghp_" + of(low + up + digit, 36), lambda: "sk-" + of(low + up + digit, 40), lambda: of(low + up + digit + "+/", draw.randint(24, 60)) + "7", lambda: of(low + up + digit + "_-", draw.randint(20, 48)) + "3", jwt])()
+            name = draw.choice(["token", "secret", "api_key", "password", "access_key", "auth", "client_secret", "pwd", "key", "TOKEN", "PASSWORD", "API_KEY", "AWS_SECRET_ACCESS_KEY", "Password"])
+            left, right = draw.choice([(f'{name} = "', '" '), (f"{name}: ", " "), (f"{name}='", "' "), (f"{name}={'' if i % 4 else ' '}", "\n"), ("Authorization: Bearer ", " "), (f"my {name} is ", ". "), (f"{name} ", "."), (f"{name}: ", ". "), (f"{name}=", draw.choice(["&user=me", ";", ", "]))])
+            if token[:3] in ("AKI", "ghp", "sk-", "eyJ"):  # known by its form, in any place
+                left, right = draw.choice([(left, right), (left, right), (" ", draw.choice([" ", ". ", "@host ", "\n"])), ("https://", "@host.com/ "), ("https://me:", "@host.com/ ")])
+            if draw.random() < 0.3:  # passwords, short or without a digit
+                word = "".join(draw.choice("bcdfghklmnprstvz") + draw.choice("aeiou") for _ in range(draw.randint(2, 5)))
+                token = draw.choice([word + of(digit, draw.randint(1, 4)), word.title() + of("!@#$%", 1) + of(digit, 2), of(low + up + digit, draw.randint(6, 15)), of(low + up, draw.randint(8, 24)), of(low + up + digit + "!@#%^*", draw.randint(8, 20)), word + of(low, 5)])
+                name = draw.choice(["password", "PASSWORD", "Password", "passwd", "pwd", "PWD", "db_password", "secret", "SECRET", "token", "TOKEN", "auth", "AUTH", "key", "api_key", "API_KEY"])
+                left, right = draw.choice([(f'{name} = "', '" '), (f'"{name}": "', '", '), (f"{name}='", "'\n"), (f"{name}=", draw.choice([" ", "\n", ". ", " and "])), (f"{name}: ", draw.choice(["\n", "\n", ". "]))])
         else:
             token, left, right = draw.choice([
                 lambda: (of(digit, draw.randint(16, 19)), " ", " "),
                 lambda: ("-".join(of("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), draw.choice(["uuid: ", "id = ", " "]), " "),
-                lambda: (of("0123456789abcdef", 40), draw.choice(["commit ", "revision ", "sha1: ", "checksum = "]), " "),
-                lambda: ("/".join(draw.sample(words, 3)) + f"/{of(digit, 2)}_{draw.choice(words)}", draw.choice([" ", "path = ", "/"]), " "),
-                lambda: ("_".join(draw.sample(words, 3)) + f"_{of(digit, draw.randint(1, 8))}", draw.choice([" ", "file: "]), " "),
-                lambda: (f"{draw.choice(['example', 'your', 'dummy', 'test'])}_{draw.choice(['token', 'key', 'secret'])}_{of(digit, 4)}", draw.choice(['token = "', "api_key: "]), '" '),
+                lambda: (of("0123456789abcdef", 40), draw.choice(["commit ", "revision ", "sha1: ", "checksum = ", "commit=", "sha256:"]), draw.choice([" ", " ", ". ", "."])),
+                lambda: ("/".join(draw.sample(words, 3)) + f"/{of(digit, 2)}_{draw.choice(words)}", draw.choice([" ", "path = ", "/", "path="]), draw.choice([" ", ".png ", ". "])),
+                lambda: ("_".join(draw.sample(words, 3)) + f"_{of(digit, draw.randint(1, 8))}", draw.choice([" ", "file: ", "file="]), draw.choice([" ", ".txt ", ". "])),
+                lambda: (f"{draw.choice(['example', 'your', 'dummy', 'test'])}_{draw.choice(['token', 'key', 'secret'])}_{of(digit, 4)}", draw.choice(['token = "', "api_key: ", 'password = "']), '" '),
                 lambda: (of("x", draw.randint(15, 30)) + "0", 'token = "', '" '),
                 lambda: (of(digit, 4) + "-" + of(digit, 4) + "-" + of(digit, 4) + "-" + of(digit, 4), " card ", " "),
-                lambda: (of(low, draw.randint(14, 24)) + of(digit, 2), " ", " "),
-                lambda: ("-" * draw.randint(10, 20) + of(digit, 2) + "=" * 8, "\n", "\n"),
+                lambda: (of(low, draw.randint(14, 24)) + of(digit, 2), " ", draw.choice([" ", ". "])),
+                lambda: ("-" * draw.randint(10, 20) + of(digit, 2) + "==", "\n", "\n"),
+                lambda: (of(low, draw.randint(12, 20)) + of(digit, draw.randint(4, 8)), draw.choice([" ", "mail ", "mailto:"]), f"@{of(low, 6)}.com "),
+                lambda: (of(low, draw.randint(10, 18)) + "-" + of(low, 6) + of(digit, 2), draw.choice([" ", "https://www.", "@mail.", "//"]), ".com/ "),
+                lambda: (f"{of(low, 5)}.{of(low, 6)}.{of(low, 12)}{of(digit, 6)}", draw.choice([" ", "//"]), draw.choice([" ", ".com "])),
+                lambda: (of(low + digit, draw.randint(20, 32)), draw.choice([" ", "/"]), draw.choice([".png ", ".html "])),
+                lambda: (draw.choice(["string", "true", "false", "none", "null", "None", "required", "optional", "changeme", "your_password", "password", "example", "xxxxxxxx", "********", "str", "value", "hidden", "[REDACTED]"]), f"{draw.choice(plainly)}{draw.choice([': ', '=', ' = ', chr(61) + chr(34)])}", draw.choice([" ", "\n", '" '])),
+                lambda: (of(low, draw.randint(4, 9)), f"{draw.choice(plainly)}: ", " " + of(low, 3) + " " + of(low, 5) + " "),
+                lambda: (draw.choice([f"get_{of(low, 5)}()", f"{of(low, 4)}({of(low, 5)})", f"${{{of(up, 6)}}}", f"os.environ[", f"self.{of(low, 6)}", f"<{of(low, 6)}>", f"${of(up, 8)}"]), f"{draw.choice(plainly)}{draw.choice([': ', '=', ' = '])}", draw.choice([" ", "\n"])),
             ])()
         found.append((token, (prose() + " " + left)[-NEAR:], (right + prose())[:NEAR], float(i % 2)))
     return spark.createDataFrame(found, "token string, left string, right string, label double")

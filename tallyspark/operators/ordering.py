@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,20 @@ def top(rows: DataFrame, n: int, order: list) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def placed(rows: DataFrame, order: list, place: str = "place") -> DataFrame:
+    """Every row with its ``place`` in the whole order, from 1: a range-partitioned sort, with counts of the partitions as offsets.
+
+    Equal rows of the order get places of their own; which of them comes first is open.
+    """
+    part, within = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # kept by persist, as a second run could draw other bounds
+    cut = rows.orderBy(*order).select("*", part.alias("_part"), within.alias("_within")).persist(StorageLevel.DISK_ONLY)
+    counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return cut.join(F.broadcast(offsets), "_part").withColumn(place, (F.col("_before") + F.col("_within") + 1).cast("int")).drop("_part", "_within", "_before")
+
+
 def top_of_each(rows: DataFrame, keys: list[str], n: int, order: list) -> DataFrame:
     """The first ``n`` rows of each key with their ``rank``."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)

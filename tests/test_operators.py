@@ -197,6 +197,14 @@ def test_sku_order(spark):
     assert [r.sku for r in skus.orderBy(*ordering.by_sku()).collect()] == ["20", "100", "0", "a", "b"]
 
 
+def test_every_sku_has_its_place(spark):
+    skus = [str(i) for i in range(1, 2001)] + ["0", "a", "b", "Z9", "00012x"]
+    rows = spark.createDataFrame([(s,) for s in reversed(skus)], "sku string").repartition(7)
+    got = [(r.place, r.sku) for r in ordering.placed(rows, ordering.by_sku()).collect()]
+    want = [r.sku for r in rows.coalesce(1).sortWithinPartitions(*ordering.by_sku()).collect()]
+    assert sorted(got) == list(enumerate(want, 1)) and len(got) == len(skus)
+
+
 def test_fuzzy(spark):
     names = spark.createDataFrame([("orange juce",), ("zzz",)], "name string")
     candidates = spark.createDataFrame([("orange juice", 1), ("orange juice", 2), ("apple", 3)], "candidate string, cand_seq int")

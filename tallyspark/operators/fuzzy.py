@@ -1,36 +1,108 @@
 """Fuzzy name matching.
 
-A score cannot reach the threshold when lengths differ too much, so candidates are met through length buckets
-by an equi-join: nothing that could match is lost, and most pairs are never made.
+Names and candidates are packed into blocks of bounded size, and every block of names meets every block of
+candidates. In a task, a bound on the score from lengths, common letters and the common prefix leaves out pairs that cannot
+reach the threshold or a name's best so far; nothing that could match is lost.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import length_bound, similarity
+from ..functions.similarity import jaro_winkler_pair, similarity
 from ..functions.text import trim
 
+#: Names and candidates in a block.
+NAMES, CANDIDATES = 512, 4096
+
+
+def _letters(texts: list[str], known: dict[str, int]) -> np.ndarray:
+    """Counts of the known letters in each text."""
+    out = np.zeros((len(texts), len(known)), np.float32)
+    for row, text in zip(out, texts, strict=True):
+        for c in text:
+            if c in known:
+                row[known[c]] += 1
+    return out
+
+
+def bounds(names: list[str], candidates: list[str]) -> np.ndarray:
+    """The most that each name (row) and candidate (column) can score: matches are at most their common letters."""
+    known = {c: i for i, c in enumerate(sorted(set("".join(names))))}
+    a, b = _letters(names, known), _letters(candidates, known)
+    common = np.zeros((len(names), len(candidates)), np.float32)
+    for i in range(len(known)):
+        common += np.minimum(a[:, i, None], b[None, :, i])
+    la, lb = (np.array([len(t) for t in x], np.float64) for x in (names, candidates))
+    jaro = (common / np.maximum(la, 1)[:, None] + common / np.maximum(lb, 1) + 1) / 3
+    heads = lambda x, none: np.array([[ord(t[i]) if i < len(t) else none for i in range(4)] for t in x]).reshape(-1, 4)
+    prefix = np.cumprod(heads(names, -1)[:, None, :] == heads(candidates, -2)[None], axis=2).sum(2)
+    longest = np.maximum(np.maximum(la[:, None], lb), 1)
+    most = 0.4 * common / longest + 0.6 * np.where(common > 0, jaro + 0.1 * prefix * (1 - jaro), 0)
+    most[(la[:, None] == 0) & (lb == 0)] = 1
+    return most + 1e-6  # rounding
+
+
+def _distance(a: str, b: str) -> int:
+    before = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row = [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(row[j - 1] + 1, before[j] + 1, before[j - 1] + (c != d)))
+        before = row
+    return before[-1]
+
+
+def _score(a: str, b: str) -> float:
+    """``similarity`` of two trimmed lower-case texts."""
+    return 1.0 if a == b else 0.4 * (1 - _distance(a, b) / max(len(a), len(b))) + 0.6 * jaro_winkler_pair(a, b)
+
+
+def _met(names: DataFrame, candidates: DataFrame, least: float, best: int | None, name: str, candidate: str) -> DataFrame:
+    """(name, candidate, cand_seq, score) of pairs whose bound reaches ``least``, score null; or of the ``best`` of each name in a block, with scores."""
+    plain = lambda c: F.lower(trim(F.col(c)))
+    left = names.select(F.col(name).cast("string").alias("n")).where("n is not null").distinct().withColumn("x", plain("n"))
+    right = candidates.where(F.col(candidate).isNotNull()).groupBy(F.col(candidate).cast("string").alias("c")).agg(F.min(F.col("cand_seq").cast("long")).alias("cand_seq")).withColumn("y", plain("c"))
+    asked, offered = max(1, -(-left.count() // NAMES)), max(1, -(-right.count() // CANDIDATES))
+    packed = lambda frame, key, blocks, to, *fields: frame.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(to)).agg(F.collect_list(F.struct(*fields)).alias(f"{to}_rows"))
+    pairs = packed(left, "n", asked, "i", "n", "x").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(offered - 1))))
+    pairs = pairs.repartition("i", "j").join(packed(right, "c", offered, "j", "c", "cand_seq", "y"), "j").select("i_rows", "j_rows")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("name", pa.string()), ("candidate", pa.string()), ("cand_seq", pa.int64()), ("score", pa.float64())])
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ours, theirs = batch.column("i_rows")[row].values, batch.column("j_rows")[row].values
+                n, x = ours.field("n").to_pylist(), ours.field("x").to_pylist()
+                c, seq, y = (theirs.field(f).to_pylist() for f in ("c", "cand_seq", "y"))
+                for start in range(0, len(n), 64):
+                    most = bounds(x[start : start + 64], y)
+                    found = []
+                    for k, can in enumerate(most, start):
+                        if best is None:
+                            found += [(n[k], c[j], seq[j], None) for j in np.flatnonzero(can >= least)]
+                            continue
+                        top = []
+                        for j in np.argsort(-can, kind="stable"):
+                            if can[j] < least or len(top) == best and can[j] < -top[-1][0]:
+                                break
+                            top = sorted([*top, (-_score(x[k], y[j]), seq[j] is not None, seq[j] or 0, c[j], j)])
+                            top = [t for t in top if -t[0] >= least][:best]
+                        found += [(n[k], c[j], seq[j], -s) for s, _, _, _, j in top]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found) if found else [[]] * 4, schema.types, strict=True)], schema=schema)
+
+    return pairs.mapInArrow(scored, "name string, candidate string, cand_seq long, score double")
 
-def scored_pairs(names: DataFrame, candidates: DataFrame, least: float, name: str = "name", candidate: str = "candidate") -> DataFrame:
-    """Pairs of distinct names and candidates that can score ``least``, with their score.
 
-    Lengths are put in buckets of a growth of 1 / bound; fitting lengths are at most one bucket apart. A threshold
-    that any two lengths can reach needs all pairs, which is for a short list of names.
-    """
-    bound = length_bound(least)
-    if not bound:
-        every = candidates.groupBy(candidate).agg(F.min("cand_seq").alias("cand_seq"))
-        return names.select(name).distinct().crossJoin(every).withColumn("score", similarity(F.col(name), F.col(candidate)))
-    size = lambda c: F.length(F.lower(trim(F.col(c))))
-    bucket = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1 / bound)).cast("int")
-    left = names.select(name).distinct().withColumn("_n", size(name)).withColumn("_b", F.explode(F.array(*[bucket(F.col("_n")) + k for k in (-1, 0, 1)])))
-    right = candidates.groupBy(candidate).agg(F.min("cand_seq").alias("cand_seq")).withColumn("_m", size(candidate)).withColumn("_b", bucket(F.col("_m")))
-    pairs = left.join(right, "_b").where(F.least("_n", "_m") >= F.greatest("_n", "_m") * bound)
-    return pairs.select(name, candidate, "cand_seq", similarity(F.col(name), F.col(candidate)).alias("score"))
+def scored_pairs(names: DataFrame, candidates: DataFrame, least: float, name: str = "name", candidate: str = "candidate") -> DataFrame:
+    """Pairs of distinct names and candidates that can score ``least``, with their score."""
+    pairs = _met(names, candidates, least, None, name, candidate)
+    return pairs.select(F.col("name").alias(name), F.col("candidate").alias(candidate), "cand_seq", similarity(F.col("name"), F.col("candidate")).alias("score"))
 
 
 def find_matches(names: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:
@@ -41,13 +113,13 @@ def find_matches(names: DataFrame, candidates: DataFrame, least: float = 0.7) ->
 def nearest(names: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:
     """For each name its best candidate above ``least``, the earliest of equals."""
     order = Window.partitionBy("name").orderBy(F.desc("score"), "cand_seq")
-    return scored_pairs(names, candidates, least).where(F.col("score") > least).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return _met(names, candidates, least, 1, "name", "candidate").where(F.col("score") > least).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
 def top_matches(names: DataFrame, candidates: DataFrame, n: int = 3, least: float = 0.0) -> DataFrame:
     """For each name its ``n`` best candidates that score ``least`` or more."""
     order = Window.partitionBy("name").orderBy(F.desc("score"), "cand_seq")
-    return scored_pairs(names, candidates, least).where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return _met(names, candidates, least, n, "name", "candidate").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def corrected_names(names: DataFrame, candidates: DataFrame, least: float = 0.85) -> DataFrame:

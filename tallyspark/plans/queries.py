@@ -528,9 +528,9 @@ def nearest_product(spark, d):
 
 @query()
 def find_matches(spark, d):
-    return fuzzy.find_matches(*_names(spark, d), least=0.9)
+    return fuzzy.find_matches(*_names(spark, d))
 
 
 @query()
 def top_n_matches(spark, d):
-    return fuzzy.top_matches(*_names(spark, d), least=0.7)
+    return fuzzy.top_matches(*_names(spark, d))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark import schemas
 from tallyspark.operators import catalog as C
 from tallyspark.operators import fuzzy, ordering, parse, places, regions, review, rollups, rules, totals
-from tallyspark.plans import engine
+from tallyspark.plans import engine, queries
 from tallyspark.sources import readers, writers
 
 CATALOG = [
@@ -218,6 +218,41 @@ def test_fuzzy(spark):
     assert (fixed.corrected, fixed.corrections) == ("1 ליטר אOב 10", 2)
 
 
+def brute_force(asked, parts):
+    from tallyspark.functions.similarity import jaro_winkler_pair
+
+    def distance(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        return d[len(a), len(b)]
+
+    score = lambda a, b: 1.0 if a == b else 0.4 * (1 - distance(a, b) / max(len(a), len(b))) + 0.6 * jaro_winkler_pair(a, b)
+    return {a: sorted((-score(a, c), seq, c) for seq, c in parts) for a in asked}
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("parts")
+    words = ["red", "green", "almond", "steel", "lace", "antique", "misty", "navy"]
+    rows = [(i, f"{words[i % 8]} {words[i * 3 % 7]} {words[i * 5 % 8]}" + "s" * (i % 3)) for i in range(1, 61)] + [(61, "zq"), (62, "a much longer name than all of the others")]
+    rows = list({name: (key, name) for key, name in reversed(rows)}.values())
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(folder / "part.parquet"))
+    return str(folder), rows
+
+
+def test_registered_thresholds_are_the_reference_ones(spark, parts):
+    folder, rows = parts
+    got = {}
+    for r in queries.QUERIES["top_n_matches"](spark, folder).collect():
+        got.setdefault(r.name, []).append((r.rank, r.candidate, r.score))
+    want = brute_force(got, rows)
+    assert got and {a: [(i, c, pytest.approx(-s)) for i, (s, _, c) in enumerate(want[a][:3], 1)] for a in got} == {a: sorted(g) for a, g in got.items()}
+    found = {(r.name, r.candidate) for r in queries.QUERIES["find_matches"](spark, folder).collect()}
+    assert found == {(a, c) for a in got for s, _, c in want[a] if -s >= 0.7}
+
+
 def test_batch_and_workbook(spark, catalog):
     page = spark.createDataFrame([("j", 1, "88135 pringles 4 units\n88136 cola 3 cases\n77777 what 1")], schemas.PAGE)
     listed = [r.asDict() for r in rules.name_rules(spark).collect()]

@@ -253,6 +253,15 @@ def test_registered_thresholds_are_the_reference_ones(spark, parts):
     assert found == {(a, c) for a in got for s, _, c in want[a] if -s >= 0.7}
 
 
+def test_every_part_name_is_asked(spark, parts):
+    folder, rows = parts
+    asked = [n[:5] + "x" + n[5:] for _, n in rows]
+    want = brute_force(asked, rows)
+    got = {r.name: (r.candidate, r.cand_seq, pytest.approx(r.score)) for r in queries.QUERIES["nearest_product"](spark, folder).collect()}
+    assert got == {a: (c, seq, -s) for a in asked for s, seq, c in want[a][:1] if -s > 0.7} and len(got) > 30
+    assert {r.name for r in queries.QUERIES["top_n_matches"](spark, folder).collect()} == set(asked)
+
+
 def test_batch_and_workbook(spark, catalog):
     page = spark.createDataFrame([("j", 1, "88135 pringles 4 units\n88136 cola 3 cases\n77777 what 1")], schemas.PAGE)
     listed = [r.asDict() for r in rules.name_rules(spark).collect()]

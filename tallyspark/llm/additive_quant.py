@@ -108,7 +108,9 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Codebooks, Da
 
 
 def shortlists(index: DataFrame, books: Codebooks, queries: DataFrame, rows: int, asked: int, keep: int, metric: str = "ip") -> DataFrame:
-    """(query, id): the ``keep`` best of each query by its table, from each block of the index.
+    """(query, id): the ``keep`` best of each query by its table, from each block of the index, and all that tie with the last of them.
+
+    A query's own vector is among them where it scores so; ids of the index are those of distinct vectors.
 
     Both sides are packed into blocks of bounded size, and every index block meets every query block.
     """
@@ -137,10 +139,9 @@ def shortlists(index: DataFrame, books: Codebooks, queries: DataFrame, rows: int
                         score += table[codes[:, j]]
                     if metric == "l2":
                         score = 2 * score - norms
-                    score[ids == qids[len(found)]] = -np.inf
                     n = min(keep, len(ids))
-                    best = np.argpartition(-score, n - 1)[:n]
-                    found.append(ids[best[np.isfinite(score[best])]])
+                    best = np.flatnonzero(score >= np.partition(score, len(ids) - n)[len(ids) - n])
+                    found.append(ids[best])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(f) for f in found]), pa.int64()), pa.array(np.concatenate(found), pa.int64())], names=["query", "id"])
 
     return left.repartition("i", "q").join(right, "q").select("i_rows", "q_rows").mapInArrow(tidy(scored), "query long, id long")
@@ -158,10 +159,19 @@ def search(table: DataFrame, asks, key: str = "vec_id", vector: str = "embedding
     if not rows:
         return vectors.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     queries = vectors.where(asks(F.col("id")))
-    books, index = build_index(vectors)
-    pairs = shortlists(index, books, queries, rows, queries.count(), max(rerank, top))
-    pairs = pairs.join(vectors, "id").join(queries.select(F.col("id").alias("query"), F.col("v").alias("w")), "query")
+    # each distinct vector is indexed once, under its smallest id; its smallest ids stand for it in the end
+    alike = Window.partitionBy("v").orderBy("id")
+    members = saved(vectors.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= top + 1), "members")
+    distinct = saved(members.where("_n = 1").select("id", "v"), "distinct")
+    first = members.where("_n = 1").select("v", F.col("id").alias("gid"))
+    members = members.join(first, "v").select("gid", F.col("id").alias("member"))
+    books, index = build_index(distinct)
+    pairs = shortlists(index, books, queries, distinct.count(), queries.count(), max(rerank, top) + 1)
+    pairs = pairs.join(distinct, "id").join(queries.select(F.col("id").alias("query"), F.col("v").alias("w")), "query")
     exact = F.aggregate(F.zip_with("v", "w", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, b: a + b)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    ranked = pairs.select("query", "id", exact.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # one vector more than asked for, as the query's own row doesn't answer
+    groups = pairs.select("query", "id", exact.alias("score")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top + 1)
+    rows = groups.select("query", F.col("id").alias("gid"), "score").join(members, "gid").where("member <> query").select("query", F.col("member").alias("id"), "score")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -40,3 +40,17 @@ def test_beam_search_is_no_worse_than_greedy():
         return ((x - sums) ** 2).sum()
 
     assert loss(8) <= loss(1) * 1.001
+
+
+def test_copies_answer_by_their_smallest_ids(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(900, 8)).astype(np.float32)
+    x[100:800] = x[100]  # 700 copies, more than are ranked again
+    ids = [int(i) for i in draw.permutation(900)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    one = ids[100]
+    copies = sorted(i for i, v in zip(ids, x, strict=True) if (v == x[100]).all() and i != one)
+    best = {i: float(v.astype(np.float64) @ x[100].astype(np.float64)) for i, v in zip(ids, x, strict=True)}
+    want = [i for _, i in sorted((-s, i) for i, s in best.items() if i != one)][:20]
+    got = [r.vec_id for r in A.search(table, lambda i: i == one).orderBy("rank").collect()]
+    assert got == want and set(copies[:5]) & set(got)

@@ -11,12 +11,16 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
+from collections.abc import Iterator
 
 import numpy as np
 
-from ._shared import SpanHash, gathered, kept
+from ._shared import CHUNK_BYTES, LONG_SPAN, SpanHash, byte_windows, gathered, kept, span_word
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
+#: Bytes behind a piece's start that can decide whether it is one: the split pattern looks no further ahead.
+GUARD = 8
 
 #: The split pattern of byte-level BPE as the public rank files use it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,25 +69,30 @@ class PieceEncoder:
 
     def __init__(self, path: str, memory: int = 250_000) -> None:
         self.library, self.memory = library_tokenizer(path), memory
-        #: Texts that the library treats before it splits, and whether pieces can be handled apart; any other layout goes to the library as whole texts.
-        self.added, self.by_piece = ([], True) if path.endswith(".tiktoken") else self._layout(path)
+        #: Added tokens with their ids, and whether pieces can be handled apart; any other layout goes to the library as whole texts.
+        self.added, self.by_piece = ({}, True) if path.endswith(".tiktoken") else self._layout(path)
+        self.finder = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self.hash = SpanHash()
         self._forget()
 
     @staticmethod
-    def _layout(path: str) -> tuple[list[str], bool]:
+    def _layout(path: str) -> tuple[dict[bytes, int], bool]:
         with open(path, encoding="utf-8") as file:
             layout = json.load(file)
-        splitter, model = layout.get("pre_tokenizer") or {}, layout["model"]
+        splitter, model, added = layout.get("pre_tokenizer") or {}, layout["model"], layout.get("added_tokens") or []
         by_bytes = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
         plain = model["type"] == "BPE" and not layout.get("normalizer") and not layout.get("post_processor") and not model.get("dropout")
-        return [t["content"] for t in layout.get("added_tokens") or []], bool(by_bytes and plain)
+        alone = not any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip"))
+        return {t["content"].encode(): t["id"] for t in added}, bool(by_bytes and plain and alone)
 
     def _forget(self) -> None:
-        self.keys, self.slots = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64)
+        self.keys, self.slots = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, -1, np.int64)
         self.known: dict[int, int] = {}
         self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        #: the pieces themselves, as words of eight bytes and lengths; long ones as bytes
+        self.word_at, self.words, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.long: dict[int, bytes] = {}
 
     def _kind(self, character: str) -> int:
         alone = lambda text: len(self.library.pre_tokenizer.pre_tokenize_str(text)) == 1
@@ -129,11 +138,11 @@ class PieceEncoder:
         return places, np.searchsorted(places, offsets)
 
     def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The memory's entry of each piece."""
+        """The memory's entry of each piece. Entries are found by hash and held against the piece's bytes."""
         keys = self.hash(data, starts, ends)
         low = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
         found = self.slots[low]
-        miss = np.flatnonzero(self.keys[low] != keys)
+        miss = np.flatnonzero((self.keys[low] != keys) | (found < 0))
         if len(miss):
             fresh, where, back = np.unique(keys[miss], return_index=True, return_inverse=True)
             if len(self.known) + len(fresh) > self.memory and self.known:
@@ -143,56 +152,119 @@ class PieceEncoder:
             entry = np.fromiter((self.known.get(k, -1) for k in named), np.int64, len(named))
             new = np.flatnonzero(entry < 0)
             if len(new):
-                at = miss[where[new]]
-                texts = [data[s:e].tobytes().decode("utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-                counts = np.fromiter(map(len, ids), np.int64, len(ids))
-                entry[new] = len(self.counts) + np.arange(len(ids))
-                self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-                self.counts = np.concatenate([self.counts, counts])
-                self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))])
+                entry[new] = self._learn(data, starts[miss[where[new]]], ends[miss[where[new]]])
                 self.known.update(zip(fresh[new].tolist(), entry[new].tolist(), strict=True))
             found[miss] = entry[back]
             place = (fresh & np.uint64(self.SLOTS - 1)).astype(np.int64)
             self.keys[place], self.slots[place] = fresh, entry
+        other = np.flatnonzero(~self._same(data, starts, ends, found))
+        if len(other):  # pieces that share a hash with another one
+            found[other] = self._learn(data, starts[other], ends[other])
         return found
 
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """New entries for these pieces, from the library."""
+        texts = [data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids = [e.ids for e in self.library.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        entry = len(self.counts) + np.arange(len(ids))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))])
+        short = [t if len(t) <= LONG_SPAN else b"" for t in texts]
+        wide = np.fromiter((-(-len(t) // 8) for t in short), np.int64, len(short))
+        self.word_at = np.concatenate([self.word_at, len(self.words) + np.cumsum(wide) - wide])
+        self.words = np.concatenate([self.words, np.frombuffer(b"".join([t.ljust(8 * int(w), b"\0") for t, w in zip(short, wide, strict=True)]), "<u8")])
+        self.sizes = np.concatenate([self.sizes, ends - starts])
+        self.long.update((int(e), t) for e, t in zip(entry, texts, strict=True) if len(t) > LONG_SPAN)
+        return entry
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Whether each piece's bytes are its entry's."""
+        size = ends - starts
+        same = self.sizes[entry] == size
+        windows, k = byte_windows(data), 0
+        live = np.flatnonzero(same & (size <= LONG_SPAN))
+        while len(live):
+            match = span_word(windows, starts[live], size[live] - 8 * k, k) == self.words[self.word_at[entry[live]] + k]
+            same[live[~match]] = False
+            k += 1
+            live = live[match]
+            live = live[size[live] > 8 * k]
+        for i in np.flatnonzero(same & (size > LONG_SPAN)).tolist():
+            same[i] = data[starts[i] : ends[i]].tobytes() == self.long[int(entry[i])]
+        return same
+
     def piece_counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(piece starts, tokens of each piece, each text's first piece)."""
         starts, firsts = self.pieces(data, offsets)
         slots = self._slots(data, starts, np.append(starts[1:], len(data)))
         return starts, self.counts[slots], firsts
 
-    def _special(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows that hold an added token's text, which the library treats before it splits."""
-        raw, rows = data.tobytes(), set()
-        for word in self.added:
-            token, at = word.encode(), -1
-            while (at := raw.find(token, at + 1)) >= 0:
-                rows.add(int(np.searchsorted(offsets, at, "right")) - 1)
-        return np.array(sorted(rows), np.int64)
+    def stretches(self, data: bytes) -> Iterator[tuple[int, int, int | None]]:
+        """(start, end, id) of a text's stretches: added tokens, which the library treats before it splits, with their id, and what is between them with None."""
+        at = 0
+        for hit in self.finder.finditer(data) if self.finder else ():
+            if hit.start() > at:
+                yield at, hit.start(), None
+            yield hit.start(), hit.end(), self.added[hit.group()]
+            at = hit.end()
+        if at < len(data):
+            yield at, len(data), None
+
+    def parts(self, data: np.ndarray, window: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+        """The ids of one text, a window at a time.
+
+        A window ends where a piece starts that the bytes behind the window can't have moved: GUARD bytes before
+        its end. A piece without such an end makes the window grow.
+        """
+        if not self.by_piece:
+            yield self._whole(data, np.array([0, len(data)]), [0])[0]
+            return
+        for start, end, token in self.stretches(data.tobytes()):
+            if token is not None:
+                yield np.array([token], np.int32)
+                continue
+            size = window
+            while start < end:
+                stop = start + size
+                while start < stop < end and data[stop] & 0xC0 == 0x80:
+                    stop -= 1
+                some = data[start : min(stop, end)]
+                begins, _ = self.pieces(some, np.array([0, len(some)]))
+                if stop < end:
+                    sure = begins[(begins > 0) & (begins <= len(some) - GUARD)]
+                    if not len(sure):
+                        size *= 2
+                        continue
+                    some = some[: sure[-1]]
+                    begins = begins[begins < sure[-1]]
+                slots = self._slots(some, begins, np.append(begins[1:], len(some)))
+                yield gathered(self.flat, self.starts[slots], self.counts[slots])
+                start, size = start + len(some), window
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets into ids) of the texts data[offsets[i] : offsets[i + 1]]; offsets start at 0."""
         if not self.by_piece:
             return self._whole(data, offsets, range(len(offsets) - 1))
-        starts, firsts = self.pieces(data, offsets)
-        slots = self._slots(data, starts, np.append(starts[1:], len(data)))
-        counts = self.counts[slots]
-        ids = gathered(self.flat, self.starts[slots], counts)
-        ends = np.append(0, np.cumsum(counts))[firsts]
-        odd = self._special(data, offsets)
-        if len(odd):
-            theirs, bounds = self._whole(data, offsets, odd.tolist())
-            parts, lengths = [], np.diff(ends)
-            at = 0
-            for k, row in enumerate(odd.tolist()):
-                parts += [ids[at : ends[row]], theirs[bounds[k] : bounds[k + 1]]]
-                at = ends[row + 1]
-                lengths[row] = bounds[k + 1] - bounds[k]
-            ids = np.concatenate([*parts, ids[at:]])
-            ends = np.append(0, np.cumsum(lengths))
-        return ids, ends
+        odd = np.diff(offsets) > CHUNK_BYTES
+        if self.finder:
+            for hit in self.finder.finditer(data.tobytes()):
+                odd[np.searchsorted(offsets, hit.start(), "right") - 1] = True
+        if not odd.any():
+            starts, firsts = self.pieces(data, offsets)
+            slots = self._slots(data, starts, np.append(starts[1:], len(data)))
+            counts = self.counts[slots]
+            return gathered(self.flat, self.starts[slots], counts), np.append(0, np.cumsum(counts))[firsts]
+        found, at = [], 0
+        for row in [*np.flatnonzero(odd).tolist(), len(odd)]:
+            if row > at:
+                found.append(self.encode(data[offsets[at] : offsets[row]], offsets[at : row + 1] - offsets[at]))
+            if row < len(odd):
+                ids = np.concatenate([np.zeros(0, np.int32), *self.parts(data[offsets[row] : offsets[row + 1]])])
+                found.append((ids, np.array([0, len(ids)])))
+            at = row + 1
+        return np.concatenate([x for x, _ in found]), np.append(0, np.cumsum(np.concatenate([np.diff(e) for _, e in found])))
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
         found = [self.library.encode(data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8"), add_special_tokens=False).ids for r in rows]

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text handled by one numpy pass; temporaries are about 60 times this.
+#: Bytes of text handled by one numpy pass, longer texts in windows; temporaries are about 60 times this.
 CHUNK_BYTES = 1 << 20
 
 
@@ -20,21 +21,44 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, as in a local test, a new local folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session without it, as in a test, gets a new local folder, a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not _own_folder:
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="tallyspark-"))
-    return (folder or _own_folder[0]).rstrip("/")
+    return _own_folder[0]
 
 
-def saved(frame: DataFrame, name: str) -> DataFrame:
-    """``frame`` as a table in the shared folder: computed once, with no lineage to rerun when an executor is lost."""
+def fresh(columns: Iterable[str], stem: str) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def saved(frame: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """``frame`` as a table in the shared folder: computed once, with no lineage to rerun when an executor is lost. Its path goes to ``scratch``, for ``dropped``."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in scratch:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    scratch.clear()
+
+
 #: What a worker keeps from task to task, such as tokenizers.
 kept: list[dict] = []
 
@@ -69,18 +93,6 @@ def give_back() -> None:
         trim(0)
 
 
-#: Rows of an Arrow batch of texts, instead of Spark's 10,000.
-BATCH_ROWS = 1000
-
-
-def small_batches(frame: DataFrame) -> DataFrame:
-    """``frame``, its session's Arrow batches made small where the session leaves them at Spark's default, so that a batch of long texts fits a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if frame.sparkSession.conf.get(name) == "10000":
-        frame.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return frame
-
-
 def whole_text(column: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -120,26 +132,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class SpanHash:
-    """64-bit hashes of many byte spans of one buffer, from one running sum."""
+#: Ones over the first 0 to 8 bytes of a little-endian word.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer spans are hashed and compared one by one.
+LONG_SPAN = 256
+
+
+def byte_windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a little-endian word, without copying them for each; zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+
 
-    BASE = 0x9E3779B97F4A7C15
+def span_word(windows: np.ndarray, starts: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th word of spans that have ``left`` bytes from it on."""
+    return windows[starts + 8 * k] & FIRST_BYTES[np.minimum(left, 8)]
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n + 1:
-            size = max(n + 1, CHUNK_BYTES + 1)
-            up, down = np.full(size, self.BASE, np.uint64), np.full(size, pow(self.BASE, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+class SpanHash:
+    """64-bit hashes of many byte spans of one buffer.
+
+    Each word of eight bytes goes through a bijective mix of the state, which the length begins, so spans of one
+    length up to eight bytes never share a hash and longer ones only by chance; long spans go through BLAKE2.
+    """
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=total[1:])
-        return mixed((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        size = (ends - starts).astype(np.int64)
+        out = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+        if not len(size):
+            return out
+        windows = byte_windows(data)
+        live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+        k = 0
+        while len(live):
+            out[live] = mixed(out[live] ^ span_word(windows, starts[live], size[live] - 8 * k, k))
+            k += 1
+            live = live[size[live] > 8 * k]
+        for i in np.flatnonzero(size > LONG_SPAN).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

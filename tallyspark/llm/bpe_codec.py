@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._pieces import byte_characters, encoder
-from ._shared import gathered, kept, small_batches, spans, string_bytes, tidy, whole_text
-
-_CODEC = "_codec_text"
+from ._shared import CHUNK_BYTES, fresh, gathered, kept, spans, string_bytes, tidy, whole_text
 
 
 class ByteTable:
@@ -67,17 +65,20 @@ def token_offsets(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) of the whole text and, if asked for, ``starts`` and ``ends`` of each id in characters.
 
-    A null or empty text has no ids. Repeated rows are encoded alike; columns of the same names are replaced.
+    A null or empty text has no ids. Repeated rows are encoded alike; columns of the same names are replaced, all
+    others stay. Texts of any length go through in windows; an empty table stays empty.
     """
     made = [ids, *(["starts", "ends"] if offsets else [])]
-    base = small_batches(docs).drop(*made).withColumn(_CODEC, whole_text(text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != _CODEC)
+    base = docs.drop(*made)
+    codec = fresh([*docs.columns, *made], "text_to_encode")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    base = docs.select(*[c for c in docs.columns if c not in made], whole_text(text).alias(codec))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
-            data, bounds = string_bytes(batch.column(_CODEC))
-            rest = batch.drop_columns([_CODEC])
+            data, bounds = string_bytes(batch.column(batch.num_columns - 1))
+            rest = batch.select(batch.schema.names[:-1])
             for a, b in spans(bounds):
                 found, ends = code.encode(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))]
@@ -93,9 +94,10 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
     """``frame`` with the bytes that ``ids`` stand for, and their text.
 
     Ids may begin or end inside a character, as in a part of a longer sequence: the bytes are exact, and the
-    text shows each broken character as U+FFFD. Null or empty ids give empty bytes and text.
+    text shows each broken character as U+FFFD. Null or empty ids give empty bytes and text. Repeated rows are
+    decoded alike; columns of the same names are replaced, all others stay. An empty table stays empty.
     """
-    base = small_batches(frame).drop(text, raw)
+    base = frame.drop(text, raw)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,26 +110,46 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
     return base.mapInArrow(tidy(rows, keep=True), f"{schema}, `{raw}` binary, `{text}` string")
 
 
+def _hashed(ids: Iterator[np.ndarray], table: ByteTable) -> tuple[int, str, str]:
+    """(number of ids, sha256 of the decimal ids joined by commas, sha256 of the decoded bytes) of one text's ids, a part at a time."""
+    count, shown, back, gap = 0, hashlib.sha256(), hashlib.sha256(), b""
+    for some in ids:
+        if len(some):
+            count += len(some)
+            shown.update(gap)
+            shown.update(gathered(table.digits, table.digit_starts[some], table.digit_counts[some])[:-1])
+            back.update(table.decode(some))
+            gap = b","
+    return count, shown.hexdigest(), back.hexdigest()
+
+
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): encodes every whole text, decodes the ids again and hashes both.
 
-    Null texts count as empty: no ids, and the hashes of nothing. Rows with equal or null keys are kept as they are.
-    Texts, ids and decoded bytes stay inside the task, a few MB at a time.
+    Null texts count as empty: no ids, and the hashes of nothing. Rows with equal or null keys are kept as they are,
+    and other columns play no part, whatever their names; an empty table gives no rows. Texts, ids and decoded bytes
+    stay inside the task, a few MB at a time, of longer texts too.
     """
-    base = small_batches(docs).select(F.col(key), whole_text(text).alias(_CODEC))
+    base = docs.select(F.col(key), whole_text(text).alias(fresh([key], "text")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, table = encoder(path), byte_table(path)
         for batch in batches:
-            data, bounds = string_bytes(batch.column(_CODEC))
+            data, bounds = string_bytes(batch.column(1))
             counts, shown, back = [], [], []
             for a, b in spans(bounds):
+                if bounds[b] - bounds[a] > CHUNK_BYTES:  # one long text
+                    n, one, two = _hashed(code.parts(data[bounds[a] : bounds[b]]), table)
+                    counts.append(np.array([n]))
+                    shown.append(one)
+                    back.append(two)
+                    continue
                 ids, ends = code.encode(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 counts.append(np.diff(ends))
                 for bytes_of, widths, out, cut in ((gathered(table.digits, table.digit_starts[ids], table.digit_counts[ids]), table.digit_counts, shown, 1), (table.decode(ids), table.counts, back, 0)):
                     at = np.append(0, np.cumsum(widths[ids]))[ends]
                     view = memoryview(np.ascontiguousarray(bytes_of))
                     out += [hashlib.sha256(view[s : max(s, e - cut)]).hexdigest() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return base.mapInArrow(tidy(rows, keep=True), f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

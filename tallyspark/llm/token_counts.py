@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,15 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._pieces import PieceEncoder, encoder
-from ._shared import small_batches, spans, string_bytes, tidy, whole_text
+from ._pieces import GUARD, PieceEncoder, encoder
+from ._shared import fresh, spans, string_bytes, tidy, whole_text
 
-_TEXT = "_count_text"
 #: Bytes of a chunk, and of the overlap that is tried first.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 
-#: A chunk's (places in bytes where a cut is stable, tokens before each place, all tokens).
-Cuts = tuple[np.ndarray, np.ndarray, int]
+#: A chunk's places in bytes where a cut is stable, and the tokens of its first so many bytes.
+Cuts = tuple[np.ndarray, Callable[[int], int]]
 
 
 def spliced(data: bytes, cuts: Callable[[bytes], Cuts], guard: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
@@ -33,15 +33,15 @@ def spliced(data: bytes, cuts: Callable[[bytes], Cuts], guard: int, chunk: int =
         end, wider = min(size, begin + chunk), overlap
         while True:
             end = _boundary(data, min(size, max(end, begin + 2 * wider)))
-            places, before, tokens = cuts(data[begin:end])
+            places, tokens = cuts(data[begin:end])
             if end == size:
-                return total + tokens
+                return total + tokens(end - begin)
             start = _boundary(data, end - wider)
-            following, _, _ = cuts(data[start : _boundary(data, min(size, end + guard))])
+            following, _ = cuts(data[start : _boundary(data, min(size, end + guard))])
             common = np.intersect1d(places[(places > start - begin) & (places <= end - begin - guard)] + begin, following[following > 0] + start)
             if len(common):
                 cut = int(common[0])
-                total += int(before[np.searchsorted(places, cut - begin)])
+                total += tokens(cut - begin)
                 begin = cut
                 break
             wider *= 4
@@ -60,12 +60,32 @@ def piece_cuts(code: PieceEncoder) -> Callable[[bytes], Cuts]:
     def cuts(chunk: bytes) -> Cuts:
         data = np.frombuffer(chunk, np.uint8)
         places, counts, _ = code.piece_counts(data, np.array([0, len(data)]))
-        ends = np.cumsum(counts)
-        return places, ends - counts, int(ends[-1]) if len(ends) else 0
+        ends = np.append(0, np.cumsum(counts))
+        return places, lambda n: int(ends[np.searchsorted(places, n)])
 
     return cuts
 
 
+#: A single space between ASCII letters and digits, which normalising leaves alone.
+_GAP = re.compile(rb"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+
+
+def word_cuts(model) -> Callable[[bytes], Cuts]:
+    """Cuts behind single spaces, for a sentencepiece model whose pieces hold the word mark in front only: no piece spans such a space, and a chunk gets a mark in front as a word does."""
+
+    def cuts(chunk: bytes) -> Cuts:
+        gap = lambda n: n - 1 if n < len(chunk) else n
+        return np.array([m.end() for m in _GAP.finditer(chunk)], np.int64), lambda n: len(model.encode(chunk[: gap(n)].decode("utf-8"), num_threads=1))
+
+    return cuts
+
+
+def _words_apart(model) -> bool:
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    one = lambda text: model.encode(text, out_type=str)
+    return all("\u2581" not in p.lstrip("\u2581") for p in pieces) and one("b")[0].startswith("\u2581") and one("a b") == one("a") + one("b")
+
+
 class Counter:
     """Token counts by the library that the vocabulary file is for: tokenizers for .json and .tiktoken, sentencepiece for .model."""
 
@@ -75,28 +95,35 @@ class Counter:
             import sentencepiece
 
             self.model, self.code = sentencepiece.SentencePieceProcessor(model_file=path), None
+            self.apart = _words_apart(self.model)
         else:
             self.code = encoder(path)
-            self.guard = 8
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Counts of the texts data[offsets[i] : offsets[i + 1]]."""
         out = np.zeros(len(offsets) - 1, np.int64)
-        if self.code is None:
-            texts = [data[s:e].tobytes().decode("utf-8") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            return np.array([len(x) for x in self.model.encode(texts, num_threads=1)], np.int64)
-        code = self.code
         long = np.diff(offsets) > self.chunk
         for a, b in _stretches(long):
             part = offsets[a : b + 1]
-            if long[a] and code.by_piece and not any(w.encode() in data[part[0] : part[1]].tobytes() for w in code.added):
-                out[a] = spliced(data[part[0] : part[1]].tobytes(), piece_cuts(code), self.guard, self.chunk, self.overlap)
+            one = data[part[0] : part[-1]]
+            if long[a] and (self.apart if self.code is None else self.code.by_piece):
+                out[a] = self._spliced(one.tobytes())
+            elif self.code is None:
+                texts = [one[s:e].tobytes().decode("utf-8") for s, e in zip((part[:-1] - part[0]).tolist(), (part[1:] - part[0]).tolist(), strict=True)]
+                out[a:b] = [len(x) for x in self.model.encode(texts, num_threads=1)]
             else:
                 for c, d in spans(part):
-                    _, ends = code.encode(data[part[c] : part[d]], part[c : d + 1] - part[c])
+                    _, ends = self.code.encode(data[part[c] : part[d]], part[c : d + 1] - part[c])
                     out[a + c : a + d] = np.diff(ends)
         return out
 
+    def _spliced(self, text: bytes) -> int:
+        """Added tokens count one each; what stands between them is spliced."""
+        if self.code is None:
+            return spliced(text, word_cuts(self.model), 1, self.chunk, self.overlap)
+        cuts = piece_cuts(self.code)
+        return sum(1 if token is not None else spliced(text[a:b], cuts, GUARD, self.chunk, self.overlap) for a, b, token in self.code.stretches(text))
+
 
 def _stretches(long: np.ndarray) -> Iterator[tuple[int, int]]:
     """Row ranges: each long row alone, the others together."""
@@ -113,16 +140,17 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """(key, n_bytes, n_tokens, over_limit) of every row's whole text.
 
     Counts are the library's own, without begin, end or added tokens; an added token's text inside a text
-    counts as one token, as is the library's default, and such a text is encoded whole. Null texts count as
-    empty: 0 bytes, 0 tokens. Rows with equal or null keys are kept; other columns play no part. sentencepiece
-    models normalise across words, so their texts are encoded whole too, by the library.
+    counts as one token, as is the library's default. Null texts count as empty: 0 bytes, 0 tokens. Rows with
+    equal or null keys are kept, each for itself; other columns play no part, whatever their names. Texts longer
+    than ``chunk`` bytes go in overlapping chunks, but whole where the vocabulary's pieces can span any place
+    (neither a byte-level nor a word-marked one). An empty table gives no rows.
     """
-    base = small_batches(docs).select(F.col(key), whole_text(text).alias(_TEXT))
+    base = docs.select(F.col(key), whole_text(text).alias(fresh([key], "text")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(path, chunk, overlap)
         for batch in batches:
-            data, bounds = string_bytes(batch.column(_TEXT))
+            data, bounds = string_bytes(batch.column(1))
             found = [count(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in spans(bounds)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(bounds), pa.int64()), pa.array(np.concatenate(found) if found else [], pa.int64())], names=[key, "n_bytes", "n_tokens"])
 

@@ -22,15 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._pieces import encoder
-from ._shared import shared_folder, small_batches, spans, string_bytes, tidy, whole_text
+from ._shared import shared_folder, spans, string_bytes, tidy, whole_text
 
-#: The dictionary is trained on at most this many documents, each cut to so many bytes of ids.
+#: The dictionary is trained on a stretch of so many bytes of ids, at a drawn place, of at most so many documents.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 1 << 14
 DICTIONARY_BYTES, LEVEL = 1 << 16, 3
 #: A block closes at so many bytes of frames or so many documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 
-_TEXT = "_ids_text"
 BLOCK_SCHEMA = "shard int, block int, dictionary string, width int, first_id long, last_id long, start_in_shard long, tokens long, ids array<long>, offsets array<int>, frames binary"
 
 
@@ -58,24 +57,37 @@ def _zstd(dictionary: bytes):
     return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
 
-def train_dictionary(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> bytes:
-    """From the SAMPLE_DOCS documents whose key hashes lowest; empty if they are too few to train on."""
-    rows = docs.count()
-    share = min(1.0, 2 * SAMPLE_DOCS / max(rows, 1))
+def _press(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """A compressor whose dictionary is digested once, not for each document."""
+    shared = _zstd(dictionary)
+    if shared:
+        shared.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_dict_id=False, write_content_size=True)
+
+
+def train_dictionary(docs: DataFrame, path: str, key: str, text: str, end_id: int, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> bytes:
+    """From the ``sample_docs`` documents whose key hashes lowest, a stretch of at most ``sample_bytes`` of each at a place that its hash says; empty if they are too few to train on."""
     order = F.xxhash64(F.col(key).cast("string"), F.lit("dictionary"))
-    some = docs.select(F.col(key), whole_text(text).alias(_TEXT), order.alias("_order")).where(F.pmod(F.col("_order"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    some = some.orderBy("_order", key, _TEXT).limit(SAMPLE_DOCS).select(_TEXT)
+    named = docs.where(F.col(key).isNotNull())
+    last = named.select(order.alias("draw")).orderBy("draw").limit(sample_docs).agg(F.max("draw")).first()[0]
+    some = named.select(order.alias("draw"), whole_text(text).alias("text")).where(F.col("draw") <= F.lit(last).cast("long"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         kind = _kind(code.library.get_vocab_size())
+        stretch = max(sample_bytes // kind.itemsize, 1)
         for batch in batches:
-            data, bounds = string_bytes(batch.column(0))
+            draws = batch.column(0).to_pylist()
+            data, bounds = string_bytes(batch.column(1))
             for a, b in spans(bounds):
                 found, ends = code.encode(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                yield pa.RecordBatch.from_arrays([pa.array([np.append(found[s:e], end_id).astype(kind).tobytes()[:SAMPLE_BYTES] for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["ids"])
+                out = []
+                for draw, s, e in zip(draws[a:b], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    at = s + stretch * ((draw or 0) % -(-(e - s + 1) // stretch))
+                    out.append(np.append(found[at:e], end_id)[:stretch].astype(kind).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
-    samples = [bytes(r.ids) for r in some.mapInArrow(tidy(ids, keep=True), "ids binary").collect()]
+    samples = [bytes(r.ids) for r in some.mapInArrow(tidy(ids, keep=True), "ids binary").limit(sample_docs).collect()]  # at most sample_docs * sample_bytes
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // 8)), samples).as_bytes()
     except zstandard.ZstdError:
@@ -90,10 +102,12 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, key: str
     """Writes the ids of every whole text, each with ``end_id`` behind it, in ascending key order.
 
     A shard is a range of keys; shards in number order, blocks within them, and documents within blocks
-    ascend. Null keys come first, equal keys next to each other by text; null and empty texts hold the end id alone. Added tokens'
-    texts inside a text get their ids, as is the library's default. An empty table makes no blocks.
+    ascend. Null keys come first, equal keys next to each other by the text's hash, then the text; null and empty
+    texts hold the end id alone. Repeated rows are written as often as they come. Added tokens' texts inside a text
+    get their ids, as is the library's default. Long texts are encoded in windows. Other columns play no part,
+    whatever their names. An empty table makes no blocks.
     """
-    spark = small_batches(docs).sparkSession
+    spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     dictionary = train_dictionary(docs, path, key, text, end_id)
     stamp = _hash(dictionary)
@@ -102,7 +116,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, key: str
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, shard = encoder(path), TaskContext.get().partitionId()
         kind = _kind(code.library.get_vocab_size())
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_zstd(dictionary), write_dict_id=False, write_content_size=True)
+        press = _press(dictionary)
         number = start = tokens = held = 0
         keys, frames = [], []
 
@@ -130,7 +144,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, key: str
         if keys:
             yield close()
 
-    ordered = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).alias(_TEXT)).repartitionByRange("key").sortWithinPartitions("key", _TEXT)
+    # the hash spreads rows of one key, null above all, over ranges
+    rows = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("key", "mark").sortWithinPartitions("key", "mark", "text").select("key", "text")
     ordered.mapInArrow(tidy(blocks, keep=True), BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     return TokenFiles(folder)
 

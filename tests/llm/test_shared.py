@@ -1,15 +1,42 @@
+import os
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import _shared
 
 
 def test_shared_folder_follows_the_session(spark):
     assert _shared.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default))
-    assert _shared.shared_folder(bare) == _shared.shared_folder(bare)
+    bare = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default), sparkContext=SimpleNamespace(master=master))
+    assert _shared.shared_folder(bare("local[2]")) == _shared.shared_folder(bare("local[2]"))
+    with pytest.raises(ValueError):
+        _shared.shared_folder(bare("spark://host:7077"))
+
+
+def test_the_callers_session_is_left_alone(spark, odd):
+    from tallyspark.llm import bpe_codec, jaccard_join, language_id
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    jaccard_join.jaccard_join(odd).count()
+    language_id.predict(bpe_codec.encode(odd, __import__("public_tokenizers").path("byte_bpe_50k.json")), language_id.fit(odd, F.lit(True))).count()
+    assert spark.conf.get(name) == before
+
+
+def test_dropped_tables_are_gone(spark):
+    scratch = []
+    assert _shared.saved(spark.range(3).toDF("x"), "kept", scratch).count() == 3
+    path = scratch[0]
+    _shared.dropped(spark, scratch)
+    assert not scratch and not os.path.exists(path)
+
+
+def test_fresh_names():
+    assert _shared.fresh(["a", "Text", "text_"], "text") == "text__" and _shared.fresh([], "x") == "x"
 
 
 def test_string_bytes_of_slices_and_nulls():

@@ -53,6 +53,63 @@ def test_ranks_give_the_rank_librarys_ids(some):
     assert encoded(encoder(RANKS), some) == [_own.encode_ordinary(x) for x in some]
 
 
+def pair(n):
+    """Two words of 2 ** n letters whose polynomial hashes modulo a power of two agree."""
+    one = "a"
+    for _ in range(n):
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("path", [JSON, RANKS])
+def test_words_that_polynomial_hashes_confuse(spark, path, rank_library):
+    some = [*pair(10), *pair(11), *pair(7), *pair(3)]
+    code = PieceEncoder(path)
+    want = [code.library.encode(x, add_special_tokens=False).ids if path == JSON else rank_library.encode_ordinary(x) for x in some]
+    assert encoded(code, some) == want
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    if path == JSON:
+        files = token_output.write_tokens(docs, JSON)
+        assert [r.ids for r in token_output.read_documents(spark, files).orderBy("key").collect()] == [[*x, 0] for x in want]
+        assert [r.n_tokens for r in token_counts.token_counts(docs, JSON).orderBy("doc_id").collect()] == [len(x) for x in want]
+
+
+def test_pieces_that_share_a_hash_are_told_apart(monkeypatch):
+    code = PieceEncoder(JSON)
+    monkeypatch.setattr(code, "hash", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    some = ["one two six ten", "the cat and dog", "x" * 300 + " " + "y" * 300, "z" * 300, "one two six ten"]
+    for _ in range(2):
+        assert encoded(code, some) == [code.library.encode(x, add_special_tokens=False).ids for x in some]
+
+
+@settings(max_examples=60, deadline=None)
+@given(texts, st.integers(9, 60))
+def test_windows_of_a_long_text_give_its_ids(text, window):
+    for path in (JSON, RANKS):
+        code, whole = encoder(path), text * 3
+        parts = [*code.parts(np.frombuffer(whole.encode(), np.uint8), window)]
+        assert [i for p in parts for i in p.tolist()] == encoded(code, [whole])[0]
+
+
+def test_texts_longer_than_a_window(spark, rank_library):
+    whole = ("Some words, it's <|endoftext|> 12 3  \n\n" * 40_000) + "x" * 3_000
+    docs = spark.createDataFrame([(1, "before"), (2, whole), (3, "after")], "doc_id long, text string")
+    ids = rank_library.encode_ordinary(whole)
+    got = bpe_codec.digests(docs, RANKS).orderBy("doc_id").collect()[1]
+    assert (got.n_tokens, got.ids_sha256, got.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(whole.encode()).hexdigest())
+    want = encoder(JSON).library.encode(whole, add_special_tokens=False).ids
+    assert [r.n_tokens for r in token_counts.token_counts(docs, JSON).orderBy("doc_id").collect()][1] == len(want)
+    files = token_output.write_tokens(docs, JSON)
+    assert token_output.read_documents(spark, files, [2]).first().ids == [*want, 0]
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert [r.n_tokens for r in token_counts.token_counts(docs, MODEL).orderBy("doc_id").collect()][1] == len(model.encode(whole))
+
+
+def test_helper_names_dont_touch_the_callers_columns(spark):
+    docs = spark.createDataFrame([(1, "one two", "kept")], "doc_id long, text string, text_to_encode string")
+    assert bpe_codec.encode(docs, RANKS).first().text_to_encode == "kept"
+
+
 def test_memory_starts_again(monkeypatch):
     code = PieceEncoder(JSON, memory=20)
     some = [f"word{i} and more{i * 7}" for i in range(60)]

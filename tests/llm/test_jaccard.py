@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tallyspark.llm import jaccard_join as J
 
@@ -57,6 +58,58 @@ def test_components_by_brute_force(spark):
     assert again.count() == 0 and again.columns == ["doc_id", "n_shingles", "component_id"]
 
 
+def thue_morse(n):
+    """Two words of 2 ** n letters whose polynomial hashes modulo a power of two agree."""
+    one = "a"
+    for _ in range(n):
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate([*thue_morse(10), *thue_morse(11), *thue_morse(3)])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in J.jaccard_join(docs).collect()) == [(i, i) for i in range(6)]
+
+
+@pytest.mark.parametrize(("few", "common"), [(1, J.COMMON_MOST), (3, 7), (1000, 0)])
+def test_either_way_of_finding_pairs_gives_the_same(spark, few, common):
+    rows = corpus(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, J.jaccard_join(docs, few=few, common=common).collect())) == brute(rows)
+
+
+def test_many_near_copies_and_an_ngram_in_every_document(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    base = [word() for _ in range(40)]
+    rows = [" ".join([*base, word()]) for _ in range(5000)]
+    rows += [" ".join(["in", "every", "one", "of", "them", *[word() for _ in range(draw.randint(1, 6))]]) for _ in range(1500)]
+    rows[:5000] = [f"in every one of them {x}" for x in rows[:5000]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in J.jaccard_join(docs).collect()}
+    assert all(got[i] == 0 for i in range(5000))
+    want = brute([(i, x) for i, x in enumerate(rows) if i >= 5000])
+    assert [(i, got[i]) for i in range(5000, 6500)] == [(i, c) for i, _, c in want]
+
+
+def test_long_texts_in_windows_have_the_same_set():
+    draw = random.Random(2)
+    text = "".join(draw.choice(["Ab", "c", "\n", " ", "  ", "dé", "\t"]) for _ in range(3000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    whole, _ = J.Shingles(5)(data, np.array([0, len(data)]))
+    for window in (7, 50, 1000):
+        assert (J.Shingles(5, window)(data, np.array([0, len(data)]))[0] == whole).all()
+    for few in (b"one two", b"x" * 500, b" " * 90):
+        some = np.frombuffer(few, np.uint8)
+        assert J.Shingles(5, 4)(some, np.array([0, len(some)]))[0].tolist() == J.Shingles(5)(some, np.array([0, len(some)]))[0].tolist()
+
+
+def test_helper_names_dont_touch_the_callers_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 1, 2), (2, "a b c d e f", "y", 3, 4)], "doc_id long, text string, suspect string, row int, word int")
+    kept = J.one_of_each(docs)
+    assert [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", "x", 1, 2)] and kept.columns == docs.columns
+
+
 def test_edge_cases(odd):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in J.jaccard_join(odd).collect())
     assert [x for x in got if x[1] == 6] == [(False, 6, 1, 6)] * 2

@@ -10,6 +10,7 @@ share tables are decoded in step, each numpy operation taking one symbol of ever
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, spans, string_bytes, tidy, whole_text
+from ._shared import fresh, spans, string_bytes, tidy, whole_text
 
-_TEXT = "_media_text"
 #: Fixed values of the format: markers.
 SOI, EOI, SOF0, DHT, DQT, DRI, SOS, COM, RST0 = 0xD8, 0xD9, 0xC0, 0xC4, 0xDB, 0xDD, 0xDA, 0xFE, 0xD0
 #: A payload byte b is the coefficient b + SHIFT, so that every value has SIZE bits and 0 is never met.
@@ -56,25 +56,61 @@ class Header:
         return (self.restart, tuple(self.parts), tuple(self.scan), tuple(sorted(self.codes.items())))
 
     def grid(self) -> tuple[int, int]:
-        """MCUs across and down."""
-        across, down = (8 * max(p[k] for p in self.parts) for k in (1, 2)) if len(self.parts) > 1 else (8, 8)
-        return -(-self.width // across), -(-self.height // down)
+        """MCUs of the scan across and down; in a scan of one component an MCU is a block of that component."""
+        most = [max(p[k] for p in self.parts) for k in (1, 2)]
+        if len(self.scan) == 1:
+            own = self.parts[self.scan[0][0]]
+            return tuple(-(-(-(-size * own[k] // m)) // 8) for size, k, m in zip((self.width, self.height), (1, 2), most, strict=True))
+        return -(-self.width // (8 * most[0])), -(-self.height // (8 * most[1]))
+
+    def luminance(self) -> int:
+        """Place of the image's first component in the scan."""
+        return [c for c, _, _ in self.scan].index(0)
+
+    def factors(self, place: int) -> tuple[int, int]:
+        """Blocks across and down that a component of the scan has in an MCU."""
+        return (1, 1) if len(self.scan) == 1 else self.parts[self.scan[place][0]][1:3]
+
+
+def _frame(body: bytes, head: Header) -> None:
+    depth, head.height, head.width, n = struct.unpack_from(">BHHB", body)
+    head.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+    if depth != 8 or not head.width or not head.height or not n:
+        raise JpegError("not an image of 8-bit samples")
+    if any(not 1 <= x <= 4 for p in head.parts for x in p[1:3]) or len({p[0] for p in head.parts}) < n:
+        raise JpegError("no such components")
+
+
+def _next_marker(data: bytes, at: int) -> int:
+    """Where the entropy-coded bytes from ``at`` on end."""
+    while (at := data.find(b"\xff", at)) >= 0 and at + 1 < len(data):
+        if data[at + 1] not in (0, 0xFF) and not RST0 <= data[at + 1] <= RST0 + 7:
+            return at
+        at += 1
+    return len(data)
 
 
 def parse(data: bytes) -> tuple[Header, int]:
-    """(header, where the scan's bits begin)."""
+    """(header, where the bits begin) of the scan that holds the image's first component; scans of others before it are passed over."""
     if data[:2] != bytes([0xFF, SOI]):
         raise JpegError("no SOI marker")
     head, at = Header(), 2
     while at + 4 <= len(data):
         if data[at] != 0xFF:
             raise JpegError(f"no marker at {at}")
-        kind, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        kind = data[at + 1]
+        if kind == 0xFF:  # a fill byte
+            at += 1
+            continue
+        if kind == EOI:
+            break
+        size = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
+        if size < 2 or len(body) < size - 2:
+            raise JpegError("a segment ends early")
         at += 2 + size
         if kind == SOF0:
-            _, head.height, head.width, n = struct.unpack_from(">BHHB", body)
-            head.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            _frame(body, head)
         elif 0xC1 <= kind <= 0xCF and kind not in (DHT, 0xC8, 0xCC):
             raise JpegError("not baseline")
         elif kind == DQT:
@@ -85,6 +121,8 @@ def parse(data: bytes) -> tuple[Header, int]:
         elif kind == DHT:
             while body:
                 n = sum(body[1:17])
+                if len(body) < 17 + n or sum(c << (15 - i) for i, c in enumerate(body[1:17])) > 1 << 16:
+                    raise JpegError("no such code")
                 head.codes[body[0]] = (body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif kind == DRI:
@@ -94,7 +132,10 @@ def parse(data: bytes) -> tuple[Header, int]:
         elif kind == SOS:
             ids = [p[0] for p in head.parts]
             head.scan = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
-            if not head.parts or any(((0 << 4) | d) not in head.codes or ((1 << 4) | a) not in head.codes for _, d, a in head.scan):
+            if 0 not in [c for c, _, _ in head.scan]:
+                at = _next_marker(data, at)
+                continue
+            if any(d not in head.codes or (16 | a) not in head.codes for _, d, a in head.scan) or len(head.quants.get(head.parts[0][3], ())) < 64:
                 raise JpegError("tables are missing")
             return head, at
     raise JpegError("no scan")
@@ -140,8 +181,7 @@ def decode_intervals(head: Header, bits: np.ndarray, starts: np.ndarray, mcus: n
     for k in range(8):
         window |= padded[k : k + len(window)] << np.uint64(56 - 8 * k)
     tables = [(_lookup(head.codes[d]), _lookup(head.codes[16 | a])) for _, d, a in head.scan]
-    alone = len(head.scan) == 1
-    factors = [(1, 1) if alone else head.parts[c][1:3] for c, _, _ in head.scan]
+    factors = [head.factors(i) for i in range(len(head.scan))]
     longest = int(mcus.max(initial=0))
     out = [np.zeros((len(starts), longest * h * v, 64), np.int16) for h, v in factors]
     at = starts.astype(np.int64) * 8
@@ -195,47 +235,45 @@ class Image:
 
 
 def decode(images: list[bytes]) -> list[Image]:
-    """Decodes baseline images; those of one layout together."""
+    """Decodes baseline images; those of one layout and of intervals of about one length together."""
     groups: dict[tuple, list[int]] = {}
-    heads = []
+    heads, scans = [], []
     for i, data in enumerate(images):
-        heads.append(parse(data))
-        groups.setdefault(heads[-1][0].layout(), []).append(i)
+        head, at = parse(data)
+        across, down = head.grid()
+        total = across * down
+        bits, begin, _ = unstuffed(np.frombuffer(data, np.uint8)[at:])
+        blocks = total * sum(h * v for h, v in map(head.factors, range(len(head.scan))))
+        if 2 * blocks > 8 * len(bits):  # a block takes two bits at least
+            raise JpegError("the scan ends early")
+        each = head.restart or total
+        count = np.full(len(begin), each)
+        count[-1] = total - each * (len(begin) - 1)
+        if not 0 < count[-1] <= each:
+            raise JpegError("restart intervals don't fit the size")
+        heads.append(head)
+        scans.append((bits, begin, count))
+        groups.setdefault((head.layout(), int(count[0]).bit_length()), []).append(i)
     out: list[Image | None] = [None] * len(images)
     for members in groups.values():
-        bits, starts, mcus, of = [], [], [], []
-        base = 0
-        for i in members:
-            head, at = heads[i]
-            mine, begin, _ = unstuffed(np.frombuffer(images[i], np.uint8)[at:])
-            across, down = head.grid()
-            total, each = across * down, head.restart or across * down
-            count = np.full(len(begin), each)
-            count[-1] = total - each * (len(begin) - 1)
-            if not 0 < count[-1] <= each:
-                raise JpegError("restart intervals don't fit the size")
-            bits.append(mine)
-            starts.append(begin + base)
-            mcus.append(count)
-            of.append(len(begin))
-            base += len(mine)
-        head = heads[members[0]][0]
-        found = decode_intervals(head, np.concatenate(bits), np.concatenate(starts), np.concatenate(mcus))[0]
-        h, v = (1, 1) if len(head.scan) == 1 else head.parts[head.scan[0][0]][1:3]
+        head = heads[members[0]]
+        base = np.append(0, np.cumsum([len(scans[i][0]) for i in members]))
+        found = decode_intervals(head, np.concatenate([scans[i][0] for i in members]), np.concatenate([scans[i][1] + b for i, b in zip(members, base[:-1], strict=True)]), np.concatenate([scans[i][2] for i in members]))[head.luminance()]
+        h, v = head.factors(head.luminance())
         at = 0
-        for i, n, count in zip(members, of, mcus, strict=True):
-            part = found[at : at + n]
-            at += n
-            blocks = part.reshape(-1, 64) if (count == count[0]).all() else np.concatenate([x[: c * h * v] for x, c in zip(part, count.tolist(), strict=True)])
-            out[i] = Image(heads[i][0], blocks, _thumbnail(heads[i][0], blocks, h, v))
+        for i in members:
+            count = scans[i][2]
+            part = found[at : at + len(count)]
+            at += len(count)
+            blocks = np.concatenate([x[: c * h * v] for x, c in zip(part, count.tolist(), strict=True)]) if (count * h * v != part.shape[1]).any() else part.reshape(-1, 64)
+            out[i] = Image(heads[i], blocks, _thumbnail(heads[i], blocks, h, v))
     return out
 
 
 def _thumbnail(head: Header, blocks: np.ndarray, h: int, v: int) -> np.ndarray:
     """A pixel for each luminance block, from its DC term: dequantised, over 8, plus 128."""
     across, down = head.grid()
-    first = head.parts[head.scan[0][0]]
-    level = blocks[:, 0].astype(np.int64) * int(head.quants[first[3]][0])
+    level = blocks[:, 0].astype(np.int64) * int(head.quants[head.parts[0][3]][0])
     pixels = np.clip(np.floor_divide(level + 4, 8) + 128, 0, 255).astype(np.uint8)
     return pixels.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
 
@@ -299,15 +337,25 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return images
 
 
-def payload(image: Image) -> np.ndarray:
-    """The bytes that ``encode_payloads`` stored."""
-    size = int(image.header.comment.split(b" ")[1])
-    return (image.blocks.ravel()[:size] - SHIFT).astype(np.uint8)
+def payload(image: Image) -> np.ndarray | None:
+    """The bytes that ``encode_payloads`` stored; None of an image that it can't have made."""
+    named = re.fullmatch(rb"payload ([1-9][0-9]{0,11})", image.header.comment)
+    size, values = int(named[1]) if named else 0, image.blocks.ravel() - np.int16(SHIFT)
+    if not size or size % 64 or not 0 <= len(values) - size < 64 * image.header.grid()[0]:
+        return None
+    if values.min() < 0 or values.max() > 255 or values[size:].any():
+        return None
+    return values[:size].astype(np.uint8)
 
 
 def to_jpeg(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, media): every whole text as a JPEG that holds its bytes, zeros up to a positive multiple of 64 behind them. Null texts count as empty."""
-    base = small_batches(docs).select(F.col(key), whole_text(text).alias(_TEXT))
+    """(key, n_bytes, media): every whole text as a JPEG that holds its bytes, zeros up to a positive multiple of 64 behind them.
+
+    Null texts count as empty. Equal texts make equal images; rows with equal or null keys are kept, and other
+    columns play no part, whatever their names. An empty table gives no rows. An image has at most SIDE blocks on a
+    side, so a text of more than SIDE * SIDE * 64 bytes (over 4 GB) can't be stored.
+    """
+    base = docs.select(F.col(key), whole_text(text).alias(fresh([key], "text")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,8 +374,10 @@ def to_jpeg(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def describe(media: DataFrame, key: str = "doc_id", column: str = "media", kept: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
     """(key, *kept, width, height, payload columns, media_bytes, media_sha256, feature) of every image.
 
-    The feature is width, height and the thumbnail's hashes. Null, empty or broken media have null there and no
-    dimensions; an image without a payload comment has its thumbnail but no payload columns.
+    The feature is width, height and the thumbnail's hashes, so equal images have equal ones. Null, empty or broken
+    media have null there and no dimensions; an image that ``to_jpeg`` can't have made has its thumbnail but no
+    payload columns. Rows with equal or null keys are kept; columns not named in ``kept`` are left out, whatever
+    their names. An empty table gives no rows.
     """
     schema = f"`{key}` {media.schema[key].dataType.simpleString()}, " + "".join(f"`{c}` {media.schema[c].dataType.simpleString()}, " for c in kept)
     schema += "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
@@ -335,13 +385,14 @@ def describe(media: DataFrame, key: str = "doc_id", column: str = "media", kept:
     def read(some: list[bytes]) -> list[tuple]:
         try:
             images = decode(some)
-        except (JpegError, IndexError, struct.error, KeyError, ValueError):
+        except (JpegError, ArithmeticError, LookupError, struct.error, ValueError):
             if len(some) > 1:
                 return [x for one in some for x in read([one])]
             return [(None, None, None, len(some[0]), hashlib.sha256(some[0]).hexdigest(), None, None, None)]
         out = []
         for raw, image in zip(some, images, strict=True):
-            held = payload(image).tobytes() if image.header.comment.startswith(b"payload ") else None
+            found = payload(image)
+            held = None if found is None else found.tobytes()
             w, h = image.header.width, image.header.height
             out.append((None if held is None else len(held), None if held is None else hashlib.sha256(held).hexdigest(), None if held is None else zlib.crc32(held[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{w}x{h}-{thumbnail_hash(image.thumbnail)}", w, h))
         return out

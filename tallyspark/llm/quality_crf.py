@@ -1,7 +1,10 @@
 """Document quality: a linear-chain conditional random field labels every line good or bad.
 
-A line's features are its own and its neighbours'. Training gives each line its document's label; scoring
-runs forward-backward over a document's lines and averages the marginals weighted by line length.
+A line's features are its own and its neighbours'. Documents are labelled, lines aren't: training starts from the
+document's label for each line, then alternates. Given the model, each document's lines get the marginals nearest to
+the model's whose length-weighted mean fits the label; given those, the weights are fitted. So good lines of a bad
+document and bad lines of a good one need not follow its label. Scoring runs forward-backward over a document's
+lines and averages the marginals weighted by line length.
 """
 
 from __future__ import annotations
@@ -14,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SpanHash, crc_of_id, mixed, small_batches, spans, string_bytes, tidy, whole_text
+from ._shared import CHUNK_BYTES, SpanHash, crc_of_id, fresh, mixed, spans, string_bytes, tidy, whole_text
 
-#: The model is fitted on at most this many labelled documents, drawn by a hash of the id, of at most this many lines each.
-SAMPLE_DOCS, SAMPLE_LINES = 5000, 400
-STEPS, RATE, PENALTY = 250, 0.08, 1e-3
+#: The model is fitted on at most this many labelled documents, drawn by a hash of the id, and of each on at most so many lines in a row at a drawn place: 102 MB of features.
+SAMPLE_DOCS, SAMPLE_LINES = 5000, 100
+#: Rounds of labelling lines, and steps of fitting in each.
+ROUNDS, STEPS, RATE, PENALTY = 3, 110, 0.08, 1e-3
+#: A good document's lines come to at least this mean, a bad one's to at most one less this.
+SURE = 0.9
 THRESHOLD = 0.3
+#: A longer line counts as lines of this many bytes.
+LINE_BYTES = 1 << 16
 
-_TEXT = "_quality_text"
 #: Byte classes of a line. Bytes of 128 and more are parts of letters.
 LOWER, UPPER, DIGIT, BLANK, STOP, SYMBOL, HIGH = range(7)
 
@@ -38,10 +45,11 @@ KINDS = _classes()
 OWN = 17
 
 
-def line_features(data: np.ndarray, offsets: np.ndarray, hash_of: SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every line with its neighbours' beside them, line lengths in bytes, each text's first line).
+def own_features(data: np.ndarray, offsets: np.ndarray, hash_of: SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(each line's own features, line lengths in bytes, each text's first line, hash of each line in its text).
 
-    Lines end at line feeds; a text has one line more than line feeds, so an empty text has one empty line.
+    Lines end at line feeds; a text has one line more than line feeds, so an empty text has one empty line. What
+    depends on all lines of a text, REPEATS and LINES, is filled in by ``in_text``.
     """
     # a line feed behind each text, so that no line spans two
     rows = len(offsets) - 1
@@ -49,6 +57,10 @@ def line_features(data: np.ndarray, offsets: np.ndarray, hash_of: SpanHash) -> t
     buffer[np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(offsets))] = data
     ends = np.flatnonzero(buffer == 10)
     starts = np.append(0, ends[:-1] + 1)
+    long = np.flatnonzero(ends - starts > LINE_BYTES)
+    if len(long):
+        extra = np.concatenate([np.arange(starts[i] + LINE_BYTES, ends[i], LINE_BYTES) for i in long])
+        starts, ends = np.sort(np.concatenate([starts, extra])), np.sort(np.concatenate([ends, extra]))
     first = np.searchsorted(starts, offsets + np.arange(rows + 1))
     n, size = len(starts), (ends - starts).astype(np.float64)
     doc = np.repeat(np.arange(rows), np.diff(first))
@@ -64,7 +76,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray, hash_of: SpanHash) -> t
     blank = kind == BLANK
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    line = np.searchsorted(ends, begin)
+    line = np.searchsorted(ends, begin, "right")
     words = np.bincount(line, minlength=n).astype(np.float64)
     distinct = top = np.zeros(n)
     closed = np.zeros(n)
@@ -77,17 +89,34 @@ def line_features(data: np.ndarray, offsets: np.ndarray, hash_of: SpanHash) -> t
         top = np.zeros(n)
         np.maximum.at(top, which, count)
         closed = np.bincount(line, kind[end - 1] == SYMBOL, minlength=n) / np.maximum(words, 1)
-    # lines that the same text repeats
     keyed = mixed(hash_of(buffer, starts, ends) ^ mixed(doc.astype(np.uint64) + np.uint64(1)))
-    _, back, count = np.unique(keyed, return_inverse=True, return_counts=True)
-    repeats = np.where(size > 0, np.log(count[back]), 0.0)
     letters = of[LOWER] + of[UPPER] + of[HIGH]
     last = kind[np.maximum(ends - 1, 0)]
     own = np.column_stack([
         np.log1p(size) / 6, letters, of[UPPER] / np.maximum(letters, 1e-9), of[DIGIT], of[BLANK], of[STOP], of[SYMBOL], of[HIGH],
         share(again), np.minimum(size / np.maximum(words, 1), 40) / 10, distinct / np.maximum(words, 1), top / np.maximum(words, 1), closed,
-        repeats, (size > 0) & (last == STOP), np.log1p(words) / 5, np.log1p(np.diff(first))[doc] / 5,
+        np.zeros(n), (size > 0) & (last == STOP), np.log1p(words) / 5, np.zeros(n),
     ])
+    return own, size, first, keyed
+
+
+#: Columns of a line's own features that depend on its whole text: how often the text repeats the line, and its lines.
+REPEATS, LINES = 13, 16
+
+
+def in_text(own: np.ndarray, size: np.ndarray, first: np.ndarray, keyed: np.ndarray) -> np.ndarray:
+    """``own`` with what depends on all lines of each text."""
+    _, back, count = np.unique(keyed, return_inverse=True, return_counts=True)
+    own[:, REPEATS] = np.where(size > 0, np.log(count[back]), 0.0)
+    lines = np.diff(first)
+    own[:, LINES] = np.repeat(np.log1p(lines) / 5, lines)
+    return own
+
+
+def line_features(data: np.ndarray, offsets: np.ndarray, hash_of: SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every line with its neighbours' beside them, zeros beyond the text; line lengths in bytes; each text's first line)."""
+    own, size, first, keyed = own_features(data, offsets, hash_of)
+    in_text(own, size, first, keyed)
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     before[first[:-1]] = 0
@@ -95,6 +124,21 @@ def line_features(data: np.ndarray, offsets: np.ndarray, hash_of: SpanHash) -> t
     return np.column_stack([own, before, after]), size, first
 
 
+def line_windows(data: np.ndarray, window: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+    """Stretches of whole lines of one text, without the line feed that ends each."""
+    at = 0
+    while len(data) - at > window:
+        feeds = np.flatnonzero(data[at : at + window] == 10)
+        if len(feeds):
+            yield data[at : at + feeds[-1]]
+            at += int(feeds[-1]) + 1
+        else:
+            cut = max(window // LINE_BYTES, 1) * LINE_BYTES
+            yield data[at : at + cut]
+            at += cut + int(data[at + cut] == 10)
+    yield data[at:]
+
+
 @dataclass
 class ChainModel:
     """Weights of a line's score for good, transitions and start scores (bad 0, good 1)."""
@@ -106,6 +150,26 @@ class ChainModel:
     moves: np.ndarray
     start: np.ndarray
 
+    def lines(self, x: np.ndarray) -> np.ndarray:
+        """Scores of lines with their neighbours' features beside them."""
+        return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights + self.bias
+
+    def long_text(self, data: np.ndarray, hash_of: SpanHash, window: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of the lines of one text, their lengths), a stretch of lines at a time: a score is a sum of a line's own part and its neighbours'."""
+        keys = [own_features(x, np.array([0, len(x)]), hash_of)[3] for x in line_windows(data, window)]
+        known, count = np.unique(np.concatenate(keys), return_counts=True)
+        total, parts, sizes = sum(map(len, keys)), [], []
+        zero = np.zeros(OWN)
+        part = lambda own, k: np.clip((own - self.mean[k * OWN : (k + 1) * OWN]) / self.scale[k * OWN : (k + 1) * OWN], -6, 6) @ self.weights[k * OWN : (k + 1) * OWN]
+        for x in line_windows(data, window):
+            own, size, _, keyed = own_features(x, np.array([0, len(x)]), hash_of)
+            own[:, REPEATS] = np.where(size > 0, np.log(count[np.searchsorted(known, keyed)]), 0.0)
+            own[:, LINES] = np.log1p(total) / 5
+            parts.append([part(own, k) for k in range(3)])
+            sizes.append(size)
+        own, before, after = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        return own + np.append(part(zero, 1), before[:-1]) + np.append(after[1:], part(zero, 2)) + self.bias, np.concatenate(sizes)
+
 
 def forward_backward(score: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(probability of good for each line, expected moves, expected starts) over all texts, which have a line at least.
@@ -141,43 +205,77 @@ def forward_backward(score: np.ndarray, first: np.ndarray, moves: np.ndarray, st
     return good, pair.sum(0), np.array([(1 - p).sum(), p.sum()])
 
 
-def train(features: np.ndarray, first: np.ndarray, label: np.ndarray) -> ChainModel:
-    """Maximum likelihood of the line labels, by Adam on all texts at once with a quadratic penalty."""
-    mean, scale = features.mean(0), features.std(0) + 1e-6
-    x = np.clip((features - mean) / scale, -6, 6)
-    y = np.repeat(label, np.diff(first)).astype(float)
-    n, d = x.shape
+def fitting(score: np.ndarray, first: np.ndarray, weight: np.ndarray, label: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``forward_backward``, of the nearest chain whose weighted mean is at least SURE in documents labelled 1 and at most 1 - SURE in the others.
+
+    That chain adds a multiple of each line's weight to its score, one for each document, found by halving.
+    """
+    lines = np.diff(first)
+    share = weight / np.repeat(np.add.reduceat(weight, first[:-1]), lines)
+    scaled = share * np.repeat(lines, lines)
+    mean = lambda tilt: np.add.reduceat(forward_backward(score + np.repeat(tilt, lines) * scaled, first, moves, start)[0] * share, first[:-1])
+    free = mean(np.zeros(len(label)))
+    aim = np.where(label > 0, SURE, 1 - SURE)
+    free_of = np.where(label > 0, free >= aim, free <= aim)
+    low, high = np.where(label > 0, 0.0, -60.0), np.where(label > 0, 60.0, 0.0)
+    for _ in range(20):
+        middle = (low + high) / 2
+        over = mean(middle) > aim
+        low, high = np.where(over, low, middle), np.where(over, middle, high)
+    return forward_backward(score + np.repeat(np.where(free_of, 0.0, (low + high) / 2), lines) * scaled, first, moves, start)
+
+
+def train(features: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> ChainModel:
+    """Weights for documents labelled 0 or 1: lines are labelled by the document first, then by ``fitting``; Adam on all texts at once with a quadratic penalty."""
+    weight = np.expm1(features[:, 0].astype(np.float64) * 6) + 1
+    mean, scale = features.mean(0, dtype=np.float64), features.std(0, dtype=np.float64) + 1e-6
+    x = np.clip((features - mean.astype(features.dtype)) / scale.astype(features.dtype), -6, 6)
+    d = x.shape[1]
     inner = np.diff(first) - 1
+    theta = np.zeros(d + 7)
+    parts = lambda: (x @ theta[:d].astype(x.dtype) + theta[d], theta[d + 1 : d + 5].reshape(2, 2), theta[d + 5 :])
+    y = np.repeat(label, np.diff(first)).astype(float)
     moved = np.array([[inner[label == 0].sum(), 0], [0, inner[label == 1].sum()]], float)
     began = np.array([(label == 0).sum(), (label == 1).sum()], float)
-    theta, m, v = np.zeros(d + 7), np.zeros(d + 7), np.zeros(d + 7)
-    for t in range(1, STEPS + 1):
-        good, pairs, starts = forward_backward(x @ theta[:d] + theta[d], first, theta[d + 1 : d + 5].reshape(2, 2), theta[d + 5 :])
-        off = y - good
-        slope = np.concatenate([x.T @ off, [off.sum()], (moved - pairs).ravel(), began - starts]) / len(label) - PENALTY * theta
-        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-        theta += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    for turn in range(rounds):
+        if turn:
+            score, moves, start = parts()
+            y, moved, began = fitting(score, first, weight, label, moves, start)
+        m, v = np.zeros(d + 7), np.zeros(d + 7)
+        for t in range(1, STEPS + 1):
+            score, moves, start = parts()
+            good, pairs, starts = forward_backward(score, first, moves, start)
+            off = y - good
+            slope = np.concatenate([x.T @ off.astype(x.dtype), [off.sum()], (moved - pairs).ravel(), began - starts]) / len(label) - PENALTY * theta
+            m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+            theta += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return ChainModel(mean, scale, theta[:d], float(theta[d]), theta[d + 1 : d + 5].reshape(2, 2), theta[d + 5 :])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE_DOCS) -> ChainModel | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> ChainModel | None:
     """Learns from labelled documents that aren't held out; None if none are left.
 
-    The sample is drawn from the labels, so only its texts are read out; features are made by Spark, and the
-    driver gets numbers of at most ``sample`` documents of SAMPLE_LINES lines.
+    At most ``sample`` documents are drawn from the labels by a hash of the key, so only their texts are read out,
+    and of each at most ``lines`` lines in a row at a place that the hash says; features are made by Spark, and the
+    driver gets numbers of no more than that. Null texts are empty ones; rows without a key or label don't count;
+    repeated rows and labels count as often as they meet. Other columns play no part, whatever their names.
     """
     draw = F.xxhash64(F.col(key).cast("string"), F.lit("quality"))
-    drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(key, F.col(label).cast("int").alias("_label")).orderBy(draw, key, "_label").limit(sample)
-    some = small_batches(docs).select(key, whole_text(text).alias(_TEXT)).join(F.broadcast(drawn), key).select("_label", _TEXT)  # at most `sample` rows
+    drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), draw.alias("draw")).orderBy("draw", "key", "label").limit(sample)
+    some = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).join(F.broadcast(drawn), "key").select("label", "draw", "text")  # at most `sample` rows
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = SpanHash()
         for batch in batches:
-            data, bounds = string_bytes(batch.column(1))
+            draws = batch.column(1).to_pylist()
+            data, bounds = string_bytes(batch.column(2))
             for a, b in spans(bounds):
                 x, _, first = line_features(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], hash_of)
-                keep = [i for i in range(b - a) if first[i + 1] - first[i] <= SAMPLE_LINES]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(keep, pa.int64())), pa.array([x[first[i] : first[i + 1]].astype(np.float32).tobytes() for i in keep], pa.binary())], names=["label", "lines"])
+                out = []
+                for draw, s, e in zip(draws[a:b], first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    at = s + draw % max(e - s - lines + 1, 1)
+                    out.append(x[at : min(at + lines, e)].astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], names=["label", "lines"])
 
     rows = some.mapInArrow(tidy(featured), "label int, lines binary").toArrow()
     found = [np.frombuffer(x, np.float32).reshape(-1, 3 * OWN) for x in rows.column("lines").to_pylist()]
@@ -185,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     order = sorted(range(len(found)), key=lambda i: (len(found[i]), found[i].tobytes()))
     label_of = np.asarray(rows.column("label"))[order]
-    return train(np.concatenate([found[i] for i in order]).astype(np.float64), np.append(0, np.cumsum([len(found[i]) for i in order])), (label_of > 0).astype(int))
+    return train(np.concatenate([found[i] for i in order]), np.append(0, np.cumsum([len(found[i]) for i in order])), (label_of > 0).astype(int))
 
 
 def held_out(key: str = "doc_id"):
@@ -196,9 +294,11 @@ def score(docs: DataFrame, model: ChainModel | None, key: str = "doc_id", text:
     """(key, held_out, score, predicted) of every row's whole text.
 
     The score is the mean over lines of the probability of good, weighted by bytes plus one. Null texts count as
-    empty and have one empty line. Rows with equal or null keys are kept. Without a model every score is 0.5.
+    empty and have one empty line. Rows with equal or null keys are kept, equal texts score alike, and long texts go
+    through in windows. Other columns play no part, whatever their names; an empty table gives no rows. Without a
+    model every score is 0.5.
     """
-    base = small_batches(docs).select(F.col(key), held_out(key).alias("held_out"), whole_text(text).alias(_TEXT))
+    base = docs.select(F.col(key), held_out(key).alias(fresh([key], "held_out")), whole_text(text).alias(fresh([key], "text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +307,12 @@ def score(docs: DataFrame, model: ChainModel | None, key: str = "doc_id", text:
             data, bounds = string_bytes(batch.column(2))
             out = np.full(batch.num_rows, 0.5)
             for a, b in spans(bounds) if chain else ():
-                x, size, first = line_features(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], hash_of)
-                line = np.clip((x - chain.mean) / chain.scale, -6, 6) @ chain.weights + chain.bias
+                if bounds[b] - bounds[a] > CHUNK_BYTES:  # one long text
+                    line, size = chain.long_text(data[bounds[a] : bounds[b]], hash_of)
+                    first = np.array([0, len(line)])
+                else:
+                    x, size, first = line_features(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], hash_of)
+                    line = chain.lines(x)
                 good, _, _ = forward_backward(line, first, chain.moves, chain.start)
                 out[a:b] = np.add.reduceat(good * (size + 1), first[:-1]) / np.add.reduceat(size + 1, first[:-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.clip(out, 0, 1))], names=[key, "held_out", "score"])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, spans, string_bytes, tidy, whole_text
+from ._shared import CHUNK_BYTES, fresh, spans, string_bytes, tidy, whole_text
 
 #: n-grams of 1 to this many characters, hashed to 2 ** BITS counters.
 ORDERS, BITS = 3, 15
@@ -19,8 +19,6 @@ SAMPLE_DOCS = 3000
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 
-_TEXT = "_language_text"
-
 
 class Grams:
     """Hashes of all n-grams of consecutive texts. Letters count in lower case, everything else as a space."""
@@ -58,6 +56,23 @@ class Grams:
             out.append(gram)
         return ends, out
 
+    def windows(self, data: np.ndarray, window: int = CHUNK_BYTES) -> Iterator[list[np.ndarray]]:
+        """The hashes of one text a window at a time: of the n-grams that begin in it, the first characters of the next one read along."""
+        lead, at = lambda i: i >= len(data) or data[i] & 0xC0 != 0x80, 0
+        while at < len(data):
+            end = min(at + window, len(data))
+            while not lead(end):
+                end += 1
+            behind = end
+            for _ in range(ORDERS - 1):
+                behind = min(behind + 1, len(data))
+                while not lead(behind):
+                    behind += 1
+            _, found = self(data[at:behind], np.array([0, behind - at]))
+            n = int(((data[at:end] & 0xC0) != 0x80).sum())
+            yield [gram[:n] for gram in found]
+            at = end
+
 
 @dataclass(frozen=True)
 class LanguageModel:
@@ -72,15 +87,18 @@ def fit(docs: DataFrame, keep: Column, key: str = "doc_id", text: str = "text",
     """Learns from rows where ``keep`` holds and text and lang are not null.
 
     About ``sample`` documents of each language are drawn by a hash of the key, so rare languages are taken
-    whole; their n-grams are counted by Spark, and the driver gets a number for each language and counter.
+    whole; their n-grams are counted by Spark, and the driver gets a number for each language and counter. Empty
+    texts add to a language's share only; repeated rows count as often as they come, and so do rows without a key,
+    which are drawn together. Other columns play no part, whatever their names. Nothing to learn from makes a model
+    without languages.
     """
-    rows = small_batches(docs).where(keep & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias(_TEXT), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language")), F.lit(1 << 30)).alias("_draw"))
+    rows = docs.where(keep & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language")), F.lit(1 << 30)).alias("draw"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return LanguageModel((), np.zeros(0), np.zeros((0, (1 << BITS) + 1)))
     bound = F.create_map(*[F.lit(x) for name in languages for x in (name, int(min(1.0, sample / sizes[name]) * (1 << 30)))])
-    drawn = rows.where(F.col("_draw") < bound[F.col("lang")]).select("lang", _TEXT)
+    drawn = rows.where(F.col("draw") < bound[F.col("lang")]).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, total = Grams(), {}
@@ -88,6 +106,10 @@ def fit(docs: DataFrame, keep: Column, key: str = "doc_id", text: str = "text",
             names = np.array(batch.column(0).to_pylist(), dtype=object)
             data, bounds = string_bytes(batch.column(1))
             for a, b in spans(bounds):
+                if bounds[b] - bounds[a] > CHUNK_BYTES:  # one long text
+                    for found in grams.windows(data[bounds[a] : bounds[b]]):
+                        total[names[a]] = total.get(names[a], 0) + sum(np.bincount(gram, minlength=(1 << BITS) + 1) for gram in found)
+                    continue
                 ends, found = grams(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 for name in set(names[a:b]):
                     mine = np.repeat(names[a:b] == name, np.diff(ends))
@@ -112,30 +134,37 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     """``docs`` with ``lang_pred`` and ``score``, the probability of that language under the model.
 
     A null text, or one without a letter, is undetermined with score 0; so is every text if nothing could be
-    learned. Ties go to the language first in code point order. Columns of the same names are replaced, others stay.
+    learned. Ties go to the language first in code point order. Columns of the same names are replaced, others stay,
+    whatever their names. Repeated rows are told alike, long texts go through in windows, and an empty table stays
+    empty.
     """
-    base = small_batches(docs).drop("lang_pred", "score").withColumn(_TEXT, whole_text(text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != _TEXT)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    base = docs.select(*kept, whole_text(text).alias(fresh(docs.columns, "text_to_tell")), F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs.columns, "lettered")))
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string, score double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded matrix
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, known = Grams(), shared.value
         names = np.array([*known.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            data, bounds = string_bytes(batch.column(_TEXT))
+            data, bounds = string_bytes(batch.column(batch.num_columns - 2))
             best, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
             for a, b in spans(bounds) if known.languages else ():
-                ends, found = grams(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 log_p = np.empty((len(known.languages), b - a))
-                for i, one in enumerate(known.log_p):
-                    sums = np.zeros(len(found[0]) + 1)
-                    np.cumsum(sum(one[gram] for gram in found), out=sums[1:])
-                    log_p[i] = np.diff(sums[ends]) + known.prior[i]
+                if bounds[b] - bounds[a] > CHUNK_BYTES:  # one long text
+                    log_p[:, 0] = known.prior
+                    for found in grams.windows(data[bounds[a] : bounds[b]]):
+                        log_p[:, 0] += [sum(one[gram].sum() for gram in found) for one in known.log_p]
+                else:
+                    ends, found = grams(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                    for i, one in enumerate(known.log_p):
+                        sums = np.zeros(len(found[0]) + 1)
+                        np.cumsum(sum(one[gram] for gram in found), out=sums[1:])
+                        log_p[i] = np.diff(sums[ends]) + known.prior[i]
                 best[a:b] = log_p.argmax(0)
                 score[a:b] = 1 / np.exp(log_p - log_p.max(0)).sum(0)
-            rest = batch.drop_columns([_TEXT])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*rest.schema.names, "lang_pred", "score"])
+            mute = ~np.asarray(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), bool)
+            best[mute], score[mute] = len(names) - 1, 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names[:-2], "lang_pred", "score"])
 
-    found = base.mapInArrow(tidy(rows), f"{schema}, lang_pred string, score double") if schema else base.mapInArrow(tidy(rows), "lang_pred string, score double")
-    lettered = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
-    return found.withColumns({"lang_pred": F.when(lettered, F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(lettered & (F.col("lang_pred") != UNDETERMINED), F.col("score")).otherwise(0.0)})
+    return base.mapInArrow(tidy(rows), schema)

@@ -37,7 +37,9 @@ def op5_jpeg_media(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return secret_scan.findings(_table(spark, folder, "documents"), secret_scan.train(secret_scan.labelled_findings(spark)))
+    docs = _table(spark, folder, "documents")
+    words = secret_scan.frequent_words(docs)
+    return secret_scan.findings(docs, secret_scan.train(secret_scan.labelled_findings(spark, words=words), words), words=words)
 
 
 def op7_additive_quantisation(spark: SparkSession, folder: str) -> DataFrame:

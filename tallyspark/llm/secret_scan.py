@@ -1,7 +1,9 @@
 """Secret scan: a pattern finds candidates, a random forest tells secrets from look-alikes.
 
 The forest is trained with pyspark.ml on labelled findings and then written out as a column expression over
-arrays of candidates, so scanning and redacting are projections of each row: no join, no explode of texts.
+arrays of candidates, so scanning and redacting are projections of each row: no join, no explode of texts. Each text
+is cut into candidates and what is between them once, and put together again in one step, so work grows with the
+text. The dictionary that candidates are held against is the corpus' own: words that many of its documents use.
 """
 
 from __future__ import annotations
@@ -30,8 +32,16 @@ CANDIDATE = (
     r"|(?:(?<![A-Za-z0-9+/_.-])|(?<=://))(?:eyJ[A-Za-z0-9_-]{5,}+(?:\.{1,2}[A-Za-z0-9_-]++){1,4}|[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{16,}+)"
     r"|(?:(?<![A-Za-z0-9+/_-])(?!//)|(?<=://))(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
-#: Characters of context on each side.
-NEAR = 40
+#: What every text with a candidate has; most texts have it not and are left alone.
+MAYBE = rf"{NAMED}[\"']?[ \t]{{0,2}}[=:]|(?i:bearer|basic) |eyJ|\.[A-Za-z0-9_-]{{16}}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16}}"
+#: Stands between the parts of a cut text; texts that hold it are cut another way.
+CUT = "\u0001"
+#: Characters of context on each side, and of the text before the candidate before.
+NEAR, BEFORE = 40, 8
+#: Numbers that one step sums up.
+RUN = 128
+#: The dictionary: at most so many words, of a thousandth of the documents at least and no fewer than so many.
+DICTIONARY, RARE, FEWEST = 2000, 1000, 5
 #: Words that speak for a credential nearby, for a harmless identifier nearby, and of placeholders and paths.
 CREDENTIAL = rf"(?:{NAMED}|(?i:bearer))(?![A-Za-z])"
 HARMLESS = r"(?i)\b(commit|sha|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|build|version|isbn|phone|card|account|order|invoice|id)\b"
@@ -43,17 +53,34 @@ TREES, DEPTH, LEAST = 15, 5, 0.5
 FINDINGS, SEED = 3000, 17
 MARK = "[SECRET]"
 
-FEATURES = ("length", "digits", "upper", "lower", "hex", "moves", "vowels", "covered", "separators", "groups", "credential", "harmless", "assigned", "quoted", "path", "named", "symbols", "code", "joined", "prose", "issued")
+FEATURES = ("known", "length", "digits", "upper", "lower", "hex", "moves", "vowels", "covered", "separators", "groups", "credential", "harmless", "assigned", "quoted", "path", "named", "symbols", "code", "joined", "prose", "issued")
 
 
 def _share(token: Column, pattern: str) -> Column:
     return F.regexp_count(token, F.lit(pattern)) / F.greatest(F.length(token), F.lit(1))
 
 
-def features(token: Column, left: Column, right: Column) -> list[Column]:
+def frequent_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> tuple[str, ...]:
+    """The ``most`` words that the most documents use, counted over all of them; a bounded list for the driver. None where fewer than FEWEST share a word."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?<![a-z])[a-z]{3,20}(?![a-z])"), F.lit(0)))).alias("word"))
+    rows = docs.count()
+    used = words.groupBy("word").count().where(F.col("count") >= max(FEWEST, rows // RARE)).orderBy(F.desc("count"), "word").limit(most)
+    return tuple(r.word for r in used.collect())
+
+
+def _known(token: Column, words: tuple[str, ...]) -> Column:
+    """Share of a token's characters that are in words of the dictionary."""
+    if not words:
+        return F.lit(0.0)
+    runs = F.split(F.lower(F.regexp_replace(token, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
+    return F.aggregate(F.filter(runs, lambda r: r.isin(*words)), F.lit(0), lambda n, r: n + F.length(r)) / F.greatest(F.length(token), F.lit(1))
+
+
+def features(token: Column, left: Column, right: Column, words: tuple[str, ...] = ()) -> list[Column]:
     """FEATURES of a candidate with the text on both sides."""
     yes = lambda x: x.cast("double")
     return [
+        _known(token, words),
         F.least(F.length(token), F.lit(200)).cast("double"),
         _share(token, "[0-9]"),
         _share(token, "[A-Z]"),
@@ -78,12 +105,13 @@ def features(token: Column, left: Column, right: Column) -> list[Column]:
     ]
 
 
-def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEED) -> DataFrame:
-    """(token, left, right, label) of made-up secrets and look-alikes, half of each, by a seeded draw."""
+def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEED, words: tuple[str, ...] = ()) -> DataFrame:
+    """(token, left, right, label) of made-up secrets and look-alikes, half of each, by a seeded draw; look-alikes are put together from the corpus' words if they are given."""
     draw = random.Random(seed)
     of = lambda letters, n: "".join(draw.choices(letters, k=n))
     low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    words = ["report", "image", "user", "data", "config", "section", "release", "static", "python", "final", "draft", "index"]
+    named = ["report", "image", "user", "data", "config", "section", "release", "static", "python", "final", "draft", "index"]
+    words = [*named, *words] if len(words) < 3 * len(named) else [*words]
     jwt = lambda: f"eyJ{of(low + up + digit, draw.randint(14, 33))}.eyJ{of(low + up + digit + '_-', draw.randint(20, 90))}.{of(low + up + digit + '_-', 43)}"
     plainly = ["password", "Password", "token", "TOKEN", "secret", "key", "auth", "pwd", "api_key"]
     prose = lambda: " ".join(of(low, draw.randint(2, 9)) for _ in range(4))
@@ -143,42 +171,59 @@ def _written(tree: str) -> str:
     return node()
 
 
-def train(findings: DataFrame) -> str:
+def train(findings: DataFrame, words: tuple[str, ...] = ()) -> str:
     """The forest's share of votes for a secret, as SQL over the fields of ``f``.
 
     ``findings`` are (token, left, right, label): 1 a secret, 0 a false positive. Rows with a null count as having
-    an empty text there; a null label is left out.
+    an empty text there; a null label is left out, repeated rows count as often as they come, other columns play
+    no part. ``words`` are the dictionary, the same ones as in a scan.
     """
     clean = findings.where("label is not null").select("label", *[F.coalesce(c, F.lit("")).alias(c) for c in ("token", "left", "right")])
-    rows = clean.select(F.col("label").cast("double").alias("label"), *[x.alias(n) for n, x in zip(FEATURES, features(F.col("token"), F.col("left"), F.col("right")), strict=True)])
+    rows = clean.select(F.col("label").cast("double").alias("label"), *[x.alias(n) for n, x in zip(FEATURES, features(F.col("token"), F.col("left"), F.col("right"), words), strict=True)])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).coalesce(1)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(rows)
     trees = re.split(r"\n\s*Tree \d+ \(weight [0-9.]+\):\n", forest.toDebugString)[1:]
     return "(" + " + ".join(map(_written, trees)) + f") / {float(len(trees))}D"
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, token, left, right) of the whole text; start counts characters from 0."""
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    between = F.split(text, CANDIDATE, -1)
-    zipped = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda token, before: F.struct(token.alias("token"), before.alias("before")))
-    zipped = F.zip_with(zipped, F.slice(between, 2, F.size(found)), lambda x, after: F.struct(x["token"].alias("token"), x["before"].alias("before"), after.alias("after")))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,token:string,left:string,right:string>>").alias("out"))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def parts(text: Column) -> Column:
+    """Array of what is before the first candidate, the candidate, what is between it and the next, and so on; of a text without any the text alone."""
+    fast = F.split(F.regexp_replace(text, CANDIDATE, f"{CUT}$0{CUT}"), CUT, -1)
+    between, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    slow = F.flatten(F.zip_with(between, found, lambda a, b: F.array(a, F.coalesce(b, F.lit("")))))
+    return F.when(F.contains(text, F.lit(CUT)), F.slice(slow, F.lit(1), F.size(slow) - 1)).otherwise(fast)
+
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["before"])
-        left = F.concat(state["tail"], x["before"])
-        left = F.substring(left, F.greatest(F.length(left) - NEAR + 1, F.lit(1)), F.lit(NEAR))
-        row = F.struct(start.alias("start"), x["token"].alias("token"), left.alias("left"), F.substring(x["after"], 1, NEAR).alias("right"))
-        return F.struct((start + F.length(x["token"])).alias("at"), F.concat(F.substring(left, -8, 8), F.lit(" ")).alias("tail"), F.concat(state["out"], F.array(row)).alias("out"))
+def _sums(numbers: Column) -> Column:
+    """The sum of all numbers before each one, in runs of RUN so that arrays that grow stay short."""
+    grown = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(numbers), F.lit(1)) - 1) / RUN).cast("int")), lambda i: F.slice(numbers, i * RUN + 1, RUN))
+    whole = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
+    return _let(runs, lambda r: F.flatten(F.zip_with(r, grown(F.transform(r, whole)), lambda xs, base: F.transform(grown(xs), lambda x: x + base))))
 
-    return F.aggregate(zipped, first, step, lambda state: state["out"])
 
+def _score(p: Column, i: Column, forest: str, words: tuple[str, ...]) -> Column:
+    """The forest's share of votes for part ``i`` of a cut text."""
+    end = lambda x, n: F.substring(x, F.greatest(F.length(x) - n + 1, F.lit(1)), F.lit(n))
+    before = F.when(i > 2, F.concat(end(F.get(p, i - 3), BEFORE), F.lit(" "))).otherwise("")
+    seen = F.struct(F.get(p, i).alias("token"), end(F.concat(before, F.get(p, i - 1)), NEAR).alias("left"), F.substring(F.get(p, i + 1), 1, NEAR).alias("right"))
+    return _let(_let(seen, lambda c: F.struct(*[x.alias(n) for n, x in zip(FEATURES, features(c["token"], c["left"], c["right"], words), strict=True)])), lambda f: _compiled(forest, f))
 
-def judged(text: Column, forest: str) -> Column:
-    """Array of (start, token, score) of a text's candidates."""
-    seen = F.transform(candidates(text), lambda c: F.struct(c["start"].alias("start"), c["token"].alias("token"), *[x.alias(n) for n, x in zip(FEATURES, features(c["token"], c["left"], c["right"]), strict=True)]))
-    return F.transform(seen, lambda f: F.struct(f["start"].alias("start"), f["token"].alias("token"), _vote(forest, f).alias("score")))
+
+def judged(text: Column, forest: str, words: tuple[str, ...] = ()) -> Column:
+    """Array of (start, token, score) of a text's candidates; start counts characters from 0."""
+
+    def found(p: Column) -> Column:
+        many = ((F.size(p) - 1) / 2).cast("int")
+        places = F.slice(F.sequence(F.lit(0), many), F.lit(1), many)
+        return _let(_sums(F.transform(p, lambda x: F.length(x))), lambda at: F.transform(places, lambda k: F.struct(F.get(at, 2 * k + 1).alias("start"), F.get(p, 2 * k + 1).alias("token"), _score(p, 2 * k + 1, forest, words).alias("score"))))
+
+    return _let(parts(text), found)
 
 
 def _vote(forest: str, f: Column) -> Column:
@@ -219,25 +264,23 @@ def _tree(text: str, f: Column) -> Column:
     return node()
 
 
-def findings(docs: DataFrame, forest: str, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+def findings(docs: DataFrame, forest: str, key: str = "doc_id", text: str = "text", least: float = LEAST, words: tuple[str, ...] = ()) -> DataFrame:
     """(key, start, n_chars, secret, score) of every secret in the whole texts, one row each.
 
-    Start counts characters from 0; score is the share of trees that say secret. Null and empty texts have none;
-    a repeated row repeats its findings.
+    Start counts characters from 0; score is the share of trees that say secret, and one of ``least`` is enough.
+    Null and empty texts have none; a repeated row repeats its findings; rows with null or equal keys are scanned
+    alike. Other columns play no part, whatever their names; an empty table gives no rows.
     """
-    some = docs.where(F.col(text).rlike(CANDIDATE)).select(F.col(key), F.explode(judged(F.col(text), forest)).alias("f"))
-    return some.where(F.col("f.score") >= least).select(key, F.col("f.start").alias("start"), F.length("f.token").alias("n_chars"), F.col("f.token").alias("secret"), F.col("f.score").alias("score"))
+    some = docs.where(F.col(text).rlike(MAYBE)).select(F.col(key).alias("key"), F.explode(judged(F.col(text), forest, words)).alias("f"))
+    return some.where(F.col("f.score") >= least).select(F.col("key").alias(key), F.col("f.start").alias("start"), F.length("f.token").alias("n_chars"), F.col("f.token").alias("secret"), F.col("f.score").alias("score"))
 
 
-def redact(docs: DataFrame, forest: str, text: str = "text", mark: str = MARK, least: float = LEAST) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; rows, other columns, null texts and texts without a secret stay as they are."""
-    whole = F.col(text)
-    secrets = F.filter(judged(whole, forest), lambda f: f["score"] >= least)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact(docs: DataFrame, forest: str, text: str = "text", mark: str = MARK, least: float = LEAST, words: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by ``mark``.
 
-    def step(state: Column, f: Column) -> Column:
-        before = F.substring(whole, state["at"] + 1, f["start"] - state["at"])
-        return F.struct((f["start"] + F.length(f["token"])).alias("at"), F.concat(state["out"], before, F.lit(mark)).alias("out"))
-
-    clean = F.aggregate(secrets, first, step, lambda state: F.concat(state["out"], F.substring(whole, state["at"] + 1, F.length(whole))))
-    return docs.withColumn(text, F.when(whole.rlike(CANDIDATE), clean).otherwise(whole))
+    Rows, other columns, null texts and texts without a secret stay as they are; repeated rows are treated alike, an
+    empty table stays empty.
+    """
+    whole = F.col(text)
+    clean = _let(parts(whole), lambda p: F.array_join(F.transform(p, lambda x, i: F.when((i % 2 == 1) & (_score(p, i, forest, words) >= least), mark).otherwise(x)), ""))
+    return docs.withColumn(text, F.when(F.coalesce(whole.rlike(MAYBE), F.lit(False)), clean).otherwise(whole))

@@ -1,4 +1,8 @@
+import os
+import time
+
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tallyspark.llm import secret_scan as S
@@ -68,3 +72,64 @@ def test_forms_of_secrets_are_found_whole(spark):
     assert got == {(i, form.index("{}"), secret) for i, (form, secret) in enumerate(FORMS)}
     clean = {r.doc_id: r.text for r in S.redact(docs, forest).collect()}
     assert all(clean[i] == form.format(S.MARK) for i, (form, _) in enumerate(FORMS))
+
+
+def cut(text):
+    """Candidates by another regular expression library."""
+    return [(m.start(), m.group()) for m in regex.finditer(S.CANDIDATE, text, flags=regex.V0)]
+
+
+def test_candidates_by_another_library(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += [form.format(secret) for form, secret in FORMS] + PLAIN + ["a\u0001b token=abc123 \u0001 key: xyz", "token=a1b2c3 &password=zz9 secret='q w' key:k", f"{HEX} {HEX}\n{HEX}.", "\u0001", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", "text", S.parts(F.col("text")).alias("p"), F.col("text").rlike(S.MAYBE).alias("maybe")).collect()
+    for r in rows:
+        if r.text is None:
+            assert r.p is None
+            continue
+        assert "".join(r.p) == r.text and r.p[1::2] == [t for _, t in cut(r.text)], r.text
+        assert r.maybe or len(r.p) == 1
+
+
+def test_starts_of_many_candidates(spark, forest):
+    text = "".join(f'word{"x" * (i % 7)} token = "{HEX}" é\n' for i in range(700))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = sorted((r.start, r.secret) for r in S.findings(docs, forest).collect())
+    assert got == cut(text) and len(got) == 700
+
+
+def test_redaction_grows_with_the_text(spark, forest):
+    took = []
+    for n in (8000, 4000, 8000):
+        docs = spark.createDataFrame([(1, f'token = "{HEX}" ' * n)], "doc_id long, text string")
+        began = time.time()
+        assert S.redact(docs, forest).select(F.regexp_count("text", F.lit(r"\[SECRET\]")).alias("n")).first().n == n
+        took.append(time.time() - began)
+    assert took[2] < 3.5 * took[1]
+
+
+def test_dictionary_of_the_corpus(spark):
+    docs = spark.createDataFrame([(i, f"Common words {'rare' if i < 3 else 'often'} x{i} {'a' * 30}") for i in range(20)] + [(99, None)], "doc_id long, text string")
+    assert S.frequent_words(docs) == ("common", "words", "often") and S.frequent_words(docs, most=1) == ("common",)
+    assert S.frequent_words(docs.limit(0)) == ()
+    got = docs.limit(1).select(S._known(F.lit("commonOften_12-xyz"), ("common", "often")).alias("k"), S._known(F.lit("abc"), ()).alias("n")).first()
+    assert (got.k, got.n) == (11 / 18, 0.0)
+
+
+def labelled():
+    with open(os.path.join(os.path.dirname(__file__), "findings.tsv"), encoding="utf-8") as lines:
+        return [line.rstrip("\n").split("\t", 1) for line in lines][1:]
+
+
+def test_precision_and_recall_on_other_forms(spark):
+    rows = [(i, text.replace("\\n", "\n"), secret) for i, (secret, text) in enumerate(labelled())]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {}
+    for r in S.findings(docs, S.train(S.labelled_findings(spark))).collect():
+        found.setdefault(r.doc_id, []).append(r.secret)
+    hits = sum(secret in found.get(i, []) for i, _, secret in rows if secret)
+    wrong = sum(x != secret for i, _, secret in rows for x in found.get(i, []))
+    said = sum(map(len, found.values()))
+    print("recall", hits / sum(bool(s) for *_, s in rows), "precision", (said - wrong) / said, [(secret, found.get(i)) for i, _, secret in rows if [secret] != found.get(i, [""])])
+    assert hits >= 0.8 * sum(bool(s) for *_, s in rows) and said - wrong >= 0.85 * said

@@ -20,22 +20,35 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without text or letters and those whose language the model can't tell."""
+    """Drops documents without text or letters and those whose language the model can't tell; a language that isn't given is the predicted one.
+
+    Null, empty and blank texts go. Repeated rows stay or go together; columns beyond those of documents are left
+    out, whatever their names. An empty table stays empty.
+    """
     model = language_id.fit(docs, F.pmod(crc_of_id(), F.lit(4)) != 2)
-    found = language_id.predict(docs.select(*COLUMNS), model)
+    found = language_id.predict(docs.select(*COLUMNS), model).withColumn("lang", F.coalesce("lang", "lang_pred"))
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies, the one with the least doc_id.
+
+    Null and blank texts and rows without a doc_id stay; of rows that share a doc_id the one with the least text
+    does. Columns beyond those of documents are left out. An empty table stays empty.
+    """
     return jaccard_join.one_of_each(docs.select(*COLUMNS))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts; a changed text has its characters counted again."""
-    forest = secret_scan.train(secret_scan.labelled_findings(spark))
-    clean = secret_scan.redact(docs.select(*COLUMNS, F.length("text").alias("_before")), forest)
-    changed = F.length("text") != F.col("_before")
+    """Replaces secrets in texts; a changed text has its characters counted again.
+
+    Null, empty and clean texts stay as they are, and so do all rows; repeated rows are treated alike. Columns
+    beyond those of documents are left out. An empty table stays empty.
+    """
+    words = secret_scan.frequent_words(docs)
+    forest = secret_scan.train(secret_scan.labelled_findings(spark, words=words), words)
+    clean = secret_scan.redact(docs.select(*COLUMNS, F.length("text").alias("length_before")), forest, words=words)
+    changed = F.length("text") != F.col("length_before")
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -43,21 +56,30 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Repeats or drops documents so that sources come near their target weights.
 
     A document comes as often as the mix takes it, rounded: up to twice, or not at all if less than half of it
-    is taken. Rows that agree in doc_id, source and size come as often as the least taken of them.
+    is taken. Rows that agree in doc_id, source and size come as often as the least taken of them. Null and blank
+    texts have no words and go; null is a source of its own. Columns beyond those of documents are left out. An
+    empty table stays empty.
     """
     taken = mixing.taken_words(docs)
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    often = taken.where("size > 0").withColumn("_copies", copies).groupBy("doc_id", "source", "size").agg(F.min("_copies").alias("_copies")).where("_copies > 0")
-    often = often.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
+    often = taken.where("size > 0").withColumn("copies", copies).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("copies")).where("copies > 0")
+    often = often.select(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), F.col("size").alias("mixed_size"), "copies")
     size = F.regexp_count("text", F.lit(mixing.WORD)).cast("long")
-    rows = docs.select(*COLUMNS).join(often, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+    rows = docs.select(*COLUMNS).join(often, F.col("doc_id").eqNullSafe(F.col("mixed_id")) & F.col("source").eqNullSafe(F.col("mixed_source")) & (size == F.col("mixed_size")))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every text; ids decode to the text again."""
-    found = bpe_codec.encode(docs.select(*COLUMNS), public_tokenizers.path(VOCABULARY))
-    return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "ids")
+    """Encodes every text and decodes the ids again; a row whose ids don't give its text back fails the job.
+
+    Null and empty texts have no ids; repeated rows are encoded alike. Columns beyond those of documents are left
+    out. An empty table stays empty.
+    """
+    path = public_tokenizers.path(VOCABULARY)
+    found = bpe_codec.decode(bpe_codec.encode(docs.select(*COLUMNS), path), path)
+    same = F.col("decoded_bytes") == F.coalesce("text", F.lit("")).cast("binary")
+    ids = F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("ids don't decode to their text")))
+    return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), ids.alias("ids"))
 
 
 STAGES = [

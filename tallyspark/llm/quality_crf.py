@@ -1,7 +1,7 @@
 """Document quality: a linear-chain conditional random field labels every line good or bad.
 
-A line's features are its own and its neighbours'. Documents are labelled, lines aren't: training starts from the
-document's label for each line, then alternates. Given the model, each document's lines get the marginals nearest to
+A line's features are its own and its neighbours'. Documents are labelled, lines aren't: training starts from
+what a line's own features say about its document's label, without the chain, then alternates. Given the model, each document's lines get the marginals nearest to
 the model's whose length-weighted mean fits the label; given those, the weights are fitted. So good lines of a bad
 document and bad lines of a good one need not follow its label. Scoring runs forward-backward over a document's
 lines and averages the marginals weighted by line length.
@@ -22,7 +22,7 @@ from ._shared import CHUNK_BYTES, SpanHash, crc_of_id, fresh, mixed, spans, stri
 #: The model is fitted on at most this many labelled documents, drawn by a hash of the id, and of each on at most so many lines in a row at a drawn place: 102 MB of features.
 SAMPLE_DOCS, SAMPLE_LINES = 5000, 100
 #: Rounds of labelling lines, and steps of fitting in each.
-ROUNDS, STEPS, RATE, PENALTY = 3, 110, 0.08, 1e-3
+ROUNDS, STEPS, RATE, PENALTY = 2, 110, 0.08, 1e-3
 #: A good document's lines come to at least this mean, a bad one's to at most one less this.
 SURE = 0.9
 THRESHOLD = 0.3
@@ -58,8 +58,8 @@ def own_features(data: np.ndarray, offsets: np.ndarray, hash_of: SpanHash) -> tu
     ends = np.flatnonzero(buffer == 10)
     starts = np.append(0, ends[:-1] + 1)
     long = np.flatnonzero(ends - starts > LINE_BYTES)
-    if len(long):
-        extra = np.concatenate([np.arange(starts[i] + LINE_BYTES, ends[i], LINE_BYTES) for i in long])
+    extra = np.concatenate([np.zeros(0, np.int64), *[np.arange(starts[i] + LINE_BYTES, ends[i], LINE_BYTES) for i in long]])
+    if len(extra):
         starts, ends = np.sort(np.concatenate([starts, extra])), np.sort(np.concatenate([ends, extra]))
     first = np.searchsorted(starts, offsets + np.arange(rows + 1))
     n, size = len(starts), (ends - starts).astype(np.float64)
@@ -72,10 +72,12 @@ def own_features(data: np.ndarray, offsets: np.ndarray, hash_of: SpanHash) -> tu
 
     of = [share(kind == k) for k in range(7)]
     again = np.append(False, (buffer[1:] == buffer[:-1]) & (kind[1:] >= STOP) & (kind[1:] < HIGH))
+    again[extra] = False
     # words
     blank = kind == BLANK
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
+    apart = extra[~blank[extra] & ~blank[extra - 1]]
+    begin, end = np.sort(np.concatenate([edge[::2], apart])), np.sort(np.concatenate([edge[1::2], apart]))
     line = np.searchsorted(ends, begin, "right")
     words = np.bincount(line, minlength=n).astype(np.float64)
     distinct = top = np.zeros(n)
@@ -226,27 +228,37 @@ def fitting(score: np.ndarray, first: np.ndarray, weight: np.ndarray, label: np.
 
 
 def train(features: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> ChainModel:
-    """Weights for documents labelled 0 or 1: lines are labelled by the document first, then by ``fitting``; Adam on all texts at once with a quadratic penalty."""
+    """Weights for documents labelled 0 or 1, by Adam on all texts at once with a quadratic penalty.
+
+    The first round gives lines their document's label and fits each line by itself, on its own features alone, so that
+    lines that good and bad documents share come out between; later rounds fit the whole chain to the labels that
+    ``fitting`` then gives the lines.
+    """
     weight = np.expm1(features[:, 0].astype(np.float64) * 6) + 1
     mean, scale = features.mean(0, dtype=np.float64), features.std(0, dtype=np.float64) + 1e-6
     x = np.clip((features - mean.astype(features.dtype)) / scale.astype(features.dtype), -6, 6)
     d = x.shape[1]
-    inner = np.diff(first) - 1
     theta = np.zeros(d + 7)
     parts = lambda: (x @ theta[:d].astype(x.dtype) + theta[d], theta[d + 1 : d + 5].reshape(2, 2), theta[d + 5 :])
     y = np.repeat(label, np.diff(first)).astype(float)
-    moved = np.array([[inner[label == 0].sum(), 0], [0, inner[label == 1].sum()]], float)
-    began = np.array([(label == 0).sum(), (label == 1).sum()], float)
-    for turn in range(rounds):
+    moved, began = np.zeros((2, 2)), np.zeros(2)
+    alone = np.zeros(d + 7)
+    alone[[*range(min(OWN, d)), d]] = 1
+    alone[[REPEATS, LINES]] = 0
+    for turn in range(rounds + 1):
         if turn:
             score, moves, start = parts()
             y, moved, began = fitting(score, first, weight, label, moves, start)
         m, v = np.zeros(d + 7), np.zeros(d + 7)
         for t in range(1, STEPS + 1):
             score, moves, start = parts()
-            good, pairs, starts = forward_backward(score, first, moves, start)
+            if turn:
+                good, pairs, starts = forward_backward(score, first, moves, start)
+            else:
+                good, pairs, starts = 1 / (1 + np.exp(-np.clip(score, -30, 30))), moved, began
             off = y - good
             slope = np.concatenate([x.T @ off.astype(x.dtype), [off.sum()], (moved - pairs).ravel(), began - starts]) / len(label) - PENALTY * theta
+            slope = slope if turn else slope * alone
             m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
             theta += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return ChainModel(mean, scale, theta[:d], float(theta[d]), theta[d + 1 : d + 5].reshape(2, 2), theta[d + 5 :])

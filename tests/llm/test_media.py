@@ -103,3 +103,116 @@ def test_other_formats_are_refused():
     gray = plain_jpeg([random_blocks(np.random.default_rng(1), 1)], 1, 1)
     with pytest.raises(M.JpegError):
         M.parse(gray.replace(bytes([0xFF, M.SOF0]), b"\xff\xc2"))
+
+
+def entropy(image):
+    """The scan's bytes of an image of one scan."""
+    return image[M.parse(image)[1] : -2]
+
+
+def colour(scans, across, down):
+    """An image of three components with a scan for each, in the order of ``scans``: (component, entropy-coded bytes)."""
+    gray = plain_jpeg([np.zeros((1, 64))], 1, 1)
+    tables = gray[2 : gray.index(b"\xff\xc0")] + gray[gray.index(b"\xff\xc4") : gray.index(b"\xff\xda")]
+    frame = M._segment(M.SOF0, struct.pack(">BHHB", 8, 8 * down, 8 * across, 3) + b"".join(bytes([i + 1, 0x11, 0]) for i in range(3)))
+    return b"\xff\xd8" + tables + frame + b"".join(M._segment(M.SOS, bytes([1, c + 1, 0, 0, 0x3F, 0])) + bits for c, bits in scans) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
+def test_a_scan_for_each_component(order):
+    draw = np.random.default_rng(6)
+    blocks = [random_blocks(draw, 12) for _ in range(3)]
+    alone = [plain_jpeg([b], 4, 3) for b in blocks]
+    image = colour([(c, entropy(alone[c])) for c in order], 4, 3)
+    one, gray = M.decode([image, alone[0]])
+    assert (one.blocks == blocks[0]).all() and (one.thumbnail == gray.thumbnail).all()
+
+
+def test_fill_bytes_before_a_marker():
+    draw = np.random.default_rng(7)
+    blocks = random_blocks(draw, 4)
+    image = plain_jpeg([blocks], 2, 2)
+    at = image.index(b"\xff\xc0")
+    assert (M.decode([image[:at] + b"\xff\xff" + image[at:]])[0].blocks == blocks).all()
+
+
+def test_hostile_images_end_no_task(spark):
+    good = M.encode_payloads(np.arange(128, dtype=np.uint8), np.array([0, 128]))[0]
+    factors = good.replace(b"\x01\x11\x00", b"\x01\x00\x00")
+    huge = good.replace(struct.pack(">HH", 8, 16), struct.pack(">HH", 65535, 65535))
+    other = [good.replace(b"payload 128", x) for x in (b"payload xx!", b"payload 999", b"payload 064", b"payload 192", b"payload    ", b"payload -64", b"payload 127")]
+    media = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate([good, factors, huge, *other])], "doc_id long, media binary")
+    got = {r.doc_id: (r.width, r.payload_bytes, r.feature is None) for r in M.describe(media, kept=()).collect()}
+    assert got[0] == (16, 128, False) and got[1] == got[2] == (None, None, True)
+    assert all(got[i] == (16, None, False) for i in range(3, 10))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_broken_bytes_raise_nothing_else(seed):
+    draw = np.random.default_rng(seed)
+    image = bytearray(plain_jpeg([random_blocks(draw, 6)], 3, 2, restart=2))
+    for _ in range(draw.integers(1, 6)):
+        image[draw.integers(2, len(image))] = draw.integers(0, 256)
+    try:
+        M.decode([bytes(image)])
+    except (M.JpegError, ArithmeticError, LookupError, struct.error, ValueError):
+        pass
+
+
+def plainly(image):
+    """(width, height, feature) of a gray image with a block for each restart interval, bit by bit."""
+    at, tables, size, quant = 2, {}, None, None
+    while True:
+        kind, n = image[at + 1], int.from_bytes(image[at + 2 : at + 4], "big")
+        body, at = image[at + 4 : at + 2 + n], at + 2 + n
+        if kind == 0xC0:
+            size = int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big")
+        elif kind == 0xDB:
+            quant = body[1]
+        elif kind == 0xC4:
+            while body:
+                counts, symbols, code, place = body[1:17], body[17:], 0, 0
+                for bits in range(16):
+                    for _ in range(counts[bits]):
+                        tables[body[0], format(code, f"0{bits + 1}b")] = symbols[place]
+                        code, place = code + 1, place + 1
+                    code <<= 1
+                body = symbols[place:]
+        elif kind == 0xDA:
+            break
+    pieces, raw, i = [b""], image[at:-2], 0
+    while i < len(raw):
+        if raw[i] == 0xFF and raw[i + 1] == 0:
+            pieces[-1] += b"\xff"
+            i += 2
+        elif raw[i] == 0xFF:
+            pieces.append(b"")
+            i += 2
+        else:
+            pieces[-1] += raw[i : i + 1]
+            i += 1
+    pixels = []
+    for piece in pieces:
+        bits = "".join(format(b, "08b") for b in piece)
+        n = next(k for k in range(1, 17) if (0, bits[:k]) in tables)
+        wide = tables[0, bits[:n]]
+        value = int(bits[n : n + wide], 2) if wide else 0
+        value = value if not wide or value >> (wide - 1) else value - (1 << wide) + 1
+        pixels.append(min(255, max(0, (value * quant + 4) // 8 + 128)))
+    w, h = size
+    rows = [pixels[k : k + w // 8] for k in range(0, len(pixels), w // 8)]
+    cuts = lambda n: [(k * n // 8, max((k + 1) * n // 8 if k < 7 else n, k * n // 8 + 1)) for k in range(8)]
+    cells = [[x for r in rows[a:b] for x in r[c:d]] for a, b in cuts(len(rows)) for c, d in cuts(len(rows[0]))]
+    means = [sum(c) / len(c) for c in cells]
+    bits = "".join("1" if m > sum(means) / 64 + 1e-9 else "0" for m in means)
+    return w, h, f"{w}x{h}-{int(bits, 2):016x}-{zlib.crc32(bytes(x for r in rows for x in r)):08x}"
+
+
+def test_the_querys_features_by_a_plain_decoder(spark):
+    from tallyspark.llm import queries
+
+    media = {r.doc_id: bytes(r.media) for r in M.to_jpeg(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    rows = queries.op5_jpeg_media(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(media) > 100
+    for r in rows:
+        assert (r.width, r.height, r.feature) == plainly(media[r.doc_id]) and r.media_bytes == len(media[r.doc_id])

@@ -13,12 +13,15 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 from ._shared import CHUNK_BYTES, LONG_SPAN, SpanHash, byte_windows, gathered, kept, span_word
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
+#: Pieces that a worker remembers, of some 200 bytes each.
+PIECES = 250_000
 #: Bytes behind a piece's start that can decide whether it is one: the split pattern looks no further ahead.
 GUARD = 8
 
@@ -67,7 +70,7 @@ class PieceEncoder:
 
     SLOTS = 1 << 20
 
-    def __init__(self, path: str, memory: int = 250_000) -> None:
+    def __init__(self, path: str, memory: int = PIECES) -> None:
         self.library, self.memory = library_tokenizer(path), memory
         #: Added tokens with their ids, and whether pieces can be handled apart; any other layout goes to the library as whole texts.
         self.added, self.by_piece = ({}, True) if path.endswith(".tiktoken") else self._layout(path)
@@ -164,19 +167,24 @@ class PieceEncoder:
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """New entries for these pieces, from the library."""
-        texts = [data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        ids = [e.ids for e in self.library.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+        raw, size = data.tobytes(), ends - starts
+        texts = [raw[s:e].decode("utf-8") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         entry = len(self.counts) + np.arange(len(ids))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))])
-        short = [t if len(t) <= LONG_SPAN else b"" for t in texts]
-        wide = np.fromiter((-(-len(t) // 8) for t in short), np.int64, len(short))
-        self.word_at = np.concatenate([self.word_at, len(self.words) + np.cumsum(wide) - wide])
-        self.words = np.concatenate([self.words, np.frombuffer(b"".join([t.ljust(8 * int(w), b"\0") for t, w in zip(short, wide, strict=True)]), "<u8")])
-        self.sizes = np.concatenate([self.sizes, ends - starts])
-        self.long.update((int(e), t) for e, t in zip(entry, texts, strict=True) if len(t) > LONG_SPAN)
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))])
+        wide = np.where(size <= LONG_SPAN, -(-size // 8), 0)
+        at = np.cumsum(wide) - wide
+        words, windows = np.zeros(int(wide.sum()), np.uint64), byte_windows(data)
+        for k in range(int(wide.max(initial=0))):
+            live = np.flatnonzero(wide > k)
+            words[at[live] + k] = span_word(windows, starts[live], size[live] - 8 * k, k)
+        self.word_at = np.concatenate([self.word_at, len(self.words) + at])
+        self.words = np.concatenate([self.words, words])
+        self.sizes = np.concatenate([self.sizes, size])
+        self.long.update((int(entry[i]), raw[starts[i] : ends[i]]) for i in np.flatnonzero(size > LONG_SPAN).tolist())
         return entry
 
     def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
@@ -276,8 +284,9 @@ _encoders: dict[str, PieceEncoder] = {}
 kept.append(_encoders)
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each file in each worker."""
+def encoder(path: str, memory: int = PIECES) -> PieceEncoder:
+    """One encoder for each file in each worker; it remembers ``memory`` pieces from then on."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
+    _encoders[path].memory = memory
     return _encoders[path]

@@ -27,6 +27,8 @@ from ._shared import shared_folder, spans, string_bytes, tidy, whole_text
 #: The dictionary is trained on a stretch of so many bytes of ids, at a drawn place, of at most so many documents.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 1 << 14
 DICTIONARY_BYTES, LEVEL = 1 << 16, 3
+#: Pieces that a worker remembers while it writes.
+WRITE_PIECES = 600_000
 #: A block closes at so many bytes of frames or so many documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 
@@ -114,7 +116,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, key: str
     spark.createDataFrame([(stamp, bytearray(dictionary))], "hash string, content binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, shard = encoder(path), TaskContext.get().partitionId()
+        code, shard = encoder(path, WRITE_PIECES), TaskContext.get().partitionId()
         kind = _kind(code.library.get_vocab_size())
         press = _press(dictionary)
         number = start = tokens = held = 0

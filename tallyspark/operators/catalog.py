@@ -7,15 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import or_text
 
-#: A catalog up to so many rows is sent to all tasks; a larger one is joined by shuffle.
-SMALL_ROWS = 200_000
-
-
-def small(dimension: DataFrame, rows: int | None = None) -> DataFrame:
-    """A dimension marked for broadcast if it is known to be small; Spark decides by its size otherwise."""
-    return F.broadcast(dimension) if rows is not None and rows <= SMALL_ROWS else dimension
-
-
 def last_wins(entries: DataFrame, key: str = "sku", seq: str = "load_seq") -> DataFrame:
     """One entry for each key, the one loaded last."""
     rest = [c for c in entries.columns if c != key]
@@ -65,27 +56,35 @@ def can_be_added() -> Column:
     return or_text(F.col("sku"), None).isNotNull() & or_text(F.col("name"), None).isNotNull() & (F.col("packSize").isNull() | (F.col("packSize") > 0))
 
 
+def entry_problem() -> Column:
+    """The first reason why an entry can't be added, null if it can."""
+    return F.when(or_text(F.col("sku"), None).isNull(), "Missing SKU").when(or_text(F.col("name"), None).isNull(), "Missing name").when(F.col("packSize") <= 0, "Invalid pack size")
+
+
 def validated(entries: DataFrame) -> DataFrame:
     """``entries`` with ``errors``; rows without any can be imported."""
     return entries.withColumn("errors", entry_errors())
 
 
 def merged(left: DataFrame, right: DataFrame, key: str = "sku") -> DataFrame:
-    """Entries of both, field by field: the right one's where it has a value, else the left one's."""
-    fields = [c for c in left.columns if c != key]
-    theirs = right.select(key, *[F.col(c).alias(f"_new_{c}") if c in right.columns else F.lit(None).alias(f"_new_{c}") for c in fields])
-    return left.join(theirs, key, "full_outer").select(key, *[F.coalesce(f"_new_{c}", c).alias(c) for c in fields])
+    """Entries of both, field by field: the right one's where it has a value, else the left one's. Fields that only one side has are kept."""
+    theirs = right.select(key, *[F.col(c).alias(f"_new_{c}") for c in right.columns if c != key])
+    fields = [*[c for c in left.columns if c != key], *[c for c in right.columns if c not in left.columns]]
+    value = lambda c: F.col(c) if c not in right.columns else F.col(f"_new_{c}") if c not in left.columns else F.coalesce(f"_new_{c}", c)
+    return left.join(theirs, key, "full_outer").select(key, *[value(c).alias(c) for c in fields])
 
 
 upserted = merged
 
 
-def enrich(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``rows`` with name and barcode of the catalog where it knows the sku, and the quantity as units or cases, as it says; unknown skus keep their text and count neither."""
+def enrich(rows: DataFrame, catalog: DataFrame, known: str | None = None) -> DataFrame:
+    """``rows`` with name and barcode of the catalog where it knows the sku, and the quantity as units or cases, as it says; unknown skus keep their text and count neither. ``known`` names a column that tells whether it knows it."""
     facts = catalog.select("sku", F.col("name").alias("_name"), F.col("barcode").alias("_barcode"), F.col("allowUnits").alias("_units"), F.lit(True).alias("_known"))
     found = rows.join(facts, "sku", "left")
     none = F.lit(0).cast("decimal(18,3)")
+    flag = {known: F.coalesce("_known", F.lit(False))} if known else {}
     return found.withColumns({
+        **flag,
         "name": F.when(F.col("_known"), F.col("_name")).otherwise(F.col("name")),
         "barcode": F.when(F.col("_known"), F.col("_barcode")).otherwise(F.col("barcode")),
         "units": F.when(F.col("_known") & F.col("_units"), F.col("quantity")).otherwise(none),
@@ -116,6 +115,7 @@ def counts_by(catalog: DataFrame, column: str) -> DataFrame:
 
 
 def values_of(catalog: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column, blanks left out, in code unit order."""
     return catalog.where(or_text(F.col(column), None).isNotNull()).select(column).distinct().orderBy(column)
 
 
@@ -123,27 +123,24 @@ def resolved(rows: DataFrame, products: DataFrame) -> DataFrame:
     """``rows`` with ``product_key`` and ``resolved_by``: barcode, else sku, else normalised name, else alias.
 
     A row with a barcode resolves by it or not at all, and one with a sku likewise. A key that several products
-    claim goes to the one loaded first.
+    claim goes to the one loaded first. So each row asks for one key of one kind, and one join with the table of all
+    keys answers; rows that ask for nothing are spread by a hash, as no key can meet them.
     """
     from ..functions.text import normalize_field
 
-    def keyed(frame: DataFrame, key: Column, name: str) -> DataFrame:
-        return frame.select(key.alias(f"_{name}"), "load_seq", "product_key").where(f"_{name} is not null and _{name} <> ''").groupBy(f"_{name}").agg(F.min_by("product_key", F.struct("load_seq", "product_key")).alias(f"_by_{name}"))
+    def keyed(frame: DataFrame, kind: str, tier: str, key: Column) -> DataFrame:
+        return frame.select(F.lit(kind).alias("_kind"), key.alias("_key"), F.lit(("barcode", "sku", "name", "alias").index(tier)).alias("_tier"), F.lit(tier).alias("_by"), "load_seq", "product_key").where("_key <> ''")
 
+    keys = keyed(products, "barcode", "barcode", F.col("barcode")).unionByName(keyed(products, "sku", "sku", F.col("sku"))).unionByName(keyed(products, "hint", "name", normalize_field(F.col("name"))))
+    keys = keys.unionByName(keyed(products.withColumn("_alias", F.explode("aliases")), "hint", "alias", normalize_field(F.col("_alias"))))
+    table = keys.groupBy("_kind", "_key").agg(F.min_by(F.struct("product_key", "_by"), F.struct("_tier", "load_seq", "product_key")).alias("_found"))
     barcode, sku = (F.nullif(F.col(c), F.lit("")) for c in ("barcode", "sku"))
-    hint = F.when(barcode.isNull() & sku.isNull(), normalize_field(F.col("product_hint")))
-    tiers = [
-        (keyed(products, F.col("barcode"), "barcode"), barcode, "barcode"),
-        (keyed(products, F.col("sku"), "sku"), F.when(barcode.isNull(), sku), "sku"),
-        (keyed(products, normalize_field(F.col("name")), "name"), hint, "name"),
-        (keyed(products.withColumn("_alias", F.explode("aliases")), normalize_field(F.col("_alias")), "alias"), hint, "alias"),
-    ]
-    out = rows
-    for table, key, name in tiers:
-        out = out.withColumn("_key", key).join(table, F.col("_key") == F.col(f"_{name}"), "left").drop("_key", f"_{name}")
-    found = [F.col(f"_by_{name}") for *_, name in tiers]
-    by = F.coalesce(*[F.when(F.col(f"_by_{name}").isNotNull(), F.lit(name)) for *_, name in tiers])
-    return out.withColumns({"product_key": F.coalesce(*found), "resolved_by": by}).drop(*[f"_by_{name}" for *_, name in tiers])
+    hint = F.nullif(normalize_field(F.col("product_hint")), F.lit(""))
+    kind = F.when(barcode.isNotNull(), "barcode").when(sku.isNotNull(), "sku").when(hint.isNotNull(), "hint").otherwise("none")
+    nothing = F.xxhash64(*[F.col(c).cast("string") for c, t in rows.dtypes if not t.startswith(("map", "array", "struct"))]).cast("string")
+    asked = rows.drop("product_key", "resolved_by").withColumns({"_kind": kind, "_key": F.coalesce(barcode, sku, hint, nothing)})
+    found = asked.join(table, ["_kind", "_key"], "left")
+    return found.withColumns({"product_key": F.col("_found.product_key"), "resolved_by": F.col("_found._by")}).drop("_kind", "_key", "_found")
 
 
 def first_seen(rows: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .catalog import enrich, unknown
+from .catalog import enrich
 
 
 def lines(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -16,8 +16,13 @@ def lines(pages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def line_fields(rows: DataFrame) -> DataFrame:
-    """``rows`` of lines with sku (5 digits), barcode (13 digits) and the trailing quantity."""
-    return rows.withColumns({"sku": T.whole_number(F.col("line"), 5), "barcode": T.whole_number(F.col("line"), 13), "quantity": T.trailing_quantity(F.col("line"))})
+    """``rows`` of lines with sku (5 digits), barcode (13 digits) and the trailing quantity.
+
+    They are unpacked from an array of one element, so that each pattern is matched once for a line, whatever filters
+    and columns use its result.
+    """
+    found = F.struct(T.whole_number(F.col("line"), 5).alias("sku"), T.whole_number(F.col("line"), 13).alias("barcode"), T.trailing_quantity(F.col("line")).alias("quantity"))
+    return rows.select(*[c for c in rows.columns if c not in ("sku", "barcode", "quantity")], F.inline(F.array(found)))
 
 
 def _found(rows: DataFrame, invoice: Column | str = "") -> DataFrame:
@@ -33,7 +38,8 @@ def parse_table(pages: DataFrame, catalog: DataFrame, text: str = "text") -> Dat
 def parse_with_tracking(pages: DataFrame, catalog: DataFrame, allow_negative: bool = False, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, rows whose sku the catalog lacks): like parse_table without zero quantities, and without negative ones unless allowed."""
     rows = _found(line_fields(lines(pages, text))).where(F.col("quantity") > 0 if not allow_negative else F.col("quantity") != 0)
-    return enrich(rows, catalog), unknown(enrich(rows, catalog), catalog)
+    found = enrich(rows, catalog, known="_in_catalog")
+    return found.drop("_in_catalog"), found.where(~F.col("_in_catalog")).drop("_in_catalog")
 
 
 def parse_with_validation(pages: DataFrame, catalog: DataFrame, allow_negative: bool = False, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -44,7 +50,9 @@ def parse_with_validation(pages: DataFrame, catalog: DataFrame, allow_negative:
         shown = F.regexp_replace(F.regexp_replace(F.col("quantity").cast("string"), r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", "")
         error = error.when(F.col("quantity") < 0, F.concat(F.lit("Negative quantity ("), shown, F.lit(")")))
     checked = checked.withColumn("error", F.concat(F.lit("Line "), F.col("row").cast("string"), F.lit(": "), error))
-    return enrich(_found(checked.where("error is null").drop("error")), catalog), checked.where("error is not null")
+    wrong = (F.col("sku") == "") | (F.col("barcode") == "") | (F.col("quantity") == 0)
+    wrong = wrong if allow_negative else wrong | (F.col("quantity") < 0)
+    return enrich(_found(checked.where(~wrong).drop("error")), catalog), checked.where(wrong)
 
 
 def split_tables(pages: DataFrame, delimiter: str = "---", text: str = "text") -> DataFrame:
@@ -60,9 +68,9 @@ def parse_multiple_tables(pages: DataFrame, catalog: DataFrame, delimiter: str =
 
 def after_header(pages: DataFrame, header: str, text: str = "text") -> DataFrame:
     """Texts from behind the first match of ``header`` on; a text without a match stays whole."""
-    match = F.regexp_extract(text, f"({header})", 1)
-    start = F.regexp_instr(F.col(text), F.lit(header))
-    return pages.withColumn(text, F.when(F.col(text).rlike(header), F.substring(F.col(text), start + F.length(match), F.length(text))).otherwise(F.col(text)))
+    # cut once, at the first match: what is behind it stands in the second part
+    parts = F.split(F.col(text), header, 2)
+    return pages.withColumn(text, F.coalesce(F.try_element_at(parts, F.lit(2)), F.col(text)))
 
 
 def parse_structured(pages: DataFrame, catalog: DataFrame, header: str | None = None, text: str = "text") -> DataFrame:

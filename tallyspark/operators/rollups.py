@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
@@ -27,7 +27,7 @@ def summarize(rows: DataFrame, seq: list[str] | None = None) -> DataFrame:
 
 
 def grouped(products: DataFrame, *keys: str, items: bool = False) -> DataFrame:
-    """Count and totals of each group, with its items in sku order if asked for."""
+    """Count and totals of each group; with its items in sku order if asked for, for groups that fit a row, such as a report's. ``group_items`` has the items of groups of any size."""
     extra = [F.sort_array(F.collect_list(F.struct("sku", *[c for c in products.columns if c not in ("sku", *keys)]))).alias("items")] if items else []
     return products.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), total("quantity").alias("total_quantity"), total("cases").alias("total_cases"), total("units").alias("total_units"), *extra)
 
@@ -46,10 +46,15 @@ def by_status(products: DataFrame, items: bool = False) -> DataFrame:
 
 
 def flattened(groups: DataFrame) -> DataFrame:
-    """The items of all groups."""
+    """The items of all groups that hold theirs."""
     return groups.select(F.explode("items").alias("item")).select("item.*")
 
 
+def group_items(products: DataFrame, *keys: str) -> DataFrame:
+    """What ``flattened`` gives of ``grouped(..., items=True)``, without gathering a group: every product, without its group's keys."""
+    return products.drop(*keys)
+
+
 def group_summary(groups: DataFrame) -> DataFrame:
     """One row: number of groups and totals of their totals."""
     return groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("count"), F.lit(0)).alias("total_items"), *[F.coalesce(F.sum(c), F.lit(0)).cast(SUM).alias(c) for c in ("total_quantity", "total_cases", "total_units")])
@@ -95,7 +100,16 @@ def price_totals(items: DataFrame) -> DataFrame:
 
 
 def price_statistics(items: DataFrame, *keys: str) -> DataFrame:
-    """Least, greatest, mean, exact median, sum and number of prices; zeros for nothing."""
+    """Least, greatest, mean, exact median, sum and number of prices; zeros for nothing.
+
+    Prices are counted first, so what is put in order for the median is each group's distinct prices.
+    """
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    whole = F.sum(F.col("price").cast("decimal(18,2)")).cast("double")
-    return items.groupBy(*keys).agg(zero(F.min("price")).alias("min_price"), zero(F.max("price")).alias("max_price"), zero(round_half_up(whole / F.nullif(F.count("price"), F.lit(0)))).alias("mean_price"), zero(F.median("price")).alias("median_price"), zero(round_half_up(whole)).alias("sum_price"), F.count("price").alias("price_count"))
+    each = items.groupBy(*keys, "price").agg(F.count("price").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = each.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    middle = lambda half: F.min(F.when(F.col("_upto") >= half, F.col("price")))
+    median = (middle(F.floor((F.col("_all") + 1) / 2)) + middle(F.ceil((F.col("_all") + 1) / 2))) / 2
+    whole = F.sum(F.col("price").cast("decimal(18,2)") * F.col("_n").cast("decimal(18,0)")).cast("double")
+    count = F.coalesce(F.sum("_n"), F.lit(0))
+    return ranked.where("price is not null or _all = 0").groupBy(*keys).agg(zero(F.min("price")).alias("min_price"), zero(F.max("price")).alias("max_price"), zero(round_half_up(whole / F.nullif(count, F.lit(0)))).alias("mean_price"), zero(median).alias("median_price"), zero(round_half_up(whole)).alias("sum_price"), count.alias("price_count"))

@@ -24,10 +24,15 @@ def calculated(rows: DataFrame) -> DataFrame:
 
 
 def batch_totals(rows: DataFrame) -> DataFrame:
-    """One row of a calculated batch: totals, all warnings, success if there is none."""
+    """One row of a calculated batch: totals, number of warnings, success if there is none; ``batch_warnings`` has the warnings."""
     return rows.agg(F.coalesce(F.sum("cases"), F.lit(0)).cast(SUM).alias("cases"), F.coalesce(F.sum("units"), F.lit(0)).cast(SUM).alias("units"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("long").alias("warning_count"), (F.coalesce(F.sum(F.size("warnings")), F.lit(0)) == 0).alias("success"))
 
 
+def batch_warnings(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The warnings of all rows of a calculated batch, one a row, with the row's ``order`` columns and their place in it."""
+    return rows.select(*order, F.posexplode("warnings").alias("place", "warning"))
+
+
 def _amount(unit: str) -> Column:
     return F.coalesce(F.sum(F.when(F.col("unit") == unit, F.col("quantity").cast("decimal(18,3)"))), F.lit(0)).cast(SUM)
 

@@ -182,8 +182,8 @@ def aggregation_summary(spark, d):
 
 @query(f"SELECT sku, CAST(quantity AS DOUBLE) AS quantity, CAST(cases AS DOUBLE) AS cases, CAST(units AS DOUBLE) AS units FROM ({_PROD})")
 def flatten_groups(spark, d):
-    groups = rollups.grouped(C.with_default(products(spark, d), catalog(spark, d, True), "category", "Uncategorized").drop("warnings", "name", "barcode"), "category", items=True)
-    return rollups.flattened(groups).select("sku", "quantity", "cases", "units")
+    rows = C.with_default(products(spark, d), catalog(spark, d, True), "category", "Uncategorized")
+    return rollups.group_items(rows, "category").select("sku", "quantity", "cases", "units")
 
 
 _CALC = f"SELECT p.sku, p.quantity, c.allowUnits AS product_allows, CASE WHEN p.row_ = 0 THEN NULL ELSE p.row_ > 2 END AS rule_allows FROM ({_PICKS}) p LEFT JOIN ({_KNOWN}) c ON p.sku = c.sku"
@@ -383,7 +383,8 @@ def rule_fold_threaded(spark, d):
     return rows.select("job_id", "page", "sku", "unit", "quantity", F.size(F.filter("executed", lambda r: r["matched"])).alias("matched"))
 
 
-_TOT = f"{_D(chr(67) + 'ASE WHEN unit = ' + chr(39) + 'case' + chr(39) + ' THEN quantity ELSE 0 END', 'cases')}, {_D(chr(67) + 'ASE WHEN unit = ' + chr(39) + 'unit' + chr(39) + ' THEN quantity ELSE 0 END', 'units')}, count(*) AS row_count"
+_CASES, _UNITS = _D("CASE WHEN unit = 'case' THEN quantity ELSE 0 END", "cases"), _D("CASE WHEN unit = 'unit' THEN quantity ELSE 0 END", "units")
+_TOT = f"{_CASES}, {_UNITS}, count(*) AS row_count"
 _CODES = "list_aggregate(list_transform(list_sort(list({'page': page, 'row': row_, 'unit': unit, 'quantity': quantity})), lambda s: 'p' || s.page || 'r' || s.row), 'string_agg', ', ') AS codes"
 
 
@@ -427,7 +428,7 @@ _PLACED = f"""SELECT p.*, coalesce(CAST(n.n_regionkey AS VARCHAR), CASE WHEN p.p
 FROM ({_PICKS}) p LEFT JOIN supplier s ON p.l_suppkey = s_suppkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 7 <> 0 AND n_regionkey <> 4) n ON n.n_nationkey = s.s_nationkey"""
 
 
-@query(f"SELECT city_id, delivery_route, sku AS product_key, {_D(chr(67) + 'ASE WHEN unit = ' + chr(39) + 'case' + chr(39) + ' THEN quantity ELSE 0 END', 'cases')}, {_D(chr(67) + 'ASE WHEN unit = ' + chr(39) + 'unit' + chr(39) + ' THEN quantity ELSE 0 END', 'units')}, CAST(grouping(delivery_route) + grouping(sku) AS INT) AS level FROM ({_PLACED}) GROUP BY GROUPING SETS ((city_id, delivery_route, sku), (city_id, delivery_route), (city_id))")
+@query(f"SELECT city_id, delivery_route, sku AS product_key, {_CASES}, {_UNITS}, CAST(grouping(delivery_route) + grouping(sku) AS INT) AS level FROM ({_PLACED}) GROUP BY GROUPING SETS ((city_id, delivery_route, sku), (city_id, delivery_route), (city_id))")
 def city_route_rollup(spark, d):
     return places.city_route_totals(_placed(spark, d))
 

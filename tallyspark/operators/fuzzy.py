@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import jaro_winkler_pair, similarity
+from ..functions.similarity import similarity, similarity_pairs
 from ..functions.text import trim
 
-#: Names and candidates in a block.
-NAMES, CANDIDATES = 512, 4096
+#: Names and candidates in a block, and candidates of a name that are scored together.
+NAMES, CANDIDATES, SCORED = 512, 4096, 32
 
 
 def _letters(texts: list[str], known: dict[str, int]) -> np.ndarray:
@@ -48,21 +48,6 @@ def bounds(names: list[str], candidates: list[str]) -> np.ndarray:
     return most + 1e-6  # rounding
 
 
-def _distance(a: str, b: str) -> int:
-    before = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        row = [i]
-        for j, d in enumerate(b, 1):
-            row.append(min(row[j - 1] + 1, before[j] + 1, before[j - 1] + (c != d)))
-        before = row
-    return before[-1]
-
-
-def _score(a: str, b: str) -> float:
-    """``similarity`` of two trimmed lower-case texts."""
-    return 1.0 if a == b else 0.4 * (1 - _distance(a, b) / max(len(a), len(b))) + 0.6 * jaro_winkler_pair(a, b)
-
-
 def _met(names: DataFrame, candidates: DataFrame, least: float, best: int | None, name: str, candidate: str) -> DataFrame:
     """(name, candidate, cand_seq, score) of pairs whose bound reaches ``least``, score null; or of the ``best`` of each name in a block, with scores."""
     plain = lambda c: F.lower(trim(F.col(c)))
@@ -88,11 +73,13 @@ def _met(names: DataFrame, candidates: DataFrame, least: float, best: int | None
                             found += [(n[k], c[j], seq[j], None) for j in np.flatnonzero(can >= least)]
                             continue
                         top = []
-                        for j in np.argsort(-can, kind="stable"):
-                            if can[j] < least or len(top) == best and can[j] < -top[-1][0]:
+                        order = np.argsort(-can, kind="stable")
+                        for s in range(0, len(order), SCORED):
+                            some = [j for j in order[s : s + SCORED].tolist() if can[j] >= least and (len(top) < best or can[j] >= -top[-1][0])]
+                            if not some:
                                 break
-                            top = sorted([*top, (-_score(x[k], y[j]), seq[j] is not None, seq[j] or 0, c[j], j)])
-                            top = [t for t in top if -t[0] >= least][:best]
+                            scores = similarity_pairs([x[k]] * len(some), [y[j] for j in some])
+                            top = sorted([*top, *((-v, seq[j] is not None, seq[j] or 0, c[j], j) for v, j in zip(scores.tolist(), some, strict=True) if v >= least)])[:best]
                         found += [(n[k], c[j], seq[j], -s) for s, _, _, _, j in top]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found) if found else [[]] * 4, schema.types, strict=True)], schema=schema)
 
@@ -106,8 +93,8 @@ def scored_pairs(names: DataFrame, candidates: DataFrame, least: float, name: st
 
 
 def find_matches(names: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:
-    """All candidates that score ``least`` or more, best first."""
-    return scored_pairs(names, candidates, least).where(F.col("score") >= least).orderBy("name", F.desc("score"), "cand_seq")
+    """All candidates that score ``least`` or more, a name's together and best first."""
+    return scored_pairs(names, candidates, least).where(F.col("score") >= least).repartition("name").sortWithinPartitions("name", F.desc("score"), "cand_seq")
 
 
 def nearest(names: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:

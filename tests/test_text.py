@@ -1,11 +1,12 @@
 from decimal import Decimal
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers as N
+from tallyspark.functions import similarity as similar
 from tallyspark.functions import text as T
 from tallyspark.functions.similarity import jaro_winkler_pair, length_bound, similarity
 
@@ -78,6 +79,7 @@ def test_jaro_winkler():
     assert jaro_winkler_pair("abcdef", "abxyzw") == pytest.approx(0.6444, abs=1e-4)
 
 
+@settings(deadline=None)
 @given(st.text("abcé", max_size=12), st.text("abcé", max_size=12))
 def test_scores_stay_under_the_length_bound(a, b):
     longest = max(len(a), len(b))
@@ -94,3 +96,52 @@ def test_scores_stay_under_the_length_bound(a, b):
 
 def test_similarity_ignores_case_and_space(spark):
     assert spark.createDataFrame([(" AB ", "ab")], "a string, b string").select(similarity(F.col("a"), F.col("b")).alias("s")).first().s == 1.0
+
+
+def plain_jaro_winkler(a, b):
+    """One pair, a character at a time."""
+    if not a and not b:
+        return 1.0
+    reach, free, mine = max(len(a), len(b)) // 2 - 1, [True] * len(b), []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] and b[j] == c), None)
+        if j is not None:
+            free[j] = False
+            mine.append(c)
+    if not mine:
+        return 0.0
+    theirs = [c for c, f in zip(b, free, strict=True) if not f]
+    m = len(mine)
+    jaro = (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2) / m) / 3
+    same = 0
+    while same < min(4, len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    return jaro + same * 0.1 * (1 - jaro)
+
+
+def plain_distance(a, b):
+    before = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row = [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(row[j - 1] + 1, before[j] + 1, before[j - 1] + (c != d)))
+        before = row
+    return before[-1]
+
+
+words = st.lists(st.text("abcשa ", max_size=14), min_size=1, max_size=6)
+
+
+@settings(max_examples=300, deadline=None)
+@given(words, words)
+def test_pairs_at_once_score_like_one_by_one(left, right):
+    n = min(len(left), len(right))
+    left, right = left[:n], right[:n]
+    assert similar.jaro_winkler_pairs(left, right).tolist() == pytest.approx([plain_jaro_winkler(a, b) for a, b in zip(left, right, strict=True)])
+    assert similar.distances(left, right).tolist() == [plain_distance(a, b) for a, b in zip(left, right, strict=True)]
+
+
+def test_functions_for_sql(spark):
+    similar.register(spark)
+    row = spark.sql("SELECT jaro_winkler('a', 'a') AS one, similarity_score(' Abc ', 'abc') AS same, similarity_score('abcd', 'abce') AS near, similarity_score(null, 'x') AS none").first()
+    assert (row.one, row.same, row.none) == (0.0, 1.0, None) and row.near == pytest.approx(0.4 * 0.75 + 0.6 * plain_jaro_winkler("abcd", "abce"))

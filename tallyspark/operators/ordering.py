@@ -21,6 +21,11 @@ def by_name(name: str = "name") -> list[Column]:
     return [F.expr(f"`{name}` COLLATE UNICODE").asc(), F.col(name).asc()]
 
 
+def by_label(label: str) -> list[Column]:
+    """Groups of a report by their label's collation."""
+    return by_name(label)
+
+
 def by_amount(amount: str, *ties: str) -> list[Column]:
     return [F.desc(amount), *[F.asc(t) for t in ties]]
 

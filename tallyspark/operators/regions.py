@@ -88,6 +88,13 @@ def parse_layout(rows: DataFrame, regions: tuple = REGIONS, width: float = PAGE_
     }).where("sku <> ''")
 
 
+def display_line() -> Column:
+    """A parsed row as a line of text for people, in Hebrew."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    amount = F.regexp_replace(F.regexp_replace(shown("quantity"), r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", "")
+    return F.concat(F.lit('מק"ט: '), shown("sku"), F.lit(" | שם: "), shown("product_name"), F.lit(" | כמות: "), amount)
+
+
 def row_issues() -> Column:
     """What is wrong with a parsed row: no sku, no name, no positive quantity, confidence under half."""
     return F.array_compact(F.array(

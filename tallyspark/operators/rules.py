@@ -85,6 +85,90 @@ def row_checks(rows: DataFrame, threshold: int = CONFIDENCE, limits: tuple[int,
     return rows.withColumn("results", results).withColumn("gate", F.when(has("fail"), "queue").when(has("warn"), "review").otherwise("proceed"))
 
 
+#: Kinds of configured rules on rows, and of those on totals, which ``total_checks`` runs.
+ROW_KINDS = ("UNIT_TYPE_ENFORCEMENT", "QUANTITY_RANGE", "PRODUCT_RESOLVED", "CONFIDENCE_THRESHOLD", "DUPLICATE_DETECTION", "CASE_ONLY_NAME_PATTERN", "UNIT_PICKING_NAME_PATTERN")
+TOTAL_KINDS = ("ZERO_TOTAL", "UNUSUALLY_HIGH_QUANTITY")
+#: Says that the catalog's flags go before the name patterns; it is no check of its own.
+OVERRIDES = "CATALOG_OVERRIDES_HEURISTICS"
+RULE_ERROR = "RULE_ERROR"
+
+
+def _row_kind(kind: str, params: dict, catalog_first: bool) -> Column | None:
+    """Whether a row breaks a configured rule; null where that can't be told. None for a kind that isn't a row's."""
+    name, unit, limit = F.col("name"), F.col("unit"), params.get
+    says = F.col("case_only").isNotNull() & F.lit(catalog_first)
+    if kind == "UNIT_TYPE_ENFORCEMENT":
+        return F.coalesce((unit == "unit") & (F.col("case_only") | name.rlike("1/[0-9]+")), F.lit(False))
+    if kind == "QUANTITY_RANGE":
+        return ~F.col("quantity").between(limit("min"), limit("max"))
+    if kind == "PRODUCT_RESOLVED":
+        return F.col("resolved_by").isNull()
+    if kind == "CONFIDENCE_THRESHOLD":
+        return F.col("confidence") * 100 < limit("threshold")
+    if kind == "DUPLICATE_DETECTION":
+        return (F.count(F.lit(1)).over(Window.partitionBy("job_id", "page", "product_key", "unit")) > 1) & F.col("product_key").isNotNull()
+    if kind == "CASE_ONLY_NAME_PATTERN":
+        return F.when(says, F.col("case_only")).otherwise(contains_any(name, tuple(limit("patterns") or ()))) & (unit == "unit")
+    if kind == "UNIT_PICKING_NAME_PATTERN":
+        return F.when(says, F.lit(False)).otherwise(contains_any(name, tuple(limit("patterns") or ()))) & (unit == "case")
+    return None
+
+
+def compiled(entries: list[dict]) -> tuple[list[tuple[str, str, Column]], list[str]]:
+    """((id, severity, whether a row breaks it) of each enabled rule of a rule catalog that is for rows, warnings).
+
+    ``entries`` are a short configuration, with the fields of ``schemas.RULE``. Rules of totals are left to
+    ``total_checks``. An unsupported kind is left out with a warning. A rule that can't be built, such as one without
+    its limits, is broken by every row, and so is one whose outcome for a row is null: RULE_ERROR.
+    """
+    live = [e for e in entries if e["enabled"]]
+    catalog_first = any(e["ruleType"] == OVERRIDES for e in live)
+    found, warnings = [], []
+    for e in live:
+        kind = e["ruleType"]
+        if kind not in ROW_KINDS:
+            if kind not in (*TOTAL_KINDS, OVERRIDES):
+                warnings.append(f"{e['id']}: unsupported rule type {kind}")
+            continue
+        try:
+            found.append((e["id"], e["severity"], _row_kind(kind, e.get("params") or {}, catalog_first)))
+        except Exception as error:  # a rule's own failure must not end the job
+            warnings.append(f"{e['id']}: {error}")
+            found.append((e["id"], e["severity"], F.lit(None).cast("boolean")))
+    return found, warnings
+
+
+def configured_checks(rows: DataFrame, entries: list[dict]) -> DataFrame:
+    """``rows`` with ``results``, (rule, status, code) of every enabled rule of the catalog in its order, and ``gate``, as ``row_checks`` has them.
+
+    A broken rule gives its severity as status; one that can't be told fails with RULE_ERROR.
+    """
+    made, _ = compiled(entries)
+    one = lambda name, severity, bad: F.struct(F.lit(name).alias("rule"), F.when(bad.isNull(), "fail").when(bad, severity).otherwise("pass").alias("status"), F.when(bad.isNull(), RULE_ERROR).alias("code"))
+    results = F.array(*[one(*m) for m in made]) if made else F.array().cast("array<struct<rule:string,status:string,code:string>>")
+    has = lambda kind: F.exists("results", lambda r: r["status"] == kind)
+    return rows.withColumn("results", results).withColumn("gate", F.when(has("fail"), "queue").when(has("warn"), "review").otherwise("proceed"))
+
+
+def keyed_results(rows: DataFrame) -> DataFrame:
+    """(job_id, page, row, rule, status, code), a row for each result; of rows that share a key each keeps its results."""
+    flat = rows.select("job_id", "page", "row", F.explode("results").alias("r"))
+    return flat.select("job_id", "page", "row", "r.*")
+
+
+def total_checks(totals: DataFrame, entries: list[dict]) -> DataFrame:
+    """Totals that an enabled rule of totals names, with the rule and its severity; a rule of high quantities without a threshold names none."""
+    out = None
+    for e in entries:
+        if not e["enabled"] or e["ruleType"] not in TOTAL_KINDS:
+            continue
+        limit = (e.get("params") or {}).get("threshold")
+        bad = (F.col("cases") == 0) & (F.col("units") == 0) if e["ruleType"] == "ZERO_TOTAL" else F.lit(False) if limit is None else (F.col("cases") > limit) | (F.col("units") > limit)
+        some = totals.where(bad).withColumns({"rule": F.lit(e["id"]), "status": F.lit(e["severity"])})
+        out = some if out is None else out.unionByName(some)
+    return totals.withColumns({"rule": F.lit(""), "status": F.lit("")}).limit(0) if out is None else out
+
+
 Condition = Callable[[Callable[[str], Column], dict], Column]
 Action = Callable[[Callable[[str], Column], dict], dict[str, Column]]
 
@@ -135,9 +219,26 @@ class RuleEngine:
     def remove(self, rule_id: str) -> bool:
         return self.rules.pop(rule_id, None) is not None
 
+    def get(self, rule_id: str) -> Rule | None:
+        return self.rules.get(rule_id)
+
+    def all(self) -> tuple[Rule, ...]:
+        """All rules as added, disabled ones too."""
+        return tuple(self.rules.values())
+
     def enable(self, rule_id: str, on: bool = True) -> None:
         self.rules[rule_id].enabled = on
 
+    def kinds(self) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """Names of the registered conditions and actions."""
+        return tuple(self.conditions), tuple(self.actions)
+
+    def load(self, configs: list[dict]) -> None:
+        """Adds the enabled rules of a configuration: id, enabled, priority, conditionType, conditionParams, actionType and actionParams."""
+        for c in configs:
+            if c["enabled"]:
+                self.add(Rule(c["id"], c["conditionType"], c.get("conditionParams") or {}, c["actionType"], c.get("actionParams") or {}, c["priority"]))
+
     def list(self) -> list[Rule]:
         """Enabled rules, lowest priority first, then as added."""
         return sorted((r for r in self.rules.values() if r.enabled), key=lambda r: r.priority)
@@ -145,19 +246,25 @@ class RuleEngine:
     def run(self, rows: DataFrame) -> DataFrame:
         """``rows`` after all rules in turn, each seeing what those before it changed, with ``executed``: (rule, executed, matched) of each.
 
-        A rule of an unregistered kind doesn't run and leaves a warning. A condition that is null doesn't match.
+        A rule of an unregistered kind, or one that can't be built, doesn't run and leaves a warning. A condition that
+        is null doesn't match.
         """
         out = rows if "warnings" in rows.columns else rows.withColumn("warnings", F.array().cast("array<string>"))
         results = []
         for i, rule in enumerate(self.list()):
             condition, action = self.conditions.get(rule.condition), self.actions.get(rule.action)
-            if condition is None or action is None:
-                out = out.withColumn("warnings", F.concat("warnings", F.array(F.lit(f"{rule.id}: unsupported rule"))))
+            problem = None if condition and action else "unsupported rule"
+            try:
+                hit, changes = (None, {}) if problem else (condition(F.col, rule.condition_params), action(F.col, rule.action_params))
+            except Exception as error:  # a rule's own failure must not end the job
+                problem = f"{RULE_ERROR} {error!r}"
+            if problem:
+                out = out.withColumn("warnings", F.concat("warnings", F.array(F.lit(f"{rule.id}: {problem}"))))
                 results.append(F.struct(F.lit(rule.id).alias("rule"), F.lit(False).alias("executed"), F.lit(False).alias("matched")))
                 continue
             flag = f"_hit_{i}"
-            out = out.withColumn(flag, F.coalesce(condition(F.col, rule.condition_params), F.lit(False)))
-            changed = {c: F.when(F.col(flag), v).otherwise(F.col(c)) for c, v in action(F.col, rule.action_params).items()}
+            out = out.withColumn(flag, F.coalesce(hit, F.lit(False)))
+            changed = {c: F.when(F.col(flag), v).otherwise(F.col(c)) for c, v in changes.items()}
             out = out.withColumns(changed)
             results.append(F.struct(F.lit(rule.id).alias("rule"), F.lit(True).alias("executed"), F.col(flag).alias("matched")))
         out = out.withColumn("executed", F.array(*results) if results else F.array().cast("array<struct<rule:string,executed:boolean,matched:boolean>>"))

@@ -63,6 +63,11 @@ def sheets(result: BatchResult, catalog: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def stats(catalog: DataFrame) -> dict[str, DataFrame]:
+    """What a catalog holds: statistics, its categories and its suppliers."""
+    return {"statistics": C.statistics(catalog), "categories": C.values_of(catalog, "category"), "suppliers": C.values_of(catalog, "supplier")}
+
+
 def lineage(rows: DataFrame, products: DataFrame, cities: DataFrame, routes: DataFrame) -> dict[str, DataFrame]:
     """Rows with lineage through resolution, rules, totals by page and job, and places; rows that a rule fails wait in ``queue``."""
     found = C.resolved(rows, products)

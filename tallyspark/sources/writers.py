@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent_text
-from ..functions.text import or_text
+from ..functions.text import or_text, source_codes
 
 #: Columns of an exported catalog and of exported products, and rows that a sheet takes.
 CATALOG_COLUMNS = ("sku", "barcode", "name", "packSize", "allowUnits", "category", "supplier", "price")
 PRODUCT_COLUMNS = ("sku", "barcode", "name", "quantity", "cases", "units", "confidence", "rowCount")
 SHEET_ROWS = 10_000
+#: Rows that a report in one file may have; larger ones go out as folders.
+REPORT_ROWS = 100_000
 
 
 def catalog_csv_line(columns: tuple[str, ...] = CATALOG_COLUMNS) -> Column:
@@ -39,12 +41,52 @@ def product_json() -> Column:
 
 
 def result_document(batch: DataFrame, products: DataFrame, warnings: DataFrame) -> DataFrame:
-    """One row with the nested result of a batch: the batch, its products and its warning counts."""
+    """One row with the nested result of a batch: the batch, its products and its warning counts. For at most REPORT_ROWS products; ``write_result`` takes any number."""
+    fits(products)
     items = products.agg(F.sort_array(F.collect_list(F.struct(*PRODUCT_COLUMNS))).alias("products"))
     counts = warnings.agg(F.count_if(F.col("type") == "unknown_sku").alias("unknown_sku"), F.count_if(F.col("type") == "ocr_warning").alias("ocr_warning"), F.count(F.lit(1)).alias("all"))
     return batch.crossJoin(items).crossJoin(counts.select(F.struct("*").alias("warnings"))).select(F.to_json(F.struct("*")).alias("document"))  # single rows
 
 
+def fits(rows: DataFrame, limit: int = REPORT_ROWS) -> DataFrame:
+    """``rows``, if there are no more than ``limit``; looks at no more than it must."""
+    if rows.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} rows: write a folder")
+    return rows
+
+
+def write_result(batch: DataFrame, products: DataFrame, warnings: DataFrame, path: str) -> None:
+    """The nested result of a batch as folders of JSON lines, of any size: batch with its warning counts, and products."""
+    counts = warnings.agg(F.count_if(F.col("type") == "unknown_sku").alias("unknown_sku"), F.count_if(F.col("type") == "ocr_warning").alias("ocr_warning"), F.count(F.lit(1)).alias("all"))
+    batch.crossJoin(counts.select(F.struct("*").alias("warnings"))).write.mode("overwrite").json(f"{path}/batch")  # single rows
+    products.select(*PRODUCT_COLUMNS).write.mode("overwrite").json(f"{path}/products")
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
+    """Report sheets as folders of CSV files of any size, a folder for each."""
+    for name, rows in sheets.items():
+        raw_cells(rows).write.mode("overwrite").csv(f"{path}/{name.replace(' ', '_')}", header=True)
+
+
+def city_report(totals: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the routes' sheets, summary) of totals by city_id, delivery_route and product_key with cases, units and sources, and names by product_key.
+
+    A sheet row has key, name, cases, units, sources as text and notes; a route's sheet goes on in another after
+    SHEET_ROWS rows. The summary has each city's totals.
+    """
+    note = F.array_join(F.array_compact(F.array(F.when(F.col("delivery_route") == "UNASSIGNED_ROUTE", "no route"), F.when((F.col("cases") == 0) & (F.col("units") == 0), "zero total"))), "; ")
+    rows = totals.join(names.select("product_key", "name"), "product_key", "left").select("city_id", "delivery_route", "product_key", F.coalesce("name", F.lit("")).alias("name"), "cases", "units", source_codes(F.col("sources")).alias("sources"), note.alias("notes"))
+    summary = totals.groupBy("city_id").agg(F.count_distinct("delivery_route").alias("routes"), F.count(F.lit(1)).alias("products"), F.sum("cases").alias("cases"), F.sum("units").alias("units"))
+    return sheet_numbers(rows, ["city_id", "delivery_route"], ["product_key"]), summary
+
+
+def write_city_report(totals: DataFrame, names: DataFrame, path: str) -> None:
+    """``city_report`` as CSV: a folder for each city, route and sheet, and one for the summary, written by the tasks that hold them."""
+    rows, summary = city_report(totals, names)
+    rows.write.mode("overwrite").partitionBy("city_id", "delivery_route", "sheet").csv(f"{path}/routes", header=True)
+    summary.write.mode("overwrite").csv(f"{path}/summary", header=True)
+
+
 def write_catalog_csv(entries: DataFrame, path: str) -> None:
     entries.select(*CATALOG_COLUMNS).write.mode("overwrite").csv(path, header=True)
 
@@ -82,12 +124,12 @@ def _letters(n: int) -> str:
 
 
 def workbook(sheets: dict[str, DataFrame]) -> bytes:
-    """An XLSX file of report sheets; a sheet holds SHEET_ROWS rows and further ones follow as 'name (2)'."""
+    """An XLSX file of report sheets; a sheet holds SHEET_ROWS rows and further ones follow as 'name (2)'. A report of more than REPORT_ROWS rows is refused: ``write_sheets`` takes any number."""
     from decimal import Decimal
 
     pages: list[tuple[str, list[list]]] = []
     for name, frame in sheets.items():
-        rows = [frame.columns, *([float(v) if isinstance(v, Decimal) else v for v in r] for r in frame.toLocalIterator())]
+        rows = [frame.columns, *([float(v) if isinstance(v, Decimal) else v for v in r] for r in fits(frame).toLocalIterator())]
         for k in range(0, max(len(rows) - 1, 1), SHEET_ROWS):
             pages.append((f"{name} ({k // SHEET_ROWS + 1})" if k else name, [rows[0], *rows[1 + k : 1 + k + SHEET_ROWS]]))
     names, head = [], '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
@@ -110,9 +152,9 @@ def workbook(sheets: dict[str, DataFrame]) -> bytes:
 
 
 def print_page(title: str, rows: DataFrame) -> str:
-    """A report as an HTML page for printing."""
+    """A report of at most REPORT_ROWS rows as an HTML page for printing."""
     line = lambda tag, values: "<tr>" + "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values) + "</tr>"
-    body = "".join(line("td", r) for r in rows.toLocalIterator())
+    body = "".join(line("td", r) for r in fits(rows).toLocalIterator())
     return f'<!doctype html><html dir="auto"><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>{line("th", rows.columns)}{body}</table></html>'
 
 

@@ -25,9 +25,19 @@ def running_totals(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.groupBy("sku").agg(total("quantity").alias("total_quantity"), total("units").alias("total_units"), total("cases").alias("total_cases"), F.count(F.lit(1)).alias("row_count"))
 
 
-def start(totals: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Runs what has arrived and stops; a later start goes on from the checkpoint."""
-    return totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Runs what has arrived, writes the totals so far to a table of their own for each batch, and stops; a later start goes on from the checkpoint.
+
+    A batch that is run again writes its table again.
+    """
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch:020d}")
+    return totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The totals that the last batch wrote."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
 
 
 def append_rows(pages: DataFrame, catalog: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

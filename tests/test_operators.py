@@ -303,6 +303,6 @@ def test_stream_matches_batch(spark, catalog, tmp_path):
 
     page = spark.createDataFrame([("j", 1, "88135 7290018813505 a 3"), ("j", 2, "88135 7290018813505 a 4")], schemas.PAGE)
     page.write.json(str(tmp_path / "in"))
-    query = stream.start(stream.running_totals(stream.arriving(spark, str(tmp_path / "in")), catalog), "running", str(tmp_path / "ck"))
+    query = stream.start(stream.running_totals(stream.arriving(spark, str(tmp_path / "in")), catalog), str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(60)
-    assert [(r.sku, int(r.total_units), r.row_count) for r in spark.table("running").collect()] == [("88135", 7, 2)]
+    assert [(r.sku, int(r.total_units), r.row_count) for r in stream.latest(spark, str(tmp_path / "out")).collect()] == [("88135", 7, 2)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rollups import total
@@ -55,5 +55,14 @@ def unassigned(rows: DataFrame) -> DataFrame:
     return rows.withColumn("issues", issue).where(F.size("issues") > 0)
 
 
+def with_route_order(rows: DataFrame, routes: DataFrame) -> DataFrame:
+    return rows.join(routes.select(F.col("routeId").alias("delivery_route"), "sortOrder"), "delivery_route", "left")
+
+
+def route_order() -> list[Column]:
+    """Cities, their routes by sort order, routes without one last."""
+    return [F.col("city_id").asc(), F.col("sortOrder").asc_nulls_last(), F.col("delivery_route").asc()]
+
+
 def in_route_order(rows: DataFrame, routes: DataFrame) -> DataFrame:
-    return rows.join(routes.select(F.col("routeId").alias("delivery_route"), "sortOrder"), "delivery_route", "left").orderBy("city_id", F.col("sortOrder").asc_nulls_last(), "delivery_route")
+    return with_route_order(rows, routes).orderBy(*route_order())

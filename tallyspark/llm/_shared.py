@@ -41,11 +41,23 @@ def fresh(columns: Iterable[str], stem: str) -> str:
     return name
 
 
-def saved(frame: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
-    """``frame`` as a table in the shared folder: computed once, with no lineage to rerun when an executor is lost. Its path goes to ``scratch``, for ``dropped``."""
+def saved(frame: DataFrame, name: str, scratch: list[str] | None = None, batch: int | None = None) -> DataFrame:
+    """``frame`` as a table in the shared folder: computed once, with no lineage to rerun when an executor is lost.
+
+    Its path goes to ``scratch``, for ``dropped``. ``batch`` is the rows of Arrow batches while it is written; the
+    session's own setting is back behind it.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    try:
+        if batch:
+            spark.conf.set(rows, str(batch))
+        frame.write.parquet(path)
+    finally:
+        if batch:
+            spark.conf.set(rows, before)
     if scratch is not None:
         scratch.append(path)
     return spark.read.schema(frame.schema).parquet(path)

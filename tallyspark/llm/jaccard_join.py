@@ -34,8 +34,10 @@ SAMPLE_SHARE, SAMPLE_LEAST, COMMON_MOST = 1 / 8, 2000, 1 << 20
 FEW = 48
 #: Rows of one n-gram are dealt to so many tasks by a salt.
 SALTS = 32
-#: Documents on a side of a block product; columns of a dense one.
-BLOCK, COLUMNS = 256, 8192
+#: Documents on a side of a block product and n-grams that they may hold together; columns of a dense product.
+BLOCK, BLOCK_GRAMS, COLUMNS = 256, 1 << 19, 8192
+#: Rows of Arrow batches of sets and of texts, while this module writes a table.
+SET_ROWS, TEXT_ROWS = 128, 1000
 #: Slots of the filter that keeps texts without candidates from the shuffle that fetches sets.
 FILTER_BITS = 22
 
@@ -182,8 +184,8 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("c", pa.int64())])
-#: Rows of (h, id, n) that a task takes together; n-grams in them have few holders each.
-MEET_ROWS = 1 << 20
+#: Rows of (h, id, n) that a task takes together; n-grams in them have few holders each, so they make at most FEW / 2 times as many pairs.
+MEET_ROWS = 1 << 16
 
 
 def _meetings(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -266,6 +268,19 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
+def _blocks(rows: list[tuple[int, np.ndarray, int]]) -> Iterator[list[tuple[int, np.ndarray, int]]]:
+    """Runs of at most BLOCK rows that hold at most BLOCK_GRAMS n-grams together, or of one row."""
+    some, held = [], 0
+    for row in rows:
+        if some and (len(some) == BLOCK or held + len(row[1]) > BLOCK_GRAMS):
+            yield some
+            some, held = [], 0
+        some.append(row)
+        held += len(row[1])
+    if some:
+        yield some
+
+
 def _products(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links between the left (side 0) and right (side 1) rows of each task; rows come sorted by task.
 
@@ -275,12 +290,9 @@ def _products(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
     def close() -> pa.RecordBatch:
         out: list[tuple[int, int, bool]] = []
-        right_all = sides[1]
-        for a in range(0, len(sides[0]), BLOCK):
-            left = sides[0][a : a + BLOCK]
+        for left in _blocks(sides[0]):
             linked = [set() for _ in left]
-            for b in range(0, len(right_all), BLOCK):
-                right = right_all[b : b + BLOCK]
+            for right in _blocks(sides[1]):
                 count = _overlaps([x[1] for x in left], [x[1] for x in right])
                 least = _bound(np.array([[len(x[1])] for x in left]), np.array([[len(x[1]) for x in right]]), percent)
                 for i, j in zip(*np.nonzero(count >= least), strict=True):
@@ -432,12 +444,12 @@ def candidate_links(docs: DataFrame, met: DataFrame, stars: DataFrame, key: str,
     """(a, b): links that hold every component together, from shared n-grams."""
     pairs = saved(_near_pairs(met, stars, percent), "pairs", scratch)
     ids = pairs.select(F.explode(F.array("gid", "id")).alias("id")).unionByName(stars.select("id")).distinct()
-    sets = saved(_wanted_sets(docs, ids, key, text, words), "sets", scratch)
+    sets = saved(_wanted_sets(docs, ids, key, text, words), "sets", scratch, TEXT_ROWS)
     votes = stars.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"))
     homes = saved(votes.groupBy("id").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("best")).select("id", (-F.col("best.l")).alias("home")), "homes", scratch)
     first = pairs.unionByName(homes.where("id <> home").select(F.col("home").alias("gid"), "id")).distinct()
     alone = first.select("gid").distinct().select("gid", F.col("gid").alias("id"), F.col("gid").alias("stands"))
-    one = saved(_compared(first, alone, sets, percent, scratch), "links", scratch)
+    one = saved(_compared(first, alone, sets, percent, scratch), "links", scratch, SET_ROWS)
     links = one.where("linked").select(F.col("id").alias("a"), F.col("other").alias("b"))
     if homes.isEmpty():
         return links
@@ -447,7 +459,7 @@ def candidate_links(docs: DataFrame, met: DataFrame, stars: DataFrame, key: str,
     loose = members.where("not tied").select("id", F.col("home").alias("gid"))
     right = members.select(F.col("home").alias("gid"), "id", F.when(F.col("tied"), F.col("home")).otherwise(F.col("id")).alias("stands"))
     left = saved(_across(stars, homes, percent).unionByName(loose).distinct(), "loose", scratch)
-    two = _compared(left, right, sets, percent, scratch)
+    two = saved(_compared(left, right, sets, percent, scratch), "links", scratch, SET_ROWS)
     return links.unionByName(two.where("linked").select(F.col("id").alias("a"), F.col("other").alias("b")))
 
 
@@ -462,7 +474,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     whatever their names; empty tables give no rows. ``few`` and ``common`` set how pairs are found, never which.
     """
     scratch: list[str] = []
-    signed = saved(signatures(docs, key, text, words, percent, common), "signatures")
+    signed = saved(signatures(docs, key, text, words, percent, common), "signatures", None, TEXT_ROWS)
     classes = saved(signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("id")), "classes")
     entries = signed.join(classes.where("id is not null"), ["id", "n", "k1", "k2"], "left_semi").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
     met, stars = shared_ngrams(entries, percent, few, scratch)

@@ -33,7 +33,7 @@ CELLS, MOST_CELLS = 2, 4096
 #: Share of the sample's true neighbours that a query's cells must hold, and sampled queries that it is measured with.
 COVER, TRIALS = 0.99, 512
 #: Index rows of a shard, and queries that a task takes to it.
-INDEX_BLOCK, QUERY_BLOCK = 1 << 16, 1 << 16
+INDEX_BLOCK, QUERY_BLOCK = 1 << 14, 1 << 12
 #: Queries scored together, and vectors encoded at once.
 TABLES, PASS = 64, 4096
 #: Rows of one vector are dealt to so many tasks by a salt where they join it.

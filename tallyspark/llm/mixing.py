@@ -30,11 +30,16 @@ def _near(table: DataFrame, rows: int) -> DataFrame:
 
 
 def word_sizes(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """(key, source, size, draw, turn): words of the whole text, null as 0, the hash that shuffles, and a number that tells equal rows apart."""
+    """(key, source, size, draw, turn): words of the whole text, null as 0, the hash that shuffles, and what tells rows of one key apart: the text's hash and a number.
+
+    Rows without a key are shuffled by their text, so that no bucket of the hash holds them all.
+    """
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    draw = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":mix")).cast("binary"))
-    rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), size.alias("size"), draw.alias("draw"))
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy("source", "key", "size").orderBy("draw")))
+    mark = F.hex(F.xxhash64(F.col(text).cast("string")))
+    draw = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), mark)), F.lit(":mix")).cast("binary"))
+    rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), size.alias("size"), draw.alias("draw"), mark.alias("mark"))
+    number = F.row_number().over(Window.partitionBy("source", "key", "size", "mark").orderBy("draw"))
+    return rows.withColumn("turn", F.concat_ws(".", "mark", F.lpad(number.cast("string"), 10, "0"))).drop("mark")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:

@@ -344,6 +344,12 @@ def order_by_name(spark, d):
     return ordering.placed(catalog(spark, d).select("sku", "name"), [*ordering.by_name(), F.col("sku").asc()])
 
 
+@query("SELECT sku, CAST(row_number() OVER (ORDER BY TRY_CAST(sku AS BIGINT) NULLS LAST, sku) AS INT) AS place FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'K' || p_partkey ELSE CAST(p_partkey AS VARCHAR) END AS sku FROM part)")
+def order_mixed_skus(spark, d):
+    key = F.col("p_partkey").cast("string")
+    return ordering.placed(table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("K"), key)).otherwise(key).alias("sku")), ordering.by_sku())
+
+
 @query(f"SELECT category, count(*) AS n, CAST(row_number() OVER (ORDER BY category) AS INT) AS place FROM ({_CAT}) GROUP BY category")
 def groups_by_label(spark, d):
     groups = catalog(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
@@ -421,6 +427,18 @@ def configured_total_rules(spark, d):
     return rules.total_checks(totals.job_totals(totals.page_totals(rows, sources=False)), CONFIGURED).drop("job_id", "row_count")
 
 
+@query("SELECT p_partkey, CASE WHEN starts_with(lower(p_name), 'blue') THEN 'B' WHEN regexp_matches(p_name, '^[a-m].*t$') THEN 'X' WHEN contains(p_name, 'a') THEN 'C' END AS rule_id, CASE WHEN starts_with(lower(p_name), 'blue') THEN 4 WHEN regexp_matches(p_name, '^[a-m].*t$') THEN 7 WHEN contains(p_name, 'a') THEN 9 END AS rule_pack_size, CASE WHEN starts_with(lower(p_name), 'blue') THEN true WHEN regexp_matches(p_name, '^[a-m].*t$') THEN false WHEN contains(p_name, 'a') THEN true END AS rule_allows FROM part")
+def name_rule_kinds(spark, d):
+    listed = [{"id": "C", "priority": 9, "type": "contains", "value": "a", "packSize": 9, "allowUnits": True}, {"id": "B", "priority": 1, "type": "brand", "value": "Blue", "packSize": 4, "allowUnits": True}, {"id": "X", "priority": 5, "type": "regex", "value": "^[a-m].*t$", "packSize": 7, "allowUnits": False}]
+    return rules.match_names(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")), listed).drop("name")
+
+
+@query(f"SELECT p_partkey, CASE WHEN regexp_matches(name, '1/[0-9]+') THEN 'case' WHEN regexp_matches(name, '\\([0-9]+\\)') THEN 'unit' WHEN p_partkey % 5 = 0 THEN 'case' WHEN p_partkey % 5 = 1 THEN 'unit' ELSE 'case' END AS unit_type FROM ({_NAMED})")
+def unit_type_heuristics_first(spark, d):
+    key = F.col("p_partkey") % 5
+    return _named(spark, d).select("p_partkey", rules.unit_type(F.col("name"), F.when(key == 0, True).when(key == 1, False), catalog_first=False).alias("unit_type"))
+
+
 @query("SELECT rule, status, count(*) AS n FROM (SELECT unnest([{'rule': 'R008', 'status': CASE WHEN CASE WHEN case_only IS NOT NULL THEN case_only ELSE fraction END AND unit = 'unit' THEN 'fail' ELSE 'pass' END}, {'rule': 'R009', 'status': CASE WHEN bracket AND NOT fraction AND unit = 'case' THEN 'warn' ELSE 'pass' END}], recursive := true) FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'unit' ELSE 'case' END AS unit, CASE WHEN p_partkey % 5 = 0 THEN true WHEN p_partkey % 5 = 1 THEN false END AS case_only, contains(name, '1/8') OR contains(name, '1/12') OR contains(name, '1/20') OR contains(name, '1/24') AS fraction, contains(name, '(6)') OR contains(name, '(8)') OR contains(name, '(9)') OR contains(name, '(12)') OR contains(name, '(18)') OR contains(name, '(24)') AS bracket FROM (" + _NAMED + "))) GROUP BY rule, status")
 def name_pattern_checks(spark, d):
     key = F.col("p_partkey")

@@ -1,12 +1,15 @@
 import datetime
 import json
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyspark import schemas
+from tallyspark import schemas, services
 from tallyspark.config import Config
 from tallyspark.functions import numbers as N
 from tallyspark.functions import text as T
+from tallyspark.operators import catalog as C
 from tallyspark.operators import places, rules, totals
 from tallyspark.plans import engine
 from tallyspark.sources import readers, writers
@@ -86,3 +89,44 @@ def test_lineage_end_to_end(spark):
     assert traced.where("image = 'img1'").count() == 1
     ordered = places.in_route_order(out["cities"], routes)
     assert ordered.count() == out["cities"].count()
+
+
+def test_large_reports_are_refused_in_one_file(spark):
+    with pytest.raises(ValueError):
+        writers.fits(spark.range(11), 10)
+    assert writers.fits(spark.range(10), 10).count() == 10
+
+
+def test_reports_as_folders(spark, tmp_path):
+    rows = spark.createDataFrame([("c", f"r{i % 2}", f"K{i}", Decimal(i), Decimal(0), [(1, i, "case", Decimal(i))]) for i in range(4)], "city_id string, delivery_route string, product_key string, cases decimal(18,3), units decimal(18,3), sources array<struct<page:int,row:int,unit:string,quantity:decimal(18,3)>>")
+    names = spark.createDataFrame([("K1", "one")], "product_key string, name string")
+    writers.write_city_report(rows, names, str(tmp_path / "city"))
+    found = spark.read.csv(str(tmp_path / "city" / "routes"), header=True)
+    assert sorted((r.city_id, r.delivery_route, r.sheet, r.product_key, r.name, r.sources, r.notes) for r in found.collect()) == [("c", "r0", 0, "K0", None, "p1r0", "zero total"), ("c", "r0", 0, "K2", None, "p1r2", None), ("c", "r1", 0, "K1", "one", "p1r1", None), ("c", "r1", 0, "K3", None, "p1r3", None)]
+    assert spark.read.csv(str(tmp_path / "city" / "summary"), header=True).first().routes == "2"
+    writers.write_sheets({"Raw Data": rows}, str(tmp_path / "sheets"))
+    assert spark.read.csv(str(tmp_path / "sheets" / "Raw_Data"), header=True).count() == 4
+
+
+def test_catalogs_of_several_files_keep_the_files_order(spark, tmp_path):
+    for name, skus in (("a", range(5000)), ("b", range(3)), ("c", range(4000, 4002))):
+        (tmp_path / f"{name}.csv").write_text("sku,barcode,name,packSize,allowUnits,category,supplier,price\n" + "".join(f"{i},,{name},1,true,,,1\n" for i in skus))
+    rows = readers.catalog_csv(spark, str(tmp_path)).orderBy("load_seq").collect()
+    assert [(r.name, r.sku) for r in rows] == [*(("a", str(i)) for i in range(5000)), *(("b", str(i)) for i in range(3)), ("c", "4000"), ("c", "4001")]
+    last = {r.sku: r.name for r in C.last_wins(readers.catalog_csv(spark, str(tmp_path))).collect()}
+    assert last["1"] == "b" and last["4001"] == "c" and last["77"] == "a"
+
+
+def test_coded_errors(spark):
+    with pytest.raises(ValueError):
+        services.coded((F.lit(True), "NO_SUCH_CODE", "x"))
+    rows = spark.range(3).withColumn("error", services.coded((F.col("id") == 1, "PARSE_FAILED", "first"), (F.col("id") > 0, "INTERNAL_ERROR", "second")))
+    assert [(r.id, r.code, r.message) for r in services.err(rows).orderBy("id").collect()] == [(1, "PARSE_FAILED", "first"), (2, "INTERNAL_ERROR", "second")]
+    assert [r.id for r in services.ok(rows).collect()] == [0]
+
+
+def test_corrections_of_nulls(spark):
+    from tallyspark.operators import corrections
+
+    row = corrections.corrected(spark.createDataFrame([(None,)], "text string"), []).first().correction
+    assert (row.text, row.corrections, row.confidence) == (None, [], 1.0)

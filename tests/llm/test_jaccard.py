@@ -71,7 +71,7 @@ def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
     assert sorted((r.doc_id, r.component_id) for r in J.jaccard_join(docs).collect()) == [(i, i) for i in range(6)]
 
 
-@pytest.mark.parametrize(("few", "common"), [(1, J.COMMON_MOST), (3, 7), (1000, 0)])
+@pytest.mark.parametrize(("few", "common"), [(1, 7), (1000, J.COMMON_MOST)])
 def test_either_way_of_finding_pairs_gives_the_same(spark, few, common):
     rows = corpus(8)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -62,9 +62,16 @@ def token_offsets(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     return leads[starts] - inside[starts], leads[ends]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: bool = False) -> DataFrame:
+def held_against(table: ByteTable, ids: np.ndarray, data: np.ndarray) -> None:
+    """An error if ``ids`` don't decode to ``data``."""
+    if not np.array_equal(table.decode(ids), data):
+        raise ValueError("ids don't decode to their text")
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: bool = False, check: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) of the whole text and, if asked for, ``starts`` and ``ends`` of each id in characters.
 
+    With ``check`` the task decodes all ids again and holds them against their texts: a difference ends the job.
     A null or empty text has no ids. Repeated rows are encoded alike; columns of the same names are replaced, all
     others stay. Texts of any length go through in windows; an empty table stays empty.
     """
@@ -81,6 +88,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", off
             rest = batch.select(batch.schema.names[:-1])
             for a, b in spans(bounds):
                 found, ends = code.encode(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                if check:
+                    held_against(byte_table(path), found, data[bounds[a] : bounds[b]])
                 columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))]
                 if offsets:
                     each = [token_offsets(found[s:e], path) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

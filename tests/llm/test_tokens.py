@@ -198,6 +198,14 @@ def test_encode_and_decode_round_trip(odd, none):
     assert bpe_codec.encode(none, RANKS).count() == 0
 
 
+def test_ids_that_dont_give_the_text_are_an_error(odd):
+    assert sorted(map(str, bpe_codec.encode(odd, RANKS, check=True).collect())) == sorted(map(str, bpe_codec.encode(odd, RANKS).collect()))
+    ids = np.array(encoded(encoder(RANKS), ["some words"])[0])
+    bpe_codec.held_against(bpe_codec.byte_table(RANKS), ids, np.frombuffer(b"some words", np.uint8))
+    with pytest.raises(ValueError):
+        bpe_codec.held_against(bpe_codec.byte_table(RANKS), ids, np.frombuffer(b"some word", np.uint8))
+
+
 def test_split_characters(spark):
     ids = np.array(encoded(encoder(RANKS), ["a😀b"])[0])
     starts, ends = bpe_codec.token_offsets(ids, RANKS)

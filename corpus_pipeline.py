@@ -75,11 +75,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts have no ids; repeated rows are encoded alike. Columns beyond those of documents are left
     out. An empty table stays empty.
     """
-    path = public_tokenizers.path(VOCABULARY)
-    found = bpe_codec.decode(bpe_codec.encode(docs.select(*COLUMNS), path), path)
-    same = F.col("decoded_bytes") == F.coalesce("text", F.lit("")).cast("binary")
-    ids = F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("ids don't decode to their text")))
-    return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), ids.alias("ids"))
+    found = bpe_codec.encode(docs.select(*COLUMNS), public_tokenizers.path(VOCABULARY), check=True)
+    return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -18,6 +18,11 @@ def trim(x: Column) -> Column:
     return F.regexp_replace(x, rf"\A{WS}+|{WS}+\z", "")
 
 
+def is_blank(x: Column) -> Column:
+    """Whether there is nothing but white space."""
+    return ~x.rlike("[^" + WS[1:])
+
+
 def or_text(x: Column, default) -> Column:
     """``default`` where x is null or empty."""
     return F.coalesce(F.nullif(x, F.lit("")), default if isinstance(default, Column) else F.lit(default))

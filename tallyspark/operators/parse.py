@@ -44,7 +44,7 @@ def parse_with_tracking(pages: DataFrame, catalog: DataFrame, allow_negative: bo
 
 def parse_with_validation(pages: DataFrame, catalog: DataFrame, allow_negative: bool = False, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(valid rows, errors by line): the first of no sku, no barcode, zero and negative quantity; blank lines are passed over."""
-    checked = line_fields(lines(pages, text)).where(T.trim(F.col("line")) != "")
+    checked = line_fields(lines(pages, text)).where(~T.is_blank(F.col("line")))
     error = F.when(F.col("sku") == "", "No valid SKU found (5 digits)").when(F.col("barcode") == "", "No valid barcode found (13 digits)").when(F.col("quantity") == 0, "Quantity is 0")
     if not allow_negative:
         shown = F.regexp_replace(F.regexp_replace(F.col("quantity").cast("string"), r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", "")

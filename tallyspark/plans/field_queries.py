@@ -1,4 +1,4 @@
-"""Further queries with their SQL: text and layout fields, configured rules, corrections, reports, reading and writing, similarity."""
+"""Further queries with their SQL, in the same tables as those of ``queries``: text and layout fields, configured rules, corrections, reports, reading and writing, similarity."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from ..sources import readers, seeds, writers
 from ..streaming import pages as stream
 from . import engine
 from .queries import _CALCED, _CASES, _CAT, _CODES, _CONF, _D, _EAN, _ENR, _KNOWN, _NAMED, _PARSED, _PICKS, _PLACED, _PROD, _UNITS, _WARN, _WORDS, ORACLE, _calculated, _named, _names, _placed, _warnings, catalog, enriched, pages, picks, products, query, table
+from .queries import QUERIES as QUERIES
 
 
 def scratch(spark: SparkSession) -> str:

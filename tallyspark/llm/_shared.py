@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled by one numpy pass, longer texts in windows; temporaries are about 60 times this.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 _own_folder: list[str] = []
@@ -71,6 +71,8 @@ def dropped(spark: SparkSession, scratch: list[str]) -> None:
     scratch.clear()
 
 
+#: Batches that a task hands on until freed memory goes back to the system.
+GIVE_BACK = 16
 #: What a worker keeps from task to task, such as tokenizers.
 kept: list[dict] = []
 
@@ -85,7 +87,10 @@ def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], k
         if not keep:
             clear_kept()
         try:
-            yield from rows(batches)
+            for i, batch in enumerate(rows(batches), 1):
+                yield batch
+                if i % GIVE_BACK == 0:
+                    give_back()
         finally:
             give_back()
 

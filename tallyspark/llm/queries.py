@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quant, bpe_codec, jaccard_join, jpeg_media, language_id, mixing, quality_crf, secret_scan, token_counts, token_output
+from . import additive_quant, bpe_codec, filter_audit, jaccard_join, jpeg_media, language_id, mixing, quality_crf, secret_scan, token_counts, token_output, url_filter, vector_code
 from ._shared import crc_of_id
 
 
@@ -61,5 +61,19 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_mix_sources, op3_token_counts, op4_quality_crf, op5_jpeg_media, op6_secret_scan, op7_additive_quantisation, op8_bpe_codec, op9_jaccard_join, op10_language_id)}
-ORACLE: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
+    return url_filter.judge(pages, rules, url_filter.site_urls(pages))
+
+
+def op12_vector_code(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_code.compress(_table(spark, folder, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mix_sources, op3_token_counts, op4_quality_crf, op5_jpeg_media, op6_secret_scan, op7_additive_quantisation, op8_bpe_codec, op9_jaccard_join, op10_language_id, op11_url_filter, op12_vector_code, op13_filter_audit)}
+ORACLE: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op11_url_filter": url_filter.ORACLE, "op12_vector_code": vector_code.ORACLE, "op13_filter_audit": filter_audit.ORACLE}

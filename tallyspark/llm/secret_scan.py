@@ -22,12 +22,18 @@ NAMED = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?k
 SET = r"[\"']?[ \t]{0,2}[=:][=>]?[ \t]{0,2}"
 #: What stands before a value, tried first so that the long look-behind is met only behind an equals sign or colon.
 _BEHIND = r"(?<=[=:> \t\"'])(?<=[=:][=>]?[ \t]{0,2}[\"']?)"
+#: An unquoted value's characters: those that can end it, those that can't, and any of them; & , and ; belong to it unless a next field or a space follows.
+_ON = r"(?![A-Za-z_ ]{1,40}=)(?!\s)"
+_BODY = rf"(?:[^\s\"'`&;,.:)\]}}>\\]++|&{_ON})"
+_CLOSING = rf"(?:[.:)\]}}>\\]|[;,]{_ON})"
+_ANY = rf"[^\s\"'`&;,]|[&;,]{_ON}"
 #: A candidate: what a credential's name is set to, whole if quoted and else up to the next field or the end of the sentence;
 #: three to five dotted parts; or 16 or more token characters with a digit, with padding. Edges are open to full stops,
-#: at signs, equals signs and colons: the forest judges by the context.
+#: at signs, equals signs and colons: the forest judges by the context. Runs with alternatives are possessive, so that a value of
+#: any length is matched without recursion.
 CANDIDATE = (
     rf"{_BEHIND}(?:(?<={NAMED}{SET}[\"'])[^\s\"']{{4,}}+(?=[\"'])"
-    rf"|(?<={NAMED}{SET}[\"']?)(?!(?i:bearer|basic|token)\s)(?:[^\s\"'`&;,]|[&;,](?![A-Za-z_ ]{{1,40}}=)(?!\s)){{3,}}(?<=[^.,;:)\]}}>\\]))"
+    rf"|(?<={NAMED}{SET}[\"']?)(?!(?i:bearer|basic|token)\s)(?:{_ANY}){{2}}(?:{_CLOSING}*+{_BODY}++)++)"
     r"|(?<=(?i:bearer|basic) )[A-Za-z0-9+/_.~-]{15,}[A-Za-z0-9+/_~-]={0,2}"
     r"|(?:(?<![A-Za-z0-9+/_.-])|(?<=://))(?:eyJ[A-Za-z0-9_-]{5,}+(?:\.{1,2}[A-Za-z0-9_-]++){1,4}|[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{16,}+)"
     r"|(?:(?<![A-Za-z0-9+/_-])(?!//)|(?<=://))(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"

@@ -133,3 +133,19 @@ def test_precision_and_recall_on_other_forms(spark):
     said = sum(map(len, found.values()))
     print("recall", hits / sum(bool(s) for *_, s in rows), "precision", (said - wrong) / said, [(secret, found.get(i)) for i, _, secret in rows if [secret] != found.get(i, [""])])
     assert hits >= 0.8 * sum(bool(s) for *_, s in rows) and said - wrong >= 0.85 * said
+
+
+@pytest.mark.parametrize("value", ["x" * 1_000_000, "a.b;" * 250_000, "a&b" * 300_000 + "." * 1000, "é:)" * 300_000])
+@pytest.mark.parametrize("form", ["see password={}", 'token = "{}" x', "Authorization: Bearer {} x", "key {} 1", "eyJabcdef.{}"])
+def test_values_of_a_million_characters(spark, value, form):
+    docs = spark.createDataFrame([(1, form.format(value))], "doc_id long, text string")
+    r = docs.select("text", S.parts(F.col("text")).alias("p"), F.col("text").rlike(S.MAYBE)).first()
+    assert "".join(r.p) == r.text
+    if form.startswith("see"):
+        assert r.p[1::2] == [value.rstrip(".;:)")]
+
+
+def test_ends_of_unquoted_values(spark):
+    texts = {"pwd=ab.": [], "pwd=abc.": ["abc"], "pwd=ab.c).": ["ab.c"], "pwd=a,b;c&d": ["a,b;c&d"], "pwd=abc&user=me": ["abc"], "pwd=abc, user": ["abc"], "pwd=.:.": [], "pwd=..a": ["..a"], "pwd=ab&": ["ab&"], "pwd=a;b c": ["a;b"], "pwd=a)b}c>": ["a)b}c"]}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.text: r.p[1::2] for r in docs.select("text", S.parts(F.col("text")).alias("p")).collect()} == texts

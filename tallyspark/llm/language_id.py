@@ -86,13 +86,13 @@ class LanguageModel:
 def fit(docs: DataFrame, keep: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> LanguageModel:
     """Learns from rows where ``keep`` holds and text and lang are not null.
 
-    About ``sample`` documents of each language are drawn by a hash of the key, so rare languages are taken
+    About ``sample`` documents of each language are drawn by a hash of key and text, so rare languages are taken
     whole; their n-grams are counted by Spark, and the driver gets a number for each language and counter. Empty
-    texts add to a language's share only; repeated rows count as often as they come, and so do rows without a key,
-    which are drawn together. Other columns play no part, whatever their names. Nothing to learn from makes a model
+    texts add to a language's share only; repeated rows are drawn together and count as often as they come; rows
+    without a key and those that share one are drawn apart by their texts. Other columns play no part, whatever their names. Nothing to learn from makes a model
     without languages.
     """
-    rows = docs.where(keep & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language")), F.lit(1 << 30)).alias("draw"))
+    rows = docs.where(keep & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string"), F.lit("language")), F.lit(1 << 30)).alias("draw"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = tuple(sorted(sizes))
     if not languages:

@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     At most ``sample`` documents are drawn from the labels by a hash of the key, so only their texts are read out,
     and of each at most ``lines`` lines in a row at a place that the hash says; features are made by Spark, and the
     driver gets numbers of no more than that. Null texts are empty ones; rows without a key or label don't count;
-    repeated rows and labels count as often as they meet. Other columns play no part, whatever their names.
+    repeated rows and labels count as often as they meet, but no more than ``sample`` of them in all. Other columns play no part, whatever their names.
     """
     draw = F.xxhash64(F.col(key).cast("string"), F.lit("quality"))
     drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), draw.alias("draw")).orderBy("draw", "key", "label").limit(sample)
@@ -287,9 +287,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 for draw, s, e in zip(draws[a:b], first[:-1].tolist(), first[1:].tolist(), strict=True):
                     at = s + draw % max(e - s - lines + 1, 1)
                     out.append(x[at : min(at + lines, e)].astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], names=["label", "lines"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, pa.binary())], names=["label", "draw", "lines"])
 
-    rows = some.mapInArrow(tidy(featured), "label int, lines binary").toArrow()
+    rows = some.mapInArrow(tidy(featured), "label int, draw long, lines binary").orderBy("draw", "label", "lines").limit(sample).toArrow()
     found = [np.frombuffer(x, np.float32).reshape(-1, 3 * OWN) for x in rows.column("lines").to_pylist()]
     if not found:
         return None

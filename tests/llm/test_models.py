@@ -212,3 +212,23 @@ def test_helper_names_dont_touch_the_callers_columns(spark):
     docs = spark.createDataFrame([(1, "abc", "x", "kept", "too")], "doc_id long, text string, lang string, text_to_tell string, lettered string")
     r = language_id.predict(docs, language_id.fit(docs, F.lit(True))).first()
     assert (r.text_to_tell, r.lettered, r.lang_pred) == ("kept", "too", "x")
+
+
+def test_languages_without_keys_and_of_one_key_are_learned(spark):
+    german = [(None, f"der hund und die katze {i}", "de") for i in range(4000)]
+    french = [(7, f"le chien et le chat {i}", "fr") for i in range(4000)]
+    english = [(i, f"the dog and the cat {i}", "en") for i in range(4000)]
+    docs = spark.createDataFrame(german + french + english, "doc_id long, text string, lang string")
+    for sample in (50, 3000):
+        model = language_id.fit(docs, F.lit(True), sample=sample)
+        ask = spark.createDataFrame([(1, "der hund und die katze"), (2, "the dog and the cat"), (3, "le chien et le chat")], "doc_id long, text string")
+        assert {r.doc_id: r.lang_pred for r in language_id.predict(ask, model).collect()} == {1: "de", 2: "en", 3: "fr"}
+
+
+def test_quality_sample_bounds_rows_of_one_key(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_crf, "train", lambda features, first, label: seen.append((len(features), len(first) - 1)))
+    key = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame([(key, f"line {i}\nand {i}\nmore") for i in range(500)], "doc_id long, text string")
+    quality_crf.fit(docs, spark.createDataFrame([(key, 1)], "doc_id long, quality int"), sample=10, lines=2)
+    assert seen == [(20, 10)]

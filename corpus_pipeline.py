@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe_codec, jaccard_join, language_id, mixing, secret_scan
-from tallyspark.llm._shared import crc_of_id, saved
+from tallyspark.llm._shared import crc_of_id, dropped, saved
 
 #: A document stays if its language is known and at least so likely.
 LEAST_LANGUAGE = 0.5
@@ -19,23 +19,12 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: Rows of the Arrow batches of this application's sessions, where they are left at Spark's default: batches of whole texts stay small.
-ARROW_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(ARROW_ROWS))
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without text or letters and those whose language the model can't tell; a language that isn't given is the predicted one.
 
     Null, empty and blank texts go. Repeated rows stay or go together; columns beyond those of documents are left
     out, whatever their names. An empty table stays empty.
     """
-    small_batches(spark)
     model = language_id.fit(docs, F.pmod(crc_of_id(), F.lit(4)) != 2)
     found = language_id.predict(docs.select(*COLUMNS), model).withColumn("lang", F.coalesce("lang", "lang_pred"))
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
@@ -47,7 +36,6 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and blank texts and rows without a doc_id stay; of rows that share a doc_id the one with the least text
     does. Columns beyond those of documents are left out. An empty table stays empty.
     """
-    small_batches(spark)
     return jaccard_join.one_of_each(docs.select(*COLUMNS))
 
 
@@ -87,7 +75,6 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts have no ids; repeated rows are encoded alike. Columns beyond those of documents are left
     out. An empty table stays empty.
     """
-    small_batches(spark)
     found = bpe_codec.encode(docs.select(*COLUMNS), public_tokenizers.path(VOCABULARY), check=True)
     return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "ids")
 
@@ -105,7 +92,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents through all stages. Each stage's table is deleted once the next one's is written; the last one stays, as the result reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        made: list[str] = []
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", made)
+        dropped(spark, before)
+        before = made
     return docs

@@ -1,12 +1,14 @@
 """The pipeline's stages against plain Python over their own inputs."""
 
 import re
+from pathlib import Path
 
 import public_tokenizers
 import pytest
 
 import corpus_pipeline
 from tallyspark.llm._pieces import encoder
+from tallyspark.llm._shared import shared_folder
 
 from .test_jaccard import brute
 
@@ -47,3 +49,12 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 40
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "e" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_run_leaves_the_session_and_only_its_last_table(spark, folder):
+    before = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    tables = lambda: {p.name for p in Path(shared_folder(spark)).iterdir() if p.name.startswith("pipeline")}
+    old = tables()
+    corpus_pipeline.run(spark, folder)
+    assert {r["key"]: r["value"] for r in spark.sql("SET").collect()} == before
+    assert [name.rsplit("-", 1)[0] for name in tables() - old] == ["pipeline-byte-level-BPE-encoding-and-decoding"]

@@ -50,13 +50,15 @@ def saved(frame: DataFrame, name: str, scratch: list[str] | None = None, batch:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
+    before = spark.conf.getAll.get(rows)
     try:
         if batch:
             spark.conf.set(rows, str(batch))
         frame.write.parquet(path)
     finally:
-        if batch:
+        if batch and before is None:
+            spark.conf.unset(rows)
+        elif batch:
             spark.conf.set(rows, before)
     if scratch is not None:
         scratch.append(path)

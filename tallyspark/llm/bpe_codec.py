@@ -68,18 +68,18 @@ def held_against(table: ByteTable, ids: np.ndarray, data: np.ndarray) -> None:
         raise ValueError("ids don't decode to their text")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: bool = False, check: bool = False) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) of the whole text and, if asked for, ``starts`` and ``ends`` of each id in characters.
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: bool = False, check: bool = False, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>) of the whole text and, if asked for, ``starts`` and ``ends`` of each id in characters; unless ``keep_text``, without the text, which then goes to the task once and not back.
 
     With ``check`` the task decodes all ids again and holds them against their texts: a difference ends the job.
     A null or empty text has no ids. Repeated rows are encoded alike; columns of the same names are replaced, all
     others stay. Texts of any length go through in windows; an empty table stays empty.
     """
     made = [ids, *(["starts", "ends"] if offsets else [])]
-    base = docs.drop(*made)
+    others = [c for c in docs.columns if c not in made and (keep_text or c != text)]
     codec = fresh([*docs.columns, *made], "text_to_encode")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    base = docs.select(*[c for c in docs.columns if c not in made], whole_text(text).alias(codec))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
+    base = docs.select(*others, whole_text(text).alias(codec))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
@@ -96,7 +96,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", off
                     columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x[k] for x in each]) if each else [], pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, *columns], names=[*rest.schema.names, *made])
 
-    return base.mapInArrow(tidy(rows, keep=True), ", ".join([schema, *(f"`{c}` array<int>" for c in made)]))
+    return base.mapInArrow(tidy(rows, keep=True), ", ".join([*([schema] if schema else []), *(f"`{c}` array<int>" for c in made)]))
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded", raw: str = "decoded_bytes") -> DataFrame:

@@ -75,7 +75,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts have no ids; repeated rows are encoded alike. Columns beyond those of documents are left
     out. An empty table stays empty.
     """
-    found = bpe_codec.encode(docs.select(*COLUMNS), public_tokenizers.path(VOCABULARY), check=True)
+    found = bpe_codec.encode(docs.select(*COLUMNS), public_tokenizers.path(VOCABULARY), check=True, keep_text=False)
     return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "ids")
 
 

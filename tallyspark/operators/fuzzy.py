@@ -1,8 +1,10 @@
 """Fuzzy name matching.
 
-Names and candidates are packed into blocks of bounded size, and every block of names meets every block of
-candidates. In a task, a bound on the score from lengths, common letters and the common prefix leaves out pairs that cannot
-reach the threshold or a name's best so far; nothing that could match is lost.
+High thresholds go through an index that joins by equality (``names_index``). Where the best candidates of each name are asked
+for, thresholds fall step by step, and a name that has found its best leaves. What is left for a low threshold is held
+against all candidates: names and candidates are packed into blocks of bounded size, and in a task a bound on the
+score from lengths, common letters and the common prefix leaves out pairs that cannot reach the threshold or a
+name's best so far. Nothing that could match is lost.
 """
 
 from __future__ import annotations
@@ -16,9 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity, similarity_pairs
 from ..functions.text import trim
+from ..sources.tables import saved
+from . import names_index
 
 #: Names and candidates in a block, and candidates of a name that are scored together.
 NAMES, CANDIDATES, SCORED = 512, 4096, 32
+#: Thresholds at which names that look for their best try the index.
+STEPS = (0.92, 0.85)
 
 
 def _letters(texts: list[str], known: dict[str, int]) -> np.ndarray:
@@ -48,18 +54,23 @@ def bounds(names: list[str], candidates: list[str]) -> np.ndarray:
     return most + 1e-6  # rounding
 
 
-def _met(names: DataFrame, candidates: DataFrame, least: float, best: int | None, name: str, candidate: str) -> DataFrame:
-    """(name, candidate, cand_seq, score) of pairs whose bound reaches ``least``, score null; or of the ``best`` of each name in a block, with scores."""
+def _plain(names: DataFrame, candidates: DataFrame, name: str, candidate: str) -> tuple[DataFrame, DataFrame]:
+    """(n, x) of distinct names and (c, cand_seq, y) of distinct candidates; x and y are compared."""
     plain = lambda c: F.lower(trim(F.col(c)))
     left = names.select(F.col(name).cast("string").alias("n")).where("n is not null").distinct().withColumn("x", plain("n"))
     right = candidates.where(F.col(candidate).isNotNull()).groupBy(F.col(candidate).cast("string").alias("c")).agg(F.min(F.col("cand_seq").cast("long")).alias("cand_seq")).withColumn("y", plain("c"))
+    return left, right
+
+
+def _met(left: DataFrame, right: DataFrame, least: float, best: int | None) -> DataFrame:
+    """(n, c, cand_seq, score) of pairs whose bound reaches ``least``, score null; or of the ``best`` of each name in a block, with scores."""
     asked, offered = max(1, -(-left.count() // NAMES)), max(1, -(-right.count() // CANDIDATES))
     packed = lambda frame, key, blocks, to, *fields: frame.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(to)).agg(F.collect_list(F.struct(*fields)).alias(f"{to}_rows"))
     pairs = packed(left, "n", asked, "i", "n", "x").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(offered - 1))))
     pairs = pairs.repartition("i", "j").join(packed(right, "c", offered, "j", "c", "cand_seq", "y"), "j").select("i_rows", "j_rows")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("name", pa.string()), ("candidate", pa.string()), ("cand_seq", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("n", pa.string()), ("c", pa.string()), ("cand_seq", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             for row in range(batch.num_rows):
                 ours, theirs = batch.column("i_rows")[row].values, batch.column("j_rows")[row].values
@@ -83,13 +94,17 @@ def _met(names: DataFrame, candidates: DataFrame, least: float, best: int | None
                         found += [(n[k], c[j], seq[j], -s) for s, _, _, _, j in top]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found) if found else [[]] * 4, schema.types, strict=True)], schema=schema)
 
-    return pairs.mapInArrow(scored, "name string, candidate string, cand_seq long, score double")
+    return pairs.mapInArrow(scored, "n string, c string, cand_seq long, score double")
 
 
 def scored_pairs(names: DataFrame, candidates: DataFrame, least: float, name: str = "name", candidate: str = "candidate") -> DataFrame:
     """Pairs of distinct names and candidates that can score ``least``, with their score."""
-    pairs = _met(names, candidates, least, None, name, candidate)
-    return pairs.select(F.col("name").alias(name), F.col("candidate").alias(candidate), "cand_seq", similarity(F.col("name"), F.col("candidate")).alias("score"))
+    left, right = _plain(names, candidates, name, candidate)
+    if least >= names_index.LEAST:
+        pairs = names_index.matches(left, right, least)
+    else:
+        pairs = _met(left, right, least, None).withColumn("score", similarity(F.col("n"), F.col("c")))
+    return pairs.select(F.col("n").alias(name), F.col("c").alias(candidate), "cand_seq", "score")
 
 
 def find_matches(names: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:
@@ -97,16 +112,36 @@ def find_matches(names: DataFrame, candidates: DataFrame, least: float = 0.7) ->
     return scored_pairs(names, candidates, least).where(F.col("score") >= least).repartition("name").sortWithinPartitions("name", F.desc("score"), "cand_seq")
 
 
+def _best(names: DataFrame, candidates: DataFrame, least: float, best: int) -> DataFrame:
+    """(name, candidate, cand_seq, score, rank): the ``best`` of each name that score ``least`` or more.
+
+    A name with that many of a step's threshold has its best among them; the others go on to the next step.
+    """
+    left, right = _plain(names, candidates, "name", "candidate")
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "cand_seq", "c"))
+    ranked = lambda pairs: pairs.withColumn("rank", rank).where(F.col("rank") <= best)
+    right, found = saved(right, "candidates"), None
+    steps = [t for t in STEPS if t > least]
+    for t in steps:
+        tried = saved(ranked(names_index.matches(left, right, t)), "matches")
+        done = tried.where(F.col("rank") == best).select("n")
+        some = tried.join(done, "n", "left_semi")
+        found = some if found is None else found.unionByName(some)
+        left = saved(left.join(done, "n", "left_anti"), "names")
+    rest = names_index.matches(left, right, least) if least >= names_index.LEAST else _met(left, right, least, best)
+    last = ranked(rest.where(F.col("score") >= least))
+    all_ = last if found is None else found.unionByName(last)
+    return all_.select(F.col("n").alias("name"), F.col("c").alias("candidate"), "cand_seq", "score", "rank")
+
+
 def nearest(names: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:
     """For each name its best candidate above ``least``, the earliest of equals."""
-    order = Window.partitionBy("name").orderBy(F.desc("score"), "cand_seq")
-    return _met(names, candidates, least, 1, "name", "candidate").where(F.col("score") > least).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return _best(names, candidates, least, 1).where(F.col("score") > least).drop("rank")
 
 
 def top_matches(names: DataFrame, candidates: DataFrame, n: int = 3, least: float = 0.0) -> DataFrame:
     """For each name its ``n`` best candidates that score ``least`` or more."""
-    order = Window.partitionBy("name").orderBy(F.desc("score"), "cand_seq")
-    return _met(names, candidates, least, n, "name", "candidate").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return _best(names, candidates, least, n)
 
 
 def corrected_names(names: DataFrame, candidates: DataFrame, least: float = 0.85) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import corrections, fuzzy, ordering, parse, places, regions, rollups, rules, totals
 from ..sources import readers, seeds, writers
+from ..sources.tables import new_path
 from ..streaming import pages as stream
 from . import engine
 from .queries import _CALCED, _CASES, _CAT, _CODES, _CONF, _D, _EAN, _ENR, _KNOWN, _NAMED, _PARSED, _PICKS, _PLACED, _PROD, _UNITS, _WARN, _WORDS, ORACLE, _calculated, _named, _names, _placed, _warnings, catalog, enriched, pages, picks, products, query, table
@@ -22,13 +20,8 @@ from .queries import QUERIES as QUERIES
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or where that is unset in a local session, a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="tallyspark-")
-    return f"{folder.rstrip('/')}/query-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return new_path(spark, "query")
 
 
 # reading and writing

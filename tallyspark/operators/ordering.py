@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+
 
 def sku_number(sku: str = "sku") -> Column:
     """The digits that a sku begins with, null if none or 0."""
@@ -35,17 +36,18 @@ def top(rows: DataFrame, n: int, order: list) -> DataFrame:
 
 
 def placed(rows: DataFrame, order: list, place: str = "place") -> DataFrame:
-    """Every row with its ``place`` in the whole order, from 1: a range-partitioned sort, with counts of the partitions as offsets.
+    """Every row with its ``place``, a long from 1, in the whole order, or without an order in the one that rows have.
 
-    Equal rows of the order get places of their own; which of them comes first is open.
+    A range-partitioned sort is written once, each row with its partition and its number there, and counts of the
+    partitions are offsets: what is read later is always the same table, whatever is lost meanwhile. Equal rows of the order
+    get places of their own; which of them comes first is open.
     """
     part, within = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    # kept by persist, as a second run could draw other bounds
-    cut = rows.orderBy(*order).select("*", part.alias("_part"), within.alias("_within")).persist(StorageLevel.DISK_ONLY)
+    cut = saved((rows.orderBy(*order) if order else rows).select("*", part.alias("_part"), within.alias("_within")), "placed")
     counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return cut.join(F.broadcast(offsets), "_part").withColumn(place, (F.col("_before") + F.col("_within") + 1).cast("int")).drop("_part", "_within", "_before")
+    return cut.join(F.broadcast(offsets), "_part").withColumn(place, F.col("_before") + F.col("_within") + 1).drop("_part", "_within", "_before")
 
 
 def top_of_each(rows: DataFrame, keys: list[str], n: int, order: list) -> DataFrame:

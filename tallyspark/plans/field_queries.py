@@ -11,8 +11,8 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import corrections, fuzzy, ordering, parse, places, regions, rollups, rules, totals
-from ..sources import readers, seeds, writers
-from ..sources.tables import new_path
+from ..sources import readers, seeds, workbooks, writers
+from ..sources.tables import new_path, saved
 from ..streaming import pages as stream
 from . import engine
 from .queries import _CALCED, _CASES, _CAT, _CODES, _CONF, _D, _EAN, _ENR, _KNOWN, _NAMED, _PARSED, _PICKS, _PLACED, _PROD, _UNITS, _WARN, _WORDS, ORACLE, _calculated, _named, _names, _placed, _warnings, catalog, enriched, pages, picks, products, query, table
@@ -105,7 +105,9 @@ def batch_document(spark, d):
     rows = catalog(spark, d).groupBy(F.col("category").alias("sku")).agg(F.count(F.lit(1)).alias("quantity"))
     rows = rows.select("sku", F.lit("").alias("barcode"), F.lit("").alias("name"), "quantity", F.lit(0).alias("cases"), F.lit(0).alias("units"), F.lit(1.0).alias("confidence"), F.lit(1).alias("rowCount"))
     batch = spark.range(1).select(F.lit("b1").alias("id"))
-    document = writers.result_document(batch, rows, _warnings(spark, d))
+    path = scratch(spark)
+    writers.write_document(batch, rows, _warnings(spark, d), path, "b1")
+    document = spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")
     held = F.from_json(F.get_json_object("document", "$.products"), "array<struct<sku:string>>")
     return document.select(F.size(held).alias("products"), F.get_json_object("document", "$.warnings.unknown_sku").alias("unknown_sku"), F.get_json_object("document", "$.warnings.all").alias("warnings"))
 
@@ -122,7 +124,7 @@ def _sheets(spark, d):
     rows = enriched(spark, d)
     known = catalog(spark, d, True).withColumn("supplier", F.when(F.col("load_seq") % 5 != 0, F.concat(F.lit("S"), (F.col("load_seq") % 10).cast("string"))))
     stats = rollups.batch_statistics(rows.withColumn("warned", F.col("name") == ""))
-    return engine.sheets(engine.BatchResult(stats, products(spark, d), rows, _warnings(spark, d)), known)
+    return engine.sheets(engine.BatchResult(stats, saved(products(spark, d), "products"), rows, _warnings(spark, d)), known)
 
 
 _NUMBERS = "CAST(p.quantity AS DOUBLE) AS quantity, CAST(p.cases AS DOUBLE) AS cases, CAST(p.units AS DOUBLE) AS units"
@@ -169,6 +171,36 @@ def city_report_summary(spark, d):
     return writers.city_report(_city_totals(spark, d), names)[1]
 
 
+_CITY_NOTES = "CASE WHEN t.delivery_route = 'UNASSIGNED_ROUTE' THEN 'no route' ELSE '' END || CASE WHEN t.delivery_route = 'UNASSIGNED_ROUTE' AND cases = 0 AND units = 0 THEN '; ' ELSE '' END || CASE WHEN cases = 0 AND units = 0 THEN 'zero total' ELSE '' END"
+_CITY_FILES = f"SELECT t.city_id, t.delivery_route AS route, t.product_key, coalesce(c.name, '') AS name, cases, units, sources, {_CITY_NOTES} AS notes, row_number() OVER (PARTITION BY t.city_id, t.delivery_route ORDER BY t.product_key) - 1 AS line FROM ({_CITY}) t LEFT JOIN ({_KNOWN}) c ON t.product_key = c.sku"
+
+
+@query(f"SELECT city_id || '.xlsx' AS file, route || CASE WHEN line >= 10000 THEN ' (' || CAST(line // 10000 + 1 AS VARCHAR) || ')' ELSE '' END AS sheet, CAST(line % 10000 + 2 AS INT) AS row, product_key, name, cases, units, sources, notes FROM ({_CITY_FILES}) UNION ALL SELECT city_id || '.xlsx', 'Summary', 2, city_id, CAST(count(DISTINCT route) AS VARCHAR), CAST(count(*) AS DOUBLE), sum(cases), printf('%.3f', sum(units)), '' FROM ({_CITY_FILES}) GROUP BY city_id")
+def city_workbooks(spark, d):
+    path = scratch(spark)
+    writers.write_city_workbooks(_city_totals(spark, d), catalog(spark, d, True).select(F.col("sku").alias("product_key"), "name"), path)
+    cell = lambda c: F.coalesce(F.col("cells")[c], F.lit(""))
+    held = workbooks.read_workbooks(spark, path).where("row > 1")
+    return held.select("file", "sheet", "row", cell("A").alias("product_key"), cell("B").alias("name"), cell("C").cast("double").alias("cases"), cell("D").cast("double").alias("units"), cell("E").alias("sources"), cell("F").alias("notes"))
+
+
+@query(f"SELECT city_id || '.html' AS file, route AS section, product_key, name, printf('%.3f', cases) AS cases, printf('%.3f', units) AS units FROM ({_CITY_FILES})")
+def city_pages(spark, d):
+    path = scratch(spark)
+    writers.write_city_pages(_city_totals(spark, d), catalog(spark, d, True).select(F.col("sku").alias("product_key"), "name"), path, "job 7", "2026-01-02")
+    page = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<section>.*?</section>"), F.lit(0))).alias("s"))
+    row = page.select("file", F.regexp_extract("s", "<h2>(.*?)</h2>", 1).alias("section"), F.explode(F.regexp_extract_all("s", F.lit("<tr>(<td>.*?)</tr>"), F.lit(1))).alias("r")).where("section <> 'Summary'")
+    at = F.transform(F.regexp_extract_all("r", F.lit("<td>(.*?)</td>"), F.lit(1)), lambda x: x)
+    return row.select("file", "section", *[F.get(at, i).alias(n) for i, n in enumerate(("product_key", "name", "cases", "units"))])
+
+
+@query(f"SELECT sheet, count(*) AS rows FROM (SELECT 'Products' AS sheet FROM ({_PROD}) UNION ALL SELECT 'By Product' FROM ({_PROD}) UNION ALL SELECT 'Raw Data' || CASE WHEN n > 10000 THEN ' (' || CAST((n - 1) // 10000 + 1 AS VARCHAR) || ')' ELSE '' END FROM (SELECT row_number() OVER () AS n FROM lineitem) UNION ALL SELECT 'Warnings' FROM (SELECT DISTINCT type, message FROM ({_WARN})) UNION ALL SELECT 'By Category' FROM (SELECT DISTINCT coalesce(c.category, 'Uncategorized') FROM ({_PROD}) p LEFT JOIN ({_KNOWN}) c ON p.sku = c.sku) UNION ALL SELECT 'By Category' FROM ({_PROD}) UNION ALL SELECT 'By Supplier' FROM (SELECT DISTINCT coalesce(CASE WHEN c.load_seq % 5 <> 0 THEN 'S' || (c.load_seq % 10) END, 'No Supplier') FROM ({_PROD}) p LEFT JOIN ({_KNOWN}) c ON p.sku = c.sku) UNION ALL SELECT 'By Supplier' FROM ({_PROD}) UNION ALL SELECT 'By Status' FROM (SELECT DISTINCT CASE WHEN confidence > 0.98 THEN 1 WHEN confidence > 0.90 THEN 2 ELSE 3 END FROM ({_PROD})) UNION ALL SELECT 'By Status' FROM ({_PROD}) UNION ALL SELECT 'Summary' FROM range(9)) GROUP BY sheet")
+def batch_workbook(spark, d):
+    path = scratch(spark)
+    writers.write_workbook(_sheets(spark, d), path, "Batch")
+    return workbooks.read_workbooks(spark, path).where("row > 1").groupBy("sheet").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(f"SELECT sku, {_D('quantity', 'total_quantity')}, {_D('units', 'total_units')}, {_D('cases', 'total_cases')}, count(*) AS row_count FROM ({_PARSED}) GROUP BY sku")
 def stream_running_totals(spark, d):
     path = scratch(spark)
@@ -335,19 +367,19 @@ def catalog_stats(spark, d):
 
 @query(f"SELECT sku, name, CAST(row_number() OVER (ORDER BY name, sku) AS INT) AS place FROM ({_CAT})")
 def order_by_name(spark, d):
-    return ordering.placed(catalog(spark, d).select("sku", "name"), [*ordering.by_name(), F.col("sku").asc()])
+    return ordering.placed(catalog(spark, d).select("sku", "name"), [*ordering.by_name(), F.col("sku").asc()]).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT sku, CAST(row_number() OVER (ORDER BY TRY_CAST(sku AS BIGINT) NULLS LAST, sku) AS INT) AS place FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'K' || p_partkey ELSE CAST(p_partkey AS VARCHAR) END AS sku FROM part)")
 def order_mixed_skus(spark, d):
     key = F.col("p_partkey").cast("string")
-    return ordering.placed(table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("K"), key)).otherwise(key).alias("sku")), ordering.by_sku())
+    return ordering.placed(table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("K"), key)).otherwise(key).alias("sku")), ordering.by_sku()).withColumn("place", F.col("place").cast("int"))
 
 
 @query(f"SELECT category, count(*) AS n, CAST(row_number() OVER (ORDER BY category) AS INT) AS place FROM ({_CAT}) GROUP BY category")
 def groups_by_label(spark, d):
     groups = catalog(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    return ordering.placed(groups, ordering.by_label("category"))
+    return ordering.placed(groups, ordering.by_label("category")).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT CAST(n_regionkey AS VARCHAR) AS city_id, CAST(n_nationkey AS VARCHAR) AS delivery_route, 25 - n_nationkey AS sort_order, CAST(row_number() OVER (ORDER BY n_regionkey, 25 - n_nationkey) AS INT) AS place FROM nation")
@@ -355,7 +387,7 @@ def routes_in_order(spark, d):
     nation = table(spark, d, "nation")
     routes = nation.select(F.col("n_nationkey").cast("string").alias("routeId"), (25 - F.col("n_nationkey")).cast("int").alias("sortOrder"))
     rows = nation.select(F.col("n_regionkey").cast("string").alias("city_id"), F.col("n_nationkey").cast("string").alias("delivery_route"))
-    return ordering.placed(places.with_route_order(rows, routes), places.route_order()).withColumnRenamed("sortOrder", "sort_order")
+    return ordering.placed(places.with_route_order(rows, routes), places.route_order()).withColumnRenamed("sortOrder", "sort_order").withColumn("place", F.col("place").cast("int"))
 
 
 @query(f"SELECT warning, count(*) AS n FROM (SELECT CASE WHEN rule_allows IS NULL THEN 'missing_rule' WHEN product_allows IS NULL THEN 'missing_product' WHEN NOT coalesce(quantity >= 0, false) THEN 'invalid_quantity' END AS warning FROM ({_CALCED})) WHERE warning IS NOT NULL GROUP BY warning")

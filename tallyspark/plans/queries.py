@@ -480,7 +480,7 @@ def order_by_sku_numeric(spark, d):
 
 @query(f"SELECT sku, CAST(quantity AS DOUBLE) AS quantity, CAST(row_number() OVER (ORDER BY CAST(sku AS BIGINT)) AS INT) AS place FROM ({_PROD})")
 def order_all_by_sku(spark, d):
-    return ordering.placed(products(spark, d), ordering.by_sku()).select("sku", "quantity", "place")
+    return ordering.placed(products(spark, d), ordering.by_sku()).select("sku", "quantity", F.col("place").cast("int").alias("place"))
 
 
 @query(f"SELECT category, sku, CAST(quantity AS DOUBLE) AS quantity, CAST(rank AS INT) AS rank FROM (SELECT c.category, p.sku, p.quantity, row_number() OVER (PARTITION BY c.category ORDER BY p.quantity DESC, p.sku) AS rank FROM ({_PROD}) p JOIN ({_CAT}) c ON p.sku = c.sku) WHERE rank <= 3")

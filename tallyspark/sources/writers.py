@@ -1,27 +1,19 @@
-"""Sinks: CSV, JSON, XLSX and HTML reports, stored results.
-
-Workbooks are reports of at most a few thousand rows a sheet; bigger results go out as Parquet or CSV folders.
-"""
+"""Sinks: CSV, JSON, XLSX and HTML reports, stored results. Files of their own are streamed by the tasks that hold their rows (``workbooks``)."""
 
 from __future__ import annotations
 
-import html
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent_text
 from ..functions.text import or_text, source_codes
+from .workbooks import SHEET_ROWS, lines_of, page_ends, sheet_pieces, table_pieces, write_files
+from .workbooks import write_workbook as write_workbook
 
-#: Columns of an exported catalog and of exported products, and rows that a sheet takes.
+#: Columns of an exported catalog, of exported products and of a city's report.
 CATALOG_COLUMNS = ("sku", "barcode", "name", "packSize", "allowUnits", "category", "supplier", "price")
 PRODUCT_COLUMNS = ("sku", "barcode", "name", "quantity", "cases", "units", "confidence", "rowCount")
-SHEET_ROWS = 10_000
-#: Rows that a report in one file may have; larger ones go out as folders.
-REPORT_ROWS = 100_000
+CITY_COLUMNS = ("product_key", "name", "cases", "units", "sources", "notes")
 
 
 def catalog_csv_line(columns: tuple[str, ...] = CATALOG_COLUMNS) -> Column:
@@ -40,25 +32,30 @@ def product_json() -> Column:
     return F.to_json(F.struct(*[percent_text(F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in PRODUCT_COLUMNS]))
 
 
-def result_document(batch: DataFrame, products: DataFrame, warnings: DataFrame) -> DataFrame:
-    """One row with the nested result of a batch: the batch, its products and its warning counts. For at most REPORT_ROWS products; ``write_result`` takes any number."""
-    fits(products)
-    items = products.agg(F.sort_array(F.collect_list(F.struct(*PRODUCT_COLUMNS))).alias("products"))
-    counts = warnings.agg(F.count_if(F.col("type") == "unknown_sku").alias("unknown_sku"), F.count_if(F.col("type") == "ocr_warning").alias("ocr_warning"), F.count(F.lit(1)).alias("all"))
-    return batch.crossJoin(items).crossJoin(counts.select(F.struct("*").alias("warnings"))).select(F.to_json(F.struct("*")).alias("document"))  # single rows
+def warning_numbers(warnings: DataFrame) -> DataFrame:
+    """One row: the warnings of a batch, counted."""
+    return warnings.agg(F.count_if(F.col("type") == "unknown_sku").alias("unknown_sku"), F.count_if(F.col("type") == "ocr_warning").alias("ocr_warning"), F.count(F.lit(1)).alias("all"))
+
 
+def document_pieces(batch: DataFrame, products: DataFrame, warnings: DataFrame, file: str, order: list) -> DataFrame:
+    """Pieces of the nested JSON document of a batch: the fields of its one row, its products in order, its warning counts."""
+    piece = lambda section, sheet, body: [F.lit(file).alias("file"), F.lit(section).alias("section"), sheet.cast("int").alias("sheet"), F.lit("").alias("name"), F.lit("").alias("head"), body.alias("body")]
+    fields = F.to_json(F.struct(*batch.columns))
+    start = batch.select(*piece("0", F.lit(0), F.concat(F.substr(fields, F.lit(1), F.length(fields) - 1), F.lit(',"products":['))))
+    each = lines_of(products.select(*PRODUCT_COLUMNS), [], order).select("line", F.concat(F.when(F.col("line") > 0, ",").otherwise(""), F.to_json(F.struct(*PRODUCT_COLUMNS))).alias("j"))
+    blocks = each.groupBy(F.floor(F.col("line") / SHEET_ROWS).alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "j"))), lambda r: r["j"]), "").alias("j"))  # SHEET_ROWS each
+    end = warning_numbers(warnings).select(*piece("2", F.lit(0), F.concat(F.lit('],"warnings":'), F.to_json(F.struct("*")), F.lit("}"))))
+    return start.unionByName(blocks.select(*piece("1", F.col("block"), F.col("j")))).unionByName(end)
 
-def fits(rows: DataFrame, limit: int = REPORT_ROWS) -> DataFrame:
-    """``rows``, if there are no more than ``limit``; looks at no more than it must."""
-    if rows.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows: write a folder")
-    return rows
+
+def write_document(batch: DataFrame, products: DataFrame, warnings: DataFrame, path: str, name: str, order: list | None = None) -> None:
+    """The nested result of a batch as one JSON document of any size, ``name``.json in a folder, products in order of sku unless told otherwise."""
+    write_files(document_pieces(batch, products, warnings, name, order or [F.asc("sku")]), path, ".json")
 
 
 def write_result(batch: DataFrame, products: DataFrame, warnings: DataFrame, path: str) -> None:
     """The nested result of a batch as folders of JSON lines, of any size: batch with its warning counts, and products."""
-    counts = warnings.agg(F.count_if(F.col("type") == "unknown_sku").alias("unknown_sku"), F.count_if(F.col("type") == "ocr_warning").alias("ocr_warning"), F.count(F.lit(1)).alias("all"))
-    batch.crossJoin(counts.select(F.struct("*").alias("warnings"))).write.mode("overwrite").json(f"{path}/batch")  # single rows
+    batch.crossJoin(warning_numbers(warnings).select(F.struct("*").alias("warnings"))).write.mode("overwrite").json(f"{path}/batch")  # single rows
     products.select(*PRODUCT_COLUMNS).write.mode("overwrite").json(f"{path}/products")
 
 
@@ -87,6 +84,27 @@ def write_city_report(totals: DataFrame, names: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").csv(f"{path}/summary", header=True)
 
 
+def _sections(rows: DataFrame, summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and summaries of cities with their places in a city's report: the summary, then a section for each route."""
+    route, city = F.coalesce("delivery_route", F.lit("")), F.coalesce("city_id", F.lit(""))
+    ours = rows.withColumns({"_file": city, "_section": F.concat(F.lit("1"), route), "_title": route})
+    return ours, summary.withColumns({"_file": city, "_section": F.lit("0"), "_title": F.lit("Summary")})
+
+
+def write_city_workbooks(totals: DataFrame, names: DataFrame, path: str) -> None:
+    """``city_report`` as workbooks: one for each city, with a summary sheet and a sheet for each route, which goes on in another after SHEET_ROWS rows."""
+    rows, summary = _sections(*city_report(totals, names))
+    pieces = sheet_pieces(rows, list(CITY_COLUMNS), [F.asc("product_key")])
+    write_files(pieces.unionByName(sheet_pieces(summary, ["city_id", "routes", "products", "cases", "units"], [])), path, ".xlsx")
+
+
+def write_city_pages(totals: DataFrame, names: DataFrame, path: str, job: str, stamp: str) -> None:
+    """``city_report`` as HTML pages for printing: one for each city, with its name, time and job in the header, a table for each route and a footer."""
+    rows, summary = _sections(*city_report(totals, names))
+    ends = page_ends(summary.select(F.col("_file").alias("file")), F.col("file"), F.lit(f"{job}, {stamp}"))
+    write_files(table_pieces(rows, list(CITY_COLUMNS), [F.asc("product_key")]).unionByName(table_pieces(summary, ["city_id", "routes", "products", "cases", "units"], [])).unionByName(ends), path, ".html")
+
+
 def write_catalog_csv(entries: DataFrame, path: str) -> None:
     entries.select(*CATALOG_COLUMNS).write.mode("overwrite").csv(path, header=True)
 
@@ -97,8 +115,8 @@ def write_json(entries: DataFrame, path: str) -> None:
 
 def sheet_numbers(rows: DataFrame, group: list[str], order: list, limit: int = SHEET_ROWS) -> DataFrame:
     """``rows`` with ``sheet``, from 0: each group's rows in order, ``limit`` to a sheet."""
-    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("sheet", F.floor((number - 1) / limit).cast("int"))
+    ordered = [F.col(c) if isinstance(c, str) else c for c in order]
+    return lines_of(rows, group, ordered, "_line").withColumn("sheet", F.floor(F.col("_line") / limit).cast("int")).drop("_line")
 
 
 def raw_cells(rows: DataFrame) -> DataFrame:
@@ -107,55 +125,11 @@ def raw_cells(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.coalesce(F.to_json(c) if kind.startswith(nested) else F.col(c).cast("string"), F.lit("")).alias(c) for c, kind in rows.dtypes])
 
 
-def _cell(value, at: str) -> str:
-    if value is None or value == "":
-        return ""
-    if isinstance(value, bool) or not isinstance(value, int | float):
-        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
-    return f'<c r="{at}"><v>{value}</v></c>'
-
-
-def _letters(n: int) -> str:
-    out = ""
-    while n:
-        n, rest = divmod(n - 1, 26)
-        out = chr(65 + rest) + out
-    return out
-
-
-def workbook(sheets: dict[str, DataFrame]) -> bytes:
-    """An XLSX file of report sheets; a sheet holds SHEET_ROWS rows and further ones follow as 'name (2)'. A report of more than REPORT_ROWS rows is refused: ``write_sheets`` takes any number."""
-    from decimal import Decimal
-
-    pages: list[tuple[str, list[list]]] = []
-    for name, frame in sheets.items():
-        rows = [frame.columns, *([float(v) if isinstance(v, Decimal) else v for v in r] for r in fits(frame).toLocalIterator())]
-        for k in range(0, max(len(rows) - 1, 1), SHEET_ROWS):
-            pages.append((f"{name} ({k // SHEET_ROWS + 1})" if k else name, [rows[0], *rows[1 + k : 1 + k + SHEET_ROWS]]))
-    names, head = [], '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    kinds = "http://schemas.openxmlformats.org/package/2006"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as file:
-        for i, (name, rows) in enumerate(pages, 1):
-            names.append(f'<sheet name="{escape(name[:31], {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>')
-            body = "".join(f'<row r="{y}">{"".join(_cell(v, f"{_letters(x)}{y}") for x, v in enumerate(row, 1))}</row>' for y, row in enumerate(rows, 1))
-            file.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-        many = range(1, len(pages) + 1)
-        file.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{links}"><sheets>{"".join(names)}</sheets></workbook>')
-        file.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{kinds}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{links}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in many) + "</Relationships>")
-        file.writestr("_rels/.rels", f'{head}<Relationships xmlns="{kinds}/relationships"><Relationship Id="rId1" Type="{links}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        sheet = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-        file.writestr("[Content_Types].xml", f'{head}<Types xmlns="{kinds}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{sheet}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{sheet}.worksheet+xml"/>' for i in many) + "</Types>")
-    return out.getvalue()
-
-
-def print_page(title: str, rows: DataFrame) -> str:
-    """A report of at most REPORT_ROWS rows as an HTML page for printing."""
-    line = lambda tag, values: "<tr>" + "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values) + "</tr>"
-    body = "".join(line("td", r) for r in fits(rows).toLocalIterator())
-    return f'<!doctype html><html dir="auto"><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>{line("th", rows.columns)}{body}</table></html>'
+def write_page(title: str, rows: DataFrame, path: str, name: str, order: list | None = None) -> None:
+    """A report of any size as an HTML page for printing, ``name``.html in a folder; rows in the order that they have unless told otherwise."""
+    named = rows.withColumns({"_file": F.lit(name), "_section": F.lit("1"), "_title": F.lit(title)})
+    ends = page_ends(rows.sparkSession.range(1).select(F.lit(name).alias("file")), F.lit(title), F.lit(""))
+    write_files(table_pieces(named, rows.columns, order or []).unionByName(ends), path, ".html")
 
 
 def save_result(result: DataFrame, path: str, result_id: str) -> str:

@@ -1,6 +1,5 @@
 import zipfile
 from decimal import Decimal
-from io import BytesIO
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,18 +261,19 @@ def test_every_part_name_is_asked(spark, parts):
     assert {r.name for r in queries.QUERIES["top_n_matches"](spark, folder).collect()} == set(asked)
 
 
-def test_batch_and_workbook(spark, catalog):
+def test_batch_and_workbook(spark, catalog, tmp_path):
     page = spark.createDataFrame([("j", 1, "88135 pringles 4 units\n88136 cola 3 cases\n77777 what 1")], schemas.PAGE)
     listed = [r.asDict() for r in rules.name_rules(spark).collect()]
     result = engine.batch(page, catalog, listed)
     got = {r.sku: (int(r.units), int(r.cases)) for r in result.products.collect()}
     assert got == {"88135": (4, 0), "88136": (0, 3), "77777": (0, 0)}
     assert [r.type for r in result.warnings.collect()] == ["unknown_sku"]
-    book = writers.workbook({k: v if k != "Raw Data" else writers.raw_cells(v) for k, v in engine.sheets(result, catalog).items()})
-    with zipfile.ZipFile(BytesIO(book)) as file:
+    writers.write_workbook(engine.sheets(result, catalog), str(tmp_path / "books"), "Batch")
+    with zipfile.ZipFile(tmp_path / "books" / "Batch.xlsx") as file:
         assert len([n for n in file.namelist() if n.startswith("xl/worksheets")]) == 8
         assert "88135" in file.read("xl/worksheets/sheet2.xml").decode()
-    assert "<th>sku</th>" in writers.print_page("t", result.products.select("sku"))
+    writers.write_page("t", result.products.select("sku"), str(tmp_path / "pages"), "t")
+    assert "<th>sku</th>" in (tmp_path / "pages" / "t.html").read_text()
 
 
 def test_csv_lines_quote_only_commas(spark):

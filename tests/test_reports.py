@@ -17,14 +17,18 @@ from tallyspark.sources import readers, writers
 PRODUCTS = "sku string, barcode string, name string, quantity int, cases int, units int, confidence double, rowCount int"
 
 
-def test_product_export(spark):
+def test_product_export(spark, tmp_path):
     rows = spark.createDataFrame([("1", "", 'say "x"', 3, 0, 3, 0.987, 2)], PRODUCTS)
     assert rows.select(writers.product_csv_line().alias("l")).first().l == '"1","N/A","say "x"","3","0","3","98.7%","2"'
     assert json.loads(rows.select(writers.product_json().alias("j")).first().j)["confidence"] == "98.7%"
     batch = spark.createDataFrame([("b1",)], "id string")
     warned = spark.createDataFrame([(1, "unknown_sku", "error", "m"), (2, "ocr_warning", "warning", "m")], schemas.WARNING)
-    document = json.loads(writers.result_document(batch, rows, warned).first().document)
-    assert document["id"] == "b1" and len(document["products"]) == 1 and document["warnings"]["unknown_sku"] == 1
+    more = rows.unionByName(spark.createDataFrame([("0", "1", "q", 1, 1, 0, 0.5, 1)], PRODUCTS))
+    writers.write_document(batch, more, warned, str(tmp_path / "d"), "b/1")
+    document = json.loads((tmp_path / "d" / "b%2F1.json").read_text())
+    assert document["id"] == "b1" and [p["sku"] for p in document["products"]] == ["0", "1"] and document["warnings"]["unknown_sku"] == 1
+    writers.write_document(batch, more.limit(0), warned, str(tmp_path / "d"), "b2")
+    assert json.loads((tmp_path / "d" / "b2.json").read_text())["products"] == [] and not (tmp_path / "d" / "b%2F1.json").exists()
 
 
 def test_sheets_split_at_the_limit(spark):
@@ -91,12 +95,6 @@ def test_lineage_end_to_end(spark):
     assert ordered.count() == out["cities"].count()
 
 
-def test_large_reports_are_refused_in_one_file(spark):
-    with pytest.raises(ValueError):
-        writers.fits(spark.range(11), 10)
-    assert writers.fits(spark.range(10), 10).count() == 10
-
-
 def test_reports_as_folders(spark, tmp_path):
     rows = spark.createDataFrame([("c", f"r{i % 2}", f"K{i}", Decimal(i), Decimal(0), [(1, i, "case", Decimal(i))]) for i in range(4)], "city_id string, delivery_route string, product_key string, cases decimal(18,3), units decimal(18,3), sources array<struct<page:int,row:int,unit:string,quantity:decimal(18,3)>>")
     names = spark.createDataFrame([("K1", "one")], "product_key string, name string")

@@ -60,6 +60,11 @@ def traced(sources: DataFrame, pages: DataFrame) -> DataFrame:
     return sources.join(pages, ["job_id", "page"], "left")
 
 
+def traced_jobs(sources: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Sources with what is known about their job."""
+    return sources.join(jobs, "job_id", "left")
+
+
 def zero_totals(totals: DataFrame) -> DataFrame:
     return totals.where("cases = 0 and units = 0")
 

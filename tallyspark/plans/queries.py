@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import catalog as C
-from ..operators import fuzzy, ordering, parse, places, regions, review, rollups, rules, totals
+from ..operators import fuzzy, lineage, ordering, parse, places, regions, review, rollups, rules, totals
+from ..operators.running import RunningTotals
 from ..sources import writers
+from ..sources.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -399,20 +401,30 @@ def page_totals_with_sources(spark, d):
 
 @query(f"SELECT job_id, sku AS product_key, {_TOT}, count(*) AS source_count FROM ({_PICKS}) GROUP BY job_id, sku")
 def job_totals_with_sources(spark, d):
-    jobs = totals.job_totals(totals.page_totals(_keyed(spark, d)))
-    return jobs.withColumn("source_count", F.size("sources").cast("long")).drop("sources")
+    jobs = totals.job_totals(totals.page_totals(_keyed(spark, d), sources=False))
+    counts = lineage.source_refs(_keyed(spark, d)).groupBy("job_id", "product_key").agg(F.count(F.lit(1)).alias("source_count"))
+    return jobs.join(counts, ["job_id", "product_key"])
 
 
 @query(f"SELECT job_id, sku AS product_key, {_CODES} FROM ({_PICKS}) GROUP BY job_id, sku")
 def source_codes(spark, d):
-    return totals.job_totals(totals.page_totals(_keyed(spark, d))).select("job_id", "product_key", T.source_codes(F.col("sources")).alias("codes"))
+    return lineage.gathered(lineage.source_refs(_keyed(spark, d))).select("job_id", "product_key", T.source_codes(F.col("sources")).alias("codes"))
 
 
 @query(f"SELECT p.job_id, p.page, p.row_ AS row, p.sku AS product_key, p.unit, CAST(p.quantity AS DOUBLE) AS quantity, o.o_orderstatus FROM ({_PICKS}) p LEFT JOIN orders o ON p.job_id = CAST(o_orderkey AS VARCHAR)")
 def trace_sources(spark, d):
-    flat = totals.source_rows(totals.job_totals(totals.page_totals(_keyed(spark, d))))
+    path = new_path(spark, "refs")
+    lineage.write_refs(lineage.source_refs(_keyed(spark, d)), path)
     orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), "o_orderstatus")
-    return flat.join(orders, "job_id", "left")
+    return totals.traced_jobs(lineage.read_refs(spark, path), orders)
+
+
+@query(f"SELECT job_id, sku AS product_key, page, row_ AS row, unit, CAST(quantity AS DOUBLE) AS quantity FROM (SELECT *, sum(CASE WHEN unit = 'case' THEN quantity END) OVER (PARTITION BY job_id, sku) AS cases, sum(CASE WHEN unit = 'unit' THEN quantity END) OVER (PARTITION BY job_id, sku) AS units FROM ({_PICKS})) WHERE cases > 45 OR units > 45")
+def sources_of_high_totals(spark, d):
+    path, rows = new_path(spark, "refs"), _keyed(spark, d)
+    lineage.write_refs(lineage.source_refs(rows), path)
+    high = totals.high_totals(totals.job_totals(totals.page_totals(rows, sources=False)), 45)
+    return lineage.refs_of_totals(spark, path, high)
 
 
 def _placed(spark, d):
@@ -458,6 +470,19 @@ def correction_override(spark, d):
     return review.decided(rows.join(decisions.select("item_id"), "item_id", "left_semi"), decisions, ["quantity"]).select("job_id", "page", "sku", "quantity")
 
 
+@query(f"SELECT job_id, sku AS product_key, {_TOT} FROM (SELECT p.job_id, p.sku, p.unit, CASE WHEN r.status = 'corrected' AND o_orderkey % 3 = 0 THEN 5 ELSE p.quantity END AS quantity FROM ({_PICKS}) p JOIN ({_REVIEW}) r ON p.job_id = CAST(r.o_orderkey AS VARCHAR) WHERE r.status IN ('approved', 'corrected')) GROUP BY job_id, sku")
+def totals_after_decisions(spark, d):
+    key = F.col("o_orderkey")
+    decision = lambda seq, status, quantity: _reviewed(spark, d).select(key.cast("string").alias("item_id"), F.lit(seq).cast("long").alias("seq"), status.alias("status"), F.struct(quantity.cast("decimal(18,3)").alias("quantity"), F.lit(None).cast("string").alias("unit")).alias("correction"))
+    running = RunningTotals(spark, new_path(spark, "running"))
+    running.start(_keyed(spark, d).withColumns({"item_id": F.col("job_id"), "waiting": F.col("page") % 2 == 0}))
+    running.decide(decision(1, F.lit("approved"), F.lit(7)), 1)
+    running.decide(decision(3, F.col("status"), F.when(key % 3 == 0, F.lit(5))), 2)
+    running.compact(1)
+    running.decide(decision(2, F.lit("corrected"), F.lit(9)), 3)  # comes late: a later decision holds
+    return running.jobs()
+
+
 @query(f"SELECT product_key, cases, units, kind FROM (SELECT sku AS product_key, {_TOT} FROM (SELECT sku, unit, CASE WHEN CAST(sku AS INT) % 9 = 0 THEN 0 ELSE quantity END AS quantity FROM ({_PICKS})) GROUP BY sku), LATERAL (SELECT CASE WHEN cases = 0 AND units = 0 THEN 'zero' WHEN cases > 600 OR units > 600 THEN 'high' END AS kind) WHERE kind IS NOT NULL")
 def zero_and_high_totals(spark, d):
     rows = _keyed(spark, d).withColumns({"job_id": F.lit("all"), "page": F.lit(1), "quantity": F.when(F.col("sku").cast("int") % 9 == 0, 0).otherwise(F.col("quantity")).cast("decimal(18,3)")})

@@ -1,12 +1,15 @@
-"""Sinks: CSV, JSON, XLSX and HTML reports, stored results. Files of their own are streamed by the tasks that hold their rows (``workbooks``)."""
+"""Sinks: CSV, JSON, XLSX and HTML reports, stored results (``results``). Files of their own are streamed by the tasks that hold their rows (``workbooks``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent_text
 from ..functions.text import or_text, source_codes
+from .results import get_result as get_result
+from .results import list_results as list_results
+from .results import save_result as save_result
 from .workbooks import SHEET_ROWS, lines_of, page_ends, sheet_pieces, table_pieces, write_files
 from .workbooks import write_workbook as write_workbook
 
@@ -130,18 +133,3 @@ def write_page(title: str, rows: DataFrame, path: str, name: str, order: list |
     named = rows.withColumns({"_file": F.lit(name), "_section": F.lit("1"), "_title": F.lit(title)})
     ends = page_ends(rows.sparkSession.range(1).select(F.lit(name).alias("file")), F.lit(title), F.lit(""))
     write_files(table_pieces(named, rows.columns, order or []).unionByName(ends), path, ".html")
-
-
-def save_result(result: DataFrame, path: str, result_id: str) -> str:
-    """Appends a result under its id and creation time."""
-    result.withColumn("result_id", F.lit(result_id)).withColumn("created", F.current_timestamp()).write.mode("append").partitionBy("result_id").parquet(path)
-    return result_id
-
-
-def get_result(spark: SparkSession, path: str, result_id: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("result_id") == result_id)
-
-
-def list_results(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
-    """The latest results, newest first."""
-    return spark.read.parquet(path).groupBy("result_id").agg(F.max("created").alias("created")).orderBy(F.desc("created"), "result_id").limit(limit)

@@ -9,6 +9,7 @@ name's best so far. Nothing that could match is lost.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import automaton
 from ..functions.similarity import similarity, similarity_pairs
 from ..functions.text import trim
 from ..sources.tables import saved
@@ -23,6 +25,8 @@ from . import names_index
 
 #: Names and candidates in a block, and candidates of a name that are scored together.
 NAMES, CANDIDATES, SCORED = 512, 4096, 32
+#: Up to so many entries of a dictionary one expression replaces them in turn; each is nested in the next, which Catalyst takes badly.
+ENTRIES = 6
 #: Thresholds at which names that look for their best try the index.
 STEPS = (0.92, 0.85)
 
@@ -151,14 +155,16 @@ def corrected_names(names: DataFrame, candidates: DataFrame, least: float = 0.85
 
 
 def dictionary_corrected(rows: DataFrame, entries: list, column: str = "text") -> DataFrame:
-    """``rows`` with the misreads of a short dictionary replaced in turn and ``corrections`` counted.
+    """``rows`` with the misreads of a dictionary replaced in turn and ``corrections`` counted.
 
-    An entry meant for Hebrew surroundings applies between Hebrew letters only.
+    An entry meant for Hebrew surroundings applies between Hebrew letters only. A long dictionary goes through an
+    automaton, and only texts that hold a misread are worked on.
     """
+    live = [e for e in entries if e["misread"] != e["correction"]]
+    if len(live) > ENTRIES:
+        return _many_corrected(rows, live, column)
     text, count = F.col(column), F.lit(0)
-    for e in entries:
-        if e["misread"] == e["correction"]:
-            continue
+    for e in live:
         if e["context"] == "hebrew_letter_in_numeric_field":
             pattern = f"(?<=[א-ת]){e['misread']}(?=[א-ת])"
             count = count + F.regexp_count(text, F.lit(pattern))
@@ -169,3 +175,38 @@ def dictionary_corrected(rows: DataFrame, entries: list, column: str = "text") -
             count = count + F.regexp_count(text, whole)
             text = F.regexp_replace(text, whole, F.lit(e["correction"]))
     return rows.withColumns({"corrected": text, "corrections": count})
+
+
+def _surrounded(entry: dict) -> re.Pattern:
+    """An entry's misread in the surroundings that it is meant for."""
+    word = re.escape(entry["misread"])
+    if entry["context"] == "hebrew_letter_in_numeric_field":
+        return re.compile(f"(?<=[א-ת]){word}(?=[א-ת])")
+    return re.compile(f"(?<![א-ת]){word}(?![א-ת])" if entry["context"].startswith("hebrew") else word)
+
+
+def in_turn(text: str, entries: list[dict], patterns: list[re.Pattern], made: list) -> tuple[str, int]:
+    """A text after all entries in turn, and how many places were corrected: after each the next entry is one whose misread the text then holds."""
+    count, at = 0, 0
+    while True:
+        held = automaton.next_word(text, made, at)
+        if held is None:
+            return text, count
+        text, n = patterns[held].subn(lambda _, to=entries[held]["correction"]: to, text)
+        count, at = count + n, held + 1
+
+
+def _many_corrected(rows: DataFrame, entries: list[dict], column: str) -> DataFrame:
+    """``dictionary_corrected`` with a long dictionary; misreads are taken as they are, in any surroundings."""
+    words = [e["misread"] for e in entries]
+    made, patterns = automaton.automata(words), [_surrounded(e) for e in entries]
+
+    @F.arrow_udf("struct<text:string,n:int>")
+    def corrected(texts: pa.Array) -> pa.Array:
+        plain = texts.to_pylist()
+        first = automaton.first_words([x or "" for x in plain], made, len(words))
+        done = [(x, 0) if x is None or f == len(words) else in_turn(x, entries, patterns, made) for x, f in zip(plain, first.tolist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([None if t is None else n for t, n in done], pa.int32())], names=["text", "n"])
+
+    found = rows.withColumn("_c", corrected(F.col(column).cast("string")))
+    return found.withColumns({"corrected": F.col("_c.text"), "corrections": F.col("_c.n")}).drop("_c")

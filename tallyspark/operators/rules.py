@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import automaton
 
 #: Pack sizes that names give in brackets (units may be picked), and as a fraction (cases only).
 BRACKETS, FRACTIONS = (6, 8, 9, 10, 12, 18, 24), (6, 8, 9, 10, 12, 24, 30)
@@ -31,10 +32,14 @@ def name_rules(spark: SparkSession) -> DataFrame:
 def match_names(products: DataFrame, rules: list, name: str = "name") -> DataFrame:
     """``products`` with the id, pack size and allowUnits of the first rule by priority, then id, whose type and value match the name.
 
-    ``rules`` are rows of a rule list, a short configuration: they become one CASE expression, evaluated in the scan's stage.
+    ``rules`` are rows of a rule list, a configuration. A short one becomes one CASE expression; of a long one the words and brands are
+    looked for by an automaton, so that neither plan nor work for a name grows with their number.
     """
+    ordered = sorted(rules, key=lambda r: (r["priority"], r["id"]))
+    if len(ordered) > automaton.PLAIN:
+        return _many_matched(products, ordered, name)
     out = [None, None, None]
-    for rule in sorted(rules, key=lambda r: (r["priority"], r["id"]), reverse=True):
+    for rule in reversed(ordered):
         text = F.col(name)
         hit = {"contains": lambda v: F.contains(text, F.lit(v)), "regex": lambda v: text.rlike(v), "brand": lambda v: F.lower(text).startswith(v.lower())}[rule["type"]](rule["value"])
         out = [F.when(hit, F.lit(rule[c])).otherwise(o if o is not None else F.lit(None)) for c, o in zip(("id", "packSize", "allowUnits"), out, strict=True)]
@@ -42,11 +47,33 @@ def match_names(products: DataFrame, rules: list, name: str = "name") -> DataFra
     return products.withColumns({c: (o if o is not None else F.lit(None)).cast(k) for c, o, k in zip(("rule_id", "rule_pack_size", "rule_allows"), out, kinds, strict=True)})
 
 
+def _many_matched(products: DataFrame, ordered: list, name: str) -> DataFrame:
+    """``match_names`` of a long list in order of priority: each kind gives the place of its first rule, the least place counts, and a table of places tells its rule."""
+    of = lambda kind: [(i, r["value"]) for i, r in enumerate(ordered) if r["type"] == kind]
+    words, brands, patterns = of("contains"), of("brand"), of("regex")
+    places = []
+    if words:
+        places.append(_placed_word(F.col(name), words))
+    if brands:  # what a name begins with: a mark before both lets the automaton find it at the start only
+        places.append(_placed_word(F.concat(F.lit(START), F.lower(name)), [(i, START + v.lower()) for i, v in brands]))
+    for i, pattern in patterns:
+        places.append(F.when(F.col(name).rlike(pattern), F.lit(i)))
+    place = F.least(*places) if len(places) > 1 else places[0]
+    table = products.sparkSession.createDataFrame([(i, r["id"], r["packSize"], r["allowUnits"]) for i, r in enumerate(ordered)], "_place int, rule_id string, rule_pack_size int, rule_allows boolean")
+    return products.drop("rule_id", "rule_pack_size", "rule_allows").withColumn("_place", place).join(F.broadcast(table), "_place", "left").drop("_place")  # the configuration
+
+
+#: Stands before a name whose beginning is asked for; names don't hold it.
+START = "\ue000"
+
+
+def _placed_word(text: Column, words: list[tuple[int, str]]) -> Column:
+    """The place among all rules of the first of ``words`` (place, word) that a text contains."""
+    return automaton.first_word(text, [w for _, w in words], [i for i, _ in words])
+
+
 def contains_any(x: Column, values: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for v in values:
-        out = out | F.contains(x, F.lit(v))
-    return out
+    return automaton.contains_any(x, values)
 
 
 def pattern_checks(name: Column, unit: Column, case_only: Column, catalog_first: bool = True) -> Column:

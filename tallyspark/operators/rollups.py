@@ -88,8 +88,12 @@ def batch_statistics(rows: DataFrame) -> DataFrame:
 
 
 def product_rows(rows: DataFrame) -> DataFrame:
-    """A product for each sku: totals, mean confidence, number of rows, distinct warnings."""
-    return rows.groupBy("sku").agg(F.min("barcode").alias("barcode"), F.min("name").alias("name"), total("quantity").alias("quantity"), total("cases").alias("cases"), total("units").alias("units"), mean("confidence").alias("confidence"), F.count(F.lit(1)).alias("rowCount"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"))
+    """A product for each sku: totals, mean confidence, number of rows, distinct warnings in order.
+
+    What is gathered is each combination of warnings once, made distinct before rows are shuffled.
+    """
+    warnings = F.collect_set(F.when(F.size("warnings") > 0, F.col("warnings")))
+    return rows.groupBy("sku").agg(F.min("barcode").alias("barcode"), F.min("name").alias("name"), total("quantity").alias("quantity"), total("cases").alias("cases"), total("units").alias("units"), mean("confidence").alias("confidence"), F.count(F.lit(1)).alias("rowCount"), F.array_sort(F.array_distinct(F.flatten(warnings))).alias("warnings"))
 
 
 def price_totals(items: DataFrame) -> DataFrame:
@@ -99,17 +103,35 @@ def price_totals(items: DataFrame) -> DataFrame:
     return items.agg(round_half_up(amount).alias("total_price"), total("quantity").cast("double").alias("total_quantity"), zero(round_half_up(amount / F.nullif(F.count(F.lit(1)), F.lit(0)))).alias("average_price"), F.count(F.lit(1)).alias("item_count"), zero(F.min("price")).alias("min_price"), zero(F.max("price")).alias("max_price"))
 
 
+#: Accuracy of the sketch that brackets a median: it lies within three parts of so many of a group's rows.
+ACCURACY = 10_000
+
+
 def price_statistics(items: DataFrame, *keys: str) -> DataFrame:
     """Least, greatest, mean, exact median, sum and number of prices; zeros for nothing.
 
-    Prices are counted first, so what is put in order for the median is each group's distinct prices.
+    One aggregation gives all but the median, and by a sketch two prices that the median is between: their ranks are
+    a few ten-thousandths of the group apart. A second one counts what is below and, price by price, between them. Only
+    prices between them are put in order, so no group of any size comes to one task.
     """
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    each = items.groupBy(*keys, "price").agg(F.count("price").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = each.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
-    middle = lambda half: F.min(F.when(F.col("_upto") >= half, F.col("price")))
-    median = (middle(F.floor((F.col("_all") + 1) / 2)) + middle(F.ceil((F.col("_all") + 1) / 2))) / 2
-    whole = F.sum(F.col("price").cast("decimal(18,2)") * F.col("_n").cast("decimal(18,0)")).cast("double")
-    count = F.coalesce(F.sum("_n"), F.lit(0))
-    return ranked.where("price is not null or _all = 0").groupBy(*keys).agg(zero(F.min("price")).alias("min_price"), zero(F.max("price")).alias("max_price"), zero(round_half_up(whole / F.nullif(count, F.lit(0)))).alias("mean_price"), zero(median).alias("median_price"), zero(round_half_up(whole)).alias("sum_price"), count.alias("price_count"))
+    price = F.col("price").cast("double")
+    near = [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY]
+    whole = F.sum(F.col("price").cast("decimal(18,2)").cast("decimal(28,2)")).cast("double")
+    facts = items.groupBy(*keys).agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), whole.alias("_sum"), F.count("price").alias("price_count"), F.percentile_approx(price, near, ACCURACY).alias("_near"))
+    found = facts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_near")[0].alias("_low"), F.col("_near")[1].alias("_high"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    some = items.where("price is not null").join(found if keys else F.broadcast(found), same)  # without keys a row
+    place = F.when(price < F.col("_low"), F.lit(None)).otherwise(price)  # all that is below together
+    each = some.where(price <= F.col("_high")).groupBy(*keys, place.alias("_price")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy(F.col("_price").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = each.withColumn("_upto", F.sum("_n").over(upto))
+    counts = facts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("price_count").alias("_all"))
+    ranked = ranked.join(counts if keys else F.broadcast(counts), same)
+    middle = lambda half: F.min(F.when((F.col("_upto") >= half) & F.col("_price").isNotNull(), F.col("_price")))
+    medians = ranked.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(((middle(F.floor((F.col("_all") + 1) / 2)) + middle(F.ceil((F.col("_all") + 1) / 2))) / 2).alias("_median"))
+    out = facts.join(medians if keys else F.broadcast(medians), same, "left")
+    count = F.col("price_count")
+    return out.select(*keys, zero(F.col("min_price")).alias("min_price"), zero(F.col("max_price")).alias("max_price"), zero(round_half_up(F.col("_sum") / F.nullif(count, F.lit(0)))).alias("mean_price"), zero(F.col("_median")).alias("median_price"), zero(round_half_up(F.col("_sum"))).alias("sum_price"), "price_count")

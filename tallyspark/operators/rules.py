@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import automaton
+from ..sources.tables import saved
 
 #: Pack sizes that names give in brackets (units may be picked), and as a fraction (cases only).
 BRACKETS, FRACTIONS = (6, 8, 9, 10, 12, 18, 24), (6, 8, 9, 10, 12, 24, 30)
@@ -196,8 +197,9 @@ def total_checks(totals: DataFrame, entries: list[dict]) -> DataFrame:
     return totals.withColumns({"rule": F.lit(""), "status": F.lit("")}).limit(0) if out is None else out
 
 
+#: Conditions and actions get a row's columns by name from the function that they are given, so that it is known what they read.
 Condition = Callable[[Callable[[str], Column], dict], Column]
-Action = Callable[[Callable[[str], Column], dict], dict[str, Column]]
+Action = Callable[[Callable[[str], Column], dict], "dict[str, Column | Appended]"]
 
 
 @dataclass
@@ -236,7 +238,7 @@ class RuleEngine:
             {
                 "set_unit": lambda row, p: {"unit": F.lit(p["value"])},
                 "set_quantity": lambda row, p: {"quantity": F.lit(p["value"]).cast("decimal(18,3)")},
-                "warn": lambda row, p: {"warnings": F.concat(row("warnings"), F.array(F.lit(p["message"])))},
+                "warn": lambda row, p: {"warnings": Appended(F.array(F.lit(p["message"])))},
             },
         )
 
@@ -274,25 +276,94 @@ class RuleEngine:
         """``rows`` after all rules in turn, each seeing what those before it changed, with ``executed``: (rule, executed, matched) of each.
 
         A rule of an unregistered kind, or one that can't be built, doesn't run and leaves a warning. A condition that
-        is null doesn't match.
+        is null doesn't match. Rules that don't build on each other are one projection (``levels``); after CUT projections
+        a barrier keeps Catalyst from nesting them, and after SAVE of them rows are written, so that plans stay short.
         """
         out = rows if "warnings" in rows.columns else rows.withColumn("warnings", F.array().cast("array<string>"))
-        results = []
-        for i, rule in enumerate(self.list()):
-            condition, action = self.conditions.get(rule.condition), self.actions.get(rule.action)
-            problem = None if condition and action else "unsupported rule"
-            try:
-                hit, changes = (None, {}) if problem else (condition(F.col, rule.condition_params), action(F.col, rule.action_params))
-            except Exception as error:  # a rule's own failure must not end the job
-                problem = f"{RULE_ERROR} {error!r}"
-            if problem:
-                out = out.withColumn("warnings", F.concat("warnings", F.array(F.lit(f"{rule.id}: {problem}"))))
-                results.append(F.struct(F.lit(rule.id).alias("rule"), F.lit(False).alias("executed"), F.lit(False).alias("matched")))
-                continue
-            flag = f"_hit_{i}"
-            out = out.withColumn(flag, F.coalesce(hit, F.lit(False)))
-            changed = {c: F.when(F.col(flag), v).otherwise(F.col(c)) for c, v in changes.items()}
-            out = out.withColumns(changed)
-            results.append(F.struct(F.lit(rule.id).alias("rule"), F.lit(True).alias("executed"), F.col(flag).alias("matched")))
+        made, hits = [self._made(rule) for rule in self.list()], {}
+        for k, level in enumerate(levels(made), 1):
+            flag = f"_hits_{k}"
+            out = out.withColumn(flag, F.array(*[F.coalesce(made[i].hit, F.lit(False)) for i in level]))
+            hits |= {i: F.col(flag)[n] for n, i in enumerate(level)}
+            changed: dict[str, Column] = {}
+            for column in dict.fromkeys(c for i in level for c in made[i].changes):
+                writers = [(hits[i], made[i].changes[column]) for i in level if column in made[i].changes]
+                if isinstance(writers[0][1], Appended):
+                    parts = [F.when(hit, v.items).otherwise(F.array().cast("array<string>")) for hit, v in writers]
+                    changed[column] = F.concat(column, *parts)
+                else:  # the last that matches
+                    value = F.when(*writers[-1])
+                    for hit, v in reversed(writers[:-1]):
+                        value = value.when(hit, v)
+                    changed[column] = value.otherwise(F.col(column))
+            out = out.withColumns(changed) if changed else out
+            if k % SAVE == 0:
+                out = saved(out, "rules")
+            elif k % CUT == 0:
+                out = out.select(F.inline(F.array(F.struct(*out.columns))))
+        results = [F.struct(F.lit(m.id).alias("rule"), F.lit(m.runs).alias("executed"), (hits[i] if m.runs else F.lit(False)).alias("matched")) for i, m in enumerate(made)]
         out = out.withColumn("executed", F.array(*results) if results else F.array().cast("array<struct<rule:string,executed:boolean,matched:boolean>>"))
-        return out.drop(*[c for c in out.columns if c.startswith("_hit_")])
+        return out.drop(*[c for c in out.columns if c.startswith("_hits_")])
+
+    def _made(self, rule: Rule) -> Made:
+        """A rule's condition and changes, with the columns that they read."""
+        condition, action = self.conditions.get(rule.condition), self.actions.get(rule.action)
+        problem, reads = None if condition and action else "unsupported rule", set()
+
+        def row(column: str) -> Column:
+            reads.add(column)
+            return F.col(column)
+
+        try:
+            if not problem:
+                return Made(rule.id, True, condition(row, rule.condition_params), action(row, rule.action_params), reads)
+        except Exception as error:  # a rule's own failure must not end the job
+            problem = f"{RULE_ERROR} {error!r}"
+        return Made(rule.id, False, F.lit(True), {"warnings": Appended(F.array(F.lit(f"{rule.id}: {problem}")))}, set())
+
+
+@dataclass
+class Appended:
+    """What an action adds to an array of texts, whatever it holds so far."""
+
+    items: Column
+
+
+@dataclass
+class Made:
+    """A rule as columns; one that doesn't run only leaves its warning."""
+
+    id: str
+    runs: bool
+    hit: Column
+    changes: dict[str, Column | Appended]
+    reads: set[str]
+
+
+#: Projections of rules until a barrier, and until rows are written.
+CUT, SAVE = 10, 50
+
+
+def levels(made: list[Made]) -> list[list[int]]:
+    """The rules' places in levels that can each be one projection.
+
+    A rule comes after those before it that write what it reads, and with or after those that read or write what it
+    writes; in a level all read what the level starts from, and the last of those that write a column counts. Texts that rules only
+    add to a column stand together in a level, but not with other changes of that column.
+    """
+    written: dict[str, int] = {}
+    read: dict[str, int] = {}
+    kinds: dict[tuple[int, str], bool] = {}
+    out: list[list[int]] = []
+    for i, rule in enumerate(made):
+        at = max([0, *(written.get(c, -1) + 1 for c in rule.reads), *(max(written.get(c, 0), read.get(c, 0)) for c in rule.changes)])
+        while any(kinds.get((at, c), kind) != kind for c, kind in ((c, isinstance(v, Appended)) for c, v in rule.changes.items())):
+            at += 1
+        for c in rule.reads:
+            read[c] = max(read.get(c, 0), at)
+        for c, v in rule.changes.items():
+            written[c] = max(written.get(c, 0), at)
+            kinds[at, c] = isinstance(v, Appended)
+        out.extend([] for _ in range(at + 1 - len(out)))
+        out[at].append(i)
+    return out

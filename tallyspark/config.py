@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 ENVIRONMENTS, LEVELS = ("development", "test", "production"), ("debug", "info", "warn", "error")
 
 
@@ -22,3 +25,7 @@ class Config:
     def logs(self, level: str) -> bool:
         """Whether messages of ``level`` are shown."""
         return LEVELS.index(level) >= LEVELS.index(self.log_level)
+
+    def shown(self, level: Column) -> Column:
+        """Whether messages of a column of levels are shown; unknown levels and null aren't."""
+        return F.coalesce(level.isin(*[x for x in LEVELS if self.logs(x)]), F.lit(False))

@@ -141,8 +141,18 @@ def source_codes(sources: Column) -> Column:
 
 
 def batch_id(at: Column) -> Column:
-    """YYYY-MM-DD-<milliseconds in base 36>, of an explicit time."""
-    return F.concat(F.date_format(at, "yyyy-MM-dd"), F.lit("-"), F.lower(F.conv(F.unix_millis(at).cast("string"), 10, 36)))
+    """YYYY-MM-DD-<milliseconds in base 36>, of an explicit time; the day is the session's time zone's."""
+    return batch_id_of(F.date_format(at, "yyyy-MM-dd"), F.unix_millis(at))
+
+
+def batch_id_of(day: Column, millis: Column) -> Column:
+    """A batch's id from its day and its milliseconds since 1970, in capitals."""
+    return F.concat(day, F.lit("-"), F.conv(millis.cast("string"), 10, 36))
+
+
+def batch_id_utc(millis: Column) -> Column:
+    """The id of a batch of that time, with its day in UTC, whatever the session's time zone."""
+    return batch_id_of(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / 86_400_000).cast("int")).cast("string"), millis)
 
 
 def export_name(batch: Column) -> Column:

@@ -128,11 +128,10 @@ def resolved(rows: DataFrame, products: DataFrame) -> DataFrame:
     """
     from ..functions.text import normalize_field
 
-    def keyed(frame: DataFrame, kind: str, tier: str, key: Column) -> DataFrame:
-        return frame.select(F.lit(kind).alias("_kind"), key.alias("_key"), F.lit(("barcode", "sku", "name", "alias").index(tier)).alias("_tier"), F.lit(tier).alias("_by"), "load_seq", "product_key").where("_key <> ''")
-
-    keys = keyed(products, "barcode", "barcode", F.col("barcode")).unionByName(keyed(products, "sku", "sku", F.col("sku"))).unionByName(keyed(products, "hint", "name", normalize_field(F.col("name"))))
-    keys = keys.unionByName(keyed(products.withColumn("_alias", F.explode("aliases")), "hint", "alias", normalize_field(F.col("_alias"))))
+    key = lambda kind, tier, value: F.struct(F.lit(kind).alias("_kind"), value.alias("_key"), F.lit(("barcode", "sku", "name", "alias").index(tier)).alias("_tier"), F.lit(tier).alias("_by"))
+    aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: key("hint", "alias", normalize_field(a)))
+    own = F.array(key("barcode", "barcode", F.col("barcode")), key("sku", "sku", F.col("sku")), key("hint", "name", normalize_field(F.col("name"))))
+    keys = products.select("load_seq", "product_key", F.explode(F.concat(own, aliases)).alias("_k")).select("load_seq", "product_key", "_k.*").where("_key <> ''")
     table = keys.groupBy("_kind", "_key").agg(F.min_by(F.struct("product_key", "_by"), F.struct("_tier", "load_seq", "product_key")).alias("_found"))
     barcode, sku = (F.nullif(F.col(c), F.lit("")) for c in ("barcode", "sku"))
     hint = F.nullif(normalize_field(F.col("product_hint")), F.lit(""))

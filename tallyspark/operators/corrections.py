@@ -18,10 +18,17 @@ def _step(kind: str, before: Column, after: Column) -> Column:
     return F.when(before != after, F.struct(F.lit(kind).alias("kind"), before.alias("before"), after.alias("after")))
 
 
+def message(made: Column) -> Column:
+    """What a result says of its corrections: how many, and their kinds in order."""
+    kinds = F.array_join(F.transform(made, lambda c: c["kind"]), ", ")
+    n = F.size(made)
+    return F.when(n == 0, "No corrections").otherwise(F.concat(n.cast("string"), F.when(n == 1, " correction: ").otherwise(" corrections: "), kinds))
+
+
 def _result(text: Column, steps: list[Column]) -> Column:
     made = F.array_compact(F.array(*steps)).cast(f"array<{STEP}>")
     sure = T.correction_confidence(F.size(made))
-    return F.struct(text.alias("text"), made.alias("corrections"), sure.alias("confidence"), status(sure).alias("status"))
+    return F.struct(text.alias("text"), made.alias("corrections"), sure.alias("confidence"), status(sure).alias("status"), message(made).alias("message"))
 
 
 def fixed_characters(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
+from .ordering import by_label, placed
 
 SUM = "decimal(38,3)"
 
@@ -51,8 +52,17 @@ def flattened(groups: DataFrame) -> DataFrame:
 
 
 def group_items(products: DataFrame, *keys: str) -> DataFrame:
-    """What ``flattened`` gives of ``grouped(..., items=True)``, without gathering a group: every product, without its group's keys."""
-    return products.drop(*keys)
+    """What ``flattened`` gives of ``grouped(..., items=True)``, without gathering a group: every product of a group, without its group's keys."""
+    groups = grouped(products, *keys).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return products.join(groups, same).drop(*keys, *[f"_{k}" for k in keys])
+
+
+def flattened_in_order(products: DataFrame, key: str, order: list, place: str = "place") -> DataFrame:
+    """The items of all groups one after the other, groups by their label and each group's items in order, with their ``place`` from 1; no group is gathered."""
+    return placed(products, [*by_label(key), *order], place)
 
 
 def group_summary(groups: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import or_text
 from ..operators import catalog as C
 from ..operators import ordering, parse, places, rollups, rules, totals
+from ..services import Services
 
 
 def process(pages: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,3 +87,44 @@ def lineage(rows: DataFrame, products: DataFrame, cities: DataFrame, routes: Dat
         "cities": places.city_route_totals(placed.withColumns({"cases": amount("case"), "units": amount("unit")})),
         "unassigned": places.unassigned(placed),
     }
+
+
+class LineParser:
+    """Picking lines of pages."""
+
+    def parse(self, pages: DataFrame) -> DataFrame:
+        return parse.picking_lines(parse.lines(pages))
+
+
+class CatalogResolver:
+    """Facts of the catalog by sku; rows that it lacks keep their name."""
+
+    def resolve(self, rows: DataFrame, products: DataFrame) -> DataFrame:
+        facts = products.select("sku", F.col("name").alias("_name"), F.col("allowUnits").alias("product_allows"))
+        return rows.join(facts, "sku", "left").withColumns({"name": F.coalesce("_name", "name"), "rule_allows": F.col("product_allows"), "product_key": F.when(F.col("_name").isNotNull(), F.col("sku"))}).drop("_name")
+
+
+class KnownQuantities:
+    """Leaves out rows without a product or with a quantity below 0."""
+
+    def validate(self, rows: DataFrame) -> DataFrame:
+        return rows.where("product_key is not null and quantity >= 0")
+
+
+class CasesAndUnits:
+    """Quantities as cases or units."""
+
+    def calculate(self, rows: DataFrame) -> DataFrame:
+        return totals.calculated(rows)
+
+
+class ProductTotals:
+    """Totals of each product."""
+
+    def aggregate(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("product_key").agg(rollups.total("cases").alias("cases"), rollups.total("units").alias("units"), F.count(F.lit(1)).alias("row_count"))
+
+
+def standard_services() -> Services:
+    """The stages as this library has them."""
+    return Services(LineParser(), CatalogResolver(), KnownQuantities(), CasesAndUnits(), ProductTotals())

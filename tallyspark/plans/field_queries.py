@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import services
+from ..config import Config
 from ..functions import numbers as N
 from ..functions import similarity as S
 from ..functions import text as T
@@ -318,7 +319,7 @@ def confidence_percent(spark, d):
 def batch_ids(spark, d):
     at = F.timestamp_millis(F.lit(1600000000000) + F.col("event_id") * 86400007)
     day = F.to_utc_timestamp(at, F.current_timezone())
-    return table(spark, d, "events").select("event_id", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), F.element_at(F.split(T.batch_id(at), "-"), -1)).alias("batch"))
+    return table(spark, d, "events").select("event_id", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), F.lower(F.element_at(F.split(T.batch_id(at), "-"), -1))).alias("batch"))
 
 
 @query("SELECT event_id, CAST(least(greatest(value, 10), 100) AS DOUBLE) AS progress FROM events")
@@ -561,3 +562,74 @@ def name_corrections(spark, d):
 def dictionary_corrections(spark, d):
     rows = fuzzy.dictionary_corrected(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("text")), [{"misread": "anvil", "correction": "ANVIL", "context": "name"}])
     return rows.drop("text")
+
+
+@query(f"SELECT p_partkey, corrections || CASE WHEN corrections = 1 THEN ' correction: ' ELSE ' corrections: ' END || array_to_string(list_filter([CASE WHEN a <> b THEN 'character' END, CASE WHEN b <> c THEN 'dictionary' END], lambda x: x IS NOT NULL), ', ') AS message FROM (SELECT *, (a <> b)::INT + (b <> c)::INT AS corrections FROM (SELECT *, CASE b WHEN 'smal1 widget' THEN 'small widget' WHEN '101 b01t' THEN 'IOI bolt' ELSE b END AS c FROM (SELECT *, {_TOKENS} AS b FROM (SELECT p_partkey, trim(x) AS a FROM ({_SCANNED}))))) WHERE corrections > 0")
+def correction_messages(spark, d):
+    key, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    x = F.when(key == 0, " smaIl widget ").when(key == 1, "smal1 widget").when(key == 2, "IOl bO1t").otherwise(F.concat("p_name", F.lit(" S"), size, F.lit("B")))
+    found = corrections.corrected(table(spark, d, "part").select("p_partkey", x.alias("text")), _MISREAD)
+    return found.where(F.size("correction.corrections") > 0).select("p_partkey", "correction.message")
+
+
+# catalogs from lists, versions and seeds; settings; services
+
+
+@query(f"SELECT category, sku, CAST(quantity AS DOUBLE) AS quantity, CAST(row_number() OVER (ORDER BY category, CAST(sku AS BIGINT)) AS INT) AS place FROM (SELECT p.sku, p.quantity, coalesce(c.category, 'Uncategorized') AS category FROM ({_PROD}) p LEFT JOIN ({_KNOWN}) c ON p.sku = c.sku)")
+def flattened_groups_in_order(spark, d):
+    rows = C.with_default(products(spark, d), catalog(spark, d, True), "category", "Uncategorized").select("category", "sku", "quantity")
+    return rollups.flattened_in_order(rows, "category", ordering.by_sku()).withColumn("place", F.col("place").cast("int"))
+
+
+_SEEDS = "(VALUES " + ", ".join(str((a, e, f)) for a, _, _, e, f, _ in seeds.PRODUCTS) + ") s(sku, brand, packSize)"
+
+
+@query(f"SELECT brand, count(*) AS products, CAST(sum(packSize) AS BIGINT) AS packs FROM (SELECT sku, brand, packSize FROM ({_CAT}) UNION ALL SELECT sku, brand, packSize FROM {_SEEDS} WHERE sku NOT IN (SELECT sku FROM ({_CAT}))) GROUP BY brand")
+def seeded_catalog(spark, d):
+    seeds.reset_catalog(spark)
+    seeds.set_catalog(C.upserted(seeds.get_catalog(spark).select("sku", "brand", "packSize"), catalog(spark, d).select("sku", "brand", "packSize")))
+    found = seeds.get_catalog(spark).groupBy("brand").agg(F.count(F.lit(1)).alias("products"), F.sum("packSize").alias("packs"))
+    return found
+
+
+@query("SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS cityId, n_regionkey % 2 = 0 AS active, '1.10.0' AS version FROM nation WHERE n_nationkey >= 3")
+def versioned_catalog(spark, d):
+    path = scratch(spark)
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("cityId"), F.col("n_name").alias("name"), (F.col("n_regionkey") % 2 == 0).alias("active"))
+    for version, some in (("1.9.2", nation), ("1.10.0", nation.where("cast(cityId as int) >= 3"))):
+        # a catalog file is one object, with its 25 cities in a list
+        some.agg(F.collect_list(F.struct("cityId", "name", "active")).alias("cities")).select(F.lit(version).alias("version"), "cities").write.mode("append").json(path)
+    rows = readers.highest_version(readers.versioned(spark, path, "cities", "cityId STRING, name STRING, active BOOLEAN"))
+    return rows.select("name", "cityId", "active", "version")
+
+
+@query("SELECT r.name AS region, count(*) AS nations FROM (SELECT DISTINCT CAST(r_regionkey AS VARCHAR) AS sku, r_name AS name FROM region) r JOIN nation ON CAST(n_regionkey AS VARCHAR) = r.sku GROUP BY r.name")
+def catalog_from_list(spark, d):
+    given = [(str(r.r_regionkey), None, r.r_name, 1, True, None, None, None) for r in table(spark, d, "region").collect()]  # the five regions, as a list that a caller has
+    entries, _ = readers.loaded(C.last_wins(readers.catalog_rows(spark, given + given)))
+    nations = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("sku"))
+    return nations.join(entries.select("sku", F.col("name").alias("region")), "sku").groupBy("region").agg(F.count(F.lit(1)).alias("nations"))
+
+
+@query("SELECT setting, level, count(*) AS n FROM (SELECT *, CASE event_id % 5 WHEN 0 THEN 'debug' WHEN 1 THEN 'info' WHEN 2 THEN 'warn' WHEN 3 THEN 'error' ELSE 'loud' END AS level FROM events), (VALUES ('warn'), ('debug'), ('nonsense')) v(setting) WHERE (setting = 'warn' AND level IN ('warn', 'error')) OR (setting = 'debug' AND level <> 'loud') OR (setting = 'nonsense' AND level IN ('info', 'warn', 'error')) GROUP BY setting, level")
+def messages_shown(spark, d):
+    kind = F.col("event_id") % 5
+    level = F.when(kind == 0, "debug").when(kind == 1, "info").when(kind == 2, "warn").when(kind == 3, "error").otherwise("loud")
+    rows = table(spark, d, "events").select(level.alias("level"))
+    out = None
+    for setting in ("warn", "debug", "nonsense"):
+        some = rows.where(Config.load({"TALLY_LOG_LEVEL": setting}).shown(F.col("level"))).select(F.lit(setting).alias("setting"), "level")
+        out = some if out is None else out.unionByName(some)
+    return out.groupBy("setting", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, strftime(make_timestamp(ms * 1000), '%Y-%m-%d') || '-' || upper(to_base(ms, 36)) AS batch FROM (SELECT event_id, 1600000000000 + event_id * 3600011 AS ms FROM events)")
+def batch_ids_utc(spark, d):
+    return table(spark, d, "events").select("event_id", T.batch_id_utc(F.lit(1600000000000) + F.col("event_id") * 3600011).alias("batch"))
+
+
+@query(f"SELECT CAST(10000 + p_partkey AS VARCHAR) AS product_key, CAST(CASE WHEN p_size % 2 = 0 THEN 0 ELSE p_size END AS DOUBLE) AS cases, CAST(CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END AS DOUBLE) AS units, 1 AS row_count FROM part WHERE p_partkey % 10 <> 0")
+def service_pipeline(spark, d):
+    line = F.concat((F.col("p_partkey") + 10000).cast("string"), F.lit(" "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" cases"))
+    pages = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("job_id"), F.lit(1).alias("page"), line.alias("text"))
+    return engine.standard_services().run(pages, catalog(spark, d, True))

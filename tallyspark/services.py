@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,24 @@ class Aggregator(Protocol):
     def aggregate(self, pages: DataFrame) -> DataFrame: ...
 
 
+@dataclass(frozen=True)
+class Services:
+    """The stages that a batch goes through, each exchangeable: what has a stage's method can take its place."""
+
+    parser: Parser
+    resolver: Resolver
+    validator: Validator
+    calculator: Calculator
+    aggregator: Aggregator
+
+    def run(self, pages: DataFrame, products: DataFrame, decisions: DataFrame | None = None, queue: ReviewQueue | None = None) -> DataFrame:
+        """The totals of pages: parsed, resolved and validated rows, those that a reviewer lets go if there is a queue, calculated and aggregated."""
+        rows = self.validator.validate(self.resolver.resolve(self.parser.parse(pages), products))
+        if queue is not None and decisions is not None:
+            rows = queue.decide(rows, decisions)
+        return self.aggregator.aggregate(self.calculator.calculate(rows))
+
+
 def coded(*checks: tuple[Column, str, Column | str]) -> Column:
     """The error of a row, (code, message): the first of the (condition, code, message) whose condition holds, null if none does."""
     out = F.lit(None).cast("struct<code:string,message:string>")

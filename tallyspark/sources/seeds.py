@@ -21,3 +21,23 @@ PRODUCTS = [
 def seed_products(spark: SparkSession) -> DataFrame:
     """A catalog as it is before anything is loaded, and again after a reset."""
     return catalog_rows(spark, PRODUCTS, schemas.SEED_PRODUCT)
+
+
+#: The view that holds the session's catalog.
+CURRENT = "tally_catalog"
+
+
+def set_catalog(entries: DataFrame) -> None:
+    """Makes ``entries`` the session's catalog."""
+    entries.createOrReplaceTempView(CURRENT)
+
+
+def get_catalog(spark: SparkSession) -> DataFrame:
+    """The session's catalog; before any is set and after a reset, the one that a catalog starts with."""
+    if not spark.catalog.tableExists(CURRENT):
+        reset_catalog(spark)
+    return spark.table(CURRENT)
+
+
+def reset_catalog(spark: SparkSession) -> None:
+    set_catalog(seed_products(spark))

@@ -633,3 +633,25 @@ def service_pipeline(spark, d):
     line = F.concat((F.col("p_partkey") + 10000).cast("string"), F.lit(" "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" cases"))
     pages = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("job_id"), F.lit(1).alias("page"), line.alias("text"))
     return engine.standard_services().run(pages, catalog(spark, d, True))
+
+
+_SHEET = "SELECT CAST(o_custkey AS VARCHAR) AS job_id, o_orderkey, CAST(10000 + o_orderkey % 50 AS VARCHAR) AS sku, o_orderkey % 90 AS quantity, o_orderkey % 6 = 0 AS twice FROM orders"
+
+
+@query(f"SELECT 'total' AS what, sku, CAST(sum(quantity * CASE WHEN twice THEN 2 ELSE 1 END) AS DOUBLE) AS quantity, CAST(sum(CASE WHEN twice THEN 2 ELSE 1 END) AS BIGINT) AS row_count FROM ({_SHEET}) GROUP BY sku UNION ALL SELECT 'twice', sku, NULL, count(*) FROM ({_SHEET}) WHERE twice GROUP BY sku")
+def stream_pages_sent_again(spark, d):
+    path, key = scratch(spark), F.col("o_orderkey")
+    sku, orders = (F.lit(10000) + key % 50).cast("string"), table(spark, d, "orders")
+    line = lambda amount: F.concat(sku, F.lit(" "), F.lit("7290"), F.lpad(sku, 9, "0"), F.lit(" x "), amount.cast("string"))
+    last = F.concat(line(key % 90), F.when(key % 6 == 0, F.concat(F.lit("\n"), line(key % 90))).otherwise(""))
+    page = lambda rows, text, version: rows.select(F.col("o_custkey").cast("string").alias("job_id"), key.cast("int").alias("page"), text.alias("text"), F.lit(version).alias("version"))
+    run = lambda: stream.append_signed(stream.arriving_versions(spark, f"{path}/in"), catalog(spark, d), f"{path}/out", f"{path}/state").awaitTermination()
+    page(orders.where("o_orderkey % 3 <> 0"), line(key % 90 + 1), 1).unionByName(page(orders.where("o_orderkey % 5 = 0"), last, 2)).write.mode("append").json(f"{path}/in")
+    run()
+    # all again with the last version, some late with the first
+    page(orders, last, 2).unionByName(page(orders.where("o_orderkey % 2 = 0"), line(key % 7), 1)).write.mode("append").json(f"{path}/in")
+    run()
+    rows = spark.read.parquet(f"{path}/out")
+    sums = stream.signed_totals(rows, "sku").select(F.lit("total").alias("what"), "sku", F.col("total_quantity").cast("double").alias("quantity"), "row_count")
+    twice = stream.signed_duplicates(rows).groupBy("sku").agg(F.count(F.lit(1)).alias("row_count"))
+    return sums.unionByName(twice.select(F.lit("twice").alias("what"), "sku", F.lit(None).cast("double").alias("quantity"), "row_count"))

@@ -147,3 +147,32 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.id: r.component for r in J.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 10 for i in range(11, 41)) and all(got[200 + i] == 3 for i in range(50)) and got[100] == 3
     assert J.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def template(n, size=60):
+    """Texts of one template: ten shared words, a word of their group, one of their own; groups link, different groups don't."""
+    return [(i, " ".join([*(f"shared{k}" for k in range(10)), f"group{i // size}", f"own{i}"])) for i in range(n)]
+
+
+def test_a_template_grows_in_proportion(spark, monkeypatch):
+    plain, asked = J._compared, []
+
+    def compared(left, right, *rest):
+        asked[-1] += left.join(right.groupBy("gid").count(), "gid").agg({"count": "sum"}).first()[0] or 0
+        return plain(left, right, *rest)
+
+    monkeypatch.setattr(J, "_compared", compared)
+    for n in (600, 1200, 2400):
+        asked.append(0)
+        rows = template(n)
+        got = {r.doc_id: r.component_id for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: i // 60 * 60 for i in range(n)}
+    assert asked[2] < 4.6 * asked[0]
+
+
+def test_templates_of_many_sizes_by_brute_force(spark):
+    draw = random.Random(11)
+    rows = [" ".join([*(f"shared{k}" for k in range(draw.randint(8, 14))), *(f"group{i // 20}" for _ in range(draw.randint(0, 2))), *(f"own{draw.randrange(40)}" for _ in range(draw.randint(0, 4)))]) for i in range(240)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for few in (3, 20):
+        assert sorted(map(tuple, J.jaccard_join(docs, few=few).collect())) == brute(list(enumerate(rows)))

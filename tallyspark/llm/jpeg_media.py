@@ -29,8 +29,10 @@ SOI, EOI, SOF0, DHT, DQT, DRI, SOS, COM, RST0 = 0xD8, 0xD9, 0xC0, 0xC4, 0xDB, 0x
 SHIFT, SIZE = 256, 9
 #: Most blocks on a side of an image.
 SIDE = 8191
-#: Bytes of texts, and blocks, handled at once.
-PASS_BYTES, PASS_BLOCKS = 1 << 20, 1 << 15
+#: Bytes of texts, and blocks, handled at once; longer texts and images go through in windows of so many bytes.
+PASS_BYTES, PASS_BLOCKS, WINDOW = 1 << 20, 1 << 15, 1 << 20
+#: Bytes that hold all that comes before a long image's scan.
+HEAD_BYTES = 1 << 20
 
 
 class JpegError(ValueError):
@@ -266,14 +268,49 @@ def decode(images: list[bytes]) -> list[Image]:
             part = found[at : at + len(count)]
             at += len(count)
             blocks = np.concatenate([x[: c * h * v] for x, c in zip(part, count.tolist(), strict=True)]) if (count * h * v != part.shape[1]).any() else part.reshape(-1, 64)
-            out[i] = Image(heads[i], blocks, _thumbnail(heads[i], blocks, h, v))
+            out[i] = Image(heads[i], blocks, _thumbnail(heads[i], blocks[:, 0], h, v))
     return out
 
 
-def _thumbnail(head: Header, blocks: np.ndarray, h: int, v: int) -> np.ndarray:
+def _scan_windows(scan: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """(bytes of whole restart intervals, whether they are the last) of a scan, about ``size`` bytes at a time."""
+    at, wide = 0, size
+    while at + wide < len(scan):
+        some = scan[at : at + wide]
+        lead = np.flatnonzero((some[:-1] == 0xFF) & (some[1:] >= RST0) & (some[1:] <= RST0 + 7))
+        if not len(lead):
+            wide *= 2
+            continue
+        end = int(lead[-1]) + 2
+        yield some[:end], False
+        at, wide = at + end, size
+    yield scan[at:], True
+
+
+def decode_windows(head: Header, scan: np.ndarray, size: int = WINDOW) -> Iterator[np.ndarray]:
+    """Coefficients of the first component's blocks in MCU order, a window of restart intervals at a time, of an image that has such intervals."""
+    across, down = head.grid()
+    left, place = across * down, head.luminance()
+    if 2 * left > 8 * len(scan):  # a block takes two bits at least
+        raise JpegError("the scan ends early")
+    h, v = head.factors(place)
+    for some, last in _scan_windows(scan, size):
+        bits, begin, _ = unstuffed(some)
+        begin = begin if last else begin[:-1]
+        count = np.full(len(begin), head.restart)
+        if last:
+            count[-1] = left - head.restart * (len(begin) - 1)
+        left -= int(count.sum())
+        if not 0 < count[-1] <= head.restart or left < 0 or (left == 0) != last:
+            raise JpegError("restart intervals don't fit the size")
+        found = decode_intervals(head, bits, begin, count)[place]
+        yield found[np.arange(found.shape[1]) < (count * h * v)[:, None]]
+
+
+def _thumbnail(head: Header, dc: np.ndarray, h: int, v: int) -> np.ndarray:
     """A pixel for each luminance block, from its DC term: dequantised, over 8, plus 128."""
     across, down = head.grid()
-    level = blocks[:, 0].astype(np.int64) * int(head.quants[head.parts[0][3]][0])
+    level = dc.astype(np.int64) * int(head.quants[head.parts[0][3]][0])
     pixels = np.clip(np.floor_divide(level + 4, 8) + 128, 0, 255).astype(np.uint8)
     return pixels.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
 
@@ -297,9 +334,8 @@ def _segment(kind: int, body: bytes) -> bytes:
 _ONE_CODE = bytes([1, *[0] * 15, SIZE])
 
 
-def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """A gray baseline JPEG for each payload, whose length is a positive multiple of 64: a block is a restart interval, so that DC terms stand alone."""
-    blocks = data.reshape(-1, 64)
+def _stuffed(blocks: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the blocks, each an interval with its marker by ``number`` behind it; where each of their 82 bytes begins, and the end)."""
     # ten bits a coefficient: the code 0, then the nine bits of b + 256
     value = blocks.astype(np.uint16).reshape(-1, 16, 4) + SHIFT
     packed = np.empty((len(blocks), 16, 5), np.uint8)
@@ -308,9 +344,6 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     packed[:, :, 2] = (value[:, :, 1] & 15) << 4 | value[:, :, 2] >> 6
     packed[:, :, 3] = (value[:, :, 2] & 63) << 2 | value[:, :, 3] >> 8
     packed[:, :, 4] = value[:, :, 3] & 255
-    first = offsets // 64
-    count = np.diff(first)
-    number = np.arange(len(blocks)) - np.repeat(first[:-1], count)
     rows = np.empty((len(blocks), 82), np.uint8)
     rows[:, :80] = packed.reshape(-1, 80)
     rows[:, 80], rows[:, 81] = 0xFF, RST0 + number % 8
@@ -321,22 +354,50 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     at = np.append(0, np.cumsum(wide))
     out = np.zeros(at[-1], np.uint8)
     out[at[:-1]] = flat
+    return out, at
+
+
+def _around(count: int) -> tuple[bytes, bytes]:
+    """What stands before the intervals of an image of so many payload blocks, and behind them: blocks of payload bytes 0 that fill the last row, as the comment says how much counts."""
+    across = int(np.ceil(np.sqrt(count)))
+    down = -(-count // across)
+    if down > SIDE:
+        raise JpegError("too many blocks for an image")
+    head = b"\xff\xd8" + _segment(COM, b"payload %d" % (64 * count)) + _segment(DQT, b"\0" + b"\1" * 64)
+    head += _segment(SOF0, struct.pack(">BHHBBBB", 8, 8 * down, 8 * across, 1, 1, 0x11, 0)) + _segment(DHT, b"\x00" + _ONE_CODE + b"\x10" + _ONE_CODE)
+    spare = b"".join(bytes([0x40, 0x10, 0x04, 0x01, 0x00]) * 16 + bytes([0xFF, RST0 + (count + k) % 8]) for k in range(across * down - count))
+    return head + _segment(DRI, b"\0\1") + _segment(SOS, b"\1\1\0\0\x3f\0"), spare
+
+
+def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A gray baseline JPEG for each payload, whose length is a positive multiple of 64: a block is a restart interval, so that DC terms stand alone."""
+    first = offsets // 64
+    count = np.diff(first)
+    blocks = data.reshape(-1, 64)
+    out, at = _stuffed(blocks, np.arange(len(blocks)) - np.repeat(first[:-1], count))
     images = []
     for i in range(len(count)):
-        across = int(np.ceil(np.sqrt(count[i])))
-        down = -(-int(count[i]) // across)
-        if down > SIDE:
-            raise JpegError("too many blocks for an image")
-        spare = across * down - int(count[i])
-        body = out[at[82 * first[i]] : at[82 * first[i + 1]]].tobytes()
-        for k in range(spare):  # blocks of payload bytes 0 fill the last row; the comment says how much counts
-            body += bytes([0x40, 0x10, 0x04, 0x01, 0x00]) * 16 + bytes([0xFF, RST0 + (int(count[i]) + k) % 8])
-        head = b"\xff\xd8" + _segment(COM, b"payload %d" % (64 * int(count[i]))) + _segment(DQT, b"\0" + b"\1" * 64)
-        head += _segment(SOF0, struct.pack(">BHHBBBB", 8, 8 * down, 8 * across, 1, 1, 0x11, 0)) + _segment(DHT, b"\x00" + _ONE_CODE + b"\x10" + _ONE_CODE)
-        images.append(head + _segment(DRI, b"\0\1") + _segment(SOS, b"\1\1\0\0\x3f\0") + body[:-2] + b"\xff\xd9")
+        head, spare = _around(int(count[i]))
+        body = out[at[82 * first[i]] : at[82 * first[i + 1]]].tobytes() + spare
+        images.append(head + body[:-2] + b"\xff\xd9")
     return images
 
 
+def encode_long(text: np.ndarray, window: int = WINDOW) -> pa.Buffer:
+    """What ``encode_payloads`` makes of one text's bytes and the zeros behind them, a window at a time."""
+    count = max(-(-len(text) // 64), 1)
+    head, spare = _around(count)
+    out, step = pa.BufferOutputStream(), max(window // 64, 1)
+    out.write(head)
+    for start in range(0, count, step):
+        part = text[64 * start : 64 * (start + step)]
+        blocks = part if len(part) % 64 == 0 and len(part) else np.append(part, np.zeros(-len(part) % 64 or 64, np.uint8))
+        made, _ = _stuffed(blocks.reshape(-1, 64), start + np.arange(len(blocks) // 64))
+        out.write(made if start + step < count or spare else made[:-2])
+    out.write(spare[:-2] + b"\xff\xd9")
+    return out.getvalue()
+
+
 def payload(image: Image) -> np.ndarray | None:
     """The bytes that ``encode_payloads`` stored; None of an image that it can't have made."""
     named = re.fullmatch(rb"payload ([1-9][0-9]{0,11})", image.header.comment)
@@ -348,12 +409,49 @@ def payload(image: Image) -> np.ndarray | None:
     return values[:size].astype(np.uint8)
 
 
+def read_long(raw: np.ndarray, window: int = WINDOW) -> tuple | None:
+    """What ``describe`` tells of one long image, whose blocks are read a window at a time; None if it has no restart intervals to stop at."""
+    view = memoryview(raw)
+    whole = hashlib.sha256(view).hexdigest()
+    broken = (None, None, None, len(raw), whole, None, None, None)
+    try:
+        head, at = parse(bytes(view[:HEAD_BYTES]))
+    except (JpegError, LookupError, struct.error, ValueError):
+        if len(raw) > HEAD_BYTES:  # what the scan needs may come later
+            return None
+        return broken
+    if not head.restart:
+        return None
+    try:
+        named = re.fullmatch(rb"payload ([1-9][0-9]{0,11})", head.comment)
+        across, down = head.grid()
+        h, v = head.factors(head.luminance())
+        size, total = int(named[1]) if named else 0, 64 * across * down * h * v
+        stored = bool(size) and size % 64 == 0 and 0 <= total - size < 64 * across
+        levels, held, done, tail = [], hashlib.sha256(), 0, b""
+        for blocks in decode_windows(head, raw[at:], window):
+            levels.append(blocks[:, 0].copy())
+            values = blocks.ravel() - np.int16(SHIFT)
+            mine = values[: max(size - done, 0)]
+            stored = stored and values.min() >= 0 and values.max() <= 255 and not values[len(mine) :].any()
+            if stored and len(mine):
+                part = mine.astype(np.uint8).tobytes()
+                held.update(part)
+                tail = part[-64:]
+            done += len(values)
+        feature = f"{head.width}x{head.height}-{thumbnail_hash(_thumbnail(head, np.concatenate(levels), h, v))}"
+    except (JpegError, ArithmeticError, LookupError, struct.error, ValueError):
+        return broken
+    found = (size, held.hexdigest(), zlib.crc32(tail)) if stored else (None, None, None)
+    return (*found, len(raw), whole, feature, head.width, head.height)
+
+
 def to_jpeg(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media): every whole text as a JPEG that holds its bytes, zeros up to a positive multiple of 64 behind them.
 
     Null texts count as empty. Equal texts make equal images; rows with equal or null keys are kept, and other
-    columns play no part, whatever their names. An empty table gives no rows. An image has at most SIDE blocks on a
-    side, so a text of more than SIDE * SIDE * 64 bytes (over 4 GB) can't be stored.
+    columns play no part, whatever their names. An empty table gives no rows. A long text goes through in windows, so a
+    worker holds it, its image and a few MB. An image is one value of a row, so a text's image must stay under 2 GB.
     """
     base = docs.select(F.col(key), whole_text(text).alias(fresh([key], "text")))
 
@@ -362,6 +460,11 @@ def to_jpeg(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             data, bounds = string_bytes(batch.column(1))
             for a, b in spans(bounds, PASS_BYTES):
                 size = np.diff(bounds[a : b + 1])
+                if size[0] > PASS_BYTES:  # one long text
+                    image = encode_long(data[bounds[a] : bounds[b]])
+                    ends = pa.py_buffer(np.array([0, image.size], np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), pa.array(size, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), 1, [None, ends, image])], names=[key, "n_bytes", "media"])
+                    continue
                 full = np.maximum(-(-size // 64), 1) * 64
                 at = np.append(0, np.cumsum(full))
                 padded = np.zeros(at[-1], np.uint8)
@@ -377,7 +480,8 @@ def describe(media: DataFrame, key: str = "doc_id", column: str = "media", kept:
     The feature is width, height and the thumbnail's hashes, so equal images have equal ones. Null, empty or broken
     media have null there and no dimensions; an image that ``to_jpeg`` can't have made has its thumbnail but no
     payload columns. Rows with equal or null keys are kept; columns not named in ``kept`` are left out, whatever
-    their names. An empty table gives no rows.
+    their names. An empty table gives no rows. Long images with restart intervals, as ``to_jpeg`` makes them, are read in
+    windows; others are decoded whole.
     """
     schema = f"`{key}` {media.schema[key].dataType.simpleString()}, " + "".join(f"`{c}` {media.schema[c].dataType.simpleString()}, " for c in kept)
     schema += "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
@@ -401,10 +505,11 @@ def describe(media: DataFrame, key: str = "doc_id", column: str = "media", kept:
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         names = [key, *kept, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
         for batch in batches:
-            _, bounds = string_bytes(batch.column(column))
+            data, bounds = string_bytes(batch.column(column))
             for a, b in spans(bounds, PASS_BLOCKS * 82):
-                some = [x or b"" for x in batch.column(column).slice(a, b - a).to_pylist()]
-                found = list(zip(*read(some), strict=True))
+                long = read_long(data[bounds[a] : bounds[b]]) if bounds[b] - bounds[a] > PASS_BLOCKS * 82 else None
+                some = [] if long else [x or b"" for x in batch.column(column).slice(a, b - a).to_pylist()]
+                found = list(zip(*([long] if long else read(some)), strict=True))
                 kept_ = [batch.column(c).slice(a, b - a) for c in (key, *kept)]
                 yield pa.RecordBatch.from_arrays([*kept_, *[pa.array(c, t) for c, t in zip(found, types, strict=True)]], names=names)
 

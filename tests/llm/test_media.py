@@ -216,3 +216,61 @@ def test_the_querys_features_by_a_plain_decoder(spark):
     assert len(rows) == len(media) > 100
     for r in rows:
         assert (r.width, r.height, r.feature) == plainly(media[r.doc_id]) and r.media_bytes == len(media[r.doc_id])
+
+
+def padded(text):
+    out = np.zeros(max(-(-len(text) // 64), 1) * 64, np.uint8)
+    out[: len(text)] = text
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 640, 4096, 5000, 70_001])
+@pytest.mark.parametrize("window", [64, 700, 1 << 20])
+def test_long_texts_make_the_same_image(size, window):
+    text = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8)
+    whole = padded(text)
+    image = M.encode_payloads(whole, np.array([0, len(whole)]))[0]
+    assert M.encode_long(text, window).to_pybytes() == image
+    raw = np.frombuffer(image, np.uint8)
+    one = M.decode([image])[0]
+    want = (len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:].tobytes()), len(image), hashlib.sha256(image).hexdigest(), f"{one.header.width}x{one.header.height}-{M.thumbnail_hash(one.thumbnail)}", one.header.width, one.header.height)
+    assert M.read_long(raw, window) == want
+    for broken in (image[:-90], image[:300], image[:-2] + b"\0" * 5000 + image[-2:], image[:400] + image[470:], b"\xff\xd8 no image" * 30):
+        found = M.read_long(np.frombuffer(broken, np.uint8), window)
+        try:
+            M.decode([broken])
+        except Exception:
+            assert found[:3] == (None, None, None) and found[3] == len(broken) and found[5] is None
+        else:
+            assert found[3] == len(broken)
+
+
+def test_windows_of_other_images_with_restarts():
+    draw = np.random.default_rng(4)
+    image = plain_jpeg([random_blocks(draw, 48)], 8, 6, restart=5)
+    one = M.decode([image])[0]
+    head, at = M.parse(image)
+    for window in (100, 400, 10**6):
+        assert np.array_equal(np.concatenate(list(M.decode_windows(head, np.frombuffer(image, np.uint8)[at:], window))), one.blocks)
+    assert M.read_long(np.frombuffer(plain_jpeg([random_blocks(draw, 4)], 2, 2), np.uint8)) is None
+
+
+MEMORY = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from tallyspark.llm import jpeg_media as M
+text = np.frombuffer(b"some words of a very long text, " * (100 << 15), np.uint8)
+image = M.encode_long(text)
+found = M.read_long(np.frombuffer(image, np.uint8))
+assert found[0] == len(text) and found[5]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_a_text_of_100_mb_stays_below_500_mb():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split()[-1]) < 500

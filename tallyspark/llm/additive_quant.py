@@ -211,15 +211,19 @@ def shortlists(index: DataFrame, books: Codebooks, cells: Cells, queries: DataFr
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, coarse, starts, numbers = shared.value
         for batch in batches:
-            out: list[tuple] = []
-            for gid, v, met in zip(batch.column("gid").to_pylist(), batch.column("v"), coarse.met(space.matrix(batch.column("v"))).tolist() if batch.num_rows else [], strict=True):
-                by: dict[int, list[int]] = {}
-                for c in met:
-                    for s in range(int(numbers[c])):
-                        by.setdefault(int(starts[c]) + s, []).append(c)
-                out += [(s, gid, v, mine) for s, mine in by.items()]
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([x.as_py() for x in columns[2]], batch.schema.field("v").type), pa.array(columns[3], pa.list_(pa.int32()))], names=["shard", "gid", "v", "cells"])
+            if not batch.num_rows:
+                continue
+            met = coarse.met(space.matrix(batch.column("v")))
+            each = numbers[met].ravel()
+            place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)  # of a shard among its cell's
+            asking = np.repeat(np.repeat(np.arange(len(met)), met.shape[1]), each)
+            shard, cell = np.repeat(starts[met].ravel(), each) + place, np.repeat(met.ravel(), each)
+            order = np.lexsort((cell, shard, asking))
+            asking, shard, cell = asking[order], shard[order], cell[order]
+            first = np.flatnonzero(np.append(True, (asking[1:] != asking[:-1]) | (shard[1:] != shard[:-1])))
+            rows = pa.array(asking[first])
+            mine = pa.ListArray.from_arrays(pa.array(np.append(first, len(cell)), pa.int32()), pa.array(cell, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[first], pa.int64()), batch.column("gid").take(rows), batch.column("v").take(rows), mine], names=["shard", "gid", "v", "cells"])
 
     kind = queries.schema["v"].dataType.simpleString()
     asked = saved(queries.select("gid", "v").mapInArrow(tidy(sent), f"shard long, gid long, v {kind}, cells array<int>"), "asked", scratch)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import random
 import re
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,24 +22,29 @@ NAMED = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?k
 SET = r"[\"']?[ \t]{0,2}[=:][=>]?[ \t]{0,2}"
 #: What stands before a value, tried first so that the long look-behind is met only behind an equals sign or colon.
 _BEHIND = r"(?<=[=:> \t\"'])(?<=[=:][=>]?[ \t]{0,2}[\"']?)"
+#: What stands before a password in a URL or behind an argument for one, and what says that one follows.
+IN_URL, IN_ARGUMENT = r"://[^\s/:@\"']{1,40}:", r"\s-u[ \t]{1,2}[^\s:\"']{1,40}:"
+TOLD = r"(?i:passw(?:or)?d|passphrase|passcode|pwd|secret|token|key) is "
 #: An unquoted value's characters: those that can end it, those that can't, and any of them; & , and ; belong to it unless a next field or a space follows.
 _ON = r"(?![A-Za-z_ ]{1,40}=)(?!\s)"
 _BODY = rf"(?:[^\s\"'`&;,.:)\]}}>\\]++|&{_ON})"
 _CLOSING = rf"(?:[.:)\]}}>\\]|[;,]{_ON})"
 _ANY = rf"[^\s\"'`&;,]|[&;,]{_ON}"
 #: A candidate: what a credential's name is set to, whole if quoted and else up to the next field or the end of the sentence;
-#: three to five dotted parts; or 16 or more token characters with a digit, with padding. Edges are open to full stops,
+#: a password in a URL, behind an argument or where a sentence tells it; the address of a hook; three to five dotted parts; or 16 or more token characters with a digit, with padding. Edges are open to full stops,
 #: at signs, equals signs and colons: the forest judges by the context. Runs with alternatives are possessive, so that a value of
 #: any length is matched without recursion.
 CANDIDATE = (
-    rf"{_BEHIND}(?:(?<={NAMED}{SET}[\"'])[^\s\"']{{4,}}+(?=[\"'])"
+    rf"{_BEHIND}(?:(?<={IN_URL})[^\s/@\"']{{3,}}+(?=@)|(?<={IN_ARGUMENT})[^\s\"']{{3,}}+|(?<={NAMED}{SET}[\"'])[^\s\"']{{4,}}+(?=[\"'])"
     rf"|(?<={NAMED}{SET}[\"']?)(?!(?i:bearer|basic|token)\s)(?:{_ANY}){{2}}(?:{_CLOSING}*+{_BODY}++)++)"
+    rf"|(?<= is )(?<={TOLD})(?=\S*[0-9!@#$%^*_+])(?:{_ANY}){{2}}(?:{_CLOSING}*+{_BODY}++)++"
+    r"|https?://hooks\.[A-Za-z0-9.-]{1,60}/[^\s\"'<>]{16,}+"
     r"|(?<=(?i:bearer|basic) )[A-Za-z0-9+/_.~-]{15,}[A-Za-z0-9+/_~-]={0,2}"
     r"|(?:(?<![A-Za-z0-9+/_.-])|(?<=://))(?:eyJ[A-Za-z0-9_-]{5,}+(?:\.{1,2}[A-Za-z0-9_-]++){1,4}|[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{16,}+)"
     r"|(?:(?<![A-Za-z0-9+/_-])(?!//)|(?<=://))(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 #: What every text with a candidate has; most texts have it not and are left alone.
-MAYBE = rf"{NAMED}[\"']?[ \t]{{0,2}}[=:]|(?i:bearer|basic) |eyJ|\.[A-Za-z0-9_-]{{16}}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16}}"
+MAYBE = rf"{IN_URL}|{IN_ARGUMENT}|{TOLD}|://hooks[.]|{NAMED}[\"']?[ \t]{{0,2}}[=:]|(?i:bearer|basic) |eyJ|\.[A-Za-z0-9_-]{{16}}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16}}"
 #: Stands between the parts of a cut text; texts that hold it are cut another way.
 CUT = "\u0001"
 #: Characters of context on each side, and of the text before the candidate before.
@@ -129,11 +134,16 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
             left, right = draw.choice([(f'{name} = "', '" '), (f"{name}: ", " "), (f"{name}='", "' "), (f"{name}={'' if i % 4 else ' '}", "\n"), ("Authorization: Bearer ", " "), (f"my {name} is ", ". "), (f"{name} ", "."), (f"{name}: ", ". "), (f"{name}=", draw.choice(["&user=me", ";", ", "]))])
             if token[:3] in ("AKI", "ghp", "sk-", "eyJ"):  # known by its form, in any place
                 left, right = draw.choice([(left, right), (left, right), (" ", draw.choice([" ", ". ", "@host ", "\n"])), ("https://", "@host.com/ "), ("https://me:", "@host.com/ ")])
-            if draw.random() < 0.3:  # passwords, short or without a digit
+            if draw.random() < 0.06:
+                token, left, right = f"https://hooks.{of(low, 6)}.com/services/T{of(up + digit, 8)}/B{of(up + digit, 8)}/{of(low + up + digit, 24)}", draw.choice([" ", "url: ", "webhook = "]), draw.choice([" ", "\n", ". "])
+            elif draw.random() < 0.36:  # passwords, short or without a digit
                 word = "".join(draw.choice("bcdfghklmnprstvz") + draw.choice("aeiou") for _ in range(draw.randint(2, 5)))
-                token = draw.choice([word + of(digit, draw.randint(1, 4)), word.title() + of("!@#$%", 1) + of(digit, 2), of(low + up + digit, draw.randint(6, 15)), of(low + up, draw.randint(8, 24)), of(low + up + digit + "!@#%^*", draw.randint(8, 20)), word + of(low, 5)])
+                token = draw.choice([word + of(digit, draw.randint(1, 4)), word + of(digit, 1) + word[: draw.randint(2, 8)] + draw.choice(["", of(digit, 1)]), word.title() + of("!@#$%", 1) + of(digit, 2), of(low + up + digit, draw.randint(6, 15)), of(low + up, draw.randint(8, 24)), of(low + up + digit + "!@#%^*", draw.randint(8, 20)), word + of(low, 5)])
                 name = draw.choice(["password", "PASSWORD", "Password", "passwd", "pwd", "PWD", "db_password", "secret", "SECRET", "token", "TOKEN", "auth", "AUTH", "key", "api_key", "API_KEY"])
-                left, right = draw.choice([(f'{name} = "', '" '), (f'"{name}": "', '", '), (f"{name}='", "'\n"), (f"{name}=", draw.choice([" ", "\n", ". ", " and "])), (f"{name}: ", draw.choice(["\n", "\n", ". "]))])
+                places = [(f"{draw.choice(['postgres', 'mysql', 'https', 'redis', 'amqp'])}://{of(low, draw.randint(2, 8))}:", f"@{of(low, 5)}.{of(low, 3)}/"), (f"curl -u {of(low, draw.randint(2, 8))}:", draw.choice([" ", "\n"]))]
+                if any(c in digit + "!@#$%^*" for c in token):
+                    places += [(f"{draw.choice(['password', 'Password', 'passcode', 'token', 'key', 'secret'])} is ", draw.choice([" ", ". ", "\n", ", "]))] * 2
+                left, right = draw.choice([*places, *places, (f'{name} = "', '" '), (f'"{name}": "', '", '), (f"{name}='", "'\n"), (f"{name}=", draw.choice([" ", "\n", ". ", " and "])), (f"{name}: ", draw.choice(["\n", "\n", ". "]))])
         else:
             token, left, right = draw.choice([
                 lambda: (of(digit, draw.randint(16, 19)), " ", " "),
@@ -151,6 +161,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
                 lambda: (f"{of(low, 5)}.{of(low, 6)}.{of(low, 12)}{of(digit, 6)}", draw.choice([" ", "//"]), draw.choice([" ", ".com "])),
                 lambda: (of(low + digit, draw.randint(20, 32)), draw.choice([" ", "/"]), draw.choice([".png ", ".html "])),
                 lambda: (draw.choice(["string", "true", "false", "none", "null", "None", "required", "optional", "changeme", "your_password", "password", "example", "xxxxxxxx", "********", "str", "value", "hidden", "[REDACTED]"]), f"{draw.choice(plainly)}{draw.choice([': ', '=', ' = ', chr(61) + chr(34)])}", draw.choice([" ", "\n", '" '])),
+                lambda: (draw.choice(["password", "pass", "PASSWORD", "secret", "xxxx", "changeme", "<password>", "${PASS}", "your_password"]), draw.choice([f"https://{of(low, 5)}:", f"postgres://{draw.choice(['user', 'username', 'me'])}:"]), "@host/"),
+                lambda: (f"{of(low, draw.randint(3, 7))}_{of(low, draw.randint(3, 7))}", f"{draw.choice(['key', 'token', 'secret'])} is ", draw.choice([" ", ". "])),
+                lambda: (draw.choice(["1", "2", "3rd", "64-bit", "8", "100%"]) + draw.choice(["", of(digit, 2)]), f"{draw.choice(['key', 'token', 'password'])} is ", " " + of(low, 5) + " "),
                 lambda: (of(low, draw.randint(4, 9)), f"{draw.choice(plainly)}: ", " " + of(low, 3) + " " + of(low, 5) + " "),
                 lambda: (draw.choice([f"get_{of(low, 5)}()", f"{of(low, 4)}({of(low, 5)})", f"${{{of(up, 6)}}}", f"os.environ[", f"self.{of(low, 6)}", f"<{of(low, 6)}>", f"${of(up, 8)}"]), f"{draw.choice(plainly)}{draw.choice([': ', '=', ' = '])}", draw.choice([" ", "\n"])),
             ])()
@@ -158,38 +171,58 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
     return spark.createDataFrame(found, "token string, left string, right string, label double")
 
 
-def _written(tree: str) -> str:
-    """A tree's printed form as SQL over the fields of ``f``: 1 where it votes for a secret."""
-    lines = [line.strip() for line in tree.splitlines() if line.strip()]
-    at = 0
+#: A tree: 1 or 0, its vote, or (feature, whether at most the bound, bound, tree if so, tree if not).
+Tree = int | tuple
 
-    def node() -> str:
-        nonlocal at
-        line = lines[at]
-        at += 1
+
+def _tree(printed: str) -> Tree:
+    """A tree from the form in which the model prints it; a leaf votes for its prediction."""
+    lines = iter([line.strip() for line in printed.splitlines() if line.strip()])
+
+    def node() -> Tree:
+        line = next(lines)
         if m := re.match(r"Predict: ([0-9.]+)", line):
-            return "1" if float(m[1]) > 0.5 else "0"
+            return int(float(m[1]) > 0.5)
         m = re.match(r"If \(feature (\d+) (<=|>) (\S+)\)", line)
         yes = node()
-        at += 1  # the Else line
-        return f"IF(f.{FEATURES[int(m[1])]} {m[2]} {m[3]}D, {yes}, {node()})"
+        next(lines)  # the Else line
+        return FEATURES[int(m[1])], m[2] == "<=", float(m[3]), yes, node()
 
     return node()
 
 
-def train(findings: DataFrame, words: tuple[str, ...] = ()) -> str:
-    """The forest's share of votes for a secret, as SQL over the fields of ``f``.
+def _votes(tree: Tree, f: Column) -> Column:
+    """A tree's vote over the fields of ``f``."""
+    if isinstance(tree, int):
+        return F.lit(tree)
+    name, most, bound, yes, no = tree
+    return F.when(f[name] <= bound if most else f[name] > bound, _votes(yes, f)).otherwise(_votes(no, f))
+
+
+def as_vectors(findings: DataFrame, words: tuple[str, ...] = ()) -> DataFrame:
+    """(label, features) of findings, for a model; nulls in texts are empty, rows without a label are left out."""
+    clean = findings.where("label is not null").select("label", *[F.coalesce(c, F.lit("")).alias(c) for c in ("token", "left", "right")])
+    rows = clean.select(F.col("label").cast("double").alias("label"), *[x.alias(n) for n, x in zip(FEATURES, features(F.col("token"), F.col("left"), F.col("right"), words), strict=True)])
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+
+
+def fit(findings: DataFrame, words: tuple[str, ...] = ()) -> RandomForestClassificationModel:
+    """The model that ``train`` writes out."""
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(as_vectors(findings, words).coalesce(1))
+
+
+def train(findings: DataFrame, words: tuple[str, ...] = ()) -> list[Tree]:
+    """The forest's trees, whose share of votes is a candidate's score.
 
     ``findings`` are (token, left, right, label): 1 a secret, 0 a false positive. Rows with a null count as having
     an empty text there; a null label is left out, repeated rows count as often as they come, other columns play
     no part. ``words`` are the dictionary, the same ones as in a scan.
     """
-    clean = findings.where("label is not null").select("label", *[F.coalesce(c, F.lit("")).alias(c) for c in ("token", "left", "right")])
-    rows = clean.select(F.col("label").cast("double").alias("label"), *[x.alias(n) for n, x in zip(FEATURES, features(F.col("token"), F.col("left"), F.col("right"), words), strict=True)])
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).coalesce(1)
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(rows)
-    trees = re.split(r"\n\s*Tree \d+ \(weight [0-9.]+\):\n", forest.toDebugString)[1:]
-    return "(" + " + ".join(map(_written, trees)) + f") / {float(len(trees))}D"
+    return written(fit(findings, words))
+
+
+def written(model: RandomForestClassificationModel) -> list[Tree]:
+    return [_tree(t) for t in re.split(r"\n\s*Tree \d+ \(weight [0-9.]+\):\n", model.toDebugString)[1:]]
 
 
 def _let(value: Column, body) -> Column:
@@ -213,7 +246,7 @@ def _sums(numbers: Column) -> Column:
     return _let(runs, lambda r: F.flatten(F.zip_with(r, grown(F.transform(r, whole)), lambda xs, base: F.transform(grown(xs), lambda x: x + base))))
 
 
-def _score(p: Column, i: Column, forest: str, words: tuple[str, ...]) -> Column:
+def _score(p: Column, i: Column, forest: list[Tree], words: tuple[str, ...]) -> Column:
     """The forest's share of votes for part ``i`` of a cut text."""
     end = lambda x, n: F.substring(x, F.greatest(F.length(x) - n + 1, F.lit(1)), F.lit(n))
     before = F.when(i > 2, F.concat(end(F.get(p, i - 3), BEFORE), F.lit(" "))).otherwise("")
@@ -221,7 +254,7 @@ def _score(p: Column, i: Column, forest: str, words: tuple[str, ...]) -> Column:
     return _let(_let(seen, lambda c: F.struct(*[x.alias(n) for n, x in zip(FEATURES, features(c["token"], c["left"], c["right"], words), strict=True)])), lambda f: _compiled(forest, f))
 
 
-def judged(text: Column, forest: str, words: tuple[str, ...] = ()) -> Column:
+def judged(text: Column, forest: list[Tree], words: tuple[str, ...] = ()) -> Column:
     """Array of (start, token, score) of a text's candidates; start counts characters from 0."""
 
     def found(p: Column) -> Column:
@@ -232,45 +265,15 @@ def judged(text: Column, forest: str, words: tuple[str, ...] = ()) -> Column:
     return _let(parts(text), found)
 
 
-def _vote(forest: str, f: Column) -> Column:
-    """``forest`` with its ``f`` bound to a lambda's variable, through one-element array so that SQL can name it."""
-    return F.element_at(F.transform(F.array(f), lambda g: _compiled(forest, g)), 1)
-
-
-def _compiled(forest: str, f: Column) -> Column:
-    """Column of the written forest over struct ``f``."""
-    trees = forest[1 : forest.rindex(")")].split(" + ")
-    votes = [_tree(t, f) for t in trees]
-    total = votes[0]
-    for v in votes[1:]:
-        total = total + v
-    return total / F.lit(float(len(trees)))
-
-
-def _tree(text: str, f: Column) -> Column:
-    tokens = re.findall(r"IF\(|f\.\w+ (?:<=|>) \S+D(?=,)|[01](?=[,)]|$)|,|\)", text)
-    at = 0
-
-    def node() -> Column:
-        nonlocal at
-        token = tokens[at]
-        at += 1
-        if token != "IF(":
-            return F.lit(int(token))
-        name, sign, value = tokens[at].split(" ")
-        at += 2
-        bound = F.lit(float(value[:-1]))
-        field = f[name[2:]]
-        yes = node()
-        at += 1
-        no = node()
-        at += 1
-        return F.when(field <= bound if sign == "<=" else field > bound, yes).otherwise(no)
-
-    return node()
+def _compiled(forest: list[Tree], f: Column) -> Column:
+    """The share of votes over struct ``f``."""
+    total = _votes(forest[0], f)
+    for tree in forest[1:]:
+        total = total + _votes(tree, f)
+    return total / F.lit(float(len(forest)))
 
 
-def findings(docs: DataFrame, forest: str, key: str = "doc_id", text: str = "text", least: float = LEAST, words: tuple[str, ...] = ()) -> DataFrame:
+def findings(docs: DataFrame, forest: list[Tree], key: str = "doc_id", text: str = "text", least: float = LEAST, words: tuple[str, ...] = ()) -> DataFrame:
     """(key, start, n_chars, secret, score) of every secret in the whole texts, one row each.
 
     Start counts characters from 0; score is the share of trees that say secret, and one of ``least`` is enough.
@@ -281,7 +284,7 @@ def findings(docs: DataFrame, forest: str, key: str = "doc_id", text: str = "tex
     return some.where(F.col("f.score") >= least).select(F.col("key").alias(key), F.col("f.start").alias("start"), F.length("f.token").alias("n_chars"), F.col("f.token").alias("secret"), F.col("f.score").alias("score"))
 
 
-def redact(docs: DataFrame, forest: str, text: str = "text", mark: str = MARK, least: float = LEAST, words: tuple[str, ...] = ()) -> DataFrame:
+def redact(docs: DataFrame, forest: list[Tree], text: str = "text", mark: str = MARK, least: float = LEAST, words: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``.
 
     Rows, other columns, null texts and texts without a secret stay as they are; repeated rows are treated alike, an

@@ -32,8 +32,6 @@ WORDS, PERCENT = 5, 75
 SAMPLE_SHARE, SAMPLE_LEAST, COMMON_MOST = 1 / 8, 2000, 1 << 20
 #: Up to so many holders of an n-gram, the n-grams that each pair shares are counted.
 FEW = 48
-#: Sizes in a band differ by less than this factor.
-BAND = 1.05
 #: Rows of one n-gram are dealt to so many tasks by a salt.
 SALTS = 32
 #: Documents on a side of a block product and n-grams that they may hold together; columns of a dense product.
@@ -225,46 +223,40 @@ def _salts():
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
 
 
+def _least(n, m, percent: int):
+    """``_bound`` of columns."""
+    return F.floor((percent * (n + m) + 99 + percent) / F.lit(100 + percent))
+
+
+def _enough(n, rest, low, most, percent: int):
+    """Whether a set of ``n`` n-grams with ``rest`` behind a shared one can link to any of ``low`` n-grams or more that have at most ``most`` behind it, if it is the first that both share.
+
+    All else that they share comes behind it in both, so their overlap is at most one more than what either has there.
+    """
+    return 1 + F.least(rest, most) >= _least(n, F.greatest(low, F.ceil(n * percent / F.lit(100))), percent)
+
+
 def shared_ngrams(entries: DataFrame, percent: int, few: int, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
     """(pairs, stars) of the (h, id, n, pos) of all prefixes.
 
-    Pairs (a, b, na, nb, c) share c n-grams that at most ``few`` hold. Stars (h, leader, id, n, pos, salt) are the holders of
-    the other n-grams, at which place of theirs it stands, and each one's leader: a holder in whose prefix the n-gram stands first, so one with few
+    Pairs (a, b, na, nb, c) share c n-grams that at most ``few`` hold. Stars (h, leader, id, n, rest, live) are the holders of
+    the other n-grams, how many of theirs stand behind it, whether that can be enough, and each one's leader: a holder in whose prefix the n-gram stands first, so one with few
     n-grams of its own.
 
     n-grams are counted by a partial aggregate. Those that one document holds, nearly all, stay behind before rows
     are dealt by n-gram, and rows of those that many hold are dealt by a salt too.
     """
-    held = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min_by("id", "pos").alias("leader")).where("k > 1")
+    held = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min_by("id", "pos").alias("leader"), F.min("n").alias("low"), F.max(F.col("n") - F.col("pos") - 1).alias("most")).where("k > 1")
     held = saved(held, "held", scratch)
     maybe = marked(entries, held.select(F.col("h").alias("id")), "h", "maybe").where("maybe").select("h", "id", "n", "pos", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    often = held.where(F.col("k") > few).select("h", "leader", _salts().alias("salt"))
-    met = saved(maybe.join(often, ["h", "salt"], "left").select("h", "leader", "id", "n", "pos", "salt"), "holders", scratch)
+    often = held.where(F.col("k") > few).select("h", "leader", "low", "most", _salts().alias("salt"))
+    rest = F.col("n") - F.col("pos") - 1
+    live = _enough(F.col("n"), rest, F.col("low"), F.col("most"), percent)
+    met = saved(maybe.join(often, ["h", "salt"], "left").select("h", "leader", "id", "n", rest.alias("rest"), live.alias("live")), "holders", scratch)
     some = met.where("leader is null").select("h", "id", "n").repartition("h").sortWithinPartitions("h")
     return some.mapInArrow(tidy(lambda b: _meetings(b, percent)), "a long, b long, na long, nb long, c long"), met.where("leader is not null")
 
 
-def _least(n, m, percent: int):
-    """``_bound`` of columns."""
-    return F.floor((percent * (n + m) + 99 + percent) / F.lit(100 + percent))
-
-
-def hopeful(stars: DataFrame, percent: int, scratch: list[str]) -> DataFrame:
-    """The stars without holders that nothing can link to by an n-gram that is the first they share.
-
-    Linked sets share a first n-gram; all else that they share comes behind it in both. So their overlap is at most one
-    more than what either has left behind it, and where that is below the bound of every size that the n-gram's holders
-    have, the holder need not be met there. Sizes are taken in bands, with the least size and the most left in each.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))
-    rest = F.col("n") - F.col("pos") - 1
-    kinds = stars.groupBy("h", band.alias("band")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest"))
-    kinds = saved(kinds.groupBy("h").agg(F.collect_list(F.struct("low", "high", "rest")).alias("kinds")), "kinds", scratch)  # a few hundred bands at most
-    least = F.ceil(F.col("n") * percent / F.lit(100))
-    fits = lambda k: (k["high"] >= least) & (k["low"] * percent <= F.col("n") * 100) & (1 + F.least(rest, k["rest"]) >= _least(F.col("n"), F.greatest(k["low"], least), percent))
-    return stars.join(kinds.select("h", "kinds", _salts().alias("salt")), ["h", "salt"]).where(F.exists("kinds", fits)).select(*stars.columns)
-
-
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Matrix of overlap counts: the product of two blocks' document by n-gram matrices."""
     nl, nr = len(left), len(right)
@@ -455,19 +447,19 @@ def _across(stars: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
 
     Homes of an n-gram are rows, never gathered; an n-gram's holders are dealt by a salt.
     """
-    placed = stars.select("h", "id", "n", (F.col("n") - F.col("pos") - 1).alias("rest")).join(homes, "id")
+    placed = stars.select("h", "id", "n", "rest").join(homes, "id")
     held = placed.groupBy("h", "home").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most"))
     several = held.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
     held = held.join(several, "h", "left_semi").select("h", F.col("home").alias("gid"), "low", "high", "most", _salts().alias("salt"))
     met = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(held, ["h", "salt"])
-    enough = 1 + F.least("rest", "most") >= _least(F.col("n"), F.greatest(F.col("low"), F.ceil(F.col("n") * percent / F.lit(100))), percent)
+    enough = _enough(F.col("n"), F.col("rest"), F.col("low"), F.col("most"), percent)
     return met.where((F.col("gid") < F.col("home")) & (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100) & enough).select("id", "gid").distinct()
 
 
 def candidate_links(docs: DataFrame, met: DataFrame, stars: DataFrame, key: str, text: str, words: int, percent: int, scratch: list[str]) -> DataFrame:
     """(a, b): links that hold every component together, from shared n-grams."""
     pairs = saved(_near_pairs(met, stars, percent), "pairs", scratch)
-    stars = saved(hopeful(stars, percent, scratch), "stars", scratch)
+    stars = stars.where("live")
     ids = pairs.select(F.explode(F.array("gid", "id")).alias("id")).unionByName(stars.select(F.explode(F.array("id", "leader")).alias("id"))).distinct()
     sets = saved(_wanted_sets(docs, ids, key, text, words), "sets", scratch, TEXT_ROWS)
     votes = stars.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"))

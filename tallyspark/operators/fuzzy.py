@@ -29,6 +29,8 @@ NAMES, CANDIDATES, SCORED = 512, 4096, 32
 ENTRIES = 6
 #: Thresholds at which names that look for their best try the index.
 STEPS = (0.92, 0.85)
+#: Up to so many pairs, blocks alone are faster.
+PAIRS = 1 << 24
 
 
 def _letters(texts: list[str], known: dict[str, int]) -> np.ndarray:
@@ -124,8 +126,9 @@ def _best(names: DataFrame, candidates: DataFrame, least: float, best: int) -> D
     left, right = _plain(names, candidates, "name", "candidate")
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "cand_seq", "c"))
     ranked = lambda pairs: pairs.withColumn("rank", rank).where(F.col("rank") <= best)
-    right, found = saved(right, "candidates"), None
-    steps = [t for t in STEPS if t > least]
+    found = None
+    steps = [t for t in STEPS if t > least] if left.count() * right.count() > PAIRS else []
+    right = saved(right, "candidates") if steps else right
     for t in steps:
         tried = saved(ranked(names_index.matches(left, right, t)), "matches")
         done = tried.where(F.col("rank") == best).select("n")

@@ -81,8 +81,9 @@ def rows(frame):
     return {(r.name, r.candidate, r.cand_seq, round(r.score, 12), r["rank"]) for r in frame.collect()}
 
 
-@pytest.mark.parametrize(("least", "n"), [(0.0, 3), (0.7, 2), (0.85, 2), (0.95, 1)])
-def test_best_of_each_name_equals_full_comparison(spark, least, n):
+@pytest.mark.parametrize(("least", "n", "pairs"), [(0.0, 3, 0), (0.7, 2, 0), (0.85, 2, 0), (0.95, 1, 0), (0.5, 2, fuzzy.PAIRS)])
+def test_best_of_each_name_equals_full_comparison(spark, monkeypatch, least, n, pairs):
+    monkeypatch.setattr(fuzzy, "PAIRS", pairs)
     draw = random.Random(7)
     known = product_names(draw, 60) + ["a", "b", "", "ab", "Ab ", "x" * 70 + " y", "x" * 66 + " yy"]
     asked = [misread(draw, x, draw.randint(0, 4)) for x in known for _ in range(2)] + [None, "", "zzz", "x" * 70]

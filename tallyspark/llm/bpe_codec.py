@@ -14,6 +14,10 @@ from ._pieces import byte_characters, encoder
 from ._shared import CHUNK_BYTES, fresh, gathered, kept, spans, string_bytes, tidy, whole_text
 
 
+#: Bytes of texts that ``encode`` takes together: its tasks hold the batch that they came in besides.
+ENCODED = 1 << 17
+
+
 class ByteTable:
     """Bytes of each id, from a vocabulary whose characters stand for bytes; added tokens stand for their own text."""
 
@@ -86,7 +90,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", off
         for batch in batches:
             data, bounds = string_bytes(batch.column(batch.num_columns - 1))
             rest = batch.select(batch.schema.names[:-1])
-            for a, b in spans(bounds):
+            for a, b in spans(bounds, ENCODED):
                 found, ends = code.encode(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 if check:
                     held_against(byte_table(path), found, data[bounds[a] : bounds[b]])

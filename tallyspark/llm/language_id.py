@@ -139,7 +139,11 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     empty.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    base = docs.select(*kept, whole_text(text).alias(fresh(docs.columns, "text_to_tell")), F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs.columns, "lettered")))
+    # a text goes to the task once; where it isn't a string column, as a string
+    plain = text in kept and docs.schema[text].dataType.simpleString() == "string"
+    copy = [] if plain else [whole_text(text).alias(fresh(docs.columns, "text_to_tell"))]
+    base = docs.select(*kept, *copy, F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs.columns, "lettered")))
+    place = kept.index(text) if plain else len(kept)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string, score double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded matrix
 
@@ -147,7 +151,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
         grams, known = Grams(), shared.value
         names = np.array([*known.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            data, bounds = string_bytes(batch.column(batch.num_columns - 2))
+            data, bounds = string_bytes(batch.column(place))
             best, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
             for a, b in spans(bounds) if known.languages else ():
                 log_p = np.empty((len(known.languages), b - a))
@@ -165,6 +169,6 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 score[a:b] = 1 / np.exp(log_p - log_p.max(0)).sum(0)
             mute = ~np.asarray(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), bool)
             best[mute], score[mute] = len(names) - 1, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names[:-2], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names[best], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
     return base.mapInArrow(tidy(rows), schema)

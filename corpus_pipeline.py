@@ -16,6 +16,9 @@ from tallyspark.llm._shared import crc_of_id, dropped, saved
 #: A document stays if its language is known and at least so likely.
 LEAST_LANGUAGE = 0.5
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Rows of the encoding stage's Arrow batches; paths of its tables that are still there.
+ENCODED_ROWS = 250
+_encoded: list[str] = []
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -73,10 +76,11 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Encodes every text and decodes the ids again; a row whose ids don't give its text back fails the job.
 
     Null and empty texts have no ids; repeated rows are encoded alike. Columns beyond those of documents are left
-    out. An empty table stays empty.
+    out. An empty table stays empty. The result is a table in the shared folder, written with small Arrow batches, as an
+    executor's two tokenizers leave little room beside them.
     """
     found = bpe_codec.encode(docs.select(*COLUMNS), public_tokenizers.path(VOCABULARY), check=True, keep_text=False)
-    return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "ids")
+    return saved(found.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "ids"), "encoded", _encoded, ENCODED_ROWS)
 
 
 STAGES = [
@@ -97,6 +101,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         made: list[str] = []
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", made)
-        dropped(spark, before)
+        dropped(spark, before + _encoded)
+        _encoded.clear()
         before = made
     return docs

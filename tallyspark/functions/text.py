@@ -142,7 +142,12 @@ def source_codes(sources: Column) -> Column:
 
 def batch_id(at: Column) -> Column:
     """YYYY-MM-DD-<milliseconds in base 36>, of an explicit time; the day is the session's time zone's."""
-    return batch_id_of(F.date_format(at, "yyyy-MM-dd"), F.unix_millis(at))
+    return batch_id_of(day_text(at), F.unix_millis(at))
+
+
+def day_text(at: Column) -> Column:
+    """YYYY-MM-DD of a date or time, years after 9999 with all their digits and no sign."""
+    return F.regexp_replace(F.date_format(at, "yyyy-MM-dd"), r"\A\+", "")
 
 
 def batch_id_of(day: Column, millis: Column) -> Column:
@@ -152,7 +157,7 @@ def batch_id_of(day: Column, millis: Column) -> Column:
 
 def batch_id_utc(millis: Column) -> Column:
     """The id of a batch of that time, with its day in UTC, whatever the session's time zone."""
-    return batch_id_of(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / 86_400_000).cast("int")).cast("string"), millis)
+    return batch_id_of(F.regexp_replace(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / 86_400_000).cast("int")).cast("string"), r"\A\+", ""), millis)
 
 
 def export_name(batch: Column) -> Column:

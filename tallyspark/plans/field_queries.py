@@ -319,7 +319,7 @@ def confidence_percent(spark, d):
 def batch_ids(spark, d):
     at = F.timestamp_millis(F.lit(1600000000000) + F.col("event_id") * 86400007)
     day = F.to_utc_timestamp(at, F.current_timezone())
-    return table(spark, d, "events").select("event_id", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), F.lower(F.element_at(F.split(T.batch_id(at), "-"), -1))).alias("batch"))
+    return table(spark, d, "events").select("event_id", F.concat(T.day_text(day), F.lit("-"), F.lower(F.element_at(F.split(T.batch_id(at), "-"), -1))).alias("batch"))
 
 
 @query("SELECT event_id, CAST(least(greatest(value, 10), 100) AS DOUBLE) AS progress FROM events")

@@ -2,9 +2,11 @@ import datetime
 import json
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallyspark import schemas, services
 from tallyspark.config import Config
 from tallyspark.functions import numbers as N
@@ -128,3 +130,14 @@ def test_corrections_of_nulls(spark):
 
     row = corrections.corrected(spark.createDataFrame([(None,)], "text string"), []).first().correction
     assert (row.text, row.corrections, row.confidence) == (None, [], 1.0)
+
+
+def test_batch_ids_of_years_after_9999(spark, tmp_path):
+    duckdb.sql("COPY (SELECT unnest([0, 2900000, 2950000, 6000000])::BIGINT AS event_id) TO '%s'" % (tmp_path / "events.parquet"))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+        want = con.sql(entry.oracle_sql()["batch_ids"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["batch_ids"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and any(day.startswith("10") for _, day in got)
+    ids = spark.range(1).select(T.batch_id_utc(F.lit(300_000_000_000_000)).alias("a"), T.batch_id(F.timestamp_millis(F.lit(300_000_000_000_000))).alias("b")).first()
+    assert ids.a == ids.b and ids.a.startswith("11476-")

@@ -189,10 +189,8 @@ def city_workbooks(spark, d):
 def city_pages(spark, d):
     path = scratch(spark)
     writers.write_city_pages(_city_totals(spark, d), catalog(spark, d, True).select(F.col("sku").alias("product_key"), "name"), path, "job 7", "2026-01-02")
-    page = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<section>.*?</section>"), F.lit(0))).alias("s"))
-    row = page.select("file", F.regexp_extract("s", "<h2>(.*?)</h2>", 1).alias("section"), F.explode(F.regexp_extract_all("s", F.lit("<tr>(<td>.*?)</tr>"), F.lit(1))).alias("r")).where("section <> 'Summary'")
-    at = F.transform(F.regexp_extract_all("r", F.lit("<td>(.*?)</td>"), F.lit(1)), lambda x: x)
-    return row.select("file", "section", *[F.get(at, i).alias(n) for i, n in enumerate(("product_key", "name", "cases", "units"))])
+    row = workbooks.read_pages(spark, path).where("section <> 'Summary'")
+    return row.select("file", "section", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("product_key", "name", "cases", "units"))])
 
 
 @query(f"SELECT sheet, count(*) AS rows FROM (SELECT 'Products' AS sheet FROM ({_PROD}) UNION ALL SELECT 'By Product' FROM ({_PROD}) UNION ALL SELECT 'Raw Data' || CASE WHEN n > 10000 THEN ' (' || CAST((n - 1) // 10000 + 1 AS VARCHAR) || ')' ELSE '' END FROM (SELECT row_number() OVER () AS n FROM lineitem) UNION ALL SELECT 'Warnings' FROM (SELECT DISTINCT type, message FROM ({_WARN})) UNION ALL SELECT 'By Category' FROM (SELECT DISTINCT coalesce(c.category, 'Uncategorized') FROM ({_PROD}) p LEFT JOIN ({_KNOWN}) c ON p.sku = c.sku) UNION ALL SELECT 'By Category' FROM ({_PROD}) UNION ALL SELECT 'By Supplier' FROM (SELECT DISTINCT coalesce(CASE WHEN c.load_seq % 5 <> 0 THEN 'S' || (c.load_seq % 10) END, 'No Supplier') FROM ({_PROD}) p LEFT JOIN ({_KNOWN}) c ON p.sku = c.sku) UNION ALL SELECT 'By Supplier' FROM ({_PROD}) UNION ALL SELECT 'By Status' FROM (SELECT DISTINCT CASE WHEN confidence > 0.98 THEN 1 WHEN confidence > 0.90 THEN 2 ELSE 3 END FROM ({_PROD})) UNION ALL SELECT 'By Status' FROM ({_PROD}) UNION ALL SELECT 'Summary' FROM range(9)) GROUP BY sheet")

@@ -109,3 +109,16 @@ def test_shards_are_bounded(spark, monkeypatch):
     index = spark.createDataFrame([(c,) for c, n in enumerate([4, 5, 3, 25, 0, 10, 1]) for _ in range(n)], "cell int")
     first, many = A.shards(index, A.Cells(np.zeros((7, 2)), 1))
     assert many.tolist() == [1, 1, 1, 3, 1, 1, 1] and first.tolist() == [0, 0, 1, 2, 5, 5, 6]
+
+
+def test_recall_on_vectors_without_structure(spark):
+    draw = np.random.default_rng(21)
+    for d, some in ((64, lambda x: x), (256, lambda x: x), (32, lambda x: x * np.where(draw.random((len(x), 1)) < 0.003, 50, 1))):
+        x = some(draw.normal(size=(4000, d))).astype(np.float32)
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+        got = {}
+        for r in A.search(table, lambda i: i % 20 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        x = x.astype(np.float64)
+        hits = [len(got[q] & {int(i) for i in np.argsort(-np.where(np.arange(len(x)) == q, -np.inf, x @ x[q]), kind="stable")[:20]}) for q in range(0, len(x), 20)]
+        assert sum(hits) >= 0.95 * 20 * len(hits), d

@@ -54,6 +54,9 @@ def append_rows(pages: DataFrame, catalog: DataFrame, path: str, checkpoint: str
 #: Pages that may be sent again: of one page the highest version counts, of equal versions the greatest text.
 VERSIONED_PAGE = schemas.PAGE + ", version BIGINT"
 SIGNED_PAGE = schemas.PAGE + ", sign INT"
+#: States that pages share by a hash of job and page, fixed for a checkpoint; a batch rewrites those that its pages meet.
+STATES = 1 << 16
+HELD = "jobs ARRAY<STRING>, pages ARRAY<INT>, versions ARRAY<BIGINT>, texts ARRAY<STRING>"
 
 
 def arriving_versions(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -65,8 +68,9 @@ def arriving_versions(spark: SparkSession, path: str, files: int | None = None)
 def signed_pages(pages: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """Pages with a sign: 1 for a version that counts from now on, -1 for the one that it replaces.
 
-    Versions that come late, and those that come again, change nothing. The state holds the text of each page's latest version; with
-    ``keep_ms`` it forgets a page that nothing was sent for so long, and what is sent later counts as a new page; such a stream
+    Versions that come late, and those that come again, change nothing. States hold the text of each page's latest version, those of some
+    pages in each, so that Python isn't called for every page; with ``keep_ms`` a page has a state of its own, which is forgotten when nothing
+    was sent for so long, and what is sent later counts as a new page; such a stream
     runs on until it is stopped, as it waits for times and not for pages.
     """
 
@@ -86,7 +90,31 @@ def signed_pages(pages: DataFrame, keep_ms: int | None = None) -> DataFrame:
 
     wait = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
     named = pages.where("job_id is not null and page is not null").select("job_id", "page", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("version", F.lit(0)).alias("version"))
-    return named.groupBy("job_id", "page").applyInPandasWithState(latest_version, SIGNED_PAGE, "version BIGINT, text STRING", "append", wait)
+    if keep_ms:
+        return named.groupBy("job_id", "page").applyInPandasWithState(latest_version, SIGNED_PAGE, "version BIGINT, text STRING", "append", wait)
+
+    def latest_versions(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {(j, p): (v, t) for j, p, v, t in zip(*state.get, strict=True)} if state.exists else {}
+        best: dict = {}
+        for b in batches:
+            for j, p, t, v in zip(b["job_id"].tolist(), b["page"].tolist(), b["text"].tolist(), b["version"].tolist(), strict=True):
+                if (old := best.get((j, p))) is None or (v, t) > old:
+                    best[j, p] = v, t
+        out = []
+        for key, new in best.items():
+            old = held.get(key)
+            if old is not None and new <= old:
+                continue
+            if old is not None:
+                out.append((*key, old[1], -1))
+            out.append((*key, new[1], 1))
+            held[key] = new
+        if out:
+            state.update(([j for j, _ in held], [p for _, p in held], [v for v, _ in held.values()], [t for _, t in held.values()]))
+            yield pd.DataFrame(out, columns=["job_id", "page", "text", "sign"])
+
+    shared = named.withColumn("state", F.pmod(F.xxhash64("job_id", "page"), F.lit(STATES)).cast("int"))
+    return shared.groupBy("state").applyInPandasWithState(latest_versions, SIGNED_PAGE, HELD, "append", wait)
 
 
 def append_signed(pages: DataFrame, catalog: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -57,3 +57,19 @@ def test_a_page_that_becomes_empty_takes_its_rows_back(spark, tmp_path):
         stream.append_signed(stream.arriving_versions(spark, str(source)), catalog, out, state).awaitTermination()
         assert stream.signed_totals(spark.read.parquet(out), "sku").count() == (1 if version == 1 else 0)
     assert [r.sign for r in spark.read.parquet(out).orderBy("sign").collect()] == [-1, 1]
+
+
+def test_pages_share_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "STATES", 2)
+    source, state = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+    seen = []
+    for version in (1, 3, 2):
+        (source / f"{version}.json").write_text("\n".join(json.dumps({"job_id": f"j{k}", "page": k % 3, "version": version, "text": f"t{version}"}) for k in range(40)))
+        keep = lambda rows, _: seen.append(sorted((r.job_id, r.page, r.text, r.sign) for r in rows.collect()))
+        signed = stream.signed_pages(stream.arriving_versions(spark, str(source)))
+        assert "state#" in signed._jdf.queryExecution().analyzed().toString()
+        signed.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    pages = [(f"j{k}", k % 3) for k in range(40)]
+    assert seen[0] == sorted((*p, "t1", 1) for p in pages) and seen[1] == sorted([(*p, "t1", -1) for p in pages] + [(*p, "t3", 1) for p in pages])
+    assert not any(seen[2:])

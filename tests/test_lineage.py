@@ -117,3 +117,19 @@ def test_totals_after_decisions_in_any_order_equal_a_full_run(spark, tmp_path, s
     before = key(running.jobs(), "job_id", "product_key", "cases", "units", "row_count")
     running.compact(3)
     assert key(running.jobs(), "job_id", "product_key", "cases", "units", "row_count") == before
+
+
+def test_a_decision_that_changes_nothing_adds_nothing_to_the_log(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('i', id) as item_id", "'j' as job_id", "if(id % 10 = 9, null, 'A') as product_key", "1 as page", "cast(id as int) as row", "if(id % 2 = 0, 'case', null) as unit", "if(id % 4 = 0, null, id) as quantity", "id % 2 = 0 as waiting")
+    said = lambda seq, status, quantity=None: rows.select("item_id", F.lit(seq).cast("long").alias("seq"), F.lit(status).alias("status"), F.struct(F.lit(quantity).cast("decimal(18,3)").alias("quantity"), F.lit(None).cast("string").alias("unit")).alias("correction"))
+    path = str(tmp_path / "log")
+    running = RunningTotals(spark, path)
+    running.start(rows)
+    added = lambda batch: sorted(r.sign for r in spark.read.parquet(f"{path}/sources/batch={batch}").collect())
+    assert added(0) == [1] * 16
+    for batch, (decision, expected) in enumerate([(said(2, "approved"), [1] * 20), (said(3, "corrected"), []), (said(1, "rejected"), []), (said(4, "corrected", 5), [-1] * 35 + [1] * 35), (said(5, "rejected"), [-1] * 36)], 1):
+        running.decide(decision, batch)
+        assert added(batch) == expected
+        if batch == 4:
+            assert [(r.cases, r.units, r.row_count) for r in running.jobs().collect()] == [(100, 0, 36)]
+    assert running.jobs().count() == running.pages().count() == running.sources().count() == 0

@@ -244,16 +244,18 @@ def shared_ngrams(entries: DataFrame, percent: int, few: int, scratch: list[str]
     n-grams of its own.
 
     n-grams are counted by a partial aggregate. Those that one document holds, nearly all, stay behind before rows
-    are dealt by n-gram, and rows of those that many hold are dealt by a salt too.
+    are dealt by n-gram, as far as a filter tells. A second filter, of the n-grams that many hold, sends only rows of those
+    through the aggregate that names leaders and a join that deals them by a salt too; other rows are dealt once, where they meet.
     """
-    held = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min_by("id", "pos").alias("leader"), F.min("n").alias("low"), F.max(F.col("n") - F.col("pos") - 1).alias("most")).where("k > 1")
-    held = saved(held, "held", scratch)
-    maybe = marked(entries, held.select(F.col("h").alias("id")), "h", "maybe").where("maybe").select("h", "id", "n", "pos", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    often = held.where(F.col("k") > few).select("h", "leader", "low", "most", _salts().alias("salt"))
-    rest = F.col("n") - F.col("pos") - 1
-    live = _enough(F.col("n"), rest, F.col("low"), F.col("most"), percent)
-    met = saved(maybe.join(often, ["h", "salt"], "left").select("h", "leader", "id", "n", rest.alias("rest"), live.alias("live")), "holders", scratch)
-    some = met.where("leader is null").select("h", "id", "n").repartition("h").sortWithinPartitions("h")
+    held = saved(entries.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "held", scratch)
+    maybe = marked(entries, held.select(F.col("h").alias("id")), "h", "maybe").where("maybe").select("h", "id", "n", "pos")
+    holders = saved(marked(maybe, held.where(F.col("k") > few).select(F.col("h").alias("id")), "h", "often"), "holders", scratch)
+    hot = holders.where("often").withColumns({"rest": F.col("n") - F.col("pos") - 1, "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS))})
+    often = hot.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min_by("id", "pos").alias("leader"), F.min("n").alias("low"), F.max("rest").alias("most")).where(F.col("k") > few)
+    often = saved(often, "often", scratch).select("h", "leader", "low", "most", _salts().alias("salt"))
+    live = _enough(F.col("n"), F.col("rest"), F.col("low"), F.col("most"), percent)
+    met = saved(hot.join(often, ["h", "salt"], "left").select("h", "leader", "id", "n", "rest", live.alias("live")), "stars", scratch)
+    some = holders.where("not often").select("h", "id", "n").unionByName(met.where("leader is null").select("h", "id", "n")).repartition("h").sortWithinPartitions("h")
     return some.mapInArrow(tidy(lambda b: _meetings(b, percent)), "a long, b long, na long, nb long, c long"), met.where("leader is not null")
 
 

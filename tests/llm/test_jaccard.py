@@ -176,3 +176,15 @@ def test_templates_of_many_sizes_by_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     for few in (3, 20):
         assert sorted(map(tuple, J.jaccard_join(docs, few=few).collect())) == brute(list(enumerate(rows)))
+
+
+def test_only_ngrams_that_many_hold_meet_their_leaders_rows(spark):
+    n = 60_000  # as many n-grams of two holders as fill a fair part of the filter
+    single = spark.range(n).selectExpr("xxhash64(id, 'one') as h", "id", "20L as n", "0 as pos")
+    twice = spark.range(n).selectExpr("xxhash64(id div 2, 'two') as h", "id", "20L as n", "1 as pos")
+    hot = spark.range(100).selectExpr("7L as h", "id", "20 + id as n", "2 + cast(id % 3 as int) as pos")
+    met, stars = J.shared_ngrams(single.unionByName(twice).unionByName(hot), 75, 48, [])
+    assert sorted((r.h, r.id, r.n, r.rest) for r in stars.collect()) == [(7, i, 20 + i, 20 + i - (2 + i % 3) - 1) for i in range(100)]
+    assert {r.leader % 3 for r in stars.collect()} == {0} and met.where("na = 20 and nb = 20 and c = 1 and b = a + 1").count() == met.count() == n // 2
+    joined = spark.read.parquet(*stars.inputFiles()).count()
+    assert 100 <= joined < 200

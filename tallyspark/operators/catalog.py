@@ -124,7 +124,9 @@ def resolved(rows: DataFrame, products: DataFrame) -> DataFrame:
 
     A row with a barcode resolves by it or not at all, and one with a sku likewise. A key that several products
     claim goes to the one loaded first. So each row asks for one key of one kind, and one join with the table of all
-    keys answers; rows that ask for nothing are spread by a hash, as no key can meet them.
+    keys answers; rows that ask for nothing are spread by a hash, as no key can meet them. Rows pass by a hash table of
+    their task's keys and are never sorted: they shrink so much in a shuffle that Spark gives a task many of them, and a
+    name may be asked for by any number, but each key is in the table once.
     """
     from ..functions.text import normalize_field
 
@@ -138,7 +140,7 @@ def resolved(rows: DataFrame, products: DataFrame) -> DataFrame:
     kind = F.when(barcode.isNotNull(), "barcode").when(sku.isNotNull(), "sku").when(hint.isNotNull(), "hint").otherwise("none")
     nothing = F.xxhash64(*[F.col(c).cast("string") for c, t in rows.dtypes if not t.startswith(("map", "array", "struct"))]).cast("string")
     asked = rows.drop("product_key", "resolved_by").withColumns({"_kind": kind, "_key": F.coalesce(barcode, sku, hint, nothing)})
-    found = asked.join(table, ["_kind", "_key"], "left")
+    found = asked.join(table.hint("shuffle_hash"), ["_kind", "_key"], "left")
     return found.withColumns({"product_key": F.col("_found.product_key"), "resolved_by": F.col("_found._by")}).drop("_kind", "_key", "_found")
 
 

@@ -306,3 +306,17 @@ def test_stream_matches_batch(spark, catalog, tmp_path):
     query = stream.start(stream.running_totals(stream.arriving(spark, str(tmp_path / "in")), catalog), str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(60)
     assert [(r.sku, int(r.total_units), r.row_count) for r in stream.latest(spark, str(tmp_path / "out")).collect()] == [("88135", 7, 2)]
+
+
+def test_rows_that_ask_for_one_name_are_not_sorted(spark):
+    products = spark.range(50).selectExpr("id as load_seq", "concat('K', id) as product_key", "cast(null as string) as barcode", "cast(id as string) as sku", "'red bolt' as name", "array(concat('alias ', id)) as aliases")
+    rows = spark.range(3000).selectExpr("id", "'' as barcode", "if(id % 3 = 0, cast(id % 60 as string), '') as sku", "if(id % 3 = 1, 'Red  Bolt', if(id % 6 = 2, null, 'Alias 7')) as product_hint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = C.resolved(rows, products)
+        counted = {(r.resolved_by, r.product_key): r["count"] for r in found.where("resolved_by is null or resolved_by <> 'sku'").groupBy("resolved_by", "product_key").count().collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert counted == {("name", "K0"): 1000, ("alias", "K7"): 500, (None, None): 650}
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

@@ -5,7 +5,8 @@ what it stands for now is added, in totals and in lineage; a row that stands for
 ``seq`` holds, whenever it arrives. A batch that runs again writes its own part of the log again.
 
 A batch joins the rows once. Its signed sources are the log itself: readers sum what came after the last compaction,
-so nothing is grouped for each batch.
+so nothing is grouped for each batch. A batch of few decisions is sent to all tasks, any other one meets rows and
+earlier decisions by shuffles: how small its files are says nothing of that, as ids in order take few bytes there.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .rollups import SUM
 
 REF = ("job_id", "product_key", "page", "row", "unit", "quantity")
 DECISION = "item_id string, seq long, status string, correction struct<quantity:decimal(18,3),unit:string>"
+#: Decisions up to which a batch goes to all tasks.
+FEW = 50_000
 SOURCE = "job_id string, product_key string, page int, row int, unit string, quantity decimal(18,3), sign int"
 
 
@@ -39,7 +42,7 @@ class RunningTotals:
         return self.spark.read.schema(schema + ", batch long").parquet(f"{self.path}/{part}")
 
     def _write(self, frame: DataFrame, part: str, batch: int) -> DataFrame:
-        """``frame`` as a batch's table, read back: its size then tells Spark whether it fits every task."""
+        """``frame`` as a batch's table, read back."""
         path = f"{self.path}/{part}/batch={batch}"
         frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
@@ -57,16 +60,17 @@ class RunningTotals:
         decision = F.struct("seq", "status", "correction")
         last = lambda frame: frame.groupBy("item_id").agg(F.max_by(decision, "seq").alias("d"))
         new = self._write(last(decisions).select("item_id", "d.*"), "decisions", batch)
-        earlier = self._read("decisions", DECISION).where(F.col("batch") < batch).join(new.select("item_id"), "item_id", "left_semi")
+        met = F.broadcast if new.count() <= FEW else lambda frame: frame.hint("merge")  # what is held of a batch and what it changes isn't more
+        earlier = self._read("decisions", DECISION).where(F.col("batch") < batch).join(met(new.select("item_id")), "item_id", "left_semi")
         held = last(earlier).withColumnRenamed("d", "was")
-        changes = new.select("item_id", decision.alias("now")).join(held, "item_id", "left").where("was is null or now.seq > was.seq")
+        changes = new.select("item_id", decision.alias("now")).join(met(held), "item_id", "left").where("was is null or now.seq > was.seq")
         changes = self._write(changes, "changes", batch)
         rows = self.spark.read.parquet(f"{self.path}/rows").where("product_key is not null")
         kinds = dict(rows.dtypes)
         stood = lambda d: F.struct(*[with_correction(c, F.col(f"{d}.status"), F.col(f"{d}.correction")).cast(kinds[c]).alias(c) for c in ("unit", "quantity")])
         before = F.when(F.when(F.col("was").isNull(), ~F.col("waiting")).otherwise(goes_on(F.col("was.status"))), stood("was"))
         after = F.when(goes_on(F.col("now.status")), stood("now"))
-        found = rows.join(changes, "item_id").select(*REF[:4], before.alias("before"), after.alias("after")).where(~F.col("before").eqNullSafe(F.col("after")))
+        found = rows.join(met(changes), "item_id").select(*REF[:4], before.alias("before"), after.alias("after")).where(~F.col("before").eqNullSafe(F.col("after")))
         signed = F.array(F.struct(F.lit(-1).alias("sign"), F.col("before").alias("s")), F.struct(F.lit(1).alias("sign"), F.col("after").alias("s")))
         each = found.select(*REF[:4], F.explode(signed).alias("e")).where("e.s is not null")
         self._write(each.select(*REF[:4], "e.s.unit", "e.s.quantity", "e.sign"), "sources", batch)

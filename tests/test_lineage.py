@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import lineage, review, totals
-from tallyspark.operators.running import DECISION, RunningTotals
+from tallyspark.operators.running import DECISION, FEW, RunningTotals
 from tallyspark.sources import results
 
 
@@ -133,3 +133,17 @@ def test_a_decision_that_changes_nothing_adds_nothing_to_the_log(spark, tmp_path
         if batch == 4:
             assert [(r.cases, r.units, r.row_count) for r in running.jobs().collect()] == [(100, 0, 36)]
     assert running.jobs().count() == running.pages().count() == running.sources().count() == 0
+
+
+def test_a_batch_of_many_decisions_is_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(60_000).selectExpr("cast(id as string) as item_id", "'j' as job_id", "'A' as product_key", "1 as page", "1 as row", "'case' as unit", "1 as quantity", "id % 2 = 0 as waiting")
+    said = lambda seq, n: rows.limit(n).select("item_id", F.lit(seq).cast("long").alias("seq"), F.lit("corrected").alias("status"), F.struct(F.lit(seq).cast("decimal(18,3)").alias("quantity"), F.lit(None).cast("string").alias("unit")).alias("correction"))
+    plans, write = [], RunningTotals._write
+    monkeypatch.setattr(RunningTotals, "_write", lambda self, frame, part, batch: plans.append(frame._jdf.queryExecution().sparkPlan().toString()) or write(self, frame, part, batch))
+    running = RunningTotals(spark, str(tmp_path / "log"))
+    running.start(rows)
+    for batch, (n, kind) in enumerate([(FEW + 1, "SortMergeJoin"), (FEW, "BroadcastHashJoin"), (FEW + 1, "SortMergeJoin")], 1):
+        plans.clear()
+        running.decide(said(batch, n), batch)
+        assert re.findall(r"\w+Join\b", "".join(plans)) == [kind] * 3
+    assert [(r.cases, r.row_count) for r in running.jobs().collect()] == [(3 * (FEW + 1) + (60_000 - FEW) // 2, FEW + 1 + (60_000 - FEW) // 2)]
